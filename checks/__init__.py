@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["points", "summaries"]
+MODULES = ["points", "summaries", "lines", "motion", "nearby"]
 
 
 def load_all() -> None:

@@ -298,9 +298,22 @@ for _name, _compat, _t in (
 
 register(
     "e13_dedupe_nodes",
-    f"{K} frame:i x:d",
+    f"{K} frame:i pos:l x:d",
     lambda s, d: G.dedupe_nodes(
-        V.points(s, d).select(*KEY, "frame", F.floor(F.col("search_x") / 64).alias("x")).withColumn("frame2", F.floor(F.col("frame") / 4)).select(*KEY, "frame", "x"),
+        V.points(s, d).select(
+            *KEY,
+            F.floor(F.col("frame") / 4).alias("frame"),
+            F.floor(F.col("search_x") / 64).alias("x"),
+            F.col("frame").cast("long").alias("pos"),
+        ),
+        order="pos",
+    ),
+    sql_with(
+        "fx_points",
+        """SELECT movie, trajectory, f AS frame, pos, x
+           FROM (SELECT *, lag(f) OVER w AS pf, lag(x) OVER w AS px
+                 FROM (SELECT movie, trajectory, frame // 4 AS f, frame AS pos, floor(search_x / 64) AS x FROM fx_points) n
+                 WINDOW w AS (PARTITION BY movie, trajectory ORDER BY pos)) q
+           WHERE pf IS DISTINCT FROM f OR px IS DISTINCT FROM x""",
     ),
-    sql_with("fx_points", "SELECT movie, trajectory, frame, floor(search_x / 64) AS x FROM fx_points"),
 )
