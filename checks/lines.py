@@ -175,7 +175,7 @@ register(
 )
 register(
     "a9_pairs_to_trajectories",
-    "movie:s roi:l trajectory:l end:s frame:i x:d y:d",
+    "movie:s roi:l trajectory:l side:s frame:i x:d y:d",
     lambda s, d: R.pairs_to_trajectories(
         V.points(s, d).select(
             "movie",
@@ -190,12 +190,12 @@ register(
         "fx_points fx_segments",
         on_line(
             "a9",
-            """SELECT movie, roi, (k - 1) // 2 + 1 AS trajectory, CASE WHEN k % 2 = 1 THEN 'start' ELSE 'end' END AS "end",
+            """SELECT movie, roi, (k - 1) // 2 + 1 AS trajectory, CASE WHEN k % 2 = 1 THEN 'start' ELSE 'end' END AS side,
                  CAST(round_even(y, 0) AS INT) AS frame, xk
                FROM (SELECT movie, trajectory AS roi, search_x / 2 AS xk, search_y / 2 AS y,
                        row_number() OVER (PARTITION BY trajectory ORDER BY frame) AS k FROM fx_points) n""",
         ),
-    ).replace('CAST(end', 'CAST("end"'),
+    ),
 )
 register(
     "b6_validate_anchors",

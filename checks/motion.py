@@ -14,6 +14,7 @@ from trackloom.operators import points as P
 from trackloom.operators import smoothing as E
 from trackloom.operators import steps as T
 from trackloom.operators.segments import in_segment_rows
+from trackloom.plans.stages import stage
 
 
 def msd_sql(source: str, group: str, lags: int, pairs: int) -> str:
@@ -123,7 +124,7 @@ FROM (SELECT *, list_avg(a) AS ma, list_avg(b) AS mb, list_var_pop(a) AS va, lis
 
 
 SMOOTH = f"""
-SELECT movie, trajectory, frame, x AS smooth, list_avg(a) - list_avg(b) AS slope
+SELECT movie, trajectory, frame, round(x, 9) AS smooth, round(list_avg(a) - list_avg(b), 9) AS slope
 FROM ({sides(one_pass(one_pass("SELECT movie, trajectory, frame, intensity AS x FROM fx_points WHERE intensity IS NOT NULL")), 'x')}) z"""
 SMOOTH = SMOOTH.replace(
     """ELSE ma / (1 + (va / nullif(vb, 0)) ** 10) * CASE WHEN vb = 0 THEN 0 ELSE 1 END + CASE WHEN vb = 0 THEN 0 ELSE 0 END
@@ -143,13 +144,18 @@ FROM (SELECT *, row_number() OVER w - 1 AS step, lead(frame) OVER w AS nf FROM e
       WINDOW w AS (PARTITION BY trajectory ORDER BY frame)) c
 JOIN edges s ON s.trajectory = c.trajectory AND s.frame BETWEEN c.frame AND c.nf
 WHERE c.nf IS NOT NULL GROUP BY ALL"""
-EDGES_CTE = f"MATERIALIZED ({EDGES})"
 
 KW = {"half": HALF, "passes": 2}
 
 
+def _smoothed(s, d):
+    """Stored once; rounded so that equal slopes are equal in both engines."""
+    e = T.edge_smooth(V.points(s, d), **KW)
+    return stage(e.withColumn("smooth", F.round("smooth", 9)).withColumn("slope", F.round("slope", 9)), "smoothed")
+
+
 def _steps(s, d):
-    return T.steps(V.points(s, d), min_step=STEP, **KW)
+    return T.steps(_smoothed(s, d), STEP)
 
 
 register(
@@ -161,7 +167,7 @@ register(
 register(
     "e5_step_edges",
     f"{K} frame:i slope:d",
-    lambda s, d: T.step_edges(T.edge_smooth(V.points(s, d), **KW), STEP),
+    lambda s, d: T.step_edges(_smoothed(s, d), STEP),
     sql_with("fx_points", "SELECT * FROM edges WHERE is_edge", edges=EDGES),
 )
 register(
@@ -173,7 +179,7 @@ register(
 register(
     "e6_steps_ten_passes",
     f"{K} step:i start_frame:i end_frame:i level:d",
-    lambda s, d: T.steps(V.points(s, d)),
+    lambda s, d: T.steps(stage(T.edge_smooth(V.points(s, d)), "smoothed")),
 )
 
 
@@ -188,7 +194,7 @@ register(
     sql_with(
         "fx_points",
         f"""SELECT movie, trajectory, count(*) AS n_steps, avg(abs(level - p)) AS mean_step,
-              CASE WHEN count(*) = 1 THEN NULL WHEN trajectory % 2 = 0
+              CASE WHEN count(*) = 1 THEN NULL WHEN any_value(trajectory) % 2 = 0
                 THEN (sum(abs(level - p)) + abs(arg_max(level, step) - 7)) / count(*) ELSE avg(abs(level - p)) END AS mean_step_background
             FROM (SELECT *, lag(level) OVER (PARTITION BY trajectory ORDER BY step) AS p FROM ({STEPS}) s) q
             GROUP BY ALL""",
@@ -237,16 +243,17 @@ register(
     lambda s, d: E.interpolate_gaps(V.points(s, d)),
     sql_with("fx_points", FILLED),
 )
-# Quadratic weights for 11 values: 858 S0 - 110 S2 over the determinant 11 * 1958 - 110 * 110 = 9438.
-SAVGOL = """
-SELECT r.movie, r.trajectory, r.frame, any_value(r.fill_x) AS fill_x, any_value(r.fill_y) AS fill_y,
-  (1958 * sum(q.fill_x) - 110 * sum(j * j * q.fill_x)) / 9438 + sum(j * q.fill_x) / 110 * any_value(o)
-    + (11 * sum(j * j * q.fill_x) - 110 * sum(q.fill_x)) / 9438 * any_value(o) ** 2 AS smooth_x,
-  (1958 * sum(q.fill_y) - 110 * sum(j * j * q.fill_y)) / 9438 + sum(j * q.fill_y) / 110 * any_value(o)
-    + (11 * sum(j * j * q.fill_y) - 110 * sum(q.fill_y)) / 9438 * any_value(o) ** 2 AS smooth_y
-FROM (SELECT *, greatest(5, least(pos, n - 6)) AS c, pos - greatest(5, least(pos, n - 6)) AS o FROM filled) r
-JOIN filled q ON q.trajectory = r.trajectory AND q.pos BETWEEN r.c - 5 AND r.c + 5, LATERAL (SELECT q.pos - r.c AS j) l
-GROUP BY r.movie, r.trajectory, r.frame"""
+_QUAD = """(s4 * t0 - s2 * t2) / (s0 * s4 - s2 * s2) + t1 / s2 * o + (s0 * t2 - s2 * t0) / (s0 * s4 - s2 * s2) * o * o"""
+SAVGOL = f"""
+SELECT *, {_QUAD.replace('t0', 'x0').replace('t1', 'x1').replace('t2', 'x2')} AS smooth_x,
+  {_QUAD.replace('t0', 'y0').replace('t1', 'y1').replace('t2', 'y2')} AS smooth_y
+FROM (SELECT r.movie, r.trajectory, r.frame, any_value(r.fill_x) AS fill_x, any_value(r.fill_y) AS fill_y, any_value(o) AS o,
+        count(*) AS s0, sum(j * j) AS s2, sum(j * j * j * j) AS s4, sum(q.fill_x) AS x0, sum(j * q.fill_x) AS x1,
+        sum(j * j * q.fill_x) AS x2, sum(q.fill_y) AS y0, sum(j * q.fill_y) AS y1, sum(j * j * q.fill_y) AS y2
+      FROM (SELECT *, greatest(m, least(pos, n - 1 - m)) AS c, pos - greatest(m, least(pos, n - 1 - m)) AS o
+            FROM (SELECT *, least(5, (n - 1) // 2) AS m FROM filled) i) r
+      JOIN filled q ON q.trajectory = r.trajectory AND q.pos BETWEEN r.c - r.m AND r.c + r.m, LATERAL (SELECT q.pos - r.c AS j) l
+      GROUP BY r.movie, r.trajectory, r.frame) z"""
 register(
     "e8_savgol",
     f"{K} frame:i smooth_x:d smooth_y:d",

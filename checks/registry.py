@@ -17,12 +17,12 @@ DIGITS = 6
 
 def _spark_col(name: str, kind: str):
     c = F.col(name).cast(_SPARK[kind])
-    return (F.round(c, DIGITS) + F.lit(0.0) if kind == "d" else c).alias(name)
+    return (F.round(F.round(c, 9), DIGITS) + F.lit(0.0) if kind == "d" else c).alias(name)
 
 
 def _duck_col(name: str, kind: str) -> str:
     c = f"CAST({name} AS {_DUCK[kind]})"
-    return (f"round({c}, {DIGITS}) + 0.0" if kind == "d" else c) + f" AS {name}"
+    return (f"round(round({c}, 9), {DIGITS}) + 0.0" if kind == "d" else c) + f" AS {name}"
 
 
 def register(
@@ -33,7 +33,8 @@ def register(
 ) -> None:
     """``cols``: 'name:kind …' with kinds s, i, l, d, b; both sides get these types.
 
-    Doubles are rounded to six places on both sides.
+    Doubles are rounded to nine and then to six places on both sides, so that noise
+    in the last bits does not decide a tie.
     """
     spec = [c.split(":") for c in cols.split()]
 

@@ -10,25 +10,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.operators.ordered import with_position
-
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _trajectory():
+    """128 trajectories of up to 64 points per 8,192 events."""
+    return F.floor(F.col("event_id") / 8192) * 128 + F.col("event_id") % 128
+
+
 def points(spark: SparkSession, d: str) -> DataFrame:
-    """Users are trajectories, events are points, 'error' events are failed fits."""
-    e = table(spark, d, "events").select("user_id", "event_id", "event_type", "value")
-    e = with_position(e, ["user_id"], "event_id")
+    """Events are points, 'error' events are failed fits; every 14th frame is missing."""
+    e = table(spark, d, "events").select("event_id", "event_type", "value")
+    e = e.withColumn("t", _trajectory()).withColumn("f", F.floor(F.col("event_id") % 8192 / 128))
     ok = F.col("event_type") != "error"
     eid = F.col("event_id")
     x, y = (eid * 7 % 256).cast("double"), (eid * 13 % 256).cast("double")
     return e.select(
-        F.concat(F.lit("m"), (F.col("user_id") % 3).cast("string")).alias("movie"),
-        F.col("user_id").alias("trajectory"),
-        (1 + F.floor(F.col("user_id") / 3) % 2).cast("int").alias("channel"),
-        (F.col("pos") + F.floor(F.col("pos") / 13)).cast("int").alias("frame"),
+        F.concat(F.lit("m"), (F.col("t") % 3).cast("string")).alias("movie"),
+        F.col("t").alias("trajectory"),
+        (1 + F.floor(F.col("t") / 3) % 2).cast("int").alias("channel"),
+        (F.col("f") + F.floor(F.col("f") / 13)).cast("int").alias("frame"),
         x.alias("search_x"),
         y.alias("search_y"),
         F.when(ok, x + 0.25 * (eid % 4)).alias("spot_x"),
@@ -48,8 +51,8 @@ def nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def movies(spark: SparkSession, d: str) -> DataFrame:
-    """One movie per remainder of the user id; m2 has no scale."""
-    m = table(spark, d, "events").select((F.col("user_id") % 3).alias("m")).distinct()
+    """One movie per remainder of the trajectory number; m2 has no scale."""
+    m = table(spark, d, "events").select((_trajectory() % 3).alias("m")).distinct()
     scaled = F.col("m") < 2
     return m.select(
         F.concat(F.lit("m"), F.col("m").cast("string")).alias("movie"),
@@ -141,8 +144,8 @@ def track_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 SQL = {
     "fx_points": """
-SELECT concat('m', user_id % 3) AS movie, user_id AS trajectory,
-  CAST(1 + (user_id // 3) % 2 AS INT) AS channel, CAST(pos + pos // 13 AS INT) AS frame,
+SELECT concat('m', t % 3) AS movie, t AS trajectory,
+  CAST(1 + (t // 3) % 2 AS INT) AS channel, CAST(f + f // 13 AS INT) AS frame,
   CAST(event_id * 7 % 256 AS DOUBLE) AS search_x, CAST(event_id * 13 % 256 AS DOUBLE) AS search_y,
   CASE WHEN event_type <> 'error' THEN event_id * 7 % 256 + 0.25 * CAST(event_id % 4 AS DOUBLE) END AS spot_x,
   CASE WHEN event_type <> 'error' THEN event_id * 13 % 256 + 0.25 * CAST(event_id % 3 AS DOUBLE) END AS spot_y,
@@ -150,14 +153,14 @@ SELECT concat('m', user_id % 3) AS movie, user_id AS trajectory,
   CASE WHEN event_type <> 'error' THEN 1 + 0.25 * CAST(event_id % 5 AS DOUBLE) END AS sigma,
   CASE WHEN event_type <> 'error' THEN value END AS peak,
   CAST(event_id % 11 AS DOUBLE) AS background, event_type AS tag
-FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos FROM events) e""",
+FROM (SELECT *, event_id // 8192 * 128 + event_id % 128 AS t, event_id % 8192 // 128 AS f FROM events) e""",
     "fx_nodes": """
 SELECT movie, trajectory, frame, search_x AS x, search_y AS y FROM fx_points WHERE tag = 'signup'""",
     "fx_movies": """
 SELECT concat('m', m) AS movie, 512 AS n_frames, 256 AS height, 256 AS width, 2 AS n_channels,
   CASE WHEN m < 2 THEN CAST(100 + 10 * m AS DOUBLE) END AS pixel_size_nm,
   CASE WHEN m < 2 THEN CAST(50 AS DOUBLE) END AS frame_interval_ms
-FROM (SELECT DISTINCT user_id % 3 AS m FROM events) s""",
+FROM (SELECT DISTINCT (event_id // 8192 * 128 + event_id % 128) % 3 AS m FROM events) s""",
     "fx_rois": """
 SELECT concat('m', c_custkey % 3) AS movie, c_custkey AS roi, 'polyline' AS type,
   list_transform(range(0, 5), lambda k: CAST((c_custkey * 17 + k * (c_custkey % 5 + 3) * 11) % 256 AS DOUBLE)) AS x,

@@ -112,43 +112,6 @@ def nearest(
     )
 
 
-def as_of(
-    df: DataFrame,
-    marks: DataFrame,
-    key: Sequence[str],
-    order: str,
-    prev: Mapping[str, str] | None = None,
-    next: Mapping[str, str] | None = None,
-    same_is_earlier: bool = True,
-    tile: int = TILE,
-) -> DataFrame:
-    """Give each row of ``df`` columns of the nearest mark before / after it.
-
-    Rows and marks are merged into one sequence, so no pairs are formed.  A
-    mark on the row's own frame counts as earlier if ``same_is_earlier``,
-    else as later.
-    """
-    used = sorted({*(prev or {}).values(), *(next or {}).values()})
-    rows = df.withColumn("_mark", F.lit(False))
-    marks = marks.select(
-        *key, F.col(order), *[F.col(c).alias(f"_m_{c}") for c in used], F.lit(True).alias("_mark")
-    )
-    late = F.col("_mark") if not same_is_earlier else ~F.col("_mark")
-    merged = rows.unionByName(marks, allowMissingColumns=True).withColumn(
-        "_seq", F.col(order).cast("long") * 2 + late.cast("long")
-    )
-    found = nearest(
-        merged,
-        key,
-        "_seq",
-        prev={n: f"_m_{c}" for n, c in (prev or {}).items()},
-        next={n: f"_m_{c}" for n, c in (next or {}).items()},
-        where=F.col("_mark"),
-        tile=2 * tile,
-    )
-    return found.where(~F.col("_mark")).select(*df.columns, *(prev or {}), *(next or {}))
-
-
 def in_blocks(
     df: DataFrame, pos: str = "pos", before: int = 0, after: int = 0, size: int = BLOCK
 ) -> DataFrame:
@@ -173,3 +136,47 @@ def in_blocks(
         .withColumn("_ghost", F.col("_move") != 0)
         .drop("_move")
     )
+
+
+def beside(
+    df: DataFrame,
+    key: Sequence[str],
+    prev: Mapping[str, str] | None = None,
+    next: Mapping[str, str] | None = None,
+    pos: str = "pos",
+    size: int = BLOCK,
+) -> DataFrame:
+    """Columns of the row directly before / after, for rows that know their position."""
+    prev, next = dict(prev or {}), dict(next or {})
+    rows = in_blocks(df, pos, before=1, after=1, size=size)
+    w = W.partitionBy(*key, "_block").orderBy(pos)
+    for step, cols in ((F.lag, prev), (F.lead, next)):
+        for name, src in cols.items():
+            rows = rows.withColumn(name, step(src).over(w))
+    return rows.where(~F.col("_ghost")).select(*df.columns, *prev, *next)
+
+
+def interval_join(
+    rows: DataFrame,
+    intervals: DataFrame,
+    key: Sequence[str],
+    at: str,
+    low: str,
+    high: str,
+    how: str = "inner",
+    bucket: int = 64,
+) -> DataFrame:
+    """Rows with the intervals (both ends included) of their key that hold ``at``.
+
+    Both sides meet in buckets of ``at``, so the join key is spread inside a
+    long key and a row only meets the intervals that touch its bucket.
+    """
+    i = intervals.withColumn(
+        "_b", F.explode(F.sequence(F.floor(F.col(low) / bucket), F.floor(F.col(high) / bucket)))
+    ).alias("i")
+    r = rows.withColumn("_b", F.floor(F.col(at) / bucket)).alias("r")
+    cond = F.col(f"r.{at}").between(F.col(f"i.{low}"), F.col(f"i.{high}"))
+    for c in [*key, "_b"]:
+        cond = cond & (F.col(f"r.{c}") == F.col(f"i.{c}"))
+    extra = [c for c in intervals.columns if c not in rows.columns]
+    return r.join(i, cond, how).select(*[F.col(f"r.{c}") for c in rows.columns], *[F.col(f"i.{c}") for c in extra])

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from trackloom.config import KEY
 from trackloom.functions import scalars as S
-from trackloom.operators.ordered import TILE, nearest
+from trackloom.operators.ordered import TILE, nearest, with_position
+from trackloom.operators.quantiles import exact_percentiles
 
 
 def normalise_points(df: DataFrame) -> DataFrame:
@@ -153,8 +154,6 @@ def invalidate_points(points: DataFrame, marks: DataFrame) -> DataFrame:
 
 def trace_stats(points: DataFrame) -> DataFrame:
     """Mean and median over all intensities that are not NULL, zeros included."""
-    from trackloom.operators.quantiles import exact_percentiles
-
     mean = points.groupBy(*KEY).agg(F.avg("intensity").alias("mean_intensity"))
     return mean.join(exact_percentiles(points, KEY, "intensity", {"median_intensity": 0.5}), KEY, "left")
 
@@ -171,8 +170,6 @@ def select_trajectories(points: DataFrame, ids: DataFrame) -> DataFrame:
 def spot_gaps(points: DataFrame, tile: int = TILE) -> DataFrame:
     """Lines over the frames without a fit: lead-in, between two fits, lead-out."""
     fitted = F.col("spot_x").isNotNull() & F.col("spot_y").isNotNull()
-    from trackloom.operators.ordered import with_position
-
     rows = with_position(points, KEY, "frame", tile=tile).withColumn("_fit", fitted)
     fits = nearest(
         rows.where("_fit"),
@@ -182,41 +179,34 @@ def spot_gaps(points: DataFrame, tile: int = TILE) -> DataFrame:
         next={"nf": "frame"},
         tile=tile,
     )
-    between = fits.where("pos - pp > 1").select(
-        *KEY,
-        F.lit("gap").alias("kind"),
-        F.col("pf").alias("f0"),
-        F.col("px").alias("x0"),
-        F.col("py").alias("y0"),
-        F.col("frame").alias("f1"),
-        F.col("spot_x").alias("x1"),
-        F.col("spot_y").alias("y1"),
+    # A fit opens a line to the fit before it, to the first row, or from itself to the last row.
+    kinds = F.array_compact(
+        F.array(
+            F.when(F.col("pos") - F.col("pp") > 1, F.lit("gap")),
+            F.when(F.col("pf").isNull() & (F.col("pos") > 0), F.lit("lead_in")),
+            F.when(F.col("nf").isNull(), F.lit("lead_out")),
+        )
     )
-    ends = rows.groupBy(*KEY).agg(
+    ends = points.groupBy(*KEY).agg(
         *[F.min_by(c, "frame").alias(f"a_{c}") for c in ("frame", "search_x", "search_y")],
         *[F.max_by(c, "frame").alias(f"z_{c}") for c in ("frame", "search_x", "search_y")],
     )
-    first = fits.where("pf is null and pos > 0").join(ends, KEY).select(
-        *KEY,
-        F.lit("lead_in").alias("kind"),
-        F.col("a_frame").alias("f0"),
-        F.col("a_search_x").alias("x0"),
-        F.col("a_search_y").alias("y0"),
-        F.col("frame").alias("f1"),
-        F.col("spot_x").alias("x1"),
-        F.col("spot_y").alias("y1"),
-    )
-    last = fits.where("nf is null").join(ends, KEY).where("z_frame > frame").select(
+    lines = fits.withColumn("kind", F.explode(kinds)).join(ends, KEY).where("kind <> 'lead_out' or z_frame > frame")
+
+    def pick(gap: str, lead_in: str, lead_out: str) -> Column:
+        kind = F.col("kind")
+        return F.when(kind == "gap", F.col(gap)).when(kind == "lead_in", F.col(lead_in)).otherwise(F.col(lead_out))
+
+    return lines.select(
         *KEY,
-        F.lit("lead_out").alias("kind"),
-        F.col("frame").alias("f0"),
-        F.col("spot_x").alias("x0"),
-        F.col("spot_y").alias("y0"),
-        F.col("z_frame").alias("f1"),
-        F.col("z_search_x").alias("x1"),
-        F.col("z_search_y").alias("y1"),
+        "kind",
+        pick("pf", "a_frame", "frame").alias("f0"),
+        pick("px", "a_search_x", "spot_x").alias("x0"),
+        pick("py", "a_search_y", "spot_y").alias("y0"),
+        pick("frame", "frame", "z_frame").alias("f1"),
+        pick("spot_x", "spot_x", "z_search_x").alias("x1"),
+        pick("spot_y", "spot_y", "z_search_y").alias("y1"),
     )
-    return between.unionByName(first).unionByName(last)
 
 
 def non_empty_columns(df: DataFrame, keep: Sequence[str] = ()) -> list[str]:

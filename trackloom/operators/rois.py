@@ -50,51 +50,47 @@ def roi_distance(df: DataFrame, px: str, py: str, name: str = "roi_distance") ->
     return df.withColumn(name, _distance(F.col("x"), F.col("y"), F.col(px), F.col(py)))
 
 
+_ROW_OF_CELLS = 1 << 31
+
+
+def _cell(cx: Column, cy: Column) -> Column:
+    """One number per grid cell."""
+    return cx.cast("long") * _ROW_OF_CELLS + cy.cast("long")
+
+
 def _covered_cells(rois: DataFrame, radius: float) -> tuple[DataFrame, float]:
     """Each ROI segment with the grid cells that can hold a point within ``radius``."""
     side = 1.34 * radius
     segs = rois.select("movie", "roi", F.inline(H.segments(F.col("x"), F.col("y"))))
     n = F.ceil(F.col("len") / (side / 2)).cast("int")
+    step = F.greatest(n, F.lit(1))
     at = F.transform(
         F.sequence(F.lit(0), n),
-        lambda i: F.struct(
-            F.floor((F.col("ax") + (F.col("bx") - F.col("ax")) * i / F.greatest(n, F.lit(1))) / side).alias("cx"),
-            F.floor((F.col("ay") + (F.col("by") - F.col("ay")) * i / F.greatest(n, F.lit(1))) / side).alias("cy"),
+        lambda i: _cell(
+            F.floor((F.col("ax") + (F.col("bx") - F.col("ax")) * i / step) / side),
+            F.floor((F.col("ay") + (F.col("by") - F.col("ay")) * i / step) / side),
         ),
     )
-    offsets = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
-    around = F.array_distinct(
-        F.flatten(
-            F.transform(
-                F.array_distinct(at),
-                lambda c: F.array(
-                    *[F.struct((c.cx + i).alias("cx"), (c.cy + j).alias("cy")) for i, j in offsets]
-                ),
-            )
-        )
-    )
-    return segs.withColumn("_c", F.explode(around)).withColumn("_cx", F.col("_c.cx")).withColumn("_cy", F.col("_c.cy")), side
+    around = F.array(*[F.lit(i * _ROW_OF_CELLS + j) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    cells = F.array_distinct(F.flatten(F.transform(F.array_distinct(at), lambda c: F.transform(around, lambda o: c + o))))
+    return segs.withColumn("_cell", F.explode(cells)), side
 
 
 def _close(points: DataFrame, rois: DataFrame, radius: float, px: str, py: str) -> tuple[DataFrame, DataFrame, Column]:
     segs, side = _covered_cells(rois, radius)
-    p = (
-        points.withColumn("_cx", F.floor(F.col(px) / side))
-        .withColumn("_cy", F.floor(F.col(py) / side))
-        .alias("p")
-    )
-    q = segs.drop("_c").alias("q")
+    p = points.withColumn("_cell", _cell(F.floor(F.col(px) / side), F.floor(F.col(py) / side))).alias("p")
+    q = segs.alias("q")
     d = S.segment_distance(
         F.col(f"p.{px}"), F.col(f"p.{py}"), F.col("q.ax"), F.col("q.ay"), F.col("q.bx"), F.col("q.by")
     )
-    same = (F.col("p.movie") == F.col("q.movie")) & (F.col("p._cx") == F.col("q._cx")) & (F.col("p._cy") == F.col("q._cy"))
+    same = (F.col("p.movie") == F.col("q.movie")) & (F.col("p._cell") == F.col("q._cell"))
     return p, q, same & (d <= radius)
 
 
 def near_roi(points: DataFrame, rois: DataFrame, radius: float, px: str = "x", py: str = "y") -> DataFrame:
     """Points within ``radius`` of any ROI of their movie."""
     p, q, cond = _close(points, rois, radius, px, py)
-    return p.join(q, cond, "left_semi").drop("_cx", "_cy")
+    return p.join(q, cond, "left_semi").drop("_cell")
 
 
 def match_by_place(ends: DataFrame, rois: DataFrame, radius: float) -> DataFrame:
@@ -204,7 +200,7 @@ def pairs_to_trajectories(points: DataFrame, rois: DataFrame, tile: int = TILE)
         "movie",
         "roi",
         (F.floor(F.col("pos") / 2) + 1).alias("trajectory"),
-        F.when(F.col("pos") % 2 == 0, "start").otherwise("end").alias("end"),
+        F.when(F.col("pos") % 2 == 0, "start").otherwise("end").alias("side"),
         F.bround("y").cast("int").alias("frame"),
         "xk",
     )

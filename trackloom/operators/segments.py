@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.config import KEY
-from trackloom.operators.ordered import TILE, as_of, nearest, with_position
+from trackloom.operators.ordered import TILE, interval_join, nearest, with_position
 
 
 def one_per_frame(nodes: DataFrame) -> DataFrame:
@@ -48,32 +48,27 @@ def label_segments(points: DataFrame, nodes: DataFrame, tile: int = TILE) -> Dat
 
     NULL without nodes.  A node on the point's own frame closes its segment.
     """
-    n = with_position(one_per_frame(nodes), KEY, "frame", name="idx", tile=tile)
-    n = nearest(n, KEY, "frame", next={"after": "frame"}, tile=tile)
-    out = as_of(
-        points,
-        n.withColumn("is_last", F.col("after").isNull()),
-        KEY,
-        "frame",
-        prev={"_idx": "idx", "_last": "is_last"},
-        next={"_next": "idx"},
-        same_is_earlier=False,
-        tile=tile,
-    )
-    seg = F.when(F.col("_idx").isNull(), F.when(F.col("_next").isNotNull(), F.lit(1))).otherwise(
-        F.when(F.col("_last"), F.greatest(F.col("_idx"), F.lit(1))).otherwise(F.col("_idx") + 1)
+    segs = anchor_segments(nodes, tile=tile).select(*KEY, "segment", "start_frame", "end_frame")
+    single = nodes.groupBy(*KEY).agg(F.min("frame").alias("start_frame"), F.max("frame").alias("end_frame"))
+    single = single.where("start_frame = end_frame").withColumn("segment", F.lit(1))
+    ends = segs.groupBy(*KEY).agg(F.max("segment").alias("_last"))
+    span = points.groupBy(*KEY).agg(F.min("frame").alias("_lo"), F.max("frame").alias("_hi"))
+    # The outer segments reach as far as the trajectory does.
+    wide = segs.unionByName(single).join(ends, KEY, "left").join(span, KEY)
+    low = F.when(F.col("segment") == 1, F.least("start_frame", "_lo")).otherwise(F.col("start_frame"))
+    high = F.when(F.col("segment") == F.coalesce("_last", F.lit(1)), F.greatest("end_frame", "_hi")).otherwise(
+        F.col("end_frame")
     )
-    return out.withColumn("segment", seg.cast("int")).drop("_idx", "_last", "_next")
+    wide = wide.select(*KEY, "segment", low.alias("_from"), high.alias("_to"))
+    return interval_join(points, wide, KEY, "frame", "_from", "_to", "left").drop("_from", "_to")
 
 
 def in_segment_rows(points: DataFrame, nodes: DataFrame, tile: int = TILE) -> DataFrame:
     """Points inside first node .. last node with their segment; others are left out."""
-    segs = anchor_segments(nodes, tile=tile)
-    starts = segs.select(
-        *KEY, F.col("start_frame").alias("frame"), F.col("segment").alias("seg"), F.col("end_frame").alias("seg_end")
+    segs = anchor_segments(nodes, tile=tile).select(
+        *KEY, "segment", F.col("start_frame").alias("_from"), F.col("end_frame").alias("_to")
     )
-    out = as_of(points, starts, KEY, "frame", prev={"segment": "seg", "_end": "seg_end"}, tile=tile)
-    return out.where("segment is not null and frame <= _end").drop("_end")
+    return interval_join(points, segs, KEY, "frame", "_from", "_to").drop("_from", "_to")
 
 
 def densify(nodes: DataFrame, lag_compat: bool = False, tile: int = TILE) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from trackloom.config import KEY
 from trackloom.functions.smooth import edge_smooth as _smooth
-from trackloom.operators.ordered import BLOCK, TILE, as_of, in_blocks, nearest, with_position
+from trackloom.operators.ordered import BLOCK, TILE, beside, in_blocks, interval_join, nearest, with_position
 from trackloom.operators.quantiles import HOT_ROWS, exact_percentiles
 
 
@@ -50,10 +50,8 @@ def edge_smooth(
     )
 
 
-def _edges(smoothed: DataFrame, min_step: float, group: list[str], tile: int) -> DataFrame:
-    near = nearest(
-        smoothed, group, "pos", prev={"_before": "slope"}, next={"_after": "slope"}, tile=tile
-    )
+def _edges(smoothed: DataFrame, min_step: float, group: list[str]) -> DataFrame:
+    near = beside(smoothed, group, prev={"_before": "slope"}, next={"_after": "slope"})
     rise = F.signum(F.col("_after") - F.col("slope"))
     fall = F.signum(F.col("slope") - F.col("_before"))
     turn = (
@@ -65,53 +63,31 @@ def _edges(smoothed: DataFrame, min_step: float, group: list[str], tile: int) ->
     return near.withColumn("is_edge", is_edge)
 
 
-def step_edges(
-    smoothed: DataFrame, min_step: float = 100.0, group: Sequence[str] = KEY, tile: int = TILE
-) -> DataFrame:
+def step_edges(smoothed: DataFrame, min_step: float = 100.0, group: Sequence[str] = KEY) -> DataFrame:
     """Frames where the slope has an extremum above ``min_step``; never the first frame."""
-    return _edges(smoothed, min_step, list(group), tile).where("is_edge").select(*group, "frame", "slope")
+    return _edges(smoothed, min_step, list(group)).where("is_edge").select(*group, "frame", "slope")
 
 
 def steps(
-    points: DataFrame,
-    half: int = 15,
-    passes: int = 10,
+    smoothed: DataFrame,
     min_step: float = 100.0,
     group: Sequence[str] = KEY,
-    zero_compat: bool = False,
     tile: int = TILE,
-    block: int = BLOCK,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Levels between edges (both ends included) with the median smoothed value."""
+    """Levels between edges (both ends included) with the median smoothed value.
+
+    ``smoothed`` is read several times: pass a stored result of ``edge_smooth``.
+    """
     group = list(group)
-    s = _edges(edge_smooth(points, half, passes, zero_compat, group, tile, block), min_step, group, tile)
-    s = s.withColumn("_end", F.col("_before").isNull() | F.col("_after").isNull())
-    cuts = with_position(s.where("is_edge or _end"), group, "frame", name="step", tile=tile)
-    cuts = nearest(cuts, group, "frame", next={"end_frame": "frame"}, tile=tile)
-    marks = cuts.withColumn("at", F.col("frame")).withColumn("is_last", F.col("end_frame").isNull())
-    rows = as_of(
-        s.select(*group, "frame", "smooth"),
-        marks,
-        group,
-        "frame",
-        prev={"_step": "step", "_at": "at", "_last": "is_last"},
-        tile=tile,
-    )
-    member = F.array_compact(
-        F.array(
-            F.when(~F.col("_last"), F.col("_step")),
-            F.when((F.col("_at") == F.col("frame")) & (F.col("_step") > 0), F.col("_step") - 1),
-        )
-    )
-    rows = rows.select(*group, "smooth", F.explode(member).alias("step"))
+    s = _edges(smoothed, min_step, group)
+    cuts = s.where("is_edge or _before is null or _after is null")
+    cuts = with_position(cuts.select(*group, "frame"), group, "frame", name="step", tile=tile)
+    cuts = beside(cuts, group, next={"end_frame": "frame"}, pos="step").where("end_frame is not null")
+    cuts = cuts.select(*group, "step", F.col("frame").alias("start_frame"), "end_frame")
+    rows = interval_join(smoothed.select(*group, "frame", "smooth"), cuts, group, "frame", "start_frame", "end_frame")
     level = exact_percentiles(rows, [*group, "step"], "smooth", {"level": 0.5}, hot_rows)
-    return (
-        cuts.where("end_frame is not null")
-        .select(*group, "step", F.col("frame").alias("start_frame"), "end_frame")
-        .join(level, [*group, "step"])
-        .withColumn("step", F.col("step").cast("int"))
-    )
+    return cuts.join(level, [*group, "step"]).withColumn("step", F.col("step").cast("int"))
 
 
 def step_summary(steps_df: DataFrame, backgrounds: DataFrame, group: Sequence[str] = KEY, tile: int = TILE) -> DataFrame:
@@ -131,32 +107,17 @@ def step_summary(steps_df: DataFrame, backgrounds: DataFrame, group: Sequence[st
     return out.select(*group, "n_steps", mean.alias("mean_step"), with_bg.alias("mean_step_background"))
 
 
-def label_steps(points: DataFrame, steps_df: DataFrame, tile: int = TILE) -> DataFrame:
+def label_steps(points: DataFrame, steps_df: DataFrame) -> DataFrame:
     """First step whose closed interval holds the frame, with its level."""
+    # A shared frame belongs to the earlier step, so later steps start one frame on.
     marks = steps_df.select(
         *KEY,
-        F.col("start_frame").alias("frame"),
         "step",
         "level",
-        F.col("start_frame").alias("from_frame"),
-        F.col("end_frame").alias("to_frame"),
-    )
-    out = as_of(
-        points,
-        marks,
-        KEY,
-        "frame",
-        prev={"_ps": "step", "_pl": "level", "_pe": "to_frame"},
-        next={"_ns": "step", "_nl": "level", "_nf": "from_frame"},
-        same_is_earlier=False,
-        tile=tile,
-    )
-    in_prev, in_next = F.col("frame") <= F.col("_pe"), F.col("frame") == F.col("_nf")
-    return (
-        out.withColumn("step", F.when(in_prev, F.col("_ps")).when(in_next, F.col("_ns")))
-        .withColumn("level", F.when(in_prev, F.col("_pl")).when(in_next, F.col("_nl")))
-        .drop("_ps", "_pl", "_pe", "_ns", "_nl", "_nf")
+        F.when(F.col("step") == 0, F.col("start_frame")).otherwise(F.col("start_frame") + 1).alias("_from"),
+        F.col("end_frame").alias("_to"),
     )
+    return interval_join(points, marks, KEY, "frame", "_from", "_to", "left").drop("_from", "_to")
 
 
 def steps_from_points(points: DataFrame) -> DataFrame:

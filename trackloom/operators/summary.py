@@ -23,10 +23,12 @@ _MEANS = {
 }
 
 
-def _measures(rows: DataFrame, group: list[str], movies: DataFrame, hot_rows: int) -> DataFrame:
-    """Shared measures of a group of points that already carry ``speed``."""
-    ok = S.is_valid(F.col("intensity"))
-    rows = rows.withColumn("_i", F.when(ok, F.col("intensity")))
+def _measures(
+    rows: DataFrame, plain: DataFrame, group: list[str], movies: DataFrame, hot_rows: int
+) -> DataFrame:
+    """Shared measures of groups of ``rows``, which carry ``speed``; ``plain`` need not."""
+    valid = F.when(S.is_valid(F.col("intensity")), F.col("intensity"))
+    rows = rows.withColumn("_i", valid)
     placed = F.when(F.col("search_x").isNotNull() & F.col("search_y").isNotNull(), F.col("frame"))
     stats = rows.groupBy(*group).agg(
         F.min("channel").cast("int").alias("channel"),
@@ -39,7 +41,7 @@ def _measures(rows: DataFrame, group: list[str], movies: DataFrame, hot_rows: in
         F.avg("_i").alias("mean_intensity"),
         F.avg("speed").alias("speed_px_frame"),
     )
-    median = exact_percentiles(rows, group, "_i", {"median_intensity": 0.5}, hot_rows)
+    median = exact_percentiles(plain.withColumn("_i", valid), group, "_i", {"median_intensity": 0.5}, hot_rows)
     out = stats.join(median, group, "left").join(
         movies.select("movie", "pixel_size_nm", "frame_interval_ms"), "movie", "left"
     )
@@ -66,7 +68,7 @@ def per_trajectory(
     points: DataFrame, nodes: DataFrame, movies: DataFrame, tile: int = TILE, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """One row per trajectory: extent, validity, distance, time, speeds, intensities."""
-    out = _measures(speeds(points, tile), KEY, movies, hot_rows)
+    out = _measures(speeds(points, tile), points, KEY, movies, hot_rows)
     n = one_per_frame(nodes).groupBy(*KEY).agg(
         F.greatest(F.count(F.lit(1)) - 1, F.lit(0)).cast("int").alias("segments"),
         *[F.min_by(c, "frame").alias(f"_a{c}") for c in "xy"],
@@ -84,7 +86,8 @@ def per_segment(
 ) -> DataFrame:
     """The same measures between each pair of nodes; empty segments give no row."""
     rows = in_segment_rows(speeds(points, tile), nodes, tile)
-    return _measures(rows, [*KEY, "segment"], movies, hot_rows)
+    plain = in_segment_rows(points.select(*KEY, "frame", "intensity"), nodes, tile)
+    return _measures(rows, plain, [*KEY, "segment"], movies, hot_rows)
 
 
 def _rates(out: DataFrame, n: Column) -> DataFrame:
