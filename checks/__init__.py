@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["points", "summaries", "lines", "motion", "nearby"]
+MODULES = ["points", "summaries", "lines", "motion", "nearby", "images", "tracking"]
 
 
 def load_all() -> None:

@@ -12,17 +12,21 @@ ORACLES: dict[str, str] = {}
 
 _SPARK = {"s": "string", "i": "int", "l": "bigint", "d": "double", "b": "boolean"}
 _DUCK = {"s": "VARCHAR", "i": "INTEGER", "l": "BIGINT", "d": "DOUBLE", "b": "BOOLEAN"}
-DIGITS = 6
+SCALE = 1_000_000.0
 
 
 def _spark_col(name: str, kind: str):
     c = F.col(name).cast(_SPARK[kind])
-    return (F.round(F.round(c, 9), DIGITS) + F.lit(0.0) if kind == "d" else c).alias(name)
+    if kind == "d":
+        c = F.floor(F.round(c, 9) * SCALE + 0.5) / SCALE
+    return c.alias(name)
 
 
 def _duck_col(name: str, kind: str) -> str:
     c = f"CAST({name} AS {_DUCK[kind]})"
-    return (f"round(round({c}, 9), {DIGITS}) + 0.0" if kind == "d" else c) + f" AS {name}"
+    if kind == "d":
+        c = f"floor(round({c}, 9) * {SCALE:.1f}::DOUBLE + 0.5::DOUBLE) / {SCALE:.1f}::DOUBLE"
+    return f"{c} AS {name}"
 
 
 def register(

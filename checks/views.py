@@ -79,43 +79,62 @@ def rois(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pixels(spark: SparkSession, d: str) -> DataFrame:
-    """Sixteen embeddings of 64 floats are one 16 x 64 frame."""
-    g = F.floor(F.col("vec_id") / 16)
+    """Twenty embeddings of 64 floats are one 20 x 64 frame."""
+    g = F.floor(F.col("vec_id") / 20)
     e = table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "e"))
     w = F.col("e").cast("double") * 10
     return e.select(
         F.concat(F.lit("m"), (g % 2).cast("string")).alias("movie"),
         (1 + F.floor(g / 2) % 2).cast("int").alias("channel"),
         F.floor(g / 4).cast("int").alias("frame"),
-        (F.col("vec_id") % 16).cast("int").alias("y"),
+        (F.col("vec_id") % 20).cast("int").alias("y"),
         F.col("pos").cast("int").alias("x"),
         (F.floor(w * w * w * w * 100) + 100).cast("double").alias("v"),
     )
 
 
+def pixel_movies(spark: SparkSession, d: str) -> DataFrame:
+    """Frame counts and sizes of the movies in ``pixels``."""
+    g = F.floor(F.col("vec_id") / 20)
+    return (
+        table(spark, d, "embeddings")
+        .groupBy(F.concat(F.lit("m"), (g % 2).cast("string")).alias("movie"))
+        .agg((F.max(F.floor(g / 4)) + 1).cast("int").alias("n_frames"))
+        .withColumns(
+            {
+                "height": F.lit(20),
+                "width": F.lit(64),
+                "n_channels": F.lit(2),
+                "pixel_size_nm": F.lit(200.0),
+                "frame_interval_ms": F.lit(50.0),
+            }
+        )
+    )
+
+
 def windows(spark: SparkSession, d: str) -> DataFrame:
     """One search centre per embedding, inside the frame the embedding belongs to."""
     v = F.col("vec_id")
-    g = F.floor(v / 16)
+    g = F.floor(v / 20)
     return table(spark, d, "embeddings").select(
         F.concat(F.lit("m"), (g % 2).cast("string")).alias("movie"),
-        (v % 16).alias("trajectory"),
+        (v % 20).alias("trajectory"),
         (1 + F.floor(g / 2) % 2).cast("int").alias("channel"),
         F.floor(g / 4).cast("int").alias("frame"),
         ((v * 7 % 60) + 0.5 * (v % 4)).cast("double").alias("search_x"),
-        ((v * 5 % 14) + 0.5 * (v % 3)).cast("double").alias("search_y"),
+        ((v * 7 % 18) + 0.5 * (v % 3)).cast("double").alias("search_y"),
     )
 
 
 def pixel_rois(spark: SparkSession, d: str) -> DataFrame:
-    """Every supplier is a line of three vertices across the 16 x 64 frames."""
+    """Every supplier is a line of three vertices across the 20 x 64 frames."""
     s = F.col("s_suppkey")
     ks = F.sequence(F.lit(0), F.lit(2))
     return table(spark, d, "supplier").select(
         F.concat(F.lit("m"), (s % 2).cast("string")).alias("movie"),
         s.alias("roi"),
         F.transform(ks, lambda k: ((s * 7 + k * (s % 3 + 1) * 5) % 64).cast("double")).alias("x"),
-        F.transform(ks, lambda k: ((s * 3 + k * (s % 4 + 1) * 2) % 16).cast("double")).alias("y"),
+        F.transform(ks, lambda k: ((s * 3 + k * (s % 4 + 1) * 2) % 20).cast("double")).alias("y"),
     )
 
 
@@ -177,20 +196,20 @@ FROM (SELECT a.movie, a.roi, a.i, a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1,
         sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) AS len
       FROM fx_vertices a JOIN fx_vertices b ON a.roi = b.roi AND b.i = a.i + 1) s""",
     "fx_pixels": """
-SELECT concat('m', (vec_id // 16) % 2) AS movie, CAST(1 + (vec_id // 32) % 2 AS INT) AS channel,
-  CAST(vec_id // 64 AS INT) AS frame, CAST(vec_id % 16 AS INT) AS y, CAST(pos AS INT) AS x,
+SELECT concat('m', (vec_id // 20) % 2) AS movie, CAST(1 + (vec_id // 40) % 2 AS INT) AS channel,
+  CAST(vec_id // 80 AS INT) AS frame, CAST(vec_id % 20 AS INT) AS y, CAST(pos AS INT) AS x,
   CAST(floor(e * e * e * e * 100) + 100 AS DOUBLE) AS v
 FROM (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) * 10 AS e, unnest(range(0, 64)) AS pos FROM embeddings) g""",
     "fx_windows": """
-SELECT concat('m', (vec_id // 16) % 2) AS movie, vec_id % 16 AS trajectory,
-  CAST(1 + (vec_id // 32) % 2 AS INT) AS channel, CAST(vec_id // 64 AS INT) AS frame,
+SELECT concat('m', (vec_id // 20) % 2) AS movie, vec_id % 20 AS trajectory,
+  CAST(1 + (vec_id // 40) % 2 AS INT) AS channel, CAST(vec_id // 80 AS INT) AS frame,
   CAST(vec_id * 7 % 60 AS DOUBLE) + 0.5 * CAST(vec_id % 4 AS DOUBLE) AS search_x,
-  CAST(vec_id * 5 % 14 AS DOUBLE) + 0.5 * CAST(vec_id % 3 AS DOUBLE) AS search_y
+  CAST(vec_id * 7 % 18 AS DOUBLE) + 0.5 * CAST(vec_id % 3 AS DOUBLE) AS search_y
 FROM embeddings""",
     "fx_pixel_rois": """
 SELECT concat('m', s_suppkey % 2) AS movie, s_suppkey AS roi,
   list_transform(range(0, 3), lambda k: CAST((s_suppkey * 7 + k * (s_suppkey % 3 + 1) * 5) % 64 AS DOUBLE)) AS x,
-  list_transform(range(0, 3), lambda k: CAST((s_suppkey * 3 + k * (s_suppkey % 4 + 1) * 2) % 16 AS DOUBLE)) AS y
+  list_transform(range(0, 3), lambda k: CAST((s_suppkey * 3 + k * (s_suppkey % 4 + 1) * 2) % 20 AS DOUBLE)) AS y
 FROM supplier""",
     "fx_tracks": """
 SELECT o_orderkey // 20 AS kymo, o_orderkey AS track, CAST(o_custkey % 100 AS DOUBLE) / 100 AS mean_prob,

@@ -34,7 +34,11 @@ def kymo_width(x: Column, y: Column) -> Column:
 def roi_point(x: Column, y: Column, xk: Column) -> Column:
     """Struct (x, y) at kymograph column ``xk``, clamped to the ends of the line."""
     total = roi_length(x, y)
-    target = xk / F.greatest(F.floor(total), F.lit(2)) * total
+    return point_at(x, y, xk / F.greatest(F.floor(total), F.lit(2)) * total)
+
+
+def point_at(x: Column, y: Column, target: Column) -> Column:
+    """Struct (x, y) at a distance along the line, clamped to its ends."""
     start = F.struct(F.lit(0.0).alias("cum"), x[0].alias("x"), y[0].alias("y"), F.lit(False).alias("done"))
 
     def step(acc: Column, v: Column) -> Column:
