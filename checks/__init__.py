@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["points", "summaries", "lines", "motion", "nearby", "images", "tracking"]
+MODULES = ["points", "summaries", "lines", "motion", "nearby", "images", "tracking", "finder", "edits"]
 
 
 def load_all() -> None:

@@ -134,18 +134,22 @@ def track_sequential(
         return pd.DataFrame(out, columns=[f.split()[0] for f in schema.split(", ")])
 
     cx, cy = F.bround("search_x").cast("int"), F.bround("search_y").cast("int")
+    r = F.col("_r")
+    # The pixels are read once; each round then reads only its own folder.
+    packed = (
+        crop_pixels(rows, pixels, cx - r, cx + r, cy - r, cy + r)
+        .groupBy(*KEY, "frame")
+        .agg(F.collect_list("y").alias("py"), F.collect_list("x").alias("px"), F.collect_list("v").alias("pv"))
+    )
+    ready = rows.drop("_r").join(packed, [*KEY, "frame"], "left")
+    ready = ready.withColumn("_round", F.floor(F.col("pos") / rows_per_round).cast("int"))
+    ready = stage(ready, "crops", partition_by="_round")
     done: list[DataFrame] = []
     state = spark.createDataFrame([], "movie string, trajectory long, start_x double, start_y double")
     # One round per stretch of the longest trajectory, not per trajectory.
-    for at in range(0, (last if last is not None else -1) + 1, rows_per_round):
-        part = rows.where((F.col("pos") >= at) & (F.col("pos") < at + rows_per_round))
-        r = F.col("_r")
-        crops = crop_pixels(part, pixels, cx - r, cx + r, cy - r, cy + r)
-        packed = crops.groupBy(*KEY, "frame").agg(
-            F.collect_list("y").alias("py"), F.collect_list("x").alias("px"), F.collect_list("v").alias("pv")
-        )
-        ready = part.drop("_r").join(packed, [*KEY, "frame"], "left").join(state, KEY, "left")
-        got = stage(ready.groupBy(*KEY).applyInPandas(run, schema), "tracked")
+    for i in range((last if last is not None else -1) // rows_per_round + 1):
+        part = ready.where(F.col("_round") == i).drop("_round").join(state, KEY, "left")
+        got = stage(part.groupBy(*KEY).applyInPandas(run, schema), "tracked")
         done.append(got)
         state = got.groupBy(*KEY).agg(
             F.max_by("track_x", "frame").alias("start_x"), F.max_by("track_y", "frame").alias("start_y")
