@@ -255,8 +255,8 @@ def _traj_geometry(s, d):
         "movie",
         "trajectory",
         F.lit("polyline").alias("type"),
-        F.transform(ks, lambda k: ((c * 17 + k * (c % 5 + 3) * 11) % 256).cast("double")).alias("x"),
-        F.transform(ks, lambda k: ((c * 29 + k * (c % 7 + 2) * 9) % 256).cast("double")).alias("y"),
+        F.transform(ks, lambda k: (c * 17 % 256 + k * (c % 5 + 3) * 2).cast("double")).alias("x"),
+        F.transform(ks, lambda k: (c * 29 % 256 + k * (c % 7 - 3) * 3).cast("double")).alias("y"),
     )
 
 

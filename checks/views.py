@@ -73,8 +73,8 @@ def rois(spark: SparkSession, d: str) -> DataFrame:
         F.concat(F.lit("m"), (c % 3).cast("string")).alias("movie"),
         c.alias("roi"),
         F.lit("polyline").alias("type"),
-        F.transform(ks, lambda k: ((c * 17 + k * (c % 5 + 3) * 11) % 256).cast("double")).alias("x"),
-        F.transform(ks, lambda k: ((c * 29 + k * (c % 7 + 2) * 9) % 256).cast("double")).alias("y"),
+        F.transform(ks, lambda k: (c * 17 % 256 + k * (c % 5 + 3) * 2).cast("double")).alias("x"),
+        F.transform(ks, lambda k: (c * 29 % 256 + k * (c % 7 - 3) * 3).cast("double")).alias("y"),
     )
 
 
@@ -182,8 +182,8 @@ SELECT concat('m', m) AS movie, 512 AS n_frames, 256 AS height, 256 AS width, 2
 FROM (SELECT DISTINCT (event_id // 8192 * 128 + event_id % 128) % 3 AS m FROM events) s""",
     "fx_rois": """
 SELECT concat('m', c_custkey % 3) AS movie, c_custkey AS roi, 'polyline' AS type,
-  list_transform(range(0, 5), lambda k: CAST((c_custkey * 17 + k * (c_custkey % 5 + 3) * 11) % 256 AS DOUBLE)) AS x,
-  list_transform(range(0, 5), lambda k: CAST((c_custkey * 29 + k * (c_custkey % 7 + 2) * 9) % 256 AS DOUBLE)) AS y
+  list_transform(range(0, 5), lambda k: CAST(c_custkey * 17 % 256 + k * (c_custkey % 5 + 3) * 2 AS DOUBLE)) AS x,
+  list_transform(range(0, 5), lambda k: CAST(c_custkey * 29 % 256 + k * (c_custkey % 7 - 3) * 3 AS DOUBLE)) AS y
 FROM customer""",
     "fx_vertices": """
 SELECT movie, roi, CAST(i AS INT) AS i, x[i + 1] AS x, y[i + 1] AS y

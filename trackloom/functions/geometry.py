@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+_SEG = "ax:double,ay:double,bx:double,by:double,len:double,cum:double"
+
+
 def segment_lengths(x: Column, y: Column) -> Column:
     """Length of each segment (empty for less than two vertices)."""
 
@@ -31,33 +34,6 @@ def kymo_width(x: Column, y: Column) -> Column:
     return F.greatest(F.floor(roi_length(x, y)), F.lit(2)).cast("int")
 
 
-def roi_point(x: Column, y: Column, xk: Column) -> Column:
-    """Struct (x, y) at kymograph column ``xk``, clamped to the ends of the line."""
-    total = roi_length(x, y)
-    return point_at(x, y, xk / F.greatest(F.floor(total), F.lit(2)) * total)
-
-
-def point_at(x: Column, y: Column, target: Column) -> Column:
-    """Struct (x, y) at a distance along the line, clamped to its ends."""
-    start = F.struct(F.lit(0.0).alias("cum"), x[0].alias("x"), y[0].alias("y"), F.lit(False).alias("done"))
-
-    def step(acc: Column, v: Column) -> Column:
-        reach = acc.cum + v.len
-        t = F.when(v.len > 0, F.greatest((target - acc.cum) / v.len, F.lit(0.0))).otherwise(F.lit(0.0))
-        inside = target < reach
-        return F.when(acc.done, acc).otherwise(
-            F.struct(
-                reach.alias("cum"),
-                F.when(inside, v.ax + t * (v.bx - v.ax)).otherwise(v.bx).alias("x"),
-                F.when(inside, v.ay + t * (v.by - v.ay)).otherwise(v.by).alias("y"),
-                inside.alias("done"),
-            )
-        )
-
-    walked = F.aggregate(segments(x, y), start, step)
-    return F.struct(walked.x.alias("x"), walked.y.alias("y"))
-
-
 def segments(x: Column, y: Column) -> Column:
     """Array of (ax, ay, bx, by, len)."""
     lens = segment_lengths(x, y)
@@ -69,29 +45,62 @@ def segments(x: Column, y: Column) -> Column:
     )
 
 
-def roi_project(x: Column, y: Column, px: Column, py: Column, width: Column) -> Column:
-    """Kymograph column of the nearest place on the line; NULL for a line without length.
+def lines(rois: DataFrame) -> DataFrame:
+    """One row per ROI ready for many points: segments with the length before them, total, width.
+
+    Columns movie, roi, x0, y0 (first vertex), segs, total, width.
+    """
+    run = F.aggregate(
+        "_s",
+        F.struct(F.lit(0.0).alias("cum"), F.array().cast(f"array<struct<{_SEG}>>").alias("out")),
+        lambda acc, v: F.struct(
+            (acc.cum + v.len).alias("cum"),
+            F.concat(acc.out, F.array(F.struct(v.ax, v.ay, v.bx, v.by, v.len, acc.cum.alias("cum")))).alias("out"),
+        ),
+    )
+    out = rois.select("movie", "roi", F.col("x")[0].alias("x0"), F.col("y")[0].alias("y0"), segments(F.col("x"), F.col("y")).alias("_s"))
+    out = out.withColumn("_r", run)
+    return out.select(
+        "movie",
+        "roi",
+        "x0",
+        "y0",
+        F.col("_r.out").alias("segs"),
+        F.col("_r.cum").alias("total"),
+        F.greatest(F.floor("_r.cum"), F.lit(2)).cast("int").alias("width"),
+    )
+
+
+def point_at(target: Column) -> Column:
+    """Struct (x, y) at a distance along the line of a ``lines`` row, clamped to its ends."""
+    last = F.get("segs", F.size("segs") - 1)
+    hit = F.coalesce(F.get(F.filter("segs", lambda v: target < v.cum + v.len), F.lit(0)), last)
+    t = F.when(hit.len > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (target - hit.cum) / hit.len))).otherwise(F.lit(0.0))
+    return F.struct(
+        F.coalesce(hit.ax + t * (hit.bx - hit.ax), F.col("x0")).alias("x"),
+        F.coalesce(hit.ay + t * (hit.by - hit.ay), F.col("y0")).alias("y"),
+    )
+
+
+def roi_point(xk: Column) -> Column:
+    """Struct (x, y) at kymograph column ``xk`` of a ``lines`` row."""
+    return point_at(xk / F.col("width") * F.col("total"))
+
+
+def roi_project(px: Column, py: Column) -> Column:
+    """Kymograph column of the nearest place on a ``lines`` row; NULL for a line without length.
 
     The first segment wins a tie, segments without length are skipped.
     """
-    none = F.lit(None).cast("double")
-    start = F.struct(F.lit(0.0).alias("cum"), none.alias("best"), none.alias("along"))
 
-    def step(acc: Column, v: Column) -> Column:
+    def candidate(v: Column, i: Column) -> Column:
         vx, vy = v.bx - v.ax, v.by - v.ay
-        l2 = vx * vx + vy * vy
-        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - v.ax) * vx + (py - v.ay) * vy) / F.nullif(l2, F.lit(0.0))))
+        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - v.ax) * vx + (py - v.ay) * vy) / (v.len * v.len)))
         dx, dy = v.ax + t * vx - px, v.ay + t * vy - py
-        d = dx * dx + dy * dy
-        better = (l2 > 0) & (acc.best.isNull() | (d < acc.best))
-        return F.struct(
-            (acc.cum + v.len).alias("cum"),
-            F.when(better, d).otherwise(acc.best).alias("best"),
-            F.when(better, acc.cum + t * v.len).otherwise(acc.along).alias("along"),
-        )
+        return F.struct((dx * dx + dy * dy).alias("d"), i.alias("i"), (v.cum + t * v.len).alias("along"))
 
-    end = F.aggregate(segments(x, y), start, step)
-    return F.when(px.isNotNull() & py.isNotNull() & (end.cum > 0), end.along / end.cum * width)
+    best = F.array_min(F.transform(F.filter("segs", lambda v: v.len > 0), candidate))
+    return F.when(px.isNotNull() & py.isNotNull() & (F.col("total") > 0), best["along"] / F.col("total") * F.col("width"))
 
 
 def vertices(rois: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trackloom.config import Params
-from trackloom.operators.pixels import WINDOW, crop_pixels, strip_count
+from trackloom.operators.pixels import WINDOW, crop_pixels, strip_count, strip_width
 
 # Twice the width of a 200 nm spot, as full width over 2.355.
 _MIN_WIDTH_NM = 2 * (200 / 2.355)
@@ -45,9 +45,15 @@ def measure_spots(
         (F.col("fixed_background") if "fixed_background" in windows.columns else F.lit(None).cast("double")).alias("_bg"),
     ).join(movies.select("movie", "height", "width", "pixel_size_nm"), "movie")
     tol = params.edge_tol_px
-    half = F.floor(F.col("_crop") / 2).cast("int")
+    w = w.withColumns(
+        {
+            "_half": F.floor(F.col("_crop") / 2).cast("int"),
+            "_rx": F.bround("search_x").cast("int"),
+            "_ry": F.bround("search_y").cast("int"),
+        }
+    )
+    half, rx, ry = F.col("_half"), F.col("_rx"), F.col("_ry")
     reach = half + int(tol) + 2
-    rx, ry = F.bround("search_x").cast("int"), F.bround("search_y").cast("int")
     rows = crop_pixels(
         w,
         pixels,
@@ -71,7 +77,9 @@ def measure_spots(
         x1, y1 = F.least(F.col("_x0") + F.col("_crop"), F.col("width")), F.least(F.col("_y0") + F.col("_crop"), F.col("height"))
         rows = rows.withColumns({"_x1": x1, "_y1": y1})
         inside = (x >= F.col("_x0")) & (x < F.col("_x1")) & (y >= F.col("_y0")) & (y < F.col("_y1"))
-        strips = strip_count(F.col("_y0"), F.col("_y1"), F.col("_x0"), F.col("_x1"), params.fit_border)
+        box = F.col("_y0"), F.col("_y1"), F.col("_x0"), F.col("_x1")
+        rows = rows.withColumn("_b", strip_width(*box, params.fit_border))
+        strips = strip_count(*box, F.col("_b"))
         rows = rows.withColumns({"_v": F.when(inside, v), "_n": F.when(inside, strips).otherwise(0)})
         border = F.percentile(F.when(F.col("_n") > 0, F.col("_v")), F.lit(0.5), F.col("_n")).over(one)
         top, std = F.max("_v").over(one), F.stddev_pop("_v").over(one)

@@ -21,6 +21,15 @@ BLOCK = 4096
 _UNB = W.unboundedPreceding
 
 
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Hash rows over all shuffle partitions before a step that multiplies them.
+
+    The number is given explicitly, so that a small input is not put back into
+    few partitions just before it grows.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
+
+
 def _tiled(df: DataFrame, order: str, tile: int) -> DataFrame:
     return df.withColumn("_tile", F.floor(F.col(order) / F.lit(tile)))
 

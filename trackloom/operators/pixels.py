@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from trackloom.functions.geometry import kymo_width, point_at, roi_length
-from trackloom.operators.ordered import BLOCK, in_blocks
+from trackloom.functions.geometry import lines, point_at
+from trackloom.operators.ordered import BLOCK, in_blocks, spread
 from trackloom.operators.quantiles import HOT_ROWS, exact_percentiles
+from trackloom.plans.stages import stage
 
 SMALL_ROWS = 1_000_000
 _SIDE = 16
@@ -92,12 +93,15 @@ def lower_half_background(crops: DataFrame, group: Sequence[str] = WINDOW) -> Da
     )
 
 
-def strip_count(y0: Column, y1: Column, x0: Column, x1: Column, share: float, sides: Sequence[Column] | None = None) -> Column:
-    """In how many of the four border strips of [x0, x1) x [y0, y1) the pixel (x, y) lies.
+def strip_width(y0: Column, y1: Column, x0: Column, x1: Column, share: float) -> Column:
+    return F.greatest(F.lit(1), F.floor(F.least(y1 - y0, x1 - x0) * share).cast("int"))
+
+
+def strip_count(y0: Column, y1: Column, x0: Column, x1: Column, b: Column, sides: Sequence[Column] | None = None) -> Column:
+    """In how many of the four border strips (b wide) of [x0, x1) x [y0, y1) the pixel (x, y) lies.
 
     ``sides`` says for top, bottom, left, right whether the strip counts.
     """
-    b = F.greatest(F.lit(1), F.floor(F.least(y1 - y0, x1 - x0) * share).cast("int"))
     y, x = F.col("y"), F.col("x")
     hits = [y < y0 + b, y >= y1 - b, x < x0 + b, x >= x1 - b]
     if sides is not None:
@@ -120,14 +124,26 @@ def trajectory_background(
 
     Sides cut by the image edge give no pixels; a pixel in two strips counts twice.
     """
-    sized = windows.join(movies.select("movie", "height", "width"), "movie")
-    rows = search_crops(sized, pixels, radius)
     cx, cy = F.bround("search_x").cast("int"), F.bround("search_y").cast("int")
     x0, x1, y0, y1 = cx - radius, cx + radius, cy - radius, cy + radius
-    whole = [y0 >= 0, y1 <= F.col("height"), x0 >= 0, x1 <= F.col("width")]
-    ya, yb = F.greatest(y0, F.lit(0)), F.least(y1, F.col("height"))
-    xa, xb = F.greatest(x0, F.lit(0)), F.least(x1, F.col("width"))
-    n = strip_count(ya, yb, xa, xb, border, whole)
+    h, w = F.col("height"), F.col("width")
+    # Everything that is the same for a whole window is worked out before the pixels come in.
+    sized = windows.join(movies.select("movie", "height", "width"), "movie").withColumns(
+        {
+            "_top": y0 >= 0,
+            "_bottom": y1 <= h,
+            "_left": x0 >= 0,
+            "_right": x1 <= w,
+            "_ya": F.greatest(y0, F.lit(0)),
+            "_yb": F.least(y1, h),
+            "_xa": F.greatest(x0, F.lit(0)),
+            "_xb": F.least(x1, w),
+        }
+    )
+    sized = sized.withColumn("_strip", strip_width(F.col("_ya"), F.col("_yb"), F.col("_xa"), F.col("_xb"), border))
+    rows = search_crops(sized, pixels, radius)
+    whole = [F.col(c) for c in ("_top", "_bottom", "_left", "_right")]
+    n = strip_count(F.col("_ya"), F.col("_yb"), F.col("_xa"), F.col("_xb"), F.col("_strip"), whole)
     border_rows = rows.withColumn("_n", n).where("_n > 0").withColumn("_i", F.explode(F.sequence(F.lit(1), "_n")))
     key = ["movie", "trajectory"]
     return exact_percentiles(border_rows, key, "v", {"trajectory_background": 0.5}, hot_rows)
@@ -185,12 +201,12 @@ def pixel_histogram(
 
 def kymo_samples(rois: DataFrame, half_width: int = 2) -> DataFrame:
     """Sample places (roi, s, o, x, y) of every ROI: along the line and across it."""
-    x, y = F.col("x"), F.col("y")
-    r = rois.select("movie", "roi", "x", "y", roi_length(x, y).alias("_len"), kymo_width(x, y).alias("_n"))
-    r = r.withColumn("s", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    n = F.col("width")
+    r = lines(spread(rois.select("movie", "roi", "x", "y"), "movie", "roi"))
+    r = r.withColumn("s", F.explode(F.sequence(F.lit(0), n - 1)))
 
     def at(k: Column) -> Column:
-        return point_at(x, y, k * F.col("_len") / (F.col("_n") - 1))
+        return point_at(k * F.col("total") / (n - 1))
 
     r = r.select(
         "movie",
@@ -198,7 +214,7 @@ def kymo_samples(rois: DataFrame, half_width: int = 2) -> DataFrame:
         "s",
         at(F.col("s")).alias("_p"),
         at(F.greatest(F.col("s") - 1, F.lit(0))).alias("_a"),
-        at(F.least(F.col("s") + 1, F.col("_n") - 1)).alias("_b"),
+        at(F.least(F.col("s") + 1, n - 1)).alias("_b"),
     )
     tx, ty = F.col("_b.x") - F.col("_a.x"), F.col("_b.y") - F.col("_a.y")
     norm = F.sqrt(tx * tx + ty * ty)
@@ -254,7 +270,11 @@ def kymograph(
             F.col("_c.w").alias("w"),
         )
     )
-    hits = pixels.join(broadcast_if_small(keys), ["movie", "y", "x"])
+    if keys.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
+        # The raw pixels are shuffled once, by frame; the much larger samples are then summed in place.
+        hits = spread(pixels, "movie", "channel", "frame").join(F.broadcast(keys), ["movie", "y", "x"])
+    else:
+        hits = pixels.join(keys, ["movie", "y", "x"])
     offsets = list(range(-half_width, half_width + 1))
     sums = hits.groupBy("movie", "roi", "channel", "frame", "s").agg(
         *[F.sum(F.when(F.col("o") == o, F.col("w") * F.col("v"))).alias(f"_o{i}") for i, o in enumerate(offsets)]
@@ -295,7 +315,8 @@ def _filter_along(
             j = F.abs(p - here)
             return F.when(j <= radius, F.get(k, j.cast("int"))).otherwise(F.lit(0.0))
 
-        near = tap(q) + tap(-1 - q) + tap(2 * size - 1 - q)
+        edge = (here < radius) | (here >= size - radius)
+        near = tap(q) + F.when(edge, tap(-1 - q) + tap(2 * size - 1 - q)).otherwise(F.lit(0.0))
         far = F.lit(0.0)
         for m in (-3, -2, -1, 1, 2, 3):
             far = far + tap(q + 2 * size * m)
@@ -326,7 +347,7 @@ def log_filter(kymo: DataFrame, sizes: DataFrame, sigma: float = 1.5, block: int
     rows = kymo.join(sizes.select("movie", "roi", "width", "n_frames"), ["movie", "roi"])
     across = _filter_along(rows, [*key, "frame"], "s", "width", {"_a0": [("v", g0)], "_a2": [("v", g2)]}, block)
     both = _filter_along(across, [*key, "s"], "frame", "n_frames", {"_l": [("_a0", g2), ("_a2", g0)]}, block)
-    both = both.withColumn("_l", -F.col("_l"))
+    both = stage(both.select(*key, "frame", "s", (-F.col("_l")).alias("_l")), "log")
     span = both.groupBy(*key).agg(F.min("_l").alias("_lo"), F.max("_l").alias("_hi"))
     out = both.join(span, key)
     scaled = F.floor((F.col("_l") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * 254 + 1)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trackloom.config import KEY
 from trackloom.functions import geometry as H
 from trackloom.functions import scalars as S
-from trackloom.operators.ordered import TILE, nearest, with_position
+from trackloom.operators.ordered import TILE, nearest, spread, with_position
 from trackloom.operators.segments import densify
 
 
@@ -61,7 +61,8 @@ def _cell(cx: Column, cy: Column) -> Column:
 def _covered_cells(rois: DataFrame, radius: float) -> tuple[DataFrame, float]:
     """Each ROI segment with the grid cells that can hold a point within ``radius``."""
     side = 1.34 * radius
-    segs = rois.select("movie", "roi", F.inline(H.segments(F.col("x"), F.col("y"))))
+    segs = spread(rois.select("movie", "roi", "x", "y"), "movie", "roi")
+    segs = segs.select("movie", "roi", F.inline(H.segments(F.col("x"), F.col("y"))))
     n = F.ceil(F.col("len") / (side / 2)).cast("int")
     step = F.greatest(n, F.lit(1))
     at = F.transform(
@@ -147,35 +148,28 @@ def kymo_endpoints(points: DataFrame, rois: DataFrame) -> DataFrame:
     ends = points.groupBy(*KEY, "roi").agg(
         *[fn(c, "frame").alias(f"{n}_{c}") for fn, n in ((F.min_by, "start"), (F.max_by, "end")) for c in ("frame", "px", "py")]
     )
-    out = ends.join(rois.select("movie", "roi", "x", "y"), ["movie", "roi"])
-    x, y = F.col("x"), F.col("y")
-    w = H.kymo_width(x, y)
+    out = ends.join(H.lines(rois), ["movie", "roi"])
     return out.select(
         *KEY,
         "roi",
         "start_frame",
-        H.roi_project(x, y, F.col("start_px"), F.col("start_py"), w).alias("start_xk"),
+        H.roi_project(F.col("start_px"), F.col("start_py")).alias("start_xk"),
         "end_frame",
-        H.roi_project(x, y, F.col("end_px"), F.col("end_py"), w).alias("end_xk"),
+        H.roi_project(F.col("end_px"), F.col("end_py")).alias("end_xk"),
     )
 
 
 def project_points(points: DataFrame, rois: DataFrame, px: str, py: str) -> DataFrame:
     """Kymograph column ``xk`` of points that carry ``roi``."""
-    out = points.join(rois.select("movie", "roi", "x", "y"), ["movie", "roi"])
-    x, y = F.col("x"), F.col("y")
-    return out.withColumn("xk", H.roi_project(x, y, F.col(px), F.col(py), H.kymo_width(x, y))).drop("x", "y")
+    out = points.join(H.lines(rois), ["movie", "roi"])
+    return out.select(*points.columns, H.roi_project(F.col(px), F.col(py)).alias("xk"))
 
 
 def anchors_to_nodes(anchors: DataFrame, rois: DataFrame) -> DataFrame:
     """Movie position of kymograph anchors that carry ``roi`` and ``xk``."""
-    out = anchors.join(rois.select("movie", "roi", F.col("x").alias("_rx"), F.col("y").alias("_ry")), ["movie", "roi"])
-    return (
-        out.withColumn("_p", H.roi_point(F.col("_rx"), F.col("_ry"), F.col("xk")))
-        .withColumn("x", F.col("_p.x"))
-        .withColumn("y", F.col("_p.y"))
-        .drop("_p", "_rx", "_ry")
-    )
+    kept = [c for c in anchors.columns if c not in ("x", "y")]
+    out = anchors.join(H.lines(rois), ["movie", "roi"]).select(*kept, H.roi_point(F.col("xk")).alias("_p"))
+    return out.select(*kept, F.col("_p.x").alias("x"), F.col("_p.y").alias("y"))
 
 
 def backfill_nodes(nodes: DataFrame, anchors: DataFrame, rois: DataFrame) -> DataFrame:
