@@ -43,6 +43,8 @@ def exact_percentiles(
         F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", edges, _ACCURACY).alias("_e")
     )
     k = len(names)
+    # Below this size a bracket would be only a few ranks wide; such keys are ranked whole.
+    narrow, none = F.col("_n") >= _ACCURACY, F.lit(None).cast("double")
     brackets = bounds.select(
         *key,
         F.explode(
@@ -51,8 +53,8 @@ def exact_percentiles(
                     F.struct(
                         F.lit(name).alias("_name"),
                         (F.lit(p) * (F.col("_n") - 1)).alias("_rank"),
-                        (F.col("_e")[i] if p - wide > 0 else F.lit(float("-inf"))).alias("_lo"),
-                        (F.col("_e")[i + k] if p + wide < 1 else F.lit(float("inf"))).alias("_hi"),
+                        (F.when(narrow, F.col("_e")[i]) if p - wide > 0 else none).alias("_lo"),
+                        (F.when(narrow, F.col("_e")[i + k]) if p + wide < 1 else none).alias("_hi"),
                     )
                     for i, (name, p) in enumerate(probs.items())
                 ]
@@ -64,10 +66,10 @@ def exact_percentiles(
         hot_rows_df.join(F.broadcast(brackets), key)
         if key
         else hot_rows_df.join(F.broadcast(brackets))
-    ).where(F.col("_v") <= F.col("_hi"))
+    ).where(F.col("_hi").isNull() | (F.col("_v") <= F.col("_hi")))
     group = [*key, "_name"]
     ranked = (
-        placed.groupBy(*group, "_rank", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_v"))
+        placed.groupBy(*group, "_rank", F.when(F.col("_lo").isNull() | (F.col("_v") >= F.col("_lo")), F.col("_v")).alias("_v"))
         .agg(F.count(F.lit(1)).alias("_c"))
         .withColumn("_cum", F.sum("_c").over(W.partitionBy(*group).orderBy(F.col("_v").asc_nulls_first())))
     )
