@@ -9,6 +9,7 @@ from checks.registry import register
 from checks.views import sql_with
 from trackloom.operators import tracks as K
 from trackloom.operators.rois import anchors_to_nodes
+from trackloom.plans.stages import stage
 
 TK = "kymo:l track:l"
 
@@ -23,6 +24,11 @@ def clean(s, d):
     return K.clean_track_nodes(V.track_nodes(s, d), 6)
 
 
+def stored(s, d):
+    """Matching reads its nodes several times."""
+    return stage(clean(s, d), "clean-nodes")
+
+
 register(
     "b8_clean_track_nodes",
     f"{TK} t:i x:d y:i",
@@ -147,15 +153,26 @@ JOIN (SELECT track, count(*) AS n, arg_min(x, t) AS x0, arg_max(x, t) AS x1 FROM
 MATCH = """(overlap >= 0.45 AND mean_dx <= 2.2 AND p90_dx <= 3.4) OR (overlap_union >= 0.35 AND start_dx <= 2.8 AND end_dx <= 2.8 AND p90_dx <= 4.0)"""
 
 
-def shifted(s, d):
+def shifted(nodes):
     """The same tracks seen by another stage, moved a little."""
-    return clean(s, d).withColumn("x", F.col("x") + 0.25 * (F.col("track") % 16))
+    return nodes.withColumn("x", F.col("x") + 0.25 * (F.col("track") % 16))
+
+
+def _matched(s, d):
+    n = stored(s, d)
+    return K.match_tracks(n, shifted(n))
+
+
+def _fates(s, d):
+    n = stored(s, d)
+    later = shifted(n)
+    return K.stage_fates(n, *[later.where(F.col("track") % 16 < k) for k in (13, 8, 4)])
 
 
 register(
     "c10_match_tracks",
     f"{TK} other:l mean_dx:d p90_dx:d overlap:d overlap_union:d start_dx:d end_dx:d",
-    lambda s, d: K.match_tracks(clean(s, d), shifted(s, d)),
+    _matched,
     sql_with(
         "fx_track_nodes",
         f"SELECT * FROM ({STATS.format(a='ca', b='cb')}) q WHERE {MATCH}",
@@ -166,12 +183,7 @@ register(
 register(
     "c11_stage_fates",
     f"{TK} fate:s",
-    lambda s, d: K.stage_fates(
-        clean(s, d),
-        shifted(s, d).where("track % 16 < 13"),
-        shifted(s, d).where("track % 16 < 8"),
-        shifted(s, d).where("track % 16 < 4"),
-    ),
+    _fates,
     sql_with(
         "fx_track_nodes",
         """SELECT kymo, track, CASE WHEN m IS NULL THEN 'lost_before_post_merge' WHEN e IS NULL THEN 'lost_before_post_extend'
@@ -190,7 +202,7 @@ DEDUPE = f"""SELECT * FROM fx_tracks WHERE track NOT IN (
 register(
     "i8_dedupe_tracks",
     f"{TK} score:d",
-    lambda s, d: K.dedupe_tracks(clean(s, d), V.tracks(s, d), 6.0, 0.5),
+    lambda s, d: K.dedupe_tracks(stored(s, d), V.tracks(s, d), 6.0, 0.5),
     sql_with("fx_track_nodes fx_tracks", DEDUPE, ca=CLEAN),
 )
 MERGED = """
@@ -247,7 +259,7 @@ def _probs(s, d):
 register(
     "i14_link_fragments",
     f"{TK} other:l gap:i dx:d",
-    lambda s, d: K.link_fragments(clean(s, d), _probs(s, d), 3, 4.0, 0.3, 0.5),
+    lambda s, d: K.link_fragments(stored(s, d), _probs(s, d), 3, 4.0, 0.3, 0.5),
     sql_with(
         "fx_track_nodes",
         """SELECT a.kymo, a.track, a.other, a.gap, a.dx

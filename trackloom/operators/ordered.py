@@ -41,15 +41,15 @@ def with_position(
     key = list(key)
     tiled = _tiled(df, order, tile)
     local = F.row_number().over(W.partitionBy(*key, "_tile").orderBy(order)).cast("long")
+    before = F.sum("_n").over(W.partitionBy(*key).orderBy("_tile").rowsBetween(_UNB, -1))
     starts = (
         tiled.groupBy(*key, "_tile")
         .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_start", F.sum("_n").over(W.partitionBy(*key).orderBy("_tile").rowsBetween(_UNB, -1)))
+        .select(*key, "_tile", before.alias("_start"))
         .where("_start is not null")
-        .select(*key, "_tile", "_start")
     )
     return (
-        tiled.withColumn("_local", local)
+        tiled.select("*", local.alias("_local"))
         .join(starts, [*key, "_tile"], "left")
         .select(
             *[F.col(c) for c in df.columns],
@@ -78,47 +78,30 @@ def nearest(
     def pack(cols: Mapping[str, str]) -> Column:
         return F.struct(*[F.col(src).alias(name) for name, src in cols.items()])
 
-    out, aggs = tiled, []
+    sides = [(side, cols) for side, cols in (("p", prev), ("n", next)) if cols]
+    locals_, aggs, far = {}, [], {}
     mark = F.col(order) if where is None else F.when(where, F.col(order))
-    for side, cols, fn in (("p", prev, F.max_by), ("n", next, F.min_by)):
-        if not cols:
-            continue
-        win = by_tile.orderBy(F.col(order).asc() if side == "p" else F.col(order).desc())
+    for side, cols in sides:
+        back = side == "p"
         if where is None:
-            step = F.lag if side == "p" else F.lead
-            local = step(pack(cols)).over(by_tile.orderBy(order))
+            local = (F.lag if back else F.lead)(pack(cols)).over(by_tile.orderBy(order))
         else:
+            win = by_tile.orderBy(F.col(order).asc() if back else F.col(order).desc())
             local = F.last(F.when(where, pack(cols)), True).over(win.rowsBetween(_UNB, -1))
-        out = out.withColumn(f"_{side}_local", local)
-        aggs += [(F.max if side == "p" else F.min)(mark).alias(f"_{side}_at")]
-        aggs += [fn(F.col(src), mark).alias(f"_{side}_{name}") for name, src in cols.items()]
+        locals_[f"_{side}_local"] = local
+        aggs.append((F.max if back else F.min)(mark).alias(f"_{side}_at"))
+        aggs += [(F.max_by if back else F.min_by)(F.col(c), mark).alias(f"_{side}_{name}") for name, c in cols.items()]
+        packed = F.struct(*[F.col(f"_{side}_{name}").alias(name) for name in cols])
+        tiles = W.partitionBy(*key).orderBy(F.col("_tile").asc() if back else F.col("_tile").desc())
+        far[f"_{side}_far"] = F.last(F.when(F.col(f"_{side}_at").isNotNull(), packed), True).over(tiles.rowsBetween(_UNB, -1))
 
     # One row per (key, tile): what the tile hands to the tiles after and before it.
-    edges = tiled.groupBy(*key, "_tile").agg(*aggs)
-    carried = []
-    for side, cols in (("p", prev), ("n", next)):
-        if not cols:
-            continue
-        tile_order = F.col("_tile").asc() if side == "p" else F.col("_tile").desc()
-        packed = F.struct(*[F.col(f"_{side}_{name}").alias(name) for name in cols])
-        edges = edges.withColumn(
-            f"_{side}_far",
-            F.last(F.when(F.col(f"_{side}_at").isNotNull(), packed), True).over(
-                W.partitionBy(*key).orderBy(tile_order).rowsBetween(_UNB, -1)
-            ),
-        )
-        carried.append(f"_{side}_far")
-    present = [F.col(c).isNotNull() for c in carried]
-    keep = present[0] if len(present) == 1 else present[0] | present[1]
-    out = out.join(edges.where(keep).select(*key, "_tile", *carried), [*key, "_tile"], "left")
-    for side, cols in (("p", prev), ("n", next)):
-        if cols:
-            out = out.withColumn(f"_{side}", F.coalesce(f"_{side}_local", f"_{side}_far"))
-    return out.select(
-        *[F.col(c) for c in df.columns],
-        *[F.col(f"_p.{name}").alias(name) for name in prev],
-        *[F.col(f"_n.{name}").alias(name) for name in next],
-    )
+    edges = tiled.groupBy(*key, "_tile").agg(*aggs).select(*key, "_tile", *[c.alias(n) for n, c in far.items()])
+    edges = edges.where(" or ".join(f"{n} is not null" for n in far))
+    out = tiled.select("*", *[c.alias(n) for n, c in locals_.items()]).join(edges, [*key, "_tile"], "left")
+    # The packed neighbour gets its own step, so that it is worked out once per row.
+    out = out.select(*df.columns, *[F.coalesce(f"_{side}_local", f"_{side}_far").alias(f"_{side}") for side, _ in sides])
+    return out.select(*df.columns, *[F.col(f"_{side}.{name}").alias(name) for side, cols in sides for name in cols])
 
 
 def in_blocks(
@@ -139,11 +122,8 @@ def in_blocks(
             F.when(rest >= size - before, F.lit(1)),
         )
     )
-    return (
-        df.withColumn("_move", F.explode(moves))
-        .withColumn("_block", home + F.col("_move"))
-        .withColumn("_ghost", F.col("_move") != 0)
-        .drop("_move")
+    return df.select("*", F.explode(moves).alias("_move")).select(
+        *df.columns, (home + F.col("_move")).alias("_block"), (F.col("_move") != 0).alias("_ghost")
     )
 
 
@@ -159,10 +139,8 @@ def beside(
     prev, next = dict(prev or {}), dict(next or {})
     rows = in_blocks(df, pos, before=1, after=1, size=size)
     w = W.partitionBy(*key, "_block").orderBy(pos)
-    for step, cols in ((F.lag, prev), (F.lead, next)):
-        for name, src in cols.items():
-            rows = rows.withColumn(name, step(src).over(w))
-    return rows.where(~F.col("_ghost")).select(*df.columns, *prev, *next)
+    found = [step(src).over(w).alias(name) for step, cols in ((F.lag, prev), (F.lead, next)) for name, src in cols.items()]
+    return rows.select("*", *found).where(~F.col("_ghost")).select(*df.columns, *prev, *next)
 
 
 def interval_join(

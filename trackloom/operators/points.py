@@ -49,9 +49,8 @@ def valid_points(points: DataFrame) -> DataFrame:
 def speeds(points: DataFrame, tile: int = TILE) -> DataFrame:
     """px/frame to the previous row; NULL on the first row and next to a missing spot."""
     out = nearest(points, KEY, "frame", prev={"_px": "spot_x", "_py": "spot_y"}, tile=tile)
-    return out.withColumn(
-        "speed", S.dist(F.col("_px"), F.col("_py"), F.col("spot_x"), F.col("spot_y"))
-    ).drop("_px", "_py")
+    step = S.dist(F.col("_px"), F.col("_py"), F.col("spot_x"), F.col("spot_y"))
+    return out.select(*points.columns, step.alias("speed"))
 
 
 def with_units(df: DataFrame, movies: DataFrame, speed: str = "speed") -> DataFrame:

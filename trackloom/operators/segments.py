@@ -65,9 +65,12 @@ def label_segments(points: DataFrame, nodes: DataFrame, tile: int = TILE) -> Dat
 
 def in_segment_rows(points: DataFrame, nodes: DataFrame, tile: int = TILE) -> DataFrame:
     """Points inside first node .. last node with their segment; others are left out."""
-    segs = anchor_segments(nodes, tile=tile).select(
-        *KEY, "segment", F.col("start_frame").alias("_from"), F.col("end_frame").alias("_to")
-    )
+    return in_segments(points, anchor_segments(nodes, tile=tile))
+
+
+def in_segments(points: DataFrame, segments: DataFrame) -> DataFrame:
+    """Points with the segment that holds their frame."""
+    segs = segments.select(*KEY, "segment", F.col("start_frame").alias("_from"), F.col("end_frame").alias("_to"))
     return interval_join(points, segs, KEY, "frame", "_from", "_to").drop("_from", "_to")
 
 

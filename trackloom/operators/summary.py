@@ -11,7 +11,8 @@ from trackloom.functions.geometry import roi_length
 from trackloom.operators.ordered import TILE
 from trackloom.operators.points import speeds
 from trackloom.operators.quantiles import HOT_ROWS, exact_percentiles
-from trackloom.operators.segments import in_segment_rows, one_per_frame
+from trackloom.operators.segments import anchor_segments, in_segments, one_per_frame
+from trackloom.plans.stages import stage
 
 _MEANS = {
     "mean_net_speed_um_s": "net_speed_um_s",
@@ -46,21 +47,28 @@ def _measures(
         movies.select("movie", "pixel_size_nm", "frame_interval_ms"), "movie", "left"
     )
     ps, fi = F.col("pixel_size_nm"), F.col("frame_interval_ms")
-    px = S.dist(F.col("start_x"), F.col("start_y"), F.col("end_x"), F.col("end_y"))
     gap = F.when(F.col("_f1") > F.col("_f0"), F.col("_f1") - F.col("_f0"))
-    net = px / gap
-    return (
-        out.withColumn("start_frame", F.col("_f0") + 1)
-        .withColumn("end_frame", F.col("_f1") + 1)
-        .withColumn("percent_valid", 100.0 * F.col("valid_points") / F.col("total_points"))
-        .withColumn("distance_um", S.um(px, ps))
-        .withColumn("time_s", S.seconds(gap, fi))
-        .withColumn("net_speed_px_frame", net)
-        .withColumn("net_speed_um_s", S.um_per_s(net, ps, fi))
-        .withColumn("net_speed_um_min", F.col("net_speed_um_s") * 60)
-        .withColumn("speed_um_s", S.um_per_s(F.col("speed_px_frame"), ps, fi))
-        .withColumn("speed_um_min", F.col("speed_um_s") * 60)
-        .drop("_f0", "_f1", "pixel_size_nm", "frame_interval_ms")
+    net = F.col("_px") / F.col("_gap")
+    net_s = S.um_per_s(net, ps, fi)
+    mean_s = S.um_per_s(F.col("speed_px_frame"), ps, fi)
+    kept = [c for c in stats.columns if c not in ("_f0", "_f1")]
+    return out.select(
+        "*",
+        S.dist(F.col("start_x"), F.col("start_y"), F.col("end_x"), F.col("end_y")).alias("_px"),
+        gap.alias("_gap"),
+    ).select(
+        *kept,
+        "median_intensity",
+        (F.col("_f0") + 1).alias("start_frame"),
+        (F.col("_f1") + 1).alias("end_frame"),
+        (100.0 * F.col("valid_points") / F.col("total_points")).alias("percent_valid"),
+        S.um(F.col("_px"), ps).alias("distance_um"),
+        S.seconds(F.col("_gap"), fi).alias("time_s"),
+        net.alias("net_speed_px_frame"),
+        net_s.alias("net_speed_um_s"),
+        (net_s * 60).alias("net_speed_um_min"),
+        mean_s.alias("speed_um_s"),
+        (mean_s * 60).alias("speed_um_min"),
     )
 
 
@@ -74,10 +82,9 @@ def per_trajectory(
         *[F.min_by(c, "frame").alias(f"_a{c}") for c in "xy"],
         *[F.max_by(c, "frame").alias(f"_z{c}") for c in "xy"],
     )
-    out = out.join(n, KEY, "left").withColumn("segments", F.coalesce("segments", F.lit(0)))
-    for c in "xy":
-        out = out.withColumn(f"start_{c}", F.coalesce(f"start_{c}", f"_a{c}"))
-        out = out.withColumn(f"end_{c}", F.coalesce(f"end_{c}", f"_z{c}"))
+    # A trajectory without any search centre shows its first and last node.
+    ends = {f"{end}_{c}": F.coalesce(f"{end}_{c}", f"_{p}{c}") for end, p in (("start", "a"), ("end", "z")) for c in "xy"}
+    out = out.join(n, KEY, "left").withColumns({"segments": F.coalesce("segments", F.lit(0)), **ends})
     return out.drop("_ax", "_ay", "_zx", "_zy")
 
 
@@ -85,8 +92,10 @@ def per_segment(
     points: DataFrame, nodes: DataFrame, movies: DataFrame, tile: int = TILE, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """The same measures between each pair of nodes; empty segments give no row."""
-    rows = in_segment_rows(speeds(points, tile), nodes, tile)
-    plain = in_segment_rows(points.select(*KEY, "frame", "intensity"), nodes, tile)
+    # The segments are few next to the points and are read several times.
+    segs = stage(anchor_segments(nodes, tile), "segments")
+    rows = in_segments(speeds(points, tile), segs)
+    plain = in_segments(points.select(*KEY, "frame", "intensity"), segs)
     return _measures(rows, plain, [*KEY, "segment"], movies, hot_rows)
 
 
