@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import views as V
+from checks.lines import on_line
 from checks.registry import register
 from checks.views import sql_with
 from trackloom.operators import tracks as K
@@ -287,5 +288,12 @@ register(
         K.tracks_to_anchors(clean(s, d)).withColumn("movie", F.concat(F.lit("m"), (F.col("roi") % 3).cast("string"))),
         V.rois(s, d),
     ),
-    None,
+    sql_with(
+        "fx_track_nodes fx_segments",
+        on_line(
+            "i13",
+            f"""SELECT concat('m', kymo % 3) AS movie, kymo AS roi, track AS trajectory, t AS frame, x AS xk, 'finder' AS source
+                FROM ({CLEAN}) c""",
+        ),
+    ),
 )

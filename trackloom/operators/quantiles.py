@@ -31,11 +31,8 @@ def exact_percentiles(
     # At most (all rows / hot_rows) keys, so this list stays small at any scale.
     hot = sizes.where(F.col("_n") > hot_rows)
     names = list(probs)
-    if key:
-        cold_rows = rows.join(F.broadcast(hot.select(*key)), key, "left_anti")
-        hot_rows_df = rows.join(F.broadcast(hot.select(*key)), key, "left_semi")
-    else:
-        hot_rows_df, cold_rows = rows, None
+    cold_rows = rows.join(F.broadcast(hot.select(*key)), key, "left_anti")
+    hot_rows_df = rows.join(F.broadcast(hot.select(*key)), key, "left_semi")
 
     wide = 5.0 / _ACCURACY
     edges = [max(0.0, p - wide) for p in probs.values()] + [min(1.0, p + wide) for p in probs.values()]
@@ -62,11 +59,7 @@ def exact_percentiles(
         ).alias("_b"),
     ).select(*key, "_b.*")
     # Brackets: hot keys x percentiles, bounded like ``hot``.
-    placed = (
-        hot_rows_df.join(F.broadcast(brackets), key)
-        if key
-        else hot_rows_df.join(F.broadcast(brackets))
-    ).where(F.col("_hi").isNull() | (F.col("_v") <= F.col("_hi")))
+    placed = hot_rows_df.join(F.broadcast(brackets), key).where(F.col("_hi").isNull() | (F.col("_v") <= F.col("_hi")))
     group = [*key, "_name"]
     ranked = (
         placed.groupBy(*group, "_rank", F.when(F.col("_lo").isNull() | (F.col("_v") >= F.col("_lo")), F.col("_v")).alias("_v"))
@@ -89,8 +82,6 @@ def exact_percentiles(
     hot_result = exact.groupBy(*key).agg(
         *[F.max(F.when(F.col("_name") == n, F.col("_q"))).alias(n) for n in names]
     )
-    if cold_rows is None:
-        return hot_result
     cold_result = cold_rows.groupBy(*key).agg(
         *[F.percentile("_v", F.lit(float(p))).alias(n) for n, p in probs.items()]
     )
