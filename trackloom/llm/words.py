@@ -41,7 +41,7 @@ def _powers(n: int, inverse: bool) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def _spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hash of ``values[s:e]`` for every pair of ``starts`` and ``ends`` (values already mixed)."""
     n = len(values)
     size = 1 << max(12, int(n + 1).bit_length())
@@ -126,7 +126,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray, kind: Alphabet) -> Words:
         after[-1], after[:-1] = False, w[1:]
         after[inner - 1] = False
         s, e = np.flatnonzero(w & ~before), np.flatnonzero(w & ~after) + 1
-        hashes.append(mix(_spans(kind.code[piece], s, e) + (e - s).astype(U)))
+        hashes.append(mix(span_hashes(kind.code[piece], s, e) + (e - s).astype(U)))
         starts.append(s + lo)
         ends.append(e + lo)
         lo = hi
@@ -161,9 +161,9 @@ def windows(w: Words, n: int, whole_short: bool = False) -> tuple[np.ndarray, np
     owner = np.repeat(np.arange(len(count)), full)
     at = np.arange(len(owner)) - np.repeat(np.cumsum(full) - full, full) + w.first[owner]
     end = np.minimum(at + n, w.first[owner + 1])
-    h = _spans(w.hash, at, end)
+    h = span_hashes(w.hash, at, end)
     size = (end - at).astype(U)
-    return at, end, mix(h + size, 1), mix(_spans(mix(w.hash, 5), at, end) + size, 2)
+    return at, end, mix(h + size, 1), mix(span_hashes(mix(w.hash, 5), at, end) + size, 2)
 
 
 def covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
