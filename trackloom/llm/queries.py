@@ -11,6 +11,7 @@ from trackloom.llm.decontaminate import contamination
 from trackloom.llm.language import identify
 from trackloom.llm.line_dedup import line_report
 from trackloom.llm.ngram_join import similar_documents
+from trackloom.llm.packing import pack
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,6 +22,13 @@ def _query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
     return fn
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Where the public tokenizer file lies; it must lie there on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -36,6 +44,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_read(spark, sf_dir, "documents"))
 
 
+@_query
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_read(spark, sf_dir, "documents"), tokenizer_path())
+
+
 @_query
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
