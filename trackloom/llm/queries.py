@@ -12,6 +12,7 @@ from trackloom.llm.language import identify
 from trackloom.llm.line_dedup import line_report
 from trackloom.llm.ngram_join import similar_documents
 from trackloom.llm.packing import pack
+from trackloom.llm.substring_dedup import dedup_substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -83,6 +84,31 @@ FROM words d LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)
 """
 
 
+@_query
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_substrings(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+ORACLES["op7_substring_dedup"] = r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+spans AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS content
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM words WHERE len(w) >= 50) x),
+least_doc AS (SELECT content, min(doc_id) AS lo FROM spans GROUP BY 1),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p
+  FROM (SELECT s.doc_id, s.i FROM spans s JOIN least_doc l USING (content) WHERE s.doc_id > l.lo) x),
+each AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM words),
+kept AS (
+  SELECT e.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS text
+  FROM each e ANTI JOIN gone g ON e.doc_id = g.doc_id AND e.p = g.p GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(text, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)
+"""
+
+
 @_query
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(_read(spark, sf_dir, "documents"))
