@@ -239,7 +239,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         yield table({"u": [x for x, _ in stars], "v": [y for _, y in stars]}, {"u": pa.binary(), "v": pa.binary()})
 
     links = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v")
-    links = stage(links.repartition("v").mapInArrow(contract, "u binary, v binary").distinct(), name)
+    links = stage(links.mapInArrow(contract, "u binary, v binary").distinct(), name)
     state = None
     while True:
         new = (links.count(), links.agg(F.bit_xor(F.xxhash64("u", "v"))).first()[0])
