@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,9 @@ from trackloom.llm.line_dedup import line_report
 from trackloom.llm.ngram_join import similar_documents
 from trackloom.llm.packing import pack
 from trackloom.llm.substring_dedup import dedup_substrings
+from trackloom.llm.topk import exact_top_k
+from trackloom.llm.warc import read_archives, write_archives
+from trackloom.plans.stages import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,6 +38,23 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@_query
+def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(_read(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0)
+
+
+ORACLES["op2_top_k"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM pairs)
+SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 5
+"""
+
+
 @_query
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_report(_read(spark, sf_dir, "documents"))
@@ -131,3 +152,28 @@ counts AS (SELECT a AS doc_id, count(*) AS n_links FROM links GROUP BY 1)
 SELECT doc_id, class_id, coalesce(copy_id, doc_id) AS copy_id, coalesce(n_links, 0) AS n_links
 FROM class LEFT JOIN copies USING (doc_id) LEFT JOIN counts USING (doc_id)
 """
+
+
+@_query
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/trackloom/warc-{uuid.uuid4().hex}"
+    write_archives(_read(spark, sf_dir, "pages"), path)
+    found = read_archives(spark, path, with_payload=False).where("gap_reason IS NULL")
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op10_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (
+  SELECT page_id, html, sha1(html) AS sha, max(page_id) OVER (PARTITION BY html) AS kept FROM p),
+b AS (
+  SELECT *, array_to_string(list_transform(range(1, 41),
+    lambda i: lpad(bin(position(sha[i] IN '0123456789abcdef') - 1), 4, '0')), '') AS bits FROM d)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[
+    1 + 16 * CAST(bits[5 * i + 1] AS INT) + 8 * CAST(bits[5 * i + 2] AS INT) + 4 * CAST(bits[5 * i + 3] AS INT)
+    + 2 * CAST(bits[5 * i + 4] AS INT) + CAST(bits[5 * i + 5] AS INT)]), '') AS payload_digest,
+  CASE WHEN page_id = kept THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> kept THEN kept END AS refers_to
+FROM b
+"""
