@@ -13,6 +13,8 @@ from trackloom.llm.language import identify
 from trackloom.llm.line_dedup import line_report
 from trackloom.llm.ngram_join import similar_documents
 from trackloom.llm.packing import pack
+from trackloom.llm.pseudo_likelihood import score_documents
+from trackloom.llm.secret_filter import scan_secrets
 from trackloom.llm.substring_dedup import dedup_substrings
 from trackloom.llm.topk import exact_top_k
 from trackloom.llm.warc import read_archives, write_archives
@@ -38,6 +40,11 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@_query
+def op1_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_read(spark, sf_dir, "documents"))
+
+
 @_query
 def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(_read(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0)
@@ -130,6 +137,12 @@ FROM words LEFT JOIN kept USING (doc_id)
 """
 
 
+@_query
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "word", "piece", F.sha2("candidate", 256).alias("candidate_sha256"), F.round("score", 6).alias("score"), "is_secret")
+
+
 @_query
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(_read(spark, sf_dir, "documents"))
