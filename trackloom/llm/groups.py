@@ -33,37 +33,44 @@ def k64_of(keys: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(keys.to_pylist()), ">u8")[::2].astype(np.int64) if len(keys) else np.zeros(0, np.int64)
 
 
-def seeds(k: int) -> tuple[np.ndarray, np.ndarray]:
-    r = mix(np.arange(k, dtype=U), 11)
-    return (r >> U(32)).astype(np.uint32) | np.uint32(1), r.astype(np.uint32)
+def seeds(k: int) -> np.ndarray:
+    return (mix(np.arange(k, dtype=U), 11) >> U(32)).astype(np.uint32) | np.uint32(1)
 
 
-def min_hashes(x: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
-    """``k`` MinHash values of every stretch of ``x`` (64-bit hashes) that begins at ``starts``; none is empty."""
-    x = (x >> U(32)).astype(np.uint32)
-    a, b = seeds(k)
+def min_hashes(x: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int) -> np.ndarray:
+    """``k`` MinHash values of the stretches of ``x`` (well mixed 32-bit hashes) from ``starts`` to ``ends``.
+
+    Stretches are in order, don't overlap, and none is empty.  The permutations are products with odd numbers.
+    """
     out = np.empty((len(starts), k), np.uint32)
-    bounds = np.append(starts, len(x))
+    if not len(starts):
+        return out
+    odd = seeds(k)
     lo = 0
     while lo < len(starts):
-        hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + 32768, "right")) - 1)
-        y = x[bounds[lo] : bounds[hi]]
-        at, v = bounds[lo:hi] - bounds[lo], np.empty_like(y)
+        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + 32768, "right")))
+        y = x[starts[lo] : ends[hi - 1]]
+        # Every other range is the gap after a stretch; its value is left out.
+        at = np.stack([starts[lo:hi], ends[lo:hi]], axis=1).ravel()[:-1] - starts[lo]
+        joined = bool((starts[lo + 1 : hi] == ends[lo : hi - 1]).all())
+        at = at[::2] if joined else at
+        v = np.empty_like(y)
         for j in range(k):
-            np.multiply(y, a[j], out=v)
-            v += b[j]
-            out[lo:hi, j] = np.minimum.reduceat(v, at)
+            np.multiply(y, odd[j], out=v)
+            least = np.minimum.reduceat(v, at)
+            out[lo:hi, j] = least if joined else least[::2]
         lo = hi
     return out
 
 
 def band_hashes(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     out = np.empty((len(sig), bands), U)
+    factors = mix(np.arange(rows, dtype=U), 12) | U(1)
     for i in range(bands):
         h = np.full(len(sig), U(i + 1))
-        for j in range(i * rows, (i + 1) * rows):
-            h = mix(h ^ sig[:, j].astype(U))
-        out[:, i] = h
+        for j in range(rows):
+            h += (sig[:, i * rows + j].astype(U) + U(1)) * factors[j]
+        out[:, i] = mix(h, i)
     return out
 
 
@@ -125,40 +132,47 @@ def cells(packed: DataFrame, block: int = BLOCK) -> DataFrame:
     return packed.groupBy("shard").applyInArrow(buckets, "cell long, k64 long, side byte").distinct()
 
 
-def in_cells(rows: DataFrame, fn: Callable[[pa.Table], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """``fn`` over the rows of each ``cell``, one cell after the other within a task."""
+def in_cells(rows: DataFrame, fn: Callable[[pa.RecordBatch, list[int]], pa.RecordBatch], schema: str, piece: int = 4 << 20) -> DataFrame:
+    """``fn`` over runs of whole cells of about ``piece`` bytes: their rows, and where each cell begins and ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[pa.RecordBatch] = []
-        for t in _groups(batches, "cell"):
-            r = fn(t)
-            if r is not None and r.num_rows:
-                out.append(r)
-            if len(out) >= 256:
-                yield from pa.Table.from_batches(out).combine_chunks().to_batches()
-                out = []
-        if out:
-            yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if held and held[-1].column("cell")[-1].as_py() == b.column("cell")[0].as_py() and b.column("cell")[0] == b.column("cell")[-1]:
+                held.append(b)  # the cell may go on
+                continue
+            whole = _joined([*held, b])
+            last = _bounds(whole)[-2]
+            if last:
+                yield from _pieces(whole.slice(0, last), fn, piece)
+            held = [whole.slice(last)]
+        if held:
+            yield from _pieces(_joined(held), fn, piece)
 
     return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, schema)
 
 
-def _groups(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.Table]:
-    held: list[pa.RecordBatch] = []
-    last = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        v = b.column(name).to_numpy(zero_copy_only=False)
-        cuts = [0, *(np.flatnonzero(v[1:] != v[:-1]) + 1).tolist(), b.num_rows]
-        for i, j in zip(cuts, cuts[1:]):
-            if held and v[i] != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(b.slice(i, j - i))
-            last = v[i]
-    if held:
-        yield pa.Table.from_batches(held)
+def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return batches[0] if len(batches) == 1 else pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+
+
+def _bounds(b: pa.RecordBatch) -> list[int]:
+    v = b.column("cell").to_numpy(zero_copy_only=False)
+    return [0, *(np.flatnonzero(v[1:] != v[:-1]) + 1).tolist(), b.num_rows]
+
+
+def _pieces(b: pa.RecordBatch, fn: Callable[[pa.RecordBatch, list[int]], pa.RecordBatch], piece: int) -> Iterator[pa.RecordBatch]:
+    bounds = _bounds(b)
+    each = max(1, piece * b.num_rows // max(1, b.nbytes))  # rows of a piece, about
+    lo = 0
+    while lo < len(bounds) - 1:
+        hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + each, "right")) - 1)
+        found = fn(b.slice(bounds[lo], bounds[hi] - bounds[lo]), [x - bounds[lo] for x in bounds[lo : hi + 1]])
+        if found.num_rows:
+            yield found
+        lo = hi
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:

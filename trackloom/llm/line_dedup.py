@@ -39,66 +39,113 @@ from trackloom.llm.words import mix, slices, span_hashes, table, utf8
 from trackloom.plans.stages import stage
 
 MIN_CHARS, SHINGLE, THRESHOLD = 20, 5, 0.8
-#: 14 bands of 5 rows meet a pair at the threshold with probability 0.996, at 0.85 with 0.9997.
-BANDS, ROWS = 14, 5
+#: 18 bands of 6 rows meet a pair at the threshold with probability 0.996, at 0.85 with 0.9998.
+BANDS, ROWS = 18, 6
 NEWLINE = 10
 #: Bytes of text whose shingles are hashed at a time.
 _PIECE = 1 << 18
 
 
+#: Every byte counts as itself, in two ways.
+_CODES = mix(np.arange(256, dtype=U), 78), mix(np.arange(256, dtype=U), 79)
+
+
 class Lines:
     """Lines of consecutive documents: byte spans, document and number of each; only those that take part."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, min_chars: int):
-        is_start = (data & 0xC0) != 0x80
+        chars = np.zeros(len(data) + 1, np.int32)
+        np.cumsum((data & 0xC0) != 0x80, out=chars[1:])
         breaks = np.flatnonzero(data == NEWLINE)
         start = np.union1d(breaks + 1, offsets[:-1])
         start = start[start < len(data)]
-        end = np.append(start[1:], len(data))
-        end = end - (data[end - 1] == NEWLINE) if len(end) else end
+        end = np.append(start[1:], len(data))[: len(start)]
+        end = end - (data[end - 1] == NEWLINE)
         owner = np.searchsorted(offsets, start, "right") - 1
         first = np.searchsorted(start, offsets[owner])
-        chars = np.append(0, np.cumsum(is_start))
         long = chars[end] - chars[start] >= min_chars
-        self.data, self.is_start = data, is_start
+        self.data, self.chars = data, chars
         self.number = (np.arange(len(start)) - first)[long]
         self.start, self.end, self.owner = start[long], end[long], owner[long]
 
     def hashes(self) -> tuple[np.ndarray, np.ndarray]:
         """Two hashes of each line's bytes."""
-        h1, h2 = np.zeros(len(self.start), U), np.zeros(len(self.start), U)
-        for i, j, lo, hi in self._pieces(np.arange(len(self.start))):
-            code = ALL_BYTES[self.data[lo:hi]]
-            s, e = self.start[i:j] - lo, self.end[i:j] - lo
-            h1[i:j], h2[i:j] = span_hashes(code, s, e), span_hashes(mix(code, 3), s, e)
-        size = (self.end - self.start).astype(U)
-        return mix(h1 + size, 51), mix(h2 + size, 52)
-
-    def _pieces(self, chosen: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """Ranges of the chosen lines (in order) and the bytes that they span."""
+        found = []
+        for code in _CODES:
+            h = np.zeros(len(self.start), U)
+            for i, j, lo, hi in self._pieces():
+                h[i:j] = span_hashes(code[self.data[lo:hi]], self.start[i:j] - lo, self.end[i:j] - lo)
+            found.append(mix(h + (self.end - self.start).astype(U), 51))
+        return found[0], found[1]
+
+    def _pieces(self) -> Iterator[tuple[int, int, int, int]]:
+        """Ranges of lines and the bytes that they span."""
         i = 0
-        while i < len(chosen):
-            lo = int(self.start[chosen[i]])
-            j = max(i + 1, int(np.searchsorted(self.end[chosen], lo + _PIECE, "right")))
-            yield i, j, lo, int(self.end[chosen[j - 1]])
+        while i < len(self.start):
+            lo = int(self.start[i])
+            j = max(i + 1, int(np.searchsorted(self.end, lo + _PIECE, "right")))
+            yield i, j, lo, int(self.end[j - 1])
             i = j
 
-    def shingles(self, chosen: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For pieces of the chosen lines: their places in ``chosen``, all shingle hashes, each line's first."""
-        for i, j, lo, hi in self._pieces(chosen):
-            code = ALL_BYTES[self.data[lo:hi]]
-            at = np.append(np.flatnonzero(self.is_start[lo:hi]), hi - lo)
-            s = np.searchsorted(at, self.start[chosen[i:j]] - lo)
-            e = np.searchsorted(at, self.end[chosen[i:j]] - lo)
-            count = np.maximum(e - s - size + 1, 1)
-            first = np.cumsum(count) - count
-            c = np.arange(int(count.sum())) + np.repeat(s - first, count)
-            stop = np.minimum(c + size, np.repeat(e, count))
-            yield np.arange(i, j), mix(span_hashes(code, at[c], at[stop])), first
-
-
-#: Every byte counts as itself.
-ALL_BYTES = mix(np.arange(256, dtype=U), 78)
+    def _codes(self, lo: int, hi: int) -> np.ndarray:
+        return np.frombuffer(self.data[lo:hi].tobytes().decode().encode("utf-32-le"), np.uint32)
+
+    def _stretch(self, i: int, j: int, lo: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First character of each line, the end of its shingles, and which lines are shorter than a shingle."""
+        s, e = self.chars[self.start[i:j]] - self.chars[lo], self.chars[self.end[i:j]] - self.chars[lo]
+        return s, np.maximum(e - size, s) + 1, e - s < size
+
+    def signatures(self, chosen: np.ndarray, size: int, k: int) -> np.ndarray:
+        """MinHash values of the chosen lines' shingles."""
+        out = []
+        for i, j, lo, hi in self._pieces():
+            c = self._codes(lo, hi)
+            h = np.zeros(len(c), np.uint32)
+            for t in range(min(size, len(c))):
+                h[: len(c) - t] += c[t:] * _FACTORS[t]
+            h ^= h >> np.uint32(15)
+            h *= np.uint32(0x2C1B3C6D)
+            h ^= h >> np.uint32(12)
+            h *= np.uint32(0x297A2D39)
+            h ^= h >> np.uint32(15)
+            s, e, short = self._stretch(i, j, lo, size)
+            for n in np.flatnonzero(short):
+                h[s[n]] = _short_hash(c[s[n] : s[n] + self._length(i + n)])
+            own = chosen[i:j]
+            out.append(min_hashes(h, s[own], e[own], k))
+        return np.concatenate(out) if out else np.zeros((0, k), np.uint32)
+
+    def _length(self, line: int) -> int:
+        return int(self.chars[self.end[line]] - self.chars[self.start[line]])
+
+    def sets(self, size: int) -> list[np.ndarray]:
+        """Sorted distinct 64-bit hashes of each line's shingles."""
+        out: list[np.ndarray] = []
+        for i, j, lo, hi in self._pieces():
+            c = self._codes(lo, hi).astype(U)
+            h = np.zeros(len(c), U)
+            for t in range(min(size, len(c))):
+                h[: len(c) - t] += mix(c[t:], 80 + t)
+            h = mix(h, 79)
+            s, e, short = self._stretch(i, j, lo, size)
+            for n, (x, y) in enumerate(zip(s.tolist(), e.tolist())):
+                if short[n]:
+                    out.append(np.array([_short_hash(c[x : x + self._length(i + n)])], U))
+                    continue
+                v = np.sort(h[x:y])
+                fresh = np.empty(len(v), bool)
+                fresh[0] = True
+                np.not_equal(v[1:], v[:-1], out=fresh[1:])
+                out.append(v[fresh])
+        return out
+
+
+_FACTORS = (mix(np.arange(64, dtype=U), 81) >> U(32)).astype(np.uint32) | np.uint32(1)
+
+
+def _short_hash(codes: np.ndarray) -> int:
+    """One number for a line shorter than a shingle."""
+    return int(mix(np.array([sum(int(x) * 31**n for n, x in enumerate(codes.tolist())) % 2**61]), 82)[0] >> U(32))
 
 
 def _occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -117,14 +164,14 @@ def _packed(docs: DataFrame, min_chars: int, shingle: int, shards: int) -> DataF
     """Band hashes of the lines, one for each content within a piece."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", 8 << 20):
+        for b in slices(batches, "text"):
             x = Lines(*utf8(b.column("text")), min_chars)
             k64 = x.hashes()[0].view(np.int64)
-            chosen = np.sort(np.unique(k64, return_index=True)[1])
-            bands = [band_hashes(min_hashes(h, first, BANDS * ROWS), BANDS, ROWS) for _, h, first in x.shingles(chosen, shingle)]
-            if bands:
-                rows = list(pack(k64[chosen], np.concatenate(bands), shards))
-                yield table({"shard": [r[0] for r in rows], "hashes": [r[1] for r in rows], "items": [r[2] for r in rows]}, types)
+            chosen = np.zeros(len(k64), bool)
+            chosen[np.unique(k64, return_index=True)[1]] = True
+            bands = band_hashes(x.signatures(chosen, shingle, BANDS * ROWS), BANDS, ROWS)
+            rows = list(pack(k64[chosen], bands, shards))
+            yield table({"shard": [r[0] for r in rows], "hashes": [r[1] for r in rows], "items": [r[2] for r in rows]}, types)
 
     types = {"shard": pa.int32(), "hashes": pa.binary(), "items": pa.binary()}
     return docs.mapInArrow(scan, "shard int, hashes binary, items binary")
@@ -135,7 +182,7 @@ def _contents(docs: DataFrame, bits: np.ndarray, min_chars: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", 8 << 20):
+        for b in slices(batches, "text"):
             x = Lines(*utf8(b.column("text")), min_chars)
             h1, h2 = x.hashes()
             k64 = h1.view(np.int64)
@@ -150,22 +197,21 @@ def _contents(docs: DataFrame, bits: np.ndarray, min_chars: int) -> DataFrame:
 
 
 def _links(shingle: int, threshold: float):
-    def run(t: pa.Table) -> pa.RecordBatch | None:
-        t = t.combine_chunks()
-        keys, side = t.column("key").to_pylist(), t.column("side").to_numpy()
-        content = t.column("content").to_pylist()
-        ends = np.cumsum([len(c) for c in content])
-        data = np.frombuffer(b"".join(content), np.uint8)
-        x = Lines(data, np.append(0, ends), 0)  # a content holds no line break: each is one line
-        sets: list[np.ndarray] = []
-        for _, h, first in x.shingles(np.arange(len(content)), shingle):
-            sets += [np.unique(h[i:j]) for i, j in zip(first, np.append(first[1:], len(h)))]
-        linked = similar(sets, threshold)
-        if side.any():
-            linked &= side[:, None] != side[None, :]
-        root = roots(linked)
-        moved = np.flatnonzero(root != np.arange(len(root)))
-        return table({"a": [keys[i] for i in moved], "b": [keys[root[i]] for i in moved]}, {"a": pa.binary(), "b": pa.binary()})
+    def run(b: pa.RecordBatch, bounds: list[int]) -> pa.RecordBatch:
+        keys, side, content = b.column("key").to_pylist(), b.column("side").to_numpy(), b.column("content").to_pylist()
+        offsets = np.append(0, np.cumsum([len(c) for c in content]))
+        # A content holds no line break, so each is one line.
+        sets = Lines(np.frombuffer(b"".join(content), np.uint8), offsets, 1).sets(shingle)
+        first, second = [], []
+        for i, j in zip(bounds, bounds[1:]):
+            linked = similar(sets[i:j], threshold)
+            if side[i:j].any():
+                linked &= side[i:j, None] != side[None, i:j]
+            root = roots(linked)
+            for k in np.flatnonzero(root != np.arange(j - i)).tolist():
+                first.append(keys[i + k])
+                second.append(keys[i + int(root[k])])
+        return table({"a": first, "b": second}, {"a": pa.binary(), "b": pa.binary()})
 
     return run
 
@@ -184,7 +230,7 @@ def repeated_lines(
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).dropna()
     places = stage(_occurrences(rows, min_chars), "line-places")
     texts = rows.select("text")
-    found = stage(cells(_packed(texts, min_chars, shingle, shards_for(rows.count(), 2_000))), "line-cells")
+    found = stage(cells(_packed(texts, min_chars, shingle, shards_for(docs.count(), 2_000))), "line-cells")
     contents = _contents(texts, bloom.bit_map(found.select("k64").distinct()), min_chars)
     links = in_cells(found.join(contents, "k64"), _links(shingle, threshold), "a binary, b binary")
     named = stage(components(links, "line-links"), "line-components")

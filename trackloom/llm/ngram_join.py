@@ -115,9 +115,10 @@ def _signed(rows: DataFrame, n: int) -> DataFrame:
             first = np.zeros(len(full), bool)
             first[np.unique(np.array(keys, "V16"), return_index=True)[1]] = True
             lead = [sets[d] for d in full[first]]
-            starts = np.cumsum([0, *(len(s) for s in lead)])[:-1]
+            ends = np.cumsum([len(s) for s in lead])
+            starts = ends - [len(s) for s in lead]
             sig: list[bytes | None] = [None] * len(full)
-            for i, row in zip(np.flatnonzero(first), min_hashes(np.concatenate(lead), starts, HASHES)):
+            for i, row in zip(np.flatnonzero(first), min_hashes((np.concatenate(lead) >> U(32)).astype(np.uint32), starts, ends, HASHES)):
                 sig[i] = row.tobytes()
             yield table({"doc_id": b.column("doc_id").take(pa.array(full)), "key": keys, "sig": sig}, types)
 
@@ -165,7 +166,7 @@ def similar_documents(
     signed = stage(_signed(rows, n), "ngram-signed")
     classes = stage(signed.groupBy("key").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("size")), "ngram-classes")
 
-    found = stage(cells(_packed(signed, shards_for(rows.count(), 20_000))), "ngram-cells")
+    found = stage(cells(_packed(signed, shards_for(docs.count(), 20_000))), "ngram-cells")
     wanted = found.select("k64").distinct()
     values = signed.select("key", "sig").where("sig IS NOT NULL").withColumn("k64", _k64())
     values = values.join(wanted, "k64", "left_semi").groupBy("key", "k64").agg(F.first("sig").alias("sig"))
@@ -198,12 +199,14 @@ def _without_set(rows: DataFrame) -> DataFrame:
 
 
 def _prune(threshold: float, tolerance: float):
-    def run(t: pa.Table) -> pa.RecordBatch | None:
-        t = t.combine_chunks()
-        keys = t.column("key").to_pylist()
-        linked = surviving(_matrix(t.column("sig")), t.column("side").to_numpy(), threshold, tolerance)
-        a, b = _stars(keys, linked)
-        return table({"a": a, "b": b}, {"a": pa.binary(), "b": pa.binary()})
+    def run(b: pa.RecordBatch, bounds: list[int]) -> pa.RecordBatch:
+        keys, sig, side = b.column("key").to_pylist(), _matrix(b.column("sig")), b.column("side").to_numpy()
+        first, second = [], []
+        for i, j in zip(bounds, bounds[1:]):
+            x, y = _stars(keys[i:j], surviving(sig[i:j], side[i:j], threshold, tolerance))
+            first += x
+            second += y
+        return table({"a": first, "b": second}, {"a": pa.binary(), "b": pa.binary()})
 
     return run
 
@@ -233,14 +236,17 @@ def _verified(rows: DataFrame, clusters: DataFrame, classes: DataFrame, n: int,
     low, high = F.least("own", "other"), F.greatest("own", "other")
     spread = spread.select(F.xxhash64("root", low, high).alias("cell"), "key", "size", "items", F.when(F.col("own") > F.col("other"), 1).otherwise(0).cast("byte").alias("side"))
 
-    def run(t: pa.Table) -> pa.RecordBatch | None:
-        t = t.combine_chunks()
-        side, size = t.column("side").to_numpy(), t.column("size").to_numpy()
-        linked = similar([np.frombuffer(x, U) for x in t.column("items").to_pylist()], threshold)
-        if side.any():
-            linked &= side[:, None] != side[None, :]
-        keys, root = t.column("key").to_pylist(), roots(linked)
-        return table({"key": keys, "links": linked @ size, "root": [keys[i] for i in root]}, {"key": pa.binary(), "links": pa.int64(), "root": pa.binary()})
+    def run(b: pa.RecordBatch, bounds: list[int]) -> pa.RecordBatch:
+        side, size, keys = b.column("side").to_numpy(), b.column("size").to_numpy(), b.column("key").to_pylist()
+        sets = [np.frombuffer(x, U) for x in b.column("items").to_pylist()]
+        links, root = [], []
+        for i, j in zip(bounds, bounds[1:]):
+            linked = similar(sets[i:j], threshold)
+            if side[i:j].any():
+                linked &= side[i:j, None] != side[None, i:j]
+            links += (linked @ size[i:j]).tolist()
+            root += [keys[i + k] for k in roots(linked)]
+        return table({"key": keys, "links": links, "root": root}, {"key": pa.binary(), "links": pa.int64(), "root": pa.binary()})
 
     return in_cells(spread, run, "key binary, links long, root binary").where("links > 0")
 
