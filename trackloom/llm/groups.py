@@ -119,12 +119,12 @@ def cells(packed: DataFrame, block: int = BLOCK) -> DataFrame:
             out.append((np.repeat(c, z), k[at], np.zeros(len(at), np.int8)))
             for lo, n in zip(starts[~small].tolist(), sizes[~small].tolist()):
                 parts = [slice(i, min(i + block, lo + n)) for i in range(lo, lo + n, block)]
-                names = [mix(np.array([m[p].sum()]), 23)[0] for p in parts]
+                names = mix(np.array([m[p].sum() for p in parts]), 23)
                 for i, p in enumerate(parts):
                     out.append((np.full(p.stop - p.start, names[i]), k[p], np.zeros(p.stop - p.start, np.int8)))
                     for j in range(i + 1, len(parts)):
                         q = parts[j]
-                        cell = mix(np.array([names[i] * U(3) + names[j]]), 24)[0]
+                        cell = mix(names[i : i + 1] * U(3) + names[j : j + 1], 24)[0]
                         out.append((np.full(p.stop - p.start + q.stop - q.start, cell), np.append(k[p], k[q]), np.repeat(np.array([0, 1], np.int8), [p.stop - p.start, q.stop - q.start])))
         cat = lambda i, kind: np.concatenate([o[i] for o in out]) if out else np.zeros(0, kind)
         return pa.table({"cell": cat(0, U).view(np.int64), "k64": cat(1, np.int64), "side": cat(2, np.int8)})

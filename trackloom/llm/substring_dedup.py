@@ -12,7 +12,7 @@ loses no window; its number of shards follows the size of the input.
 
 Second pass, exact: only windows at those places are hashed to 96 bits and grouped.  Within a piece, a
 window that a smaller document of the same piece holds is settled at once; what is left goes to the shard
-of its hash, which settles the rest.  So a passage of many documents reaches a shard once for each piece.
+of its minimiser, which settles the rest.  So a passage of many documents reaches a shard once for each piece.
 
 Defined results: null text has no words; rows without an id stay as they are; rows with equal ids are one
 document to each other (neither removes the other's words), each judged by its own text.  The result
@@ -179,12 +179,13 @@ def _places_by_row(doc: np.ndarray, rid: np.ndarray, at: np.ndarray) -> Iterator
         yield int(doc[i]), int(rid[i]), at[i:j].tobytes()
 
 
-def _window_piece(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray, rid: np.ndarray, at: np.ndarray, shards: int) -> pa.RecordBatch:
+def _window_piece(m: np.ndarray, h1: np.ndarray, h2: np.ndarray, doc: np.ndarray, rid: np.ndarray, at: np.ndarray, shards: int) -> pa.RecordBatch:
     order, gone = _settle(h1, h2, doc)
-    h1, h2, doc, rid, at = (x[order] for x in (h1, h2, doc, rid, at))
+    m, h1, h2, doc, rid, at = (x[order] for x in (m, h1, h2, doc, rid, at))
     rows: list[tuple] = [(r % shards, d, r, p, None, None, None, None, None) for d, r, p in _places_by_row(doc[gone], rid[gone], at[gone])]
-    h1, h2, doc, rid, at = (x[~gone] for x in (h1, h2, doc, rid, at))
-    shard = (mix(h1, 64) % U(shards)).astype(np.int32)
+    m, h1, h2, doc, rid, at = (x[~gone] for x in (m, h1, h2, doc, rid, at))
+    # Equal windows have equal minimisers, and neighbours mostly share theirs: a row reaches few shards.
+    shard = (mix(m, 64) % U(shards)).astype(np.int32)
     order, ranges = _by_group(shard)
     for i, j in ranges:
         o = order[i:j]
@@ -229,7 +230,8 @@ def repeated_windows(rows: DataFrame, estimated: DataFrame, window: int, shards:
             chosen = _chosen(w, b.column("spans").to_pylist(), window)
             doc = np.searchsorted(w.first, at[chosen], "right") - 1
             ids, rids = (b.column(c).to_numpy(zero_copy_only=False)[doc] for c in ("doc_id", "rid"))
-            held.append((h1[chosen], (h2[chosen] >> U(32)).astype(np.uint32), ids, rids, at[chosen] - w.first[doc]))
+            m, _, _, n = minimisers(w, window)
+            held.append((np.repeat(m, n)[chosen], h1[chosen], (h2[chosen] >> U(32)).astype(np.uint32), ids, rids, at[chosen] - w.first[doc]))
             if sum(len(h[0]) for h in held) >= piece:
                 yield _window_piece(*map(np.concatenate, zip(*held)), shards)
                 held = []
