@@ -47,6 +47,10 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()
+        #: Ids that begin with a blank, as byte-level vocabularies write it.
+        self.blank_first = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.blank_first[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
         self.known: dict[str, bytes | None] = {}
 
     @classmethod
@@ -59,6 +63,20 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
+    def _ids_after_blank(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces without blanks, each after one blank: many at a time, cut where a blank begins."""
+        out: list[bytes] = []
+        for i in range(0, len(pieces), 2000):
+            part = pieces[i : i + 2000]
+            raw = self._ids([" " + " ".join(part)])[0]
+            cut = np.flatnonzero(self.blank_first[np.frombuffer(raw, "<u4")])
+            if len(cut) == len(part):
+                at = (4 * cut).tolist()
+                out += [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)])]
+            else:
+                out += self._ids([" " + x for x in part])
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [t.split(" ") for t in texts]
         known = self.known
@@ -68,24 +86,18 @@ class Encoder:
         new = [x for x in new if x not in known]
         # A piece without text, or that begins with white space, belongs to a run of white space.
         plain = [x for x in new if x and not x[0].isspace()]
-        fresh = dict(zip(plain, self._ids([" " + x for x in plain])))
-        fresh.update((x, None) for x in new if not x or x[0].isspace())
-        room = REMEMBERED - len(known)
-        if len(fresh) <= room:
-            known.update(fresh)
-            look = known.__getitem__
-        else:
-            look = lambda x: known[x] if x in known else fresh[x]
+        known.update(zip(plain, self._ids_after_blank(plain)))
+        known.update((x, None) for x in new if not x or x[0].isspace())
         heads = self._ids([p[0] for p in parts])
         out: list[bytes] = []
         for head, p, text in zip(heads, parts, texts):
-            found = list(map(look, p[1:]))
+            found = list(map(known.__getitem__, p[1:]))
             if None in found:
                 found = self._ids(_SPACE_BEFORE_TEXT.split(text))
                 head = b""
             out.append(head + b"".join(found))
-        if len(fresh) > room > 0:
-            known.update(list(fresh.items())[:room])
+        for x in new[: max(0, len(known) - REMEMBERED)]:
+            del known[x]
         return out
 
 
