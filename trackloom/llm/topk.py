@@ -10,7 +10,7 @@ where it is the bound from the start.  Queries meet shards in cells of a shard a
 task holds one shard and at most about ``GROUP`` queries; a cell returns k rows per query at most.
 
 Defined results: rows whose id or vector is null, or whose vector has a null or non-finite component, take
-no part; vectors meet those of equal length; of rows that share an id the smallest vector counts; a row
+no part; scores must fit 64 bits; vectors meet those of equal length; of rows that share an id the smallest vector counts; a row
 never meets its own id; ties go to the smaller id; fewer than k candidates give fewer rows.
 """
 
