@@ -146,8 +146,8 @@ register(
 register(
     "f2_sorted_points",
     f"{K} frame:i search_x:d",
-    lambda s, d: V.points(s, d).orderBy("trajectory", "frame"),
-    sql_with("fx_points", "SELECT * FROM fx_points ORDER BY trajectory, frame"),
+    lambda s, d: P.ordered(V.points(s, d)),
+    sql_with("fx_points", "SELECT * FROM fx_points ORDER BY movie, trajectory, frame"),
 )
 
 HIST = f"""

@@ -14,15 +14,23 @@ from trackloom.plans.stages import stage
 
 TK = "kymo:l track:l"
 
-CLEAN = """
-SELECT kymo, track, t, x, 5 - t AS y FROM (
+# Nodes reach frame 8, so a movie of nine frames holds them all.
+FRAMES = 9
+_CLEAN = """
+SELECT kymo, track, t, x, {last} - t AS y FROM (
   SELECT *, count(*) OVER (PARTITION BY track) AS n FROM (
-    SELECT kymo, track, CAST(round_even(t, 0) AS INT) AS t, arg_min(x, pos) AS x FROM fx_track_nodes
-    WHERE round_even(t, 0) BETWEEN 0 AND 5 GROUP BY ALL) o) c WHERE n >= 2"""
+    SELECT kymo, track, CAST(round_even(t, 0) AS INT) AS t, arg_min(x, pos) AS x FROM {nodes}
+    WHERE round_even(t, 0) BETWEEN 0 AND {last} GROUP BY ALL) o) c WHERE n >= 2"""
+CLEAN = _CLEAN.format(nodes="fx_track_nodes", last=FRAMES - 1)
 
 
 def clean(s, d):
-    return K.clean_track_nodes(V.track_nodes(s, d), 6)
+    return K.clean_track_nodes(V.track_nodes(s, d), FRAMES)
+
+
+def _outside(s, d):
+    """Nodes of which some lie before the first frame and some behind the last one."""
+    return V.track_nodes(s, d).withColumn("t", F.col("t") * 2 - 3)
 
 
 def stored(s, d):
@@ -33,8 +41,8 @@ def stored(s, d):
 register(
     "b8_clean_track_nodes",
     f"{TK} t:i x:d y:i",
-    clean,
-    sql_with("fx_track_nodes", CLEAN),
+    lambda s, d: K.clean_track_nodes(_outside(s, d), FRAMES),
+    sql_with("fx_track_nodes", _CLEAN.format(nodes="outside", last=FRAMES - 1), outside="SELECT * REPLACE (t * 2 - 3 AS t) FROM fx_track_nodes"),
 )
 register(
     "b9_filter_tracks",
@@ -236,16 +244,16 @@ register(
 register(
     "g4_union_of_passes",
     f"{TK} score:d mode:s",
-    lambda s, d: _modes(s, d).where("mode = 'strict'").unionByName(_modes(s, d).where("mode <> 'strict'")),
+    lambda s, d: K.union_of_passes({m: _modes(s, d).where(F.col("mode") == m).drop("mode") for m in ("strict", "recover", "rescue")}),
     sql_with("fx_tracks", MODES),
 )
 register(
     "i9_path_mask",
     "kymo:l t:i x:i",
-    lambda s, d: K.path_mask(clean(s, d), 6, 50),
+    lambda s, d: K.path_mask(clean(s, d), FRAMES, 51),
     sql_with(
         "fx_track_nodes",
-        f"""SELECT DISTINCT kymo, t, x FROM (SELECT kymo, t, CAST(x AS INT) + unnest([-1, 0, 1]) AS x FROM ({CLEAN}) c) m WHERE x BETWEEN 0 AND 49""",
+        f"""SELECT DISTINCT kymo, t, x FROM (SELECT kymo, t, CAST(x AS INT) + unnest([-1, 0, 1]) AS x FROM ({CLEAN}) c) m WHERE x BETWEEN 0 AND 50""",
     ),
 )
 

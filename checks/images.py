@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks import views as V
@@ -11,6 +13,8 @@ from trackloom.config import Params
 from trackloom.operators import measure as S
 from trackloom.operators import pixels as X
 from trackloom.operators import rois as R
+from trackloom.plans.stages import shared_folder
+from trackloom.sources.tables import read_pixels, write_pixels
 
 PX = "movie:s channel:i frame:i y:i x:i v:d"
 WK = "movie:s channel:i frame:i trajectory:l"
@@ -21,7 +25,20 @@ SELECT w.*, p.y, p.x, p.v FROM fx_windows w JOIN fx_pixels p
   AND p.x >= round_even(search_x, 0) - {R6} AND p.x < round_even(search_x, 0) + {R6}
   AND p.y >= round_even(search_y, 0) - {R6} AND p.y < round_even(search_y, 0) + {R6}"""
 
-register("a1_read_pixels", PX, lambda s, d: V.pixels(s, d).where("channel = 1"), sql_with("fx_pixels", "SELECT * FROM fx_pixels WHERE channel = 1"))
+
+def _stored_pixels(s, d):
+    """The pixels written by movie and channel, as the reader expects them."""
+    path = f"{shared_folder(s)}/trackloom/pixels-{uuid.uuid4().hex}"
+    write_pixels(V.pixels(s, d), path)
+    return path
+
+
+register(
+    "a1_read_pixels",
+    PX,
+    lambda s, d: read_pixels(s, _stored_pixels(s, d), channel=1, frames=(1, 4)),
+    sql_with("fx_pixels", "SELECT * FROM fx_pixels WHERE channel = 1 AND frame BETWEEN 1 AND 4"),
+)
 register(
     "a2_explode_frames",
     "vec_id:l y:i x:i v:d",

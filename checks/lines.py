@@ -270,16 +270,16 @@ register(
            JOIN fx_rois g ON g.roi = t.trajectory JOIN fx_rois r ON r.movie = g.movie AND r.x = g.x AND r.y = g.y""",
     ),
 )
+ROI_KEY = """
+SELECT movie, roi, concat('{"type":"', type, '","x":[', array_to_string(list_transform(x, lambda v: CAST(v AS VARCHAR)), ','),
+  '],"y":[', array_to_string(list_transform(y, lambda v: CAST(v AS VARCHAR)), ','), '],"points":[',
+  array_to_string(list_transform(range(1, len(x) + 1), lambda i: concat('{"x":', CAST(x[i] AS VARCHAR), ',"y":', CAST(y[i] AS VARCHAR), '}')), ','), ']}') AS key
+FROM fx_rois"""
 register(
     "h5_roi_key",
-    "movie:s roi:l vertices:s",
-    lambda s, d: V.rois(s, d).select(
-        "movie",
-        "roi",
-        F.transform("x", lambda v: v.cast("int")).cast("string").alias("vertices"),
-        H.roi_key(F.col("type"), F.col("x"), F.col("y")).alias("_k"),
-    ).where(F.get_json_object("_k", "$.type") == "polyline"),
-    sql_with("fx_rois", "SELECT movie, roi, CAST(CAST(x AS INT[]) AS VARCHAR) AS vertices FROM fx_rois"),
+    "movie:s roi:l key:s",
+    lambda s, d: V.rois(s, d).select("movie", "roi", H.roi_key(F.col("type"), F.col("x"), F.col("y")).alias("key")),
+    sql_with("fx_rois", ROI_KEY),
 )
 register(
     "g1_empty_rois",
@@ -287,13 +287,20 @@ register(
     lambda s, d: R.empty_rois(V.rois(s, d), V.points(s, d).withColumn("roi", F.col("trajectory"))),
     sql_with("fx_rois fx_points", "SELECT movie, roi FROM fx_rois WHERE roi NOT IN (SELECT trajectory FROM fx_points)"),
 )
+def _repeated(s, d):
+    """Every line of the first drawing, and every third one drawn again later."""
+    r = V.rois(s, d).withColumn("seen", F.col("roi"))
+    return r.unionByName(r.where("roi % 3 = 0").withColumn("seen", F.col("roi") + 1_000_000))
+
+
 register(
     "g3_distinct_rois",
-    "movie:s x0:d first_seen:l",
-    lambda s, d: R.distinct_rois(
-        V.rois(s, d).withColumns({"x": F.slice("x", 1, 1), "y": F.slice("y", 1, 0)}), "roi"
-    ).withColumn("x0", F.col("x")[0]),
-    sql_with("fx_rois", "SELECT movie, x[1] AS x0, min(roi) AS first_seen FROM fx_rois GROUP BY ALL"),
+    "movie:s x:s y:s first_seen:l",
+    lambda s, d: R.distinct_rois(_repeated(s, d), "seen").select("movie", *[F.transform(c, lambda v: v.cast("int")).cast("string").alias(c) for c in "xy"], "first_seen"),
+    sql_with(
+        "fx_rois",
+        """SELECT movie, CAST(CAST(x AS INT[]) AS VARCHAR) AS x, CAST(CAST(y AS INT[]) AS VARCHAR) AS y, min(roi) AS first_seen FROM fx_rois GROUP BY movie, fx_rois.x, fx_rois.y""",
+    ),
 )
 register(
     "h4_invert_rois",

@@ -80,6 +80,19 @@ register(
             FULL JOIN (SELECT DISTINCT movie, trajectory, 1 AS segment, 0.5 AS d FROM fx_nodes) c USING (movie, trajectory, segment)""",
     ),
 )
+register(
+    "b11_classify_points_segment_d",
+    f"{K} frame:i segment:i status:s",
+    lambda s, d: P.classify_points(in_segment_rows(V.points(s, d), V.nodes(s, d)), "segment_d", _seg_fit(s, d)),
+    sql_with(
+        "fx_nodes fx_movies",
+        f"""SELECT p.movie, p.trajectory, p.frame, s.segment, CASE WHEN v IS NULL THEN 'N/A' WHEN v < 0.01 THEN 'D < 0.01 μm²/s'
+              WHEN v < 0.1 THEN '0.01–0.1 μm²/s' WHEN v < 1 THEN '0.1–1 μm²/s' ELSE 'D ≥ 1 μm²/s' END AS status
+            FROM fx_points p JOIN ({SEGMENTS}) s ON s.trajectory = p.trajectory AND p.frame BETWEEN s.start_frame AND s.end_frame
+            LEFT JOIN (SELECT trajectory, segment, d_um2_s AS v FROM ({fit_sql(msd_sql(SEG_FITS, G3, 4, 2), G3)}) q) f
+              ON f.trajectory = p.trajectory AND f.segment = s.segment""",
+    ),
+)
 register(
     "b11_classify_points_segment_alpha",
     f"{K} frame:i segment:i status:s",

@@ -198,6 +198,18 @@ register(
     ),
 )
 
+register(
+    "b11_classify_points_binary",
+    f"{K} frame:i status:s",
+    lambda s, d: P.classify_points(V.points(s, d).withColumn("mark", F.when(F.col("tag") == "click", " x ").when(F.col("tag") == "view", " ")), "binary"),
+    sql_with("fx_points", "SELECT *, CASE WHEN tag = 'click' THEN 'marked' ELSE 'unmarked' END AS status FROM fx_points"),
+)
+register(
+    "b11_classify_points_value",
+    f"{K} frame:i status:s",
+    lambda s, d: P.classify_points(V.points(s, d).withColumn("value", F.when(F.col("tag") == "view", "").otherwise(F.nullif("tag", F.lit("click")))), "value"),
+    sql_with("fx_points", "SELECT *, CASE WHEN tag IN ('view', 'click') THEN 'none' ELSE tag END AS status FROM fx_points"),
+)
 register(
     "d21_trace_stats",
     f"{K} mean_intensity:d median_intensity:d",

@@ -1,8 +1,8 @@
 """Existence of a near neighbour, as a cell-bucketed semi join.
 
-Cells have side 0.7 r, so two places in one cell are always closer than r and a
-place can only be near places of the 5 x 5 cells around it.  The semi join
-stops at the first hit, so no pairs are produced.
+Cells have side 2.5 r, so a place is copied to the one to four cells that its
+circle touches (2.9 on average).  The semi join stops at the first hit, so no
+pairs are produced.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_SIDE = 0.7
+_SIDE = 2.5
 
 
 def _cell(c: Column, r: float) -> Column:
@@ -36,14 +36,11 @@ def near_any(
     """
     side = _SIDE * r
     px, py = F.col(xy[0]), F.col(xy[1])
-    near = F.explode(F.sequence(F.lit(-2), F.lit(2)))
-    grid = (
-        places.where(px.isNotNull() & py.isNotNull())
-        .withColumn("_dx", near)
-        .withColumn("_dy", near)
-        .withColumn("_cx", _cell(px, r) + F.col("_dx"))
-        .withColumn("_cy", _cell(py, r) + F.col("_dy"))
-    )
+
+    def cells(c: Column) -> Column:
+        return F.explode(F.sequence(_cell(c - r, r), _cell(c + r, r)))
+
+    grid = places.where(px.isNotNull() & py.isNotNull()).withColumn("_cx", cells(px)).withColumn("_cy", cells(py))
 
     def gap(c: Column, cell: Column) -> Column:
         return F.greatest(F.lit(0.0), cell * side - c, c - (cell + 1) * side)

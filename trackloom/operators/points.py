@@ -157,6 +157,11 @@ def trace_stats(points: DataFrame) -> DataFrame:
     return mean.join(exact_percentiles(points, KEY, "intensity", {"median_intensity": 0.5}), KEY, "left")
 
 
+def ordered(points: DataFrame) -> DataFrame:
+    """Points by movie, trajectory and frame, for a table that people read."""
+    return points.orderBy(*KEY, "frame")
+
+
 def realign(points: DataFrame, frames: DataFrame) -> DataFrame:
     """Recomputed points on the old frame list; frames without a result give NULLs."""
     return frames.select(*KEY, "frame").join(points, [*KEY, "frame"], "left")

@@ -15,9 +15,9 @@ def one_per_frame(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy(*KEY, "frame").agg(F.min(at).alias("_a")).select(*KEY, "frame", "_a.x", "_a.y")
 
 
-def dedupe_nodes(nodes: DataFrame, order: str = "frame", tile: int = TILE) -> DataFrame:
-    """Drop a node that repeats the previous one."""
-    cols = [c for c in nodes.columns if c not in KEY and c != "pos"]
+def dedupe_nodes(nodes: DataFrame, order: str, tile: int = TILE) -> DataFrame:
+    """Drop a node that repeats the previous one; ``order`` is unique within a trajectory."""
+    cols = [c for c in nodes.columns if c == "frame" or c not in (*KEY, "pos", order)]
     named = {f"_p_{c}": c for c in cols}
     out = nearest(nodes, KEY, order, prev={**named, "_seen": order}, tile=tile)
     same = F.col("_seen").isNotNull()

@@ -46,12 +46,18 @@ def forget_centres(past: DataFrame, centres: DataFrame, r: float = 6.0) -> DataF
     return past.join(gone, ids, "left_anti")
 
 
-def coloc_flags(points: DataFrame, spots: DataFrame, n_channels: int, r: float = 4.0) -> DataFrame:
-    """Yes / No per point and other channel, NULL for unfitted points.
+def coloc_flags(points: DataFrame, spots: DataFrame, n_channels: int | DataFrame, r: float = 4.0) -> DataFrame:
+    """Yes / No per point and other channel of its movie, NULL for unfitted points.
 
-    ``spots`` holds movie, channel, frame, spot_x, spot_y of every channel.
+    ``spots`` holds movie, channel, frame, spot_x, spot_y of every channel;
+    ``n_channels`` is one number or a table (movie, n_channels).
     """
-    others = F.sequence(F.lit(1), F.lit(n_channels))
+    if isinstance(n_channels, DataFrame):
+        points = points.drop("n_channels").join(n_channels.select("movie", "n_channels"), "movie")
+        last = F.col("n_channels")
+    else:
+        last = F.lit(n_channels)
+    others = F.sequence(F.lit(1), last)
     long = points.select(*_ROW, "channel", *_SPOT, F.explode(others).alias("target")).where("target <> channel")
     cand = spots.select("movie", "frame", F.col("channel").alias("target"), *_SPOT)
     hits = near_any(long, cand, ["movie", "frame", "target"], r, [*_ROW, "target"], xy=_SPOT)

@@ -7,7 +7,8 @@ here from the meaning of their parameters.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -40,7 +41,7 @@ def with_confidence(tracks: DataFrame) -> DataFrame:
     return tracks.withColumn("confidence", F.greatest(F.lit(0.0), F.least(F.lit(1.0), p)))
 
 
-def filter_tracks(tracks: DataFrame, threshold: float) -> DataFrame:
+def filter_tracks(tracks: DataFrame, threshold: float = FinderParams.prob_thresh) -> DataFrame:
     """Tracks that are not deleted and confident enough."""
     kept = ~F.coalesce("deleted", F.lit(False)) if "deleted" in tracks.columns else F.lit(True)
     return with_confidence(tracks).where(kept & (F.col("confidence") >= threshold))
@@ -106,7 +107,8 @@ def track_set_quality(tracks: DataFrame, group: Sequence[str] = ("kymo",)) -> Da
     def top(col: str, name: str) -> DataFrame:
         # The rank limit keeps at most four rows per group on every task before the shuffle.
         w = W.partitionBy(*group).orderBy(F.col(col).desc_nulls_last())
-        best = tracks.select(*group, col).withColumn("_r", F.row_number().over(w)).where("_r <= 4")
+        value = F.coalesce(F.when(~F.isnan(col), F.col(col)), F.lit(0.0)).alias(col)
+        best = tracks.select(*group, value).withColumn("_r", F.row_number().over(w)).where("_r <= 4")
         return best.groupBy(*group).agg(F.sum(col).alias(name), F.max(col).alias(f"{name}_max"))
 
     n = tracks.groupBy(*group).agg(F.count(F.lit(1)).alias("tracks"))
@@ -159,6 +161,12 @@ def select_passes(tracks: DataFrame, max_tracks: int = 12, min_mean_prob: float
     return out.select("kymo", "mode", "tracks", "quality", "median_prob", used.alias("used"))
 
 
+def union_of_passes(passes: Mapping[str, DataFrame]) -> DataFrame:
+    """Tracks of several passes in one table that tells the pass in ``mode``."""
+    named = [tracks.withColumn("mode", F.lit(mode)) for mode, tracks in passes.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named)
+
+
 def _near_pairs(a: DataFrame, b: DataFrame, reach: float, extra: Column | None = None) -> DataFrame:
     """Pairs of tracks with a node closer than ``reach`` on some shared frame.
 
@@ -240,7 +248,9 @@ def stage_fates(premerge: DataFrame, post_merge: DataFrame, post_extend: DataFra
     return out.select(*ID, fate.alias("fate"))
 
 
-def dedupe_tracks(nodes: DataFrame, tracks: DataFrame, max_dx: float = 1.3, min_overlap: float = 0.65) -> DataFrame:
+def dedupe_tracks(
+    nodes: DataFrame, tracks: DataFrame, max_dx: float = FinderParams.strict_dx, min_overlap: float = FinderParams.strict_overlap
+) -> DataFrame:
     """Tracks without those that a better one (score, then smaller id) duplicates.
 
     One round: a track is dropped by any better duplicate, itself dropped or not,
@@ -258,11 +268,14 @@ def dedupe_tracks(nodes: DataFrame, tracks: DataFrame, max_dx: float = 1.3, min_
 
 def merge_track_sets(
     sets: Sequence[tuple[DataFrame, DataFrame]],
-    max_tracks: int = 240,
-    max_dx: float = 1.3,
-    min_overlap: float = 0.65,
+    max_tracks: int | None = FinderParams.max_tracks,
+    max_dx: float = FinderParams.dedupe_dx,
+    min_overlap: float = FinderParams.dedupe_overlap,
 ) -> DataFrame:
-    """Union of (tracks, nodes) sets, two rounds of duplicate removal, best ``max_tracks`` per kymograph."""
+    """Union of (tracks, nodes) sets, two rounds of duplicate removal, best ``max_tracks`` per kymograph.
+
+    0 or None keeps all tracks.
+    """
     # Track ids of the sets must not clash.
     tracks, nodes = sets[0]
     for t, n in sets[1:]:
@@ -274,7 +287,8 @@ def merge_track_sets(
     nodes = nodes.join(tracks.select(*ID), ID, "left_semi")
     tracks = dedupe_tracks(nodes, tracks, max(0.2, max_dx), min(0.99, max(0.5, min_overlap)))
     w = W.partitionBy("kymo").orderBy(F.col("score").desc(), "track")
-    return tracks.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max_tracks)
+    ranked = tracks.withColumn("rank", F.row_number().over(w))
+    return ranked.where(F.col("rank") <= max_tracks) if max_tracks else ranked
 
 
 def path_mask(nodes: DataFrame, n_frames: int, width: int, radius: int = 1) -> DataFrame:

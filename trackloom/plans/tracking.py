@@ -8,13 +8,14 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trackloom.config import KEY, Params
 from trackloom.functions.spot import measure
 from trackloom.operators.measure import measure_spots, sigma_floor
-from trackloom.operators.ordered import beside, with_position
-from trackloom.operators.pixels import crop_pixels
+from trackloom.operators.ordered import beside, in_blocks, with_position
+from trackloom.operators.pixels import crop_pixels, trajectory_background
 from trackloom.operators.segments import densify
 from trackloom.operators.smoothing import smooth_outliers
 from trackloom.operators.spots import avoid_previous
@@ -29,6 +30,15 @@ def search_windows(nodes: DataFrame, trajectories: DataFrame, lag_compat: bool =
     return centres.drop("segment").join(trajectories, KEY)
 
 
+def with_background(
+    windows: DataFrame, pixels: DataFrame, movies: DataFrame, params: Params = Params()
+) -> DataFrame:
+    """Windows with the background of their trajectory, which all modes then hold fixed in every fit."""
+    found = trajectory_background(windows, pixels, movies, params.search_radius, params.background_border)
+    found = found.withColumnRenamed("trajectory_background", "fixed_background")
+    return windows.drop("fixed_background").join(found, KEY, "left")
+
+
 def track_fixed(windows: DataFrame, pixels: DataFrame, movies: DataFrame, params: Params = Params()) -> DataFrame:
     """Measure exactly at the given centres."""
     return measure_spots(windows, pixels, movies, params)
@@ -46,9 +56,19 @@ def track_independent(
     return avoid_previous(stage(points, "measured"), params.same_spot_px) if avoid else points
 
 
-def track_smooth(windows: DataFrame, pixels: DataFrame, movies: DataFrame, params: Params = Params()) -> DataFrame:
-    """Independent tracking, then a second measurement of rows that leave the smoothed path."""
-    points = stage(measure_spots(windows, pixels, movies, params), "measured")
+def track_smooth(
+    windows: DataFrame,
+    pixels: DataFrame,
+    movies: DataFrame,
+    params: Params = Params(),
+    avoid: bool = False,
+) -> DataFrame:
+    """Independent tracking, then a second measurement of rows that leave the smoothed path.
+
+    A trajectory's fixed background holds in both measurements; ``avoid`` drops
+    reused spots before the path is smoothed, as in independent tracking.
+    """
+    points = stage(track_independent(windows, pixels, movies, params, avoid), "measured")
     flags = smooth_outliers(points, params.smooth_px).where("outlier").select(
         *KEY,
         "channel",
@@ -57,6 +77,8 @@ def track_smooth(windows: DataFrame, pixels: DataFrame, movies: DataFrame, param
         F.col("smooth_y").alias("search_y"),
         F.ceil(4 * F.col("mean_sigma")).cast("int").alias("crop"),
     )
+    if "fixed_background" in windows.columns:
+        flags = flags.join(windows.select(*KEY, "frame", "fixed_background"), [*KEY, "frame"])
     flags = stage(flags, "outliers")
     again = measure_spots(flags, pixels, movies, params).select(
         *KEY, "frame", F.lit(True).alias("_again"), *[F.col(c).alias(f"_{c}") for c in _FIT]
@@ -72,27 +94,27 @@ def track_sequential(
     pixels: DataFrame,
     movies: DataFrame,
     params: Params = Params(),
+    avoid: bool = False,
     rows_per_round: int = 512,
 ) -> DataFrame:
     """Tracked mode: every frame starts at the blended centre of the frame before.
 
-    The blend keeps a centre within 2/e of a crop from the interpolated one, so
-    the pixels a frame can need are known beforehand.  Frames run in rounds of
-    ``rows_per_round`` per trajectory; the centre reached is stored between
-    rounds, so no task holds more than one round of one trajectory.
+    A found spot leaves the centre within 2/e of a crop from the interpolated one,
+    a miss leaves it half as far as it was, so how far it can be follows from the
+    jumps of the last frames, and the pixels a frame can need are known beforehand
+    (``with_reach``).  Frames run in rounds of ``rows_per_round`` per trajectory;
+    the centre reached is stored between rounds, so no task holds more than one
+    round of one trajectory.  ``avoid`` drops reused spots from the result; the
+    path itself does not depend on other trajectories.
     """
     crop = params.crop
     spark = windows.sparkSession
-    sized = windows.select(*KEY, "channel", "frame", "search_x", "search_y").join(
+    background = F.col("fixed_background") if "fixed_background" in windows.columns else F.lit(None).cast("double")
+    sized = windows.select(*KEY, "channel", "frame", "search_x", "search_y", background.alias("fixed_background")).join(
         movies.select("movie", "height", "width", sigma_floor(F.col("pixel_size_nm")).alias("smin")), "movie"
     )
     rows = stage(with_position(sized, KEY, "frame"), "ordered")
-    rows = beside(rows, KEY, prev={"_bx": "search_x", "_by": "search_y"})
-    # How far the start centre can lie from this frame's interpolated centre, plus crop and re-centring.
-    jump = F.coalesce(F.greatest(F.abs(F.col("search_x") - F.col("_bx")), F.abs(F.col("search_y") - F.col("_by"))), F.lit(0.0))
-    reach = F.ceil(jump + crop * 2 / math.e).cast("int") + crop + int(params.edge_tol_px) + 2
-    rows = rows.withColumn("_r", reach).drop("_bx", "_by")
-    rows = stage(rows, "reach")
+    rows = stage(with_reach(rows, params), "reach")
     last = rows.agg(F.max("pos")).first()[0]
     schema = (
         "movie string, channel int, frame int, trajectory long, search_x double, search_y double, "
@@ -118,6 +140,7 @@ def track_sequential(
                     crop,
                     (r.height, r.width),
                     r.smin,
+                    None if r.fixed_background is None or np.isnan(r.fixed_background) else r.fixed_background,
                     snr=params.snr,
                     tol=params.edge_tol_px,
                     passes=params.fit_passes,
@@ -154,9 +177,46 @@ def track_sequential(
         state = got.groupBy(*KEY).agg(
             F.max_by("track_x", "frame").alias("start_x"), F.max_by("track_y", "frame").alias("start_y")
         )
-    if not done:
-        return spark.createDataFrame([], schema)
-    return reduce(DataFrame.unionByName, done).withColumn("method", F.lit("moments"))
+    out = reduce(DataFrame.unionByName, done, spark.createDataFrame([], schema)).withColumn("method", F.lit("moments"))
+    return avoid_previous(out, params.same_spot_px) if avoid else out
+
+
+#: Frames whose jumps are looked back on; a jump counts half as much with each frame.
+_MEMORY = 64
+
+
+def with_reach(rows: DataFrame, params: Params) -> DataFrame:
+    """Positioned windows with ``_r``, how far from the centre the pixels of a frame can matter.
+
+    With d the distance of the centre from the interpolated one after a frame, and jump the way to the
+    next one: d' <= max(2/e crop, (d + jump) / 2), and the fit starts at most d + jump away.
+    """
+    near = params.crop * 2 / math.e
+    rows = beside(rows, KEY, prev={"_bx": "search_x", "_by": "search_y"})
+    jump = F.hypot(F.col("search_x") - F.col("_bx"), F.col("search_y") - F.col("_by"))
+    rows = rows.withColumn("_jump", F.coalesce(jump, F.lit(0.0)))
+    blocks = in_blocks(rows, "pos", before=_MEMORY)
+    past = F.collect_list("_jump").over(W.partitionBy(*KEY, "_block").orderBy("pos").rowsBetween(-_MEMORY, -1))
+    apart = F.aggregate(past, F.lit(near), lambda d, j: F.greatest(F.lit(near), (d + j) / 2))
+    # What is older than the memory adds less than a pixel.
+    reach = F.ceil(apart + F.col("_jump")).cast("int") + params.crop + int(params.edge_tol_px) + 3
+    return blocks.withColumn("_r", reach).where("NOT _ghost").drop("_bx", "_by", "_jump", "_block", "_ghost")
+
+
+def track(
+    windows: DataFrame,
+    pixels: DataFrame,
+    movies: DataFrame,
+    mode: str = "independent",
+    params: Params = Params(),
+    avoid: bool = False,
+    background: bool = True,
+) -> DataFrame:
+    """Any mode, by default with the trajectory's background, which is measured once and stored."""
+    if background:
+        windows = stage(with_background(windows, pixels, movies, params), "windows")
+    options = {} if mode == "same-centre" else {"avoid": avoid}
+    return MODES[mode](windows, pixels, movies, params, **options)
 
 
 MODES = {

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 
 from trackloom.config import KEY
 from trackloom.functions import scalars as S
+from trackloom.operators.editing import read_custom_columns
+from trackloom.operators.points import format_table
 
 # Headers of the interchange tables and the column names used here.
 POINT_HEADERS = {
@@ -68,6 +71,53 @@ TRAJECTORY_HEADERS = {
     "Number of Steps": "n_steps",
     "Average Step Size": "mean_step",
     "Average Step Size w/Step to Background": "mean_step_background",
+    "D (μm²/s)": "d_um2_s",
+    "α": "alpha",
+}
+# A segment's row has its nodes and frames instead of the trajectory's search centres.
+_NOT_IN_SEGMENTS = ("Start Frame", "End Frame", "Segments", "Movie-Anchors", *(f"Search Center {c} {e}" for c in "XY" for e in ("Start", "End")))
+SEGMENT_HEADERS = {
+    "Segment": "segment",
+    "Segment Start X": "node_start_x",
+    "Segment Start Y": "node_start_y",
+    "Segment Start Frame": "start_frame",
+    "Segment End X": "node_end_x",
+    "Segment End Y": "node_end_y",
+    "Segment End Frame": "end_frame",
+    **{h: n for h, n in TRAJECTORY_HEADERS.items() if h not in _NOT_IN_SEGMENTS},
+}
+MEAN_HEADERS = {
+    "Average net speed (μm/s)": "mean_net_speed_um_s",
+    "Average average speed (μm/s)": "mean_speed_um_s",
+    "Average run length (μm)": "mean_run_length_um",
+    "Average run time (s)": "mean_run_time_s",
+    "Average median intensity": "mean_median_intensity",
+    "Average average intensity": "mean_mean_intensity",
+}
+KYMOGRAPH_HEADERS = {
+    "Movie": "movie",
+    "Total distance (μm)": "total_distance_um",
+    "Total time (s)": "total_time_s",
+    "Number of trajectories": "n_trajectories",
+    "Events (/min)": "events_per_min",
+    "Events (/μm/min)": "events_per_um_per_min",
+    **MEAN_HEADERS,
+}
+AGGREGATE_HEADERS = {
+    "Movie": "movie",
+    "Pixel size (nm/px)": "pixel_size_nm",
+    "Frame time (ms)": "frame_interval_ms",
+    "Total movie frames": "n_frames",
+    "Total time (s)": "total_time_s",
+    "Movie dimensions (px)": "dimensions_px",
+    "Movie dimensions (μm)": "dimensions_um",
+    "Total kymographs": "total_kymographs",
+    "Summed kymograph distances (μm)": "total_distance_um",
+    "Empty kymographs": "empty_kymographs",
+    "Number of trajectories": "n_trajectories",
+    "Number of events (/min)": "events_per_min",
+    "Number of events (/um/min)": "events_per_um_per_min",
+    **MEAN_HEADERS,
 }
 LEGACY_HEADERS = {
     "Start_Frame": "Start Frame",
@@ -79,10 +129,28 @@ D_HEADERS = ["D (μm²/s)", "D", "Diffusion D", "Diffusion D (µm²/s)", "Diffus
 ALPHA_HEADERS = ["α", "alpha", "Alpha"]
 SCALE_HEADERS = {"Pixel size (nm/px)": "pixel_size_nm", "Frame time (ms)": "frame_interval_ms"}
 
-_INTS = {"trajectory": "bigint", "segment": "int", "channel": "int", "frame": "int", "step": "int"}
+# Fixed value: digits of the rounded columns.
+_ROUNDED = 4
+_ROUNDED_COLUMNS = (
+    "percent_valid",
+    *(f"{e}_{c}" for e in ("start", "end") for c in "xy"),
+    *(f"{s}_{u}" for s in ("net_speed", "speed") for u in ("px_frame", "um_s", "um_min")),
+)
+_COLOC_SHARE = re.compile(r"^Ch\. (\d+) co\. %$")
+_COLOC_FLAG = re.compile(r"^Colocalized w/(any channel|ch(\d+))$")
+_INTS = {
+    **dict.fromkeys(["trajectory", "total_points", "valid_points", "n_steps"], "bigint"),
+    **dict.fromkeys(["segment", "channel", "frame", "step", "start_frame", "end_frame", "segments"], "int"),
+}
 _TEXTS = {"movie", "clicks", "from_trajectory", "kymo_anchors", "movie_anchors", "roi_json"}
 
 
+def write_pixels(pixels: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Pixel table in folders of movie and channel; its files hold stretches of frames, which a reader can skip."""
+    order = ["movie", "channel", "frame"]
+    pixels.repartitionByRange(*order).sortWithinPartitions(*order).write.mode(mode).partitionBy("movie", "channel").parquet(path)
+
+
 def read_pixels(spark: SparkSession, path: str, channel: int | None = None, frames: tuple[int, int] | None = None) -> DataFrame:
     """Pixel table partitioned by movie and channel; frames are low and high, both included."""
     df = spark.read.parquet(path)
@@ -165,11 +233,19 @@ def drop_partial_coloc(df: DataFrame, n_channels: int) -> DataFrame:
 def import_points(df: DataFrame, n_channels: int) -> DataFrame:
     """Points of an interchange table; table frames count from 1, frames here from 0."""
     out = _typed(rename_headers(drop_partial_coloc(df, n_channels), POINT_HEADERS), list(POINT_HEADERS.values()))
-    return out.withColumn("frame", F.col("frame") - 1)
+    flags = {c: "coloc" if m[2] is None else f"coloc_ch{m[2]}" for c in out.columns if (m := _COLOC_FLAG.match(c))}
+    return out.withColumnsRenamed(flags).withColumn("frame", F.col("frame") - 1)
 
 
-def import_trajectories(df: DataFrame) -> DataFrame:
-    return _typed(rename_headers(df, TRAJECTORY_HEADERS), list(TRAJECTORY_HEADERS.values()))
+def import_trajectories(df: DataFrame, n_channels: int | None = None) -> DataFrame:
+    """Trajectories of an interchange table; with ``n_channels`` their extra columns become the map ``custom``."""
+    out = rename_headers(df, TRAJECTORY_HEADERS)
+    shares = {c: f"ch{m[1]}_pct" for c in out.columns if (m := _COLOC_SHARE.match(c))}
+    out = out.withColumnsRenamed(shares)
+    known = [*TRAJECTORY_HEADERS.values(), *shares.values()]
+    if n_channels is not None:
+        out = read_custom_columns(out, [c for c in known if c in out.columns], n_channels)
+    return _typed(out, known)
 
 
 def import_scale(aggregate: DataFrame) -> DataFrame:
@@ -206,7 +282,7 @@ def read_tables(spark: SparkSession, folder: str, n_channels: int, fmt: str = "p
 
     return {
         "points": import_points(load("points"), n_channels),
-        "per_trajectory": parse_geometry(import_trajectories(load("per_trajectory"))),
+        "per_trajectory": parse_geometry(import_trajectories(load("per_trajectory"), n_channels)),
         "movies": import_scale(load("aggregate")),
         "segment_diffusion": import_segment_diffusion(load("per_segment")),
     }
@@ -218,6 +294,9 @@ def parse_geometry(df: DataFrame) -> DataFrame:
     Movie anchors [x, y, frame] count frames from 1 unless one of them is 0;
     frames below 1 stay as they are.
     """
+    for c in ("kymo_anchors", "roi_json", "movie_anchors"):
+        if c not in df.columns:
+            df = df.withColumn(c, F.lit(None).cast("string"))
     anchors = F.from_json("kymo_anchors", "array<array<double>>")
     full = F.filter(F.coalesce(anchors, F.array().cast("array<array<double>>")), lambda a: F.size(a) == 3)
     kymo = F.transform(full, lambda a: F.struct(a[0].cast("int").alias("frame"), a[1].alias("xk"), a[2].alias("yk")))
@@ -254,12 +333,49 @@ def export_headers(df: DataFrame, headers: Mapping[str, str]) -> DataFrame:
 
 
 def export_points(points: DataFrame) -> DataFrame:
-    return export_headers(points.withColumn("frame", F.col("frame") + 1), POINT_HEADERS)
+    """Interchange table of points; frames count from 1 there."""
+    out = points.withColumn("frame", F.col("frame") + 1)
+    flags = {c: "Colocalized w/any channel" if c == "coloc" else f"Colocalized w/{c[6:]}" for c in out.columns if re.match(r"coloc(_ch\d+)?$", c)}
+    return export_headers(out.withColumnsRenamed(flags), POINT_HEADERS)
+
+
+def export_summary(df: DataFrame, headers: Mapping[str, str], kinds: Mapping[str, str] | None = None) -> DataFrame:
+    """Interchange table per trajectory or segment.
+
+    Nested cells become JSON text, shares and custom fields columns of their own; ``kinds`` gives the custom
+    fields to write and whether each is 'binary' or 'value'.
+    """
+    if "anchors" in df.columns:
+        nodes = F.col("nodes") if "nodes" in df.columns else F.lit(None).cast("array<struct<frame:int,x:double,y:double>>")
+        df = geometry_json(df.drop("roi").withColumn("nodes", nodes).withColumnRenamed("roi_shape", "roi"))
+    custom = [F.try_element_at("custom", F.lit(name)).alias(f"{name} [{kind}]") for name, kind in (kinds or {}).items()]
+    df = format_table(df, {c: _ROUNDED for c in _ROUNDED_COLUMNS if c in df.columns})
+    shares = {c: f"Ch. {m[1]} co. %" for c in df.columns if (m := re.match(r"ch(\d+)_pct$", c))}
+    kept = [*[c for c in headers.values() if c in df.columns], *shares]
+    return export_headers(df.select(*kept, *custom), headers).withColumnsRenamed(shares)
+
+
+def interchange(results: Mapping[str, DataFrame], kinds: Mapping[str, str] | None = None) -> dict[str, DataFrame]:
+    """Result tables with the headers, frame base and digits of the interchange format."""
+    return {
+        "points": export_points(results["points"]),
+        "per_trajectory": export_summary(results["per_trajectory"], TRAJECTORY_HEADERS, kinds),
+        "per_segment": export_summary(results["per_segment"], SEGMENT_HEADERS, kinds),
+        "per_kymograph": export_headers(results["per_kymograph"], KYMOGRAPH_HEADERS),
+        "per_kymograph_channel": export_headers(results["per_kymograph_channel"], KYMOGRAPH_HEADERS),
+        "aggregate": export_headers(results["aggregate"], AGGREGATE_HEADERS),
+    }
 
 
-def write_tables(results: Mapping[str, DataFrame], folder: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:
+def write_tables(
+    results: Mapping[str, DataFrame],
+    folder: str,
+    fmt: str = "parquet",
+    mode: str = "errorifexists",
+    kinds: Mapping[str, str] | None = None,
+) -> None:
     """One folder per table; per-kymograph results with a channel are split by channel."""
-    for name, df in results.items():
+    for name, df in interchange(results, kinds).items():
         writer = df.write.mode(mode).format(fmt)
         if fmt == "csv":
             writer = writer.option("header", True)
