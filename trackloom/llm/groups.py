@@ -80,11 +80,14 @@ def shards_for(rows: int, each: int) -> int:
 
 
 def pack(k64: np.ndarray, bands: np.ndarray, shards: int) -> Iterator[tuple[int, bytes, bytes]]:
-    """Rows (shard, band hashes, items) for the distinct items given."""
+    """Rows (shard, band hashes, items) for the distinct items given.
+
+    Inside a shard 32 bits of the hash are left; a chance meeting is only one more comparison.
+    """
     h, k = bands.ravel(), np.repeat(k64, bands.shape[1])
-    shard = ((h >> U(24)) % U(shards)).astype(np.int32)
+    shard = ((h >> U(32)) % U(shards)).astype(np.int32)
     order = np.argsort(shard, kind="stable")
-    h, k, shard = h[order], k[order], shard[order]
+    h, k, shard = h[order].astype(np.uint32), k[order], shard[order]
     cuts = np.flatnonzero(np.diff(shard)) + 1
     bounds = [0, *cuts.tolist(), len(h)] if len(h) else []
     for i, j in zip(bounds, bounds[1:]):
@@ -99,7 +102,7 @@ def cells(packed: DataFrame, block: int = BLOCK) -> DataFrame:
 
     def buckets(_: tuple, t: pa.Table) -> pa.Table:
         join = lambda name, kind: np.frombuffer(b"".join(t.column(name).to_pylist()), kind)
-        h, k = join("hashes", U), join("items", np.int64)
+        h, k = join("hashes", np.uint32), join("items", np.int64)
         order = np.lexsort((k, h))
         h, k = h[order], k[order]
         fresh = np.append(True, (h[1:] != h[:-1]) | (k[1:] != k[:-1])) if len(h) else np.zeros(0, bool)

@@ -68,15 +68,12 @@ class Lines:
         self.number = (np.arange(len(start)) - first)[long]
         self.start, self.end, self.owner = start[long], end[long], owner[long]
 
-    def hashes(self) -> tuple[np.ndarray, np.ndarray]:
-        """Two hashes of each line's bytes."""
-        found = []
-        for code in _CODES:
-            h = np.zeros(len(self.start), U)
-            for i, j, lo, hi in self._pieces():
-                h[i:j] = span_hashes(code[self.data[lo:hi]], self.start[i:j] - lo, self.end[i:j] - lo)
-            found.append(mix(h + (self.end - self.start).astype(U), 51))
-        return found[0], found[1]
+    def hash(self, which: int) -> np.ndarray:
+        """One of two hashes of each line's bytes."""
+        h = np.zeros(len(self.start), U)
+        for i, j, lo, hi in self._pieces():
+            h[i:j] = span_hashes(_CODES[which][self.data[lo:hi]], self.start[i:j] - lo, self.end[i:j] - lo)
+        return mix(h + (self.end - self.start).astype(U), 51)
 
     def _pieces(self) -> Iterator[tuple[int, int, int, int]]:
         """Ranges of lines and the bytes that they span."""
@@ -125,8 +122,7 @@ class Lines:
             c = self._codes(lo, hi).astype(U)
             h = np.zeros(len(c), U)
             for t in range(min(size, len(c))):
-                h[: len(c) - t] += mix(c[t:], 80 + t)
-            h = mix(h, 79)
+                h[: len(c) - t] += c[t:] * _FACTORS_64[t]
             s, e, short = self._stretch(i, j, lo, size)
             for n, (x, y) in enumerate(zip(s.tolist(), e.tolist())):
                 if short[n]:
@@ -140,6 +136,7 @@ class Lines:
         return out
 
 
+_FACTORS_64 = mix(np.arange(64, dtype=U), 83) | U(1)
 _FACTORS = (mix(np.arange(64, dtype=U), 81) >> U(32)).astype(np.uint32) | np.uint32(1)
 
 
@@ -154,7 +151,7 @@ def _occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             x = Lines(*utf8(b.column("text")), min_chars)
-            yield table({"doc_id": b.column("doc_id").take(pa.array(x.owner)), "line": x.number, "key": keys_of(*x.hashes())}, types)
+            yield table({"doc_id": b.column("doc_id").take(pa.array(x.owner)), "line": x.number, "key": keys_of(x.hash(0), x.hash(1))}, types)
 
     types = {"doc_id": pa.int64(), "line": pa.int64(), "key": pa.binary()}
     return docs.mapInArrow(scan, "doc_id long, line long, key binary")
@@ -166,7 +163,7 @@ def _packed(docs: DataFrame, min_chars: int, shingle: int, shards: int) -> DataF
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             x = Lines(*utf8(b.column("text")), min_chars)
-            k64 = x.hashes()[0].view(np.int64)
+            k64 = x.hash(0).view(np.int64)
             chosen = np.zeros(len(k64), bool)
             chosen[np.unique(k64, return_index=True)[1]] = True
             bands = band_hashes(x.signatures(chosen, shingle, BANDS * ROWS), BANDS, ROWS)
@@ -184,7 +181,7 @@ def _contents(docs: DataFrame, bits: np.ndarray, min_chars: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             x = Lines(*utf8(b.column("text")), min_chars)
-            h1, h2 = x.hashes()
+            h1, h2 = x.hash(0), x.hash(1)
             k64 = h1.view(np.int64)
             wanted = np.flatnonzero(bloom.may_hold(shared.value, k64))
             wanted = wanted[np.unique(k64[wanted], return_index=True)[1]]
@@ -235,14 +232,15 @@ def repeated_lines(
     links = in_cells(found.join(contents, "k64"), _links(shingle, threshold), "a binary, b binary")
     named = stage(components(links, "line-links"), "line-components")
 
-    # First each content's own first place, then each component's.
-    first = places.groupBy("key").agg(F.min(F.struct("doc_id", "line")).alias("place"), F.count("*").alias("n"))
-    first = stage(first.join(named, "key", "left").withColumn("root", F.coalesce("root", "key")), "line-contents")
-    stays = first.groupBy("root").agg(F.min("place").alias("stays"), F.sum("n").alias("all")).where("all > 1")
-    fate = first.join(stays, "root").select("key", "stays")
-    # Only places of repeated lines reach this join.
-    may_go, _ = bloom.split(places.withColumn("k64", _k64()), "k64", bloom.bit_map(fate.select(_k64())))
-    goes = may_go.join(fate, "key").where((F.col("doc_id") != F.col("stays.doc_id")) | (F.col("line") != F.col("stays.line")))
+    # Only places of lines that repeat, or that are linked, reach the joins.
+    repeated = places.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    involved = repeated.unionByName(named.select("key"))
+    some, _ = bloom.split(places.withColumn("k64", _k64()), "k64", bloom.bit_map(involved.select(_k64())))
+    some = some.join(named, "key", "left").select("doc_id", "line", F.coalesce("root", "key").alias("root"))
+    some = stage(some, "line-repeated")
+    stays = some.groupBy("root").agg(F.min(F.struct("doc_id", "line")).alias("stays"))
+    met = some.join(stays, "root")
+    goes = met.where((F.col("doc_id") != F.col("stays.doc_id")) | (F.col("line") != F.col("stays.line")))
     return goes.groupBy("doc_id").agg(F.array_distinct(F.collect_list("line")).alias("lines"))
 
 
