@@ -29,7 +29,7 @@ WINDOW, CLOSING_ID = 2048, 1
 #: Documents in one group of the packing, about.
 GROUP_DOCS = 5_000
 #: Distinct pieces of text whose ids a Python worker remembers (about 200 bytes each).
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 _SPACE_BEFORE_TEXT = re.compile(r"(?= \S)")
 
 
@@ -215,7 +215,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, id_col: str =
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.at(tokenizer)
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", 1 << 20):
             out: list[tuple] = []
             for doc, ids in zip(b.column("doc_id").to_pylist(), encoder.encode(b.column("text").to_pylist())):
                 ids += closing

@@ -109,6 +109,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 2 << 20) ->
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows] if b.num_rows else []
         for i, j in zip(cuts, cuts[1:]):
             yield b.slice(i, j - i)
+        pa.default_memory_pool().release_unused()
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray, kind: Alphabet) -> Words:
