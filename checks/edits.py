@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import views as V
-from checks.motion import FITS, G2, fit_sql, msd_sql
+from checks.motion import FITS, G2, G3, SEG_FITS, fit_sql, msd_sql
 from checks.points import SPEED, K
 from checks.registry import register
 from checks.views import sql_with
@@ -108,6 +108,41 @@ register(
             WHERE trajectory NOT IN (SELECT trajectory FROM ({fit_sql(msd_sql(FITS, G2, 10, 30), G2)}) f)""",
     ),
 )
+register(
+    "b17_missing_segment_diffusion",
+    K,
+    lambda s, d: E.missing_segment_diffusion(V.points(s, d), V.nodes(s, d), D.diffusion_by_segment(V.points(s, d), V.nodes(s, d), V.movies(s, d), max_lag=4, min_pairs=5)),
+    sql_with(
+        "fx_nodes fx_movies",
+        f"""SELECT DISTINCT movie, trajectory FROM fx_points
+            WHERE trajectory IN (SELECT trajectory FROM fx_nodes GROUP BY ALL HAVING count(*) > 1)
+              AND trajectory NOT IN (SELECT trajectory FROM ({fit_sql(msd_sql(SEG_FITS, G3, 4, 5), G3)}) f)""",
+    ),
+)
+
+
+def _shares(s, d):
+    """Shares of two channels; the second one is missing in places."""
+    t = F.col("trajectory")
+    return V.points(s, d).select(*KEY).distinct().withColumns({"ch1_pct": F.when(t % 5 != 1, 50.0), "ch2_pct": F.when(t % 4 != 2, 25.0)})
+
+
+register(
+    "b17_missing_colocalisation",
+    K,
+    lambda s, d: E.missing_colocalisation(V.points(s, d).select(*KEY, "channel").distinct(), _shares(s, d), V.movies(s, d).withColumn("n_channels", F.when(F.col("movie") == "m1", 1).otherwise(2))),
+    sql_with(
+        "fx_points",
+        """SELECT DISTINCT movie, trajectory FROM fx_points WHERE movie <> 'm1'
+             AND ((channel <> 1 AND trajectory % 5 = 1) OR (channel <> 2 AND trajectory % 4 = 2))""",
+    ),
+)
+register(
+    "b17_missing_steps",
+    K,
+    lambda s, d: E.missing_steps(V.points(s, d), V.points(s, d).select(*KEY, "frame", F.when(F.col("trajectory") % 3 != 0, F.col("intensity")).alias("level"))),
+    sql_with("fx_points", "SELECT DISTINCT movie, trajectory FROM fx_points WHERE trajectory NOT IN (SELECT trajectory FROM fx_points WHERE trajectory % 3 <> 0 AND intensity IS NOT NULL)"),
+)
 register(
     "g2_to_compute",
     K,

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from checks import views as V
 from checks.images import MEAS, SOFT, WK, measure_sql
+from checks.points import SPEED
 from checks.registry import register
 from checks.views import sql_with
 from trackloom.plans import tracking as T
+from trackloom.plans.recompute import recompute
 
 
 def _windows(s, d):
@@ -63,3 +65,22 @@ register(
     f"{WK} track_x:d track_y:d spot_x:d spot_y:d sigma:d peak:d background:d intensity:d",
     lambda s, d: T.track_sequential(_windows(s, d), V.pixels(s, d), V.pixel_movies(s, d), SOFT, rows_per_round=8),
 )
+
+
+def _recomputed(s, d):
+    """Points measured anew at their own centres, as no trajectory has anchors or nodes."""
+    w = _windows(s, d)
+    none = _nodes(s, d).limit(0)
+    anchors = none.select("movie", "trajectory", "frame", F.lit(0).cast("long").alias("roi"), F.col("x").alias("xk"))
+    lines = V.pixel_rois(s, d)
+    own = w.select("movie", "trajectory", "frame", "search_x", "search_y")
+    trs = w.select("movie", "trajectory", "channel").distinct()
+    return recompute(anchors, lines, none, own, trs, V.pixels(s, d), V.pixel_movies(s, d), "same-centre", SOFT, background=False)
+
+
+register(
+    "i12_recompute",
+    f"{WK} spot_x:d intensity:d speed:d",
+    _recomputed,
+    sql_with("fx_windows fx_pixels", SPEED, fx_points=measure_sql(WIN, 2.0)),
+)

@@ -303,7 +303,7 @@ def test_recompute_prefers_anchors_then_nodes_then_points(spark, spot_pixels):
     nodes = spark.createDataFrame([("a", 2, 0, 19.0, 24.0), ("a", 2, 2, 22.0, 24.0)], "movie string, trajectory long, frame int, x double, y double")
     own = spark.createDataFrame([("a", t, f, 21.0, 24.0) for t in (1, 2, 3) for f in (0, 2)], "movie string, trajectory long, frame int, search_x double, search_y double")
     trs = spark.createDataFrame([("a", t, 1, {"note": str(t)}) for t in (1, 2, 3)], "movie string, trajectory long, channel int, custom map<string,string>")
-    got = recompute(anchors, rois, nodes, own, trs, sdf(spark, spot_pixels), sdf(spark, size), "independent", Params(search_radius=10))
+    got = recompute(anchors, rois, nodes, own, trs, sdf(spark, spot_pixels), sdf(spark, size), "independent", Params(search_radius=10), background=False)
     rows = got.orderBy("trajectory", "frame").collect()
     assert [(r.trajectory, r.frame) for r in rows] == [(1, 0), (1, 1), (1, 2), (2, 0), (2, 1), (2, 2), (3, 0), (3, 2)]
     assert [r.search_x for r in rows[:3]] == pytest.approx([20.0, 21.0, 22.0]) and rows[4].search_x == pytest.approx(20.5)

@@ -19,6 +19,9 @@ from trackloom.operators.ordered import BLOCK, TILE, beside, nearest, with_posit
 from trackloom.plans.stages import stage
 
 
+_MOST = 1e300
+
+
 def _compose(gx: pd.Series, gy: pd.Series, k: pd.Series) -> pd.DataFrame:
     """Per row: displacement = a + b * (displacement before the block)."""
     out = []
@@ -27,7 +30,8 @@ def _compose(gx: pd.Series, gy: pd.Series, k: pd.Series) -> pd.DataFrame:
         px, py, pb = 0.0, 0.0, 1.0
         for i in range(len(dx)):
             m = -float(miss[i])
-            px, py, pb = dx[i] + m * px, dy[i] + m * py, m * pb if m else 0.0
+            # A finite bound keeps a path at rest at rest: 0 times infinity is no number.
+            px, py, pb = dx[i] + m * px, dy[i] + m * py, max(-_MOST, min(_MOST, m * pb)) if m else 0.0
             ax[i], ay[i], b[i] = px, py, pb
         out.append((ax, ay, b))
     return pd.DataFrame(out, columns=["ax", "ay", "b"])

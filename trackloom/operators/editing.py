@@ -97,6 +97,39 @@ def find_missing(trajectories: DataFrame, computed: DataFrame, group: Sequence[s
     return trajectories.select(*group).distinct().join(computed.select(*group).distinct(), group, "left_anti")
 
 
+def missing_steps(trajectories: DataFrame, steps: DataFrame) -> DataFrame:
+    """Trajectories without a stored step."""
+    return find_missing(trajectories, steps.where("level IS NOT NULL"))
+
+
+def missing_diffusion(trajectories: DataFrame, diffusion: DataFrame) -> DataFrame:
+    """Trajectories that lack D or alpha."""
+    known = [F.col(c).isNotNull() & ~F.isnan(c) for c in ("d_um2_s", "alpha")]
+    return find_missing(trajectories, diffusion.where(known[0] & known[1]))
+
+
+def missing_segment_diffusion(trajectories: DataFrame, nodes: DataFrame, segments: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
+    """Trajectories with segments (two nodes, or two anchors, at least) but no stored segment result."""
+    marks = nodes.select(*KEY, F.lit("n").alias("_kind"))
+    if anchors is not None:
+        marks = marks.unionByName(anchors.select(*KEY, F.lit("a").alias("_kind")))
+    divided = marks.groupBy(*KEY, "_kind").count().where("count >= 2").select(*KEY).distinct()
+    return find_missing(trajectories.join(divided, KEY, "left_semi"), segments)
+
+
+def missing_colocalisation(trajectories: DataFrame, shares: DataFrame, movies: DataFrame) -> DataFrame:
+    """Trajectories of movies with several channels that lack the share of another channel.
+
+    ``trajectories`` has the channel, ``shares`` the columns chN_pct.
+    """
+    found = {int(c[2:-4]): c for c in shares.columns if c.startswith("ch") and c.endswith("_pct")}
+    out = trajectories.join(movies.where("n_channels > 1").select("movie", "n_channels"), "movie").join(shares.select(*KEY, *found.values()), KEY, "left")
+    lacks = F.greatest(F.lit(0), F.col("n_channels") - max(found, default=0)) > 0
+    for n, c in found.items():
+        lacks = lacks | ((F.lit(n) <= F.col("n_channels")) & (F.col("channel") != n) & F.col(c).isNull())
+    return out.where(lacks).select(*KEY).distinct()
+
+
 def to_compute(missing_values: DataFrame, missing_segments: DataFrame) -> DataFrame:
     """Trajectories that lack a value or a segment value."""
     return missing_values.select(*KEY).unionByName(missing_segments.select(*KEY)).distinct()

@@ -14,16 +14,12 @@ from trackloom.operators.ordered import BLOCK, in_blocks, spread
 from trackloom.operators.quantiles import HOT_ROWS, exact_percentiles
 from trackloom.plans.stages import stage
 
-SMALL_ROWS = 1_000_000
 _SIDE = 16
+#: Parts of a movie's frames in which pixels meet the samples of lines.
+_BUCKETS = 8
 WINDOW = ["movie", "channel", "frame", "trajectory"]
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
-    """Broadcast a narrow table after counting that it is small; leave it alone otherwise."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def explode_frames(frames: DataFrame, values: str, width: int) -> DataFrame:
     """Row-major frame arrays to one row per pixel."""
     out = frames.select(*[c for c in frames.columns if c != values], F.posexplode(values).alias("_p", "v"))
@@ -152,7 +148,7 @@ def trajectory_background(
 def max_projection(pixels: DataFrame, movies: DataFrame) -> DataFrame:
     """Maximum over frames; a one-channel movie of up to four frames gives its first frame."""
     m = movies.select("movie", ((F.col("n_channels") <= 1) & (F.col("n_frames") <= 4)).alias("_short"))
-    rows = pixels.join(broadcast_if_small(m), "movie").where(~F.col("_short") | (F.col("frame") == 0))
+    rows = pixels.join(m, "movie").where(~F.col("_short") | (F.col("frame") == 0))
     return rows.groupBy("movie", "channel", "y", "x").agg(F.max("v").alias("v"))
 
 
@@ -270,11 +266,12 @@ def kymograph(
             F.col("_c.w").alias("w"),
         )
     )
-    if keys.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
-        # The raw pixels are shuffled once, by frame; the much larger samples are then summed in place.
-        hits = spread(pixels, "movie", "channel", "frame").join(F.broadcast(keys), ["movie", "y", "x"])
-    else:
-        hits = pixels.join(keys, ["movie", "y", "x"])
+    # Only pixels under a line are kept, and a place's frames are spread over buckets: a bright place that
+    # many lines cross does not gather all its frames in one task.
+    times = F.sequence(F.lit(0), F.lit(_BUCKETS - 1))
+    hits = pixels.withColumn("_b", F.pmod("frame", F.lit(_BUCKETS))).join(
+        keys.withColumn("_b", F.explode(times)), ["movie", "y", "x", "_b"]
+    )
     offsets = list(range(-half_width, half_width + 1))
     sums = hits.groupBy("movie", "roi", "channel", "frame", "s").agg(
         *[F.sum(F.when(F.col("o") == o, F.col("w") * F.col("v"))).alias(f"_o{i}") for i, o in enumerate(offsets)]
@@ -374,7 +371,7 @@ def _moved(pixels: DataFrame, target_x: Column, target_y: Column, inside: Column
 
 def translate(pixels: DataFrame, movies: DataFrame, dx: int, dy: int) -> DataFrame:
     """Shift frames by whole pixels without wrapping; freed places are 0."""
-    rows = pixels.join(broadcast_if_small(movies.select("movie", "height", "width")), "movie")
+    rows = pixels.join(movies.select("movie", "height", "width"), "movie")
     tx, ty = F.col("x") + dx, F.col("y") + dy
     inside = tx.between(0, F.col("width") - 1) & ty.between(0, F.col("height") - 1)
     return _moved(rows, tx, ty, inside)
@@ -382,8 +379,8 @@ def translate(pixels: DataFrame, movies: DataFrame, dx: int, dy: int) -> DataFra
 
 def apply_drift(pixels: DataFrame, movies: DataFrame, offsets: DataFrame) -> DataFrame:
     """Undo the drift (movie, frame, dx, dy) in all channels, nearest pixel, outside 0."""
-    rows = pixels.join(broadcast_if_small(movies.select("movie", "height", "width")), "movie").join(
-        broadcast_if_small(offsets.select("movie", "frame", "dx", "dy")), ["movie", "frame"]
+    rows = pixels.join(movies.select("movie", "height", "width"), "movie").join(
+        offsets.select("movie", "frame", "dx", "dy"), ["movie", "frame"]
     )
     tx = F.col("x") - F.floor(F.col("dx") + 0.5)
     ty = F.col("y") - F.floor(F.col("dy") + 0.5)

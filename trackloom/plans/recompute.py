@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,9 @@ from trackloom.config import KEY, Params
 from trackloom.operators.points import speeds
 from trackloom.operators.rois import densify_kymo
 from trackloom.operators.segments import densify
-from trackloom.plans.tracking import MODES
+from trackloom.plans.export import result_tables
+from trackloom.plans.stages import stage
+from trackloom.plans.tracking import track
 
 
 def search_centres(anchors: DataFrame, rois: DataFrame, nodes: DataFrame, points: DataFrame) -> DataFrame:
@@ -35,9 +39,13 @@ def recompute(
     mode: str = "independent",
     params: Params = Params(),
     only: DataFrame | None = None,
+    avoid: bool = False,
+    background: bool = True,
 ) -> DataFrame:
     """New points with speeds; ``only`` limits the work to some trajectories.
 
+    By default the background of each trajectory is measured first and held fixed in every fit.
+
     ``trajectories`` gives the channel; its other columns (custom fields) are kept.
     """
     if only is not None:
@@ -46,7 +54,28 @@ def recompute(
             df.join(ids, KEY, "left_semi") for df in (anchors, nodes, points, trajectories)
         )
     windows = search_centres(anchors, rois, nodes, points).join(trajectories.select(*KEY, "channel"), KEY)
-    measured = MODES[mode](windows, pixels, movies, params)
+    measured = track(windows, pixels, movies, mode, params, avoid, background)
+    if background:
+        measured = measured.withColumn("from_trajectory", F.when(F.col("background").isNotNull(), "Yes"))
     extra = [c for c in trajectories.columns if c not in (*KEY, "channel")]
     out = speeds(measured)
     return out.join(trajectories.select(*KEY, *extra), KEY, "left") if extra else out
+
+
+def recompute_results(
+    anchors: DataFrame,
+    rois: DataFrame,
+    nodes: DataFrame,
+    points: DataFrame,
+    trajectories: DataFrame,
+    trajectory_rois: DataFrame,
+    pixels: DataFrame,
+    movies: DataFrame,
+    calculations: tuple[str, ...] = ("steps", "diffusion", "colocalisation"),
+    **settings,
+) -> Mapping[str, DataFrame]:
+    """New points, stored once, and all result tables that follow from them."""
+    fresh = stage(recompute(anchors, rois, nodes, points, trajectories, pixels, movies, **settings), "recomputed")
+    fresh = fresh.drop("speed")
+    params = settings.get("params", Params())
+    return result_tables(fresh, nodes, trajectory_rois, rois, movies, calculations, params, anchors)
