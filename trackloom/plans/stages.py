@@ -22,6 +22,11 @@ def local_folder(spark: SparkSession) -> None:
         spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="trackloom-"))
 
 
+def stage_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for an intermediate table."""
+    return f"{shared_folder(spark)}/trackloom/{name}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` once as Parquet and read it back.
 
@@ -29,7 +34,7 @@ def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFram
     it, and every later reader still prunes columns.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/trackloom/{name}-{uuid.uuid4().hex}"
+    path = stage_folder(spark, name)
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -19,7 +18,7 @@ from trackloom.operators.pixels import crop_pixels, trajectory_background
 from trackloom.operators.segments import densify
 from trackloom.operators.smoothing import smooth_outliers
 from trackloom.operators.spots import avoid_previous
-from trackloom.plans.stages import stage
+from trackloom.plans.stages import stage, stage_folder
 
 _FIT = ["spot_x", "spot_y", "sigma", "peak", "background", "intensity"]
 
@@ -167,17 +166,19 @@ def track_sequential(
     ready = rows.drop("_r").join(packed, [*KEY, "frame"], "left")
     ready = ready.withColumn("_round", F.floor(F.col("pos") / rows_per_round).cast("int"))
     ready = stage(ready, "crops", partition_by="_round")
-    done: list[DataFrame] = []
+    folder = stage_folder(spark, "tracked")
     state = spark.createDataFrame([], "movie string, trajectory long, start_x double, start_y double")
     # One round per stretch of the longest trajectory, not per trajectory.
     for i in range((last if last is not None else -1) // rows_per_round + 1):
         part = ready.where(F.col("_round") == i).drop("_round").join(state, KEY, "left")
-        got = stage(part.groupBy(*KEY).applyInPandas(run, schema), "tracked")
-        done.append(got)
+        part.groupBy(*KEY).applyInPandas(run, schema).write.parquet(f"{folder}/round={i}")
+        got = spark.read.schema(schema).parquet(f"{folder}/round={i}")
         state = got.groupBy(*KEY).agg(
             F.max_by("track_x", "frame").alias("start_x"), F.max_by("track_y", "frame").alias("start_y")
         )
-    out = reduce(DataFrame.unionByName, done, spark.createDataFrame([], schema)).withColumn("method", F.lit("moments"))
+    # All rounds are one table, however many there were.
+    done = spark.read.schema(schema).parquet(folder) if last is not None else spark.createDataFrame([], schema)
+    out = done.select(*[f.split()[0] for f in schema.split(", ")]).withColumn("method", F.lit("moments"))
     return avoid_previous(out, params.same_spot_px) if avoid else out
 
 
