@@ -289,6 +289,38 @@ register(
                 GROUP BY track, other HAVING avg(p) >= 0.3 AND avg(CASE WHEN p >= 0.3 THEN 1.0 ELSE 0.0 END) >= 0.5)""",
     ),
 )
+
+
+def _embeddings(s, d):
+    """A direction per track, from its probability and score."""
+    return V.tracks(s, d).select("kymo", "track", F.array(F.col("mean_prob") - 0.5, F.floor(F.col("score")) - 1.5).alias("embedding"))
+
+
+register(
+    "i14_link_fragments_alike",
+    f"{TK} other:l gap:i dx:d",
+    lambda s, d: K.link_fragments(stored(s, d), _probs(s, d), 1, 4.0, embeddings=_embeddings(s, d), min_similarity=0.5),
+    sql_with(
+        "fx_track_nodes fx_tracks",
+        """SELECT a.kymo, a.track, a.other, 1 AS gap, a.dx
+           FROM (SELECT *, row_number() OVER (PARTITION BY track ORDER BY dx, other) AS r FROM alike) a
+           JOIN (SELECT *, row_number() OVER (PARTITION BY other ORDER BY dx, track) AS r FROM alike) b
+             ON a.track = b.track AND a.other = b.other WHERE a.r = 1 AND b.r = 1""",
+        ca=CLEAN,
+        ends="SELECT kymo, track, min(t) AS t0, arg_min(x, t) AS x0, max(t) AS t1, arg_max(x, t) AS x1 FROM ca GROUP BY ALL",
+        vec="SELECT track, mean_prob - 0.5 AS u, floor(score) - 1.5 AS w FROM fx_tracks",
+        alike="""SELECT a.kymo, a.track, b.track AS other, abs(a.x1 - b.x0) AS dx
+                 FROM ends a JOIN ends b ON a.kymo = b.kymo AND a.track <> b.track AND b.t0 - a.t1 = 1 AND abs(a.x1 - b.x0) <= 4
+                 JOIN vec p ON p.track = a.track JOIN vec q ON q.track = b.track
+                 WHERE p.u * q.u + p.w * q.w >= 0.5 * sqrt((p.u * p.u + p.w * p.w) * (q.u * q.u + q.w * q.w))""",
+    ),
+)
+register(
+    "d18_single_pass",
+    "kymo:l mode:s used:b",
+    lambda s, d: K.select_passes(_modes(s, d), disable_fallback=True),
+    sql_with("fx_tracks", "SELECT DISTINCT kymo, mode, mode = 'strict' AS used FROM modes", modes=MODES),
+)
 register(
     "i13_tracks_to_anchors",
     "trajectory:l frame:i xk:d x:d y:d source:s",

@@ -98,3 +98,17 @@ def test_reused_spots_go_in_all_modes(spark):
         got = mode(sdf(spark, w), sdf(spark, px), sdf(spark, movie(size)), avoid=True)
         found = {r.trajectory: r.n for r in got.groupBy("trajectory").agg(F.count("spot_x").alias("n")).collect()}
         assert found == {1: 4, 2: 0}
+
+
+def test_found_tracks_become_measured_trajectories(spark):
+    from trackloom.plans.finder import found_trajectories
+
+    size = (60, 80)
+    px = frames(size, [[(20 + 2 * f, 30, 800)] for f in range(7)])
+    rois = spark.createDataFrame([("a", 4, [10.0, 70.0], [30.0, 30.0])], "movie string, roi long, x array<double>, y array<double>")
+    # Places count along the line, which begins at x = 10; frames 1 to 2 and 4 to 5 lie between the nodes.
+    nodes = spark.createDataFrame([(4, 9, 0, 10.0), (4, 9, 3, 16.0), (4, 9, 6, 22.0)], "kymo long, track long, t int, x double")
+    got = found_trajectories(nodes, rois, sdf(spark, px), sdf(spark, movie(size)), mode="same-centre").orderBy("frame").collect()
+    assert [(r.trajectory, r.frame, r.clicks) for r in got] == [(9, f, "finder") for f in range(7)]
+    assert [r.spot_x for r in got] == pytest.approx([20 + 2 * f for f in range(7)], abs=0.2)
+    assert len({r.background for r in got}) == 1

@@ -131,11 +131,14 @@ def track_stage_stats(tracks: DataFrame, group: Sequence[str] = ("stage",), hot_
     return out
 
 
-def select_passes(tracks: DataFrame, max_tracks: int = 12, min_mean_prob: float = 0.12) -> DataFrame:
+def select_passes(
+    tracks: DataFrame, max_tracks: int = 12, min_mean_prob: float = 0.12, disable_fallback: bool = False
+) -> DataFrame:
     """Which passes (strict, recover, rescue) of each kymograph are used.
 
     ``tracks`` carries ``mode``.  A good strict pass is used alone; otherwise a
     looser pass joins unless it floods without being better, or is too unsure.
+    ``disable_fallback`` leaves the strict pass alone in every case.
     """
     group = ["kymo", "mode"]
     stats = track_set_quality(tracks, group).join(
@@ -158,6 +161,8 @@ def select_passes(tracks: DataFrame, max_tracks: int = 12, min_mean_prob: float
     used = F.when(F.col("mode") == "strict", F.lit(True)).otherwise(
         F.col("_n").isNull() | (~F.coalesce(alone, F.lit(False)) & usable)
     )
+    if disable_fallback:
+        used = F.col("mode") == "strict"
     return out.select("kymo", "mode", "tracks", "quality", "median_prob", used.alias("used"))
 
 
@@ -307,9 +312,14 @@ def link_fragments(
     max_dx: float = 2.0,
     min_prob: float = 0.30,
     min_coverage: float = 0.70,
+    embeddings: DataFrame | None = None,
+    min_similarity: float = 0.18,
 ) -> DataFrame:
     """Links from the end of one track to the start of another, mutual best choice only.
 
+    With ``embeddings`` (kymo, track, embedding) both tracks need one, of equal length
+    and not zero, and a cosine similarity of at least ``min_similarity``.
+
     Between the two, the cells on the straight line must be probable enough:
     mean at least ``min_prob`` and a share of ``min_coverage`` above it; cells
     that are not in ``probs`` (kymo, t, x, p) count as 0.  Adjacent frames have
@@ -351,6 +361,8 @@ def link_fragments(
     )
     ok = cand.join(judged.select("kymo", "track", "other", F.lit(True).alias("_ok")), ["kymo", "track", "other"], "left")
     ok = ok.where((F.col("gap") == 1) | F.col("_ok"))
+    if embeddings is not None:
+        ok = _alike(ok, embeddings, min_similarity)
     first = W.partitionBy("kymo", "track").orderBy("gap", "dx", "other")
     best = ok.withColumn("_a", F.row_number().over(first)).where("_a = 1")
     back = W.partitionBy("kymo", "other").orderBy("gap", "dx", "track")
@@ -358,6 +370,19 @@ def link_fragments(
     return best.select("kymo", "track", "other", "gap", "dx").join(mine, ["kymo", "track", "other"], "left_semi")
 
 
+def _alike(pairs: DataFrame, embeddings: DataFrame, least: float) -> DataFrame:
+    """Pairs of tracks whose embeddings have a cosine similarity of at least ``least``."""
+    one = embeddings.select("kymo", "track", F.col("embedding").cast("array<double>").alias("_u"))
+    other = one.select("kymo", F.col("track").alias("other"), F.col("_u").alias("_v"))
+
+    def dot(a: str, b: str) -> Column:
+        return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+    out = pairs.join(one, ["kymo", "track"]).join(other, ["kymo", "other"]).where(F.size("_u") == F.size("_v"))
+    norm = F.sqrt(dot("_u", "_u") * dot("_v", "_v"))
+    return out.where((norm > 0) & (dot("_u", "_v") >= least * norm)).drop("_u", "_v")
+
+
 def tracks_to_anchors(nodes: DataFrame, source: str = "finder") -> DataFrame:
     """Cleaned nodes as kymograph anchors of new trajectories, with their source."""
     return nodes.select(
