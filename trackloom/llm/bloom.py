@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.words import U, mix
+from trackloom.llm.words import U, give_back, mix
 
 BITS = 1 << 25
 _PIECE = 1 << 16  # bytes
@@ -33,6 +33,7 @@ def bit_map(keys: DataFrame) -> np.ndarray:
         for b in batches:
             for p in _places(b.column(0).drop_null().to_numpy(zero_copy_only=False).astype(np.int64)):
                 np.bitwise_or.at(bits, p >> 3, (1 << (p & 7)).astype(np.uint8))
+        give_back()
         parts = bits.reshape(-1, _PIECE)
         used = np.flatnonzero(parts.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([parts[i].tobytes() for i in used], pa.binary())], names=["piece", "bits"])
@@ -69,6 +70,7 @@ def split(df: DataFrame, column: str, bits: np.ndarray) -> tuple[DataFrame, Data
                 ids = c.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
                 inside = may_hold(shared.value, ids) & ~np.asarray(c.is_null())
                 yield b.filter(pa.array(inside == want))
+            give_back()
 
         return run
 

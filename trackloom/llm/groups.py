@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.words import U, mix, table
+from trackloom.llm.words import U, give_back, mix, table
 from trackloom.plans.stages import stage
 
 BLOCK = 512
@@ -151,8 +151,10 @@ def in_cells(rows: DataFrame, fn: Callable[[pa.RecordBatch, list[int]], pa.Recor
             if last:
                 yield from _pieces(whole.slice(0, last), fn, piece)
             held = [whole.slice(last)]
+            give_back()
         if held:
             yield from _pieces(_joined(held), fn, piece)
+        give_back()
 
     return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, schema)
 

@@ -35,7 +35,7 @@ from trackloom.llm.groups import (
     shards_for,
     similar,
 )
-from trackloom.llm.words import mix, slices, span_hashes, table, utf8
+from trackloom.llm.words import give_back, mix, slices, span_hashes, table, utf8
 from trackloom.plans.stages import stage
 
 MIN_CHARS, SHINGLE, THRESHOLD = 20, 5, 0.8
@@ -282,7 +282,7 @@ def dedup_lines(
     at = docs.columns.index(text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
             fields = b.column("row").flatten()
             before, lines = fields[at].to_pylist(), b.column("lines").to_pylist()
             after = _without(before, lines)
@@ -292,6 +292,7 @@ def dedup_lines(
             if drop_empty:
                 out = out.filter(pa.array([not x or t is None or bool(t.strip()) for t, x in zip(after, lines)], pa.bool_()))
             yield out
+        give_back()
 
     if count_col:
         same = same.select("*", F.lit(0).cast("long").alias(count_col))

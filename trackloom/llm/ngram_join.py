@@ -40,7 +40,7 @@ from trackloom.llm.groups import (
     shards_for,
     similar,
 )
-from trackloom.llm.words import ALNUM, Words, mix, slices, table, utf8, windows, words_of
+from trackloom.llm.words import ALNUM, Words, give_back, mix, slices, table, utf8, windows, words_of
 from trackloom.plans.stages import stage
 
 NGRAM, THRESHOLD = 5, 0.8
@@ -135,6 +135,7 @@ def _packed(signed: DataFrame, shards: int) -> DataFrame:
         for b in batches:
             rows = list(pack(k64_of(b.column("key")), band_hashes(_matrix(b.column("sig")), BANDS, ROWS), shards))
             yield table({"shard": [r[0] for r in rows], "hashes": [r[1] for r in rows], "items": [r[2] for r in rows]}, types)
+        give_back()
 
     types = {"shard": pa.int32(), "hashes": pa.binary(), "items": pa.binary()}
     return signed.select("key", "sig").where("sig IS NOT NULL").mapInArrow(scan, "shard int, hashes binary, items binary")

@@ -23,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.words import slices, table
+from trackloom.llm.words import give_back, slices, table
 
 WINDOW, CLOSING_ID = 2048, 1
 #: Documents in one group of the packing, about.
 GROUP_DOCS = 5_000
 #: Distinct pieces of text whose ids a Python worker remembers (about 200 bytes each).
-REMEMBERED = 150_000
+REMEMBERED = 100_000
 _SPACE_BEFORE_TEXT = re.compile(r"(?= \S)")
 
 
@@ -258,6 +258,8 @@ def pack(
                 piece = ids[i][4 * a : 4 * b]
                 out.append((doc[i], start[i] + a, b - a, crc32(piece), tokens[i], piece, group + groups * s, offset))
                 offset += b - a
+        del ids
+        give_back()
         types = {**_PIECE_TYPES, "sequence_id": pa.int64(), "offset": pa.int64()}
         result = table(dict(zip(types, map(list, zip(*out)))), types)
         return pa.Table.from_batches([result])

@@ -6,6 +6,7 @@ stretch is the difference of two prefix sums; no Python string is made for a wor
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -109,7 +110,22 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 2 << 20) ->
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows] if b.num_rows else []
         for i, j in zip(cuts, cuts[1:]):
             yield b.slice(i, j - i)
-        pa.default_memory_pool().release_unused()
+        give_back()
+
+
+@lru_cache(maxsize=1)
+def _trim():
+    """The C library's call that returns free memory to the system, where it has one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):
+        return lambda _: 0
+
+
+def give_back() -> None:
+    """Return unused memory: a worker that waits for its next task should hold little."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray, kind: Alphabet) -> Words:
