@@ -14,32 +14,37 @@ from trackloom.llm.language import keep_known
 from trackloom.llm.line_dedup import dedup_lines
 from trackloom.llm.ngram_join import keep_one
 from trackloom.llm.packing import pack
-from trackloom.llm.queries import tokenizer_path
+from trackloom.llm.queries import tokenizer_path, wide_rows
 from trackloom.plans.stages import stage
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language; those without a letter go."""
+    wide_rows(spark)
     return keep_known(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One line of each component of similar lines; documents whose last line goes are left out."""
+    wide_rows(spark)
     return dedup_lines(docs, drop_empty=True)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group connected by word n-grams."""
+    wide_rows(spark)
     return keep_one(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't contaminated by the benchmark."""
+    wide_rows(spark)
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences."""
+    wide_rows(spark)
     return pack(docs, tokenizer_path())
 
 

@@ -190,7 +190,8 @@ def _contents(docs: DataFrame, bits: np.ndarray, min_chars: int) -> DataFrame:
             yield table({"key": keys_of(h1[wanted], h2[wanted]), "k64": k64[wanted], "content": content}, types)
 
     types = {"key": pa.binary(), "k64": pa.int64(), "content": pa.binary()}
-    rows = docs.mapInArrow(scan, "key binary, k64 long, content binary")
+    # Dealt out once, by what the cells are joined on; a piece has each content once at most.
+    rows = docs.mapInArrow(scan, "key binary, k64 long, content binary").repartition("k64")
     return rows.groupBy("key", "k64").agg(F.first("content").alias("content"))
 
 
