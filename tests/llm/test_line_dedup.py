@@ -1,8 +1,12 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
+
 from tests.llm.cases import awkward, documents, prose
-from trackloom.llm.line_dedup import dedup_lines, line_report
+from trackloom.llm.groups import band_hashes, min_hashes
+from trackloom.llm.line_dedup import BANDS, ROWS, dedup_lines, line_report
+from trackloom.llm.words import mix
 
 
 def expected(rows, min_chars=20, size=5):
@@ -68,3 +72,14 @@ def test_columns_stay(spark):
 def test_empty_table(spark):
     docs = documents(spark, awkward()).limit(0)
     assert dedup_lines(docs).count() == 0 and line_report(docs).count() == 0
+
+
+def test_pairs_at_the_threshold_meet():
+    """Sets of 90 hashes that share 80 of 100: at the threshold, of 3,000 pairs none is missed."""
+    assert (1 - 0.8**ROWS) ** BANDS < 2e-5
+    n = 3000
+    x = (mix(np.arange(n * 100, dtype=np.uint64), 5) >> np.uint64(32)).astype(np.uint32).reshape(n, 100)
+    at = np.arange(n) * 90
+    bands = [band_hashes(min_hashes(np.ascontiguousarray(s).ravel(), at, at + 90, BANDS * ROWS), BANDS, ROWS) for s in (x[:, :90], x[:, 10:])]
+    met = (bands[0] == bands[1]).any(axis=1).sum()
+    assert met == n

@@ -39,9 +39,9 @@ from trackloom.llm.words import give_back, mix, slices, span_hashes, table, utf8
 from trackloom.plans.stages import stage
 
 MIN_CHARS, SHINGLE, THRESHOLD = 20, 5, 0.8
-#: 22 bands of 7 rows meet a pair at the threshold with probability 0.994, at 0.85 with 0.9998, and one of
-#: similarity 0.15, as unrelated lines have, with 0.00004.
-BANDS, ROWS = 22, 7
+#: 49 bands of 7 rows miss a pair at the threshold with probability 0.00001, and meet one of similarity 0.15,
+#: as unrelated lines have, with 0.00008.
+BANDS, ROWS = 49, 7
 NEWLINE = 10
 #: Bytes of text whose shingles are hashed at a time.
 _PIECE = 1 << 18
