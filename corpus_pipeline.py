@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from trackloom.llm.decontaminate import decontaminate
 from trackloom.llm.language import keep_known
-from trackloom.llm.line_dedup import dedup_lines
+from trackloom.llm.line_dedup import MIN_CHARS, dedup_lines
 from trackloom.llm.ngram_join import keep_one
 from trackloom.llm.packing import pack
 from trackloom.llm.queries import tokenizer_path, wide_rows
@@ -27,7 +27,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One line of each component of similar lines; documents whose last line goes are left out."""
     wide_rows(spark)
-    return dedup_lines(docs, drop_empty=True)
+    return dedup_lines(docs, min_chars=MIN_CHARS, drop_empty=True)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

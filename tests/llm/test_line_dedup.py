@@ -6,6 +6,7 @@ import numpy as np
 from tests.llm.cases import awkward, documents, prose
 from trackloom.llm.groups import band_hashes, min_hashes
 from trackloom.llm.line_dedup import BANDS, ROWS, dedup_lines, line_report
+from trackloom.llm.queries import QUERIES
 from trackloom.llm.words import mix
 
 
@@ -83,3 +84,10 @@ def test_pairs_at_the_threshold_meet():
     bands = [band_hashes(min_hashes(np.ascontiguousarray(s).ravel(), at, at + 90, BANDS * ROWS), BANDS, ROWS) for s in (x[:, :90], x[:, 10:])]
     met = (bands[0] == bands[1]).any(axis=1).sum()
     assert met == n
+
+
+def test_registered_query_takes_short_lines(spark, tmp_path):
+    rows = [(1, "short\n\nこの文は繰り返されます。\nab"), (2, "tail\nshort\nこの文は繰り返されます。\n\nab"), (3, "ba\nshort\n\n"), (4, None)]
+    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.n_lines, r.n_removed) for r in QUERIES["op3_line_dedup"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 4, 0), (2, 5, 3), (3, 4, 1), (4, 0, 0)}

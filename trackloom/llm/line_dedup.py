@@ -1,6 +1,6 @@
 """Fuzzy line de-duplication: one line of each component of similar lines stays.
 
-Lines end at ``\\n``.  Lines of fewer than ``min_chars`` characters (blank ones among them) are left alone.
+Lines end at ``\\n``.  Lines of fewer than ``min_chars`` characters are left alone: with 1, only empty ones.
 A line's set are its windows of ``SHINGLE`` characters.  Lines of one content are one item; items whose
 MinHash values agree in a whole band are compared exactly, set against set, and those of at least the
 threshold are linked.  Components of links come from a distributed union-find; of each component the

@@ -77,7 +77,7 @@ SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <
 
 @_query
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_report(_read(spark, sf_dir, "documents"))
+    found = line_report(_read(spark, sf_dir, "documents"), min_chars=1)
     return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
