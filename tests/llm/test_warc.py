@@ -112,3 +112,15 @@ def test_members_end_in_a_zero_byte():
         m = member(b"a" * size)
         assert m[-1] == 0 and gzip.decompress(m) == b"a" * size
     assert payload_of(b"HTTP/1.1 200 OK\r\n\r\nx") == b"x" and zlib.crc32(b"") == 0
+
+
+def test_archives_of_any_name_are_read(spark, tmp_path):
+    from trackloom.llm import warc
+
+    one = warc.record(1, "http://a/", b"one", None, "2000-01-01T00:00:00Z")
+    two = warc.record(2, "http://b/", b"two", None, "2000-01-01T00:00:00Z")
+    (tmp_path / "CC-MAIN-1.warc.gz").write_bytes(warc.member(one))
+    (tmp_path / "other.warc").write_bytes(two)
+    (tmp_path / "_SUCCESS").write_bytes(b"")
+    got = {(r.page_id, bytes(r.payload), r.gap_reason) for r in warc.read_archives(spark, str(tmp_path)).collect()}
+    assert got == {(1, b"one", None), (2, b"two", None)}

@@ -300,5 +300,5 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
                 if out:
                     yield table(dict(zip(_FIELDS, map(list, zip(*out)))), _FIELDS)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    files = spark.read.format("binaryFile").load(path)  # names that begin with _ or . are left out by Spark
     return files.select("path", "content").mapInArrow(scan, _SCHEMA)
