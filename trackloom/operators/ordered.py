@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from trackloom.plans.stages import stage
+
 TILE = 65536
 BLOCK = 4096
 
@@ -167,3 +169,41 @@ def interval_join(
         cond = cond & (F.col(f"r.{c}") == F.col(f"i.{c}"))
     extra = [c for c in intervals.columns if c not in rows.columns]
     return r.join(i, cond, how).select(*[F.col(f"r.{c}") for c in rows.columns], *[F.col(f"i.{c}") for c in extra])
+
+
+def laid_out(df: DataFrame, key: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """Rows in ranges of (key, order), stored; ``_part`` is the range and ``_at`` the place in it, from 0.
+
+    A range holds about an equal share of all rows whatever the keys are, so a hot key lies in many ranges.
+    The ranges come from a sample; storing them fixes them for all that is read later.
+    """
+    by = [*key, *order]
+    rows = df.repartitionByRange(*by).sortWithinPartitions(*by) if by else df
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return stage(rows.select("*", F.spark_partition_id().alias("_part"), at.alias("_at")), name)
+
+
+def numbered(laid: DataFrame, key: Sequence[str], name: str = "pos", total: str | None = None) -> DataFrame:
+    """0-based ordinal of each row of ``laid_out`` rows within its key (and the number of the key's rows).
+
+    Only counts are added up across ranges: one row for each key in each range, so a key has at most as
+    many as there are ranges.  Null keys are a key of their own.
+    """
+    key = list(key)
+    runs = laid.groupBy(*key, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    # Rows of one range under an empty key would meet in one task: the ranges' counts themselves are few.
+    own = W.partitionBy(*key) if key else W.partitionBy(F.lit(0))
+    before = F.coalesce(F.sum("_n").over(own.orderBy("_part").rowsBetween(_UNB, -1)), F.lit(0))
+    whole = F.sum("_n").over(own)
+    runs = runs.select(*key, "_part", (before - F.col("_first")).alias("_shift"), whole.alias("_total"))
+    # A key value is matched by equality or by both being null.
+    on = F.col("a._part") == F.col("b._part")
+    for c in key:
+        on = on & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    out = laid.alias("a").join(runs.alias("b"), on)
+    cols = [F.col(f"a.{c}") for c in laid.columns if c not in ("_part", "_at")]
+    return out.select(
+        *cols,
+        (F.col("a._at") + F.col("b._shift")).alias(name),
+        *([F.col("b._total").alias(total)] if total else []),
+    )
