@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 from trackloom.llm.decontaminate import contamination
 from trackloom.llm.language import identify
 from trackloom.llm.line_dedup import line_report
+from trackloom.llm.merkle import FIELDS, leaf_of, manifest, verified
 from trackloom.llm.ngram_join import similar_documents
 from trackloom.llm.packing import pack
 from trackloom.llm.pseudo_likelihood import score_documents
 from trackloom.llm.secret_filter import scan_secrets
+from trackloom.llm.spelling import count_words, spelling_variants
 from trackloom.llm.substring_dedup import dedup_substrings
 from trackloom.llm.topk import exact_top_k
 from trackloom.llm.warc import read_archives, write_archives
@@ -203,3 +205,105 @@ SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
   CASE WHEN page_id <> kept THEN kept END AS refers_to
 FROM b
 """
+
+
+@_query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    changed = [F.replace(F.col(c), F.lit("\n"), F.lit("")) if c == "text" else F.col(c) for c in FIELDS]
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, leaf_of(changed))
+    found = verified(manifest(docs, tampered))
+    return found.select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.col("proof").alias("proof_sha256"), "folded_root", "verified"
+    )
+
+
+#: Unsigned crc32 of a text, for SQL texts; needs ``crc_table`` beside it.
+_CRC_TABLE = """crc_table AS (
+  SELECT list(list_reduce(range(0, 9), lambda c, x: CASE WHEN x = 0 THEN c WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, i) ORDER BY i) AS t
+  FROM (SELECT unnest(range(0, 256)) AS i) x)"""
+
+
+def _crc32(text: str) -> str:
+    digit = "position(substr(hex({0}), {1}, 1) IN '123456789ABCDEF')"
+    byte = f"16 * {digit.format(text, '2 * i - 1')} + {digit.format(text, '2 * i')}"
+    return (
+        f"xor(4294967295, list_reduce(list_transform(range(1, strlen({text}) + 1), lambda i: CAST({byte} AS BIGINT)),"
+        " lambda c, b: xor(t[1 + (xor(c, b) & 255)], c >> 8), CAST(4294967295 AS BIGINT)))"
+    )
+
+
+_FIELD = "coalesce(CAST(strlen(CAST({0} AS VARCHAR)) AS VARCHAR) || ':' || CAST({0} AS VARCHAR), '-')"
+_LEAF = " || ".join(_FIELD.format(c) for c in FIELDS)
+
+ORACLES["op11_merkle_manifest"] = f"""
+WITH RECURSIVE {_CRC_TABLE},
+docs AS (
+  SELECT doc_id, source, sha256({_LEAF}) AS leaf,
+    CASE WHEN {_crc32("CAST(doc_id AS VARCHAR)")} % 2 = 0 THEN sha256({_LEAF.replace(_FIELD.format("text"), _FIELD.format("replace(text, chr(10), '')"))})
+    END AS changed
+  FROM documents, crc_table),
+placed AS (
+  SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS number FROM docs),
+low AS (
+  SELECT tree, CAST(0 AS BIGINT) AS level, number, count(*) OVER (PARTITION BY tree) AS n, leaf AS hash FROM placed
+  UNION ALL
+  SELECT tree, level + 1, number // 3, (max(n) + 2) // 3, sha256(string_agg(hash, '' ORDER BY number)) FROM low WHERE n > 1 GROUP BY tree, level, number // 3),
+subroots AS (SELECT tree, hash FROM low WHERE n = 1),
+high AS (
+  SELECT CAST(-1 AS BIGINT) AS tree, CAST(0 AS BIGINT) AS level, tree AS number, count(*) OVER () AS n, hash FROM subroots
+  UNION ALL
+  SELECT tree, level + 1, number // 3, (max(n) + 2) // 3, sha256(string_agg(hash, '' ORDER BY number)) FROM high WHERE n > 1 GROUP BY tree, level, number // 3),
+nodes AS (SELECT * FROM low UNION ALL SELECT * FROM high),
+sides AS (
+  SELECT tree, level, number, n, coalesce(lag(hash, 2) OVER w, '') || coalesce(lag(hash, 1) OVER w, '') AS l,
+    coalesce(lead(hash, 1) OVER w, '') || coalesce(lead(hash, 2) OVER w, '') AS r
+  FROM nodes WINDOW w AS (PARTITION BY tree, level, number // 3 ORDER BY number)),
+way AS (
+  SELECT doc_id, leaf, tree AS own, tree, CAST(0 AS BIGINT) AS level, number, coalesce(changed, leaf) AS now, '' AS proof, (SELECT max(n) FROM sides s WHERE s.tree = p.tree AND s.level = 0) AS n
+  FROM placed p
+  UNION ALL
+  SELECT doc_id, leaf, own, CASE WHEN y.n > 1 THEN y.tree ELSE -1 END, CASE WHEN y.n > 1 THEN y.level + 1 ELSE 0 END, CASE WHEN y.n > 1 THEN y.number // 3 ELSE y.tree END,
+    CASE WHEN y.n > 1 THEN sha256(s.l || now || s.r) ELSE now END, CASE WHEN y.n > 1 THEN proof || s.l || s.r ELSE proof END,
+    CASE WHEN y.n > 1 THEN (y.n + 2) // 3 ELSE (SELECT count(*) FROM subroots) END
+  FROM way y JOIN sides s ON s.tree = y.tree AND s.level = y.level AND s.number = y.number
+  WHERE y.n > 1 OR y.tree >= 0)
+SELECT doc_id, leaf, (SELECT hash FROM subroots u WHERE u.tree = own) AS subroot, (SELECT hash FROM high WHERE n = 1) AS root,
+  sha256(proof) AS proof_sha256, now AS folded_root, now = (SELECT hash FROM high WHERE n = 1) AS verified
+FROM way WHERE tree = -1 AND n = 1
+"""
+
+
+@_query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(count_words(_read(spark, sf_dir, "documents"))).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+ORACLES["op12_spelling_variants"] = f"""
+WITH RECURSIVE {_CRC_TABLE},
+runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM documents),
+each AS (SELECT doc_id, run, count(*) AS k FROM runs WHERE length(run) >= 7 GROUP BY 1, 2),
+hashed AS (SELECT run, k, CASE WHEN doc_id IS NULL THEN 1 ELSE {_crc32("(doc_id || ':' || run)")} END AS h FROM each, crc_table),
+worn AS (
+  SELECT k, CASE WHEN h % 31 = 0 THEN left(run, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word FROM hashed),
+words AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM worn WHERE length(word) >= 7 GROUP BY 1 HAVING sum(k) >= 2),
+cut AS (SELECT word, n, i, left(word, CAST(i AS INT) - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words) x),
+met AS (
+  SELECT DISTINCT c.word AS a, w.word AS b, c.n AS a_n, w.n AS b_n FROM cut c JOIN words w ON c.rest = w.word
+  UNION ALL
+  SELECT x.word, y.word, x.n, y.n FROM cut x JOIN cut y ON x.i = y.i AND x.rest = y.rest AND x.word < y.word),
+pairs AS (SELECT a AS word, a_n AS n, b AS other, b_n AS other_n FROM met UNION ALL SELECT b, b_n, a, a_n FROM met),
+best AS (
+  SELECT word, any_value(n) AS n, count(*) AS n_near, max(other_n) AS best_n, arg_min(other, (-other_n, encode(other))) AS best FROM pairs GROUP BY 1),
+forms AS (SELECT word, best AS form, best_n FROM best WHERE best_n >= 10 * n),
+way AS (
+  SELECT word, word AS last, 0 AS step FROM words
+  UNION ALL
+  SELECT y.word, f.form, step + 1 FROM way y JOIN forms f ON f.word = y.last),
+ends AS (SELECT word, arg_max(last, step) AS root FROM way GROUP BY 1)
+SELECT word, form, root, w.n, coalesce(n_near, 0) AS n_near, f.best_n AS form_n
+FROM words w JOIN ends USING (word) LEFT JOIN best b USING (word) LEFT JOIN forms f USING (word)
+"""
