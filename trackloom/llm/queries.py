@@ -20,6 +20,7 @@ from trackloom.llm.secret_filter import scan_secrets
 from trackloom.llm.spelling import count_words, spelling_variants
 from trackloom.llm.substring_dedup import dedup_substrings
 from trackloom.llm.topk import exact_top_k
+from trackloom.llm.toxicity import THRESHOLD, score_toxicity
 from trackloom.llm.warc import read_archives, write_archives
 from trackloom.plans.stages import shared_folder
 
@@ -307,3 +308,11 @@ ends AS (SELECT word, arg_max(last, step) AS root FROM way GROUP BY 1)
 SELECT word, form, root, w.n, coalesce(n_near, 0) AS n_near, f.best_n AS form_n
 FROM words w JOIN ends USING (word) LEFT JOIN best b USING (word) LEFT JOIN forms f USING (word)
 """
+
+
+@_query
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = lambda c: F.coalesce(F.crc32(F.col(c).cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    found = score_toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), ~part("doc_id"))
+    predicted = (F.col("score") >= THRESHOLD).cast("int")
+    return found.select(F.col("id").alias("doc_id"), part("id").alias("held_out"), "score", predicted.alias("predicted"), "n_windows", "window_word")
