@@ -118,7 +118,7 @@ def _staged(s, d):
 register(
     "d17_track_stage_stats",
     "stage:s tracks:l span_median:d length_median:d prob_median:d prob_p10:d",
-    lambda s, d: K.track_stage_stats(_staged(s, d), hot_rows=1000),
+    lambda s, d: K.track_stage_stats(_staged(s, d)),
     sql_with(
         "fx_tracks",
         """SELECT concat('s', track % 4) AS stage, count(*) AS tracks, median(t_span) AS span_median, median(t_span * 2 + score) AS length_median,

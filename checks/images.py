@@ -111,7 +111,7 @@ register(
 register(
     "d13_contrast_limits_movie",
     f"movie:s channel:i {LIM}",
-    lambda s, d: X.contrast_limits(V.pixels(s, d), ("movie", "channel"), "projection", hot_rows=5000),
+    lambda s, d: X.contrast_limits(V.pixels(s, d), ("movie", "channel"), "projection"),
     sql_with("fx_pixels", limits_sql("movie, channel", 0.15, 0.99, 1.05, 1.2)),
 )
 register(

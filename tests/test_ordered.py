@@ -5,7 +5,17 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from trackloom.operators.ordered import beside, in_blocks, interval_join, nearest, with_position
+from trackloom.operators.ordered import (
+    _dyadic,
+    beside,
+    in_blocks,
+    interval_join,
+    interval_lookup,
+    laid_out,
+    nearest,
+    numbered,
+    with_position,
+)
 
 
 @pytest.fixture(scope="module")
@@ -68,3 +78,40 @@ def test_interval_join(spark, rows):
         list(zip(inside.k, inside.f, inside.name))
         + [(k, f, "") for k, f in zip(rows.k, rows.f) if (k, f) not in set(zip(inside.k, inside.f))]
     )
+
+
+def test_long_interval_is_few_rows(spark):
+    spans = spark.createDataFrame([(0, 2**31 - 1), (1, 2**31 - 1), (-5, 2**31 + 70), (64, 2**31 - 65), (127, 128), (7, 7), (9, 8)], "a long, z long")
+    blocks = _dyadic(spans, "a", "z", 64).groupBy("a", "z").agg(F.count("*").alias("n"), F.sum(F.pow(F.lit(2.0), "_l")).alias("buckets"))
+    got = {(r.a, r.z): (r.n, r.buckets) for r in blocks.collect()}
+    assert (9, 8) not in got and got.pop((7, 7)) == (1, 1) and got.pop((127, 128)) == (2, 2)
+    for (a, z), (n, buckets) in got.items():
+        assert n < 64 and buckets == z // 64 - a // 64 + 1
+
+
+@pytest.mark.parametrize("tile", [1, 16, 65536])
+def test_interval_lookup(spark, rows, tile):
+    spans = pd.DataFrame({"k": [0, 0, 0, 2, 9], "a": [0, 500, 710, 100, 0], "z": [499, 700, 2500, 2900, 10], "name": list("abcde")})
+    got = back(interval_lookup(spark.createDataFrame(rows), spark.createDataFrame(spans), ["k"], "f", "a", "z", ["name"], tile))
+    assert list(got.columns) == [*rows.columns, "name"]
+    held = [next((s.name_ for s in spans.rename(columns={"name": "name_"}).itertuples() if s.k == r.k and s.a <= r.f <= s.z), None) for r in rows.itertuples()]
+    assert got["name"].where(got["name"].notna(), None).tolist() == held
+    pd.testing.assert_frame_equal(got[rows.columns], rows, check_dtype=False)
+
+
+@pytest.mark.parametrize("tile", [1, 16, 65536])
+def test_position_and_neighbours_in_one_pass(spark, rows, tile):
+    got = back(nearest(spark.createDataFrame(rows), ["k"], "f", prev={"p": "v"}, next={"n": "v"}, tile=tile, pos="pos"))
+    assert got["pos"].tolist() == rows.groupby("k").cumcount().tolist()
+    pd.testing.assert_series_equal(got["p"], rows.groupby("k")["v"].shift(1), check_names=False)
+
+
+def test_numbered_by_ranges(spark, rows):
+    df = spark.createDataFrame(rows).repartition(7).withColumn("k", F.when(F.col("k") != 2, F.col("k")))
+    got = numbered(laid_out(df, ["k"], ["f"], "test"), ["k"], "pos", "n").toPandas()
+    for _, own in got.groupby("k", dropna=False):
+        own = own.sort_values("f")
+        assert own["pos"].tolist() == list(range(len(own))) and set(own["n"]) == {len(own)}
+    one = numbered(laid_out(df.select("v"), [], ["v"], "test"), []).toPandas().sort_values("v")
+    assert one["pos"].tolist() == list(range(len(rows)))
+    assert numbered(laid_out(df.where("false"), ["k"], ["f"], "test"), ["k"]).count() == 0

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.config import KEY
-from trackloom.operators.ordered import with_position
+from trackloom.operators.ordered import laid_out, numbered
 
 _COLOC = re.compile(r"^Ch\. (\d+) co\. %$")
 _TYPED = re.compile(r"^(.*) \[(binary|value)\]$")
@@ -140,11 +140,12 @@ def category_codes(df: DataFrame, col: str, order: str, palette: int = 38) -> Da
     text = F.nullif(F.col(col).cast("string"), F.lit(""))
     seen = df.select(text.alias("value"), F.col(order).alias("_o")).where("value is not null")
     first = seen.groupBy("value").agg(F.min("_o").alias("first_seen"))
-    return with_position(first, [], "first_seen").select("value", "first_seen", (F.col("pos") % palette).cast("int").alias("code"))
+    rows = numbered(laid_out(first, [], ["first_seen", "value"], "categories"), [])
+    return rows.select("value", "first_seen", (F.col("pos") % palette).cast("int").alias("code"))
 
 
 def next_ids(existing: DataFrame, new: DataFrame, order: str) -> DataFrame:
     """Number new rows from the largest trajectory id of their movie on (1 if there is none)."""
     top = existing.groupBy("movie").agg(F.max("trajectory").alias("_top"))
-    rows = with_position(new, ["movie"], order).join(top, "movie", "left")
+    rows = numbered(laid_out(new, ["movie"], [order], "new-rows"), ["movie"]).join(top, "movie", "left")
     return rows.withColumn("trajectory", F.coalesce("_top", F.lit(0)) + F.col("pos") + 1).drop("pos", "_top")

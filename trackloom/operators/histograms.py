@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.config import KEY
-from trackloom.operators.quantiles import HOT_ROWS, exact_percentiles
+from trackloom.operators.quantiles import exact_percentiles
 
 
 def speed_histogram(
-    speeds: DataFrame, movies: DataFrame, group: Sequence[str] = KEY, hot_rows: int = HOT_ROWS
+    speeds: DataFrame, movies: DataFrame, group: Sequence[str] = KEY
 ) -> DataFrame:
     """Counts per bin of the speeds (µm/s with scale, else px/frame), with the mean.
 
@@ -30,7 +30,7 @@ def speed_histogram(
     stats = rows.groupBy(*group).agg(
         F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_a"), F.max("_v").alias("_z"), F.avg("_v").alias("mean_speed")
     )
-    q = exact_percentiles(rows, group, "_v", {"_q1": 0.25, "_q3": 0.75}, hot_rows)
+    q = exact_percentiles(rows, group, "_v", {"_q1": 0.25, "_q3": 0.75})
     spread = F.col("_z") - F.col("_a")
     sturges = spread / (F.log2("_n") + 1)
     fd = 2 * (F.col("_q3") - F.col("_q1")) / F.pow("_n", F.lit(1 / 3))

@@ -68,10 +68,12 @@ def nearest(
     next: Mapping[str, str] | None = None,
     where: Column | None = None,
     tile: int = TILE,
+    pos: str | None = None,
 ) -> DataFrame:
-    """Add columns of the nearest earlier / later row (that satisfies ``where``).
+    """Add columns of the nearest earlier / later row (that satisfies ``where``), and the row's position.
 
-    ``prev`` and ``next`` map new column names to source columns.
+    ``prev`` and ``next`` map new column names to source columns; ``pos`` names the 0-based ordinal of each
+    row within its key.  All come from one pass: a tile hands on its count, first and last row together.
     """
     key, prev, next = list(key), dict(prev or {}), dict(next or {})
     tiled = _tiled(df, order, tile)
@@ -96,14 +98,19 @@ def nearest(
         packed = F.struct(*[F.col(f"_{side}_{name}").alias(name) for name in cols])
         tiles = W.partitionBy(*key).orderBy(F.col("_tile").asc() if back else F.col("_tile").desc())
         far[f"_{side}_far"] = F.last(F.when(F.col(f"_{side}_at").isNotNull(), packed), True).over(tiles.rowsBetween(_UNB, -1))
+    if pos:
+        locals_["_row"] = F.row_number().over(by_tile.orderBy(order)).cast("long")
+        aggs.append(F.count(F.lit(1)).alias("_n"))
+        far["_start"] = F.sum("_n").over(W.partitionBy(*key).orderBy("_tile").rowsBetween(_UNB, -1))
 
     # One row per (key, tile): what the tile hands to the tiles after and before it.
     edges = tiled.groupBy(*key, "_tile").agg(*aggs).select(*key, "_tile", *[c.alias(n) for n, c in far.items()])
     edges = edges.where(" or ".join(f"{n} is not null" for n in far))
     out = tiled.select("*", *[c.alias(n) for n, c in locals_.items()]).join(edges, [*key, "_tile"], "left")
     # The packed neighbour gets its own step, so that it is worked out once per row.
-    out = out.select(*df.columns, *[F.coalesce(f"_{side}_local", f"_{side}_far").alias(f"_{side}") for side, _ in sides])
-    return out.select(*df.columns, *[F.col(f"_{side}.{name}").alias(name) for side, cols in sides for name in cols])
+    place = [(F.col("_row") - 1 + F.coalesce("_start", F.lit(0))).alias(pos)] if pos else []
+    out = out.select(*df.columns, *place, *[F.coalesce(f"_{side}_local", f"_{side}_far").alias(f"_{side}") for side, _ in sides])
+    return out.select(*df.columns, *([pos] if pos else []), *[F.col(f"_{side}.{name}").alias(name) for side, cols in sides for name in cols])
 
 
 def in_blocks(
@@ -145,6 +152,27 @@ def beside(
     return rows.select("*", *found).where(~F.col("_ghost")).select(*df.columns, *prev, *next)
 
 
+def _dyadic(intervals: DataFrame, low: str, high: str, bucket: int) -> DataFrame:
+    """Intervals as aligned blocks of buckets: ``_b`` is the block's number in level ``_l`` (2 ** l buckets).
+
+    At most two blocks of each level, so an interval of n buckets has at most 2 * log2(n) + 2 rows.
+    """
+    a, z = F.floor(F.col(low) / bucket), F.floor(F.col(high) / bucket) + 1
+
+    def level(n: Column) -> Column:
+        # Division by a power of two is exact.
+        size = F.pow(F.lit(2.0), n)
+        first, last = F.ceil(a / size), F.floor(z / size)
+        left = F.when((F.pmod(first, F.lit(2)) == 1) & (first < last), F.struct(n.alias("_l"), first.alias("_b")))
+        right = F.when((F.pmod(last, F.lit(2)) == 1) & (first < last), F.struct(n.alias("_l"), (last - 1).alias("_b")))
+        # The two are one block where the interval has one block of this level only.
+        return F.array_distinct(F.array_compact(F.array(left, right)))
+
+    levels = F.sequence(F.lit(0), F.length(F.bin(z - a)) - 1)
+    blocks = intervals.where(F.col(high) >= F.col(low)).withColumn("_d", F.explode(F.flatten(F.transform(levels, level))))
+    return blocks.select(*intervals.columns, F.col("_d._l").alias("_l"), F.col("_d._b").alias("_b"))
+
+
 def interval_join(
     rows: DataFrame,
     intervals: DataFrame,
@@ -155,20 +183,63 @@ def interval_join(
     how: str = "inner",
     bucket: int = 64,
 ) -> DataFrame:
-    """Rows with the intervals (both ends included) of their key that hold ``at``.
+    """Rows with the intervals (both ends included) of their key that hold ``at``; intervals may overlap.
 
-    Both sides meet in buckets of ``at``, so the join key is spread inside a
-    long key and a row only meets the intervals that touch its bucket.
+    An interval lies in a few aligned blocks whose sizes are powers of two, and a row is looked up in its
+    block of each size that occurs, so neither a long interval nor a long key gathers rows.
     """
-    i = intervals.withColumn(
-        "_b", F.explode(F.sequence(F.floor(F.col(low) / bucket), F.floor(F.col(high) / bucket)))
-    ).alias("i")
-    r = rows.withColumn("_b", F.floor(F.col(at) / bucket)).alias("r")
+    if how not in ("inner", "left"):
+        raise ValueError(f"how: {how}")
+    blocks = _dyadic(intervals, low, high, bucket)
+    # The sizes that occur (some forty at most), as one value of the plan.
+    sizes = blocks.agg(F.collect_set("_l").alias("l")).scalar()
+    r = rows.withColumn("_l", F.explode(sizes))
+    r = r.withColumn("_b", F.floor(F.floor(F.col(at) / bucket) / F.pow(F.lit(2.0), F.col("_l")))).alias("r")
+    i = blocks.alias("i")
     cond = F.col(f"r.{at}").between(F.col(f"i.{low}"), F.col(f"i.{high}"))
-    for c in [*key, "_b"]:
+    for c in [*key, "_l", "_b"]:
         cond = cond & (F.col(f"r.{c}") == F.col(f"i.{c}"))
     extra = [c for c in intervals.columns if c not in rows.columns]
-    return r.join(i, cond, how).select(*[F.col(f"r.{c}") for c in rows.columns], *[F.col(f"i.{c}") for c in extra])
+    out = r.join(i, cond).select(*[F.col(f"r.{c}") for c in rows.columns], *[F.col(f"i.{c}") for c in extra])
+    if how == "inner":
+        return out
+    # Rows of one place share their fate, so places are told apart and not rows.
+    met = out.select(*[F.col(c).alias(f"_m_{c}") for c in (*key, at)]).distinct()
+    same = [F.col(c) == F.col(f"_m_{c}") for c in (*key, at)]
+    none = [F.lit(None).cast(intervals.schema[c].dataType).alias(c) for c in extra]
+    return out.unionByName(rows.join(met, same, "left_anti").select("*", *none))
+
+
+def interval_lookup(
+    rows: DataFrame,
+    intervals: DataFrame,
+    key: Sequence[str],
+    at: str,
+    low: str,
+    high: str,
+    cols: Sequence[str],
+    tile: int = TILE,
+) -> DataFrame:
+    """All rows, with ``cols`` of the one interval of their key that holds ``at`` (null where none does).
+
+    The intervals of a key don't overlap, so the one in question is the last that starts at ``at`` or
+    before.  An interval is one row of the sequence however long it is.
+    """
+    key = list(key)
+    rest = [c for c in rows.columns if c not in (*key, at)]
+    mine = F.struct(F.lit(True).alias("_is"), *rest)
+    mark = F.struct(F.col(high).alias("_to"), *cols)
+    r = rows.select(*key, F.col(at).alias("_at"), mine.alias("_row"))
+    m = intervals.where(F.col(low).isNotNull()).select(*key, F.col(low).alias("_at"), mark.alias("_mark"))
+    both = r.unionByName(m, allowMissingColumns=True)
+    # Marks come before the rows of their place.
+    both = both.withColumn("_o", F.col("_at") * 2 + F.col("_row").isNotNull().cast("int"))
+    found = nearest(both, key, "_o", prev={"_held": "_mark"}, where=F.col("_mark").isNotNull(), tile=2 * tile).where("_row is not null")
+    inside = F.col("_at") <= F.col("_held._to")
+    return found.select(
+        *[F.col(c) if c in key else F.col("_at").alias(c) if c == at else F.col(f"_row.{c}").alias(c) for c in rows.columns],
+        *[F.when(inside, F.col(f"_held.{c}")).alias(c) for c in cols],
+    )
 
 
 def laid_out(df: DataFrame, key: Sequence[str], order: Sequence[str], name: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from trackloom.functions.geometry import lines, point_at
 from trackloom.operators.ordered import BLOCK, in_blocks, spread
-from trackloom.operators.quantiles import HOT_ROWS, exact_percentiles
+from trackloom.operators.quantiles import exact_percentiles
 from trackloom.plans.stages import stage
 
 _SIDE = 16
@@ -114,7 +114,6 @@ def trajectory_background(
     movies: DataFrame,
     radius: int = 12,
     border: float = 0.1,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Median of the border pixels of all crops of a trajectory.
 
@@ -142,7 +141,7 @@ def trajectory_background(
     n = strip_count(F.col("_ya"), F.col("_yb"), F.col("_xa"), F.col("_xb"), F.col("_strip"), whole)
     border_rows = rows.withColumn("_n", n).where("_n > 0").withColumn("_i", F.explode(F.sequence(F.lit(1), "_n")))
     key = ["movie", "trajectory"]
-    return exact_percentiles(border_rows, key, "v", {"trajectory_background": 0.5}, hot_rows)
+    return exact_percentiles(border_rows, key, "v", {"trajectory_background": 0.5})
 
 
 def max_projection(pixels: DataFrame, movies: DataFrame) -> DataFrame:
@@ -156,7 +155,6 @@ def contrast_limits(
     pixels: DataFrame,
     group: Sequence[str] = ("movie", "channel", "frame"),
     mode: str = "frame",
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Display limits from percentiles; modes frame, projection and log."""
     # Percentiles and factors per mode.
@@ -165,7 +163,7 @@ def contrast_limits(
         "projection": (0.15, 0.99, 1.05, 1.2),
         "log": (0.35, 0.98, 1.0, 1.0),
     }[mode]
-    q = exact_percentiles(pixels, list(group), "v", {"_a": p_low, "_z": p_high}, hot_rows)
+    q = exact_percentiles(pixels, list(group), "v", {"_a": p_low, "_z": p_high})
     lo, hi = (F.col("_a") * f_low).cast("int"), (F.col("_z") * f_high).cast("int")
     out = q.select(*group, lo.alias("vmin"), hi.alias("vmax"))
     delta = F.col("vmax") - F.col("vmin")

@@ -1,88 +1,78 @@
-"""Exact percentiles that do not gather a hot group in one task."""
+"""Exact percentiles by distributed selection.
+
+Equal values of a key are counted first, so repeats never travel.  The distinct values are dealt out by key
+and by a range of the value, ``RANGES`` to each doubling; how many values each range holds, added up in order,
+tells which ranges hold the wanted ranks, and only these are put in order.  All keys go the same way: no range
+gathers more than a small share of a key's distinct values, and no sum runs over more than its ranges.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-HOT_ROWS = 1_000_000
-_ACCURACY = 10_000
+RANGES = 256
+#: Beyond the exponents of doubles, on both sides of zero.
+_FAR = 1100 * RANGES
+
+
+def value_range(v: Column) -> Column:
+    """Number of the range of a double: grows with the value; zero, infinities and NaN have their own."""
+    size = F.floor(F.greatest(F.lit(-float(_FAR)), F.least(F.lit(float(_FAR)), F.log2(F.abs(v)) * RANGES))) + (_FAR + 1)
+    return F.when(v == 0, F.lit(0)).when(F.isnan(v), F.lit(2 * _FAR + 2)).when(v < 0, -size).otherwise(size).cast("int")
 
 
-def exact_percentiles(
-    df: DataFrame,
-    key: Sequence[str],
-    value: str,
-    probs: Mapping[str, float],
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """One row per key with the linearly interpolated percentiles of ``value``.
+def exact_percentiles(df: DataFrame, key: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
+    """One row per key with the linearly interpolated percentiles of ``value``; nulls don't count.
 
-    Keys with at most ``hot_rows`` values use the built-in exact aggregate.
-    Larger ones are bracketed with the mergeable sketch first; only the values
-    inside the narrow bracket are then counted and ranked, which is exact.
+    Keys of equal values, nulls among them, are one key.  ``df`` is read once: what is counted and what is
+    picked come from the same exchange.
     """
     key = list(key)
-    rows = df.where(F.col(value).isNotNull()).select(*key, F.col(value).cast("double").alias("_v"))
-    sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
-    # At most (all rows / hot_rows) keys, so this list stays small at any scale.
-    hot = sizes.where(F.col("_n") > hot_rows)
-    names = list(probs)
-    cold_rows = rows.join(F.broadcast(hot.select(*key)), key, "left_anti")
-    hot_rows_df = rows.join(F.broadcast(hot.select(*key)), key, "left_semi")
+    group = F.struct(*[F.col(c) for c in key]) if key else F.struct(F.lit(0).alias("_all"))
+    rows = df.where(F.col(value).isNotNull()).select(group.alias("_k"), F.col(value).cast("double").alias("_v"))
+    # Never null, so that a join adds no condition to one of the two readers of the exchange.
+    rows = rows.select("_k", F.coalesce(value_range(F.col("_v")), F.lit(0)).alias("_r"), "_v")
+    counted = rows.groupBy("_k", "_r", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    dealt = counted.repartition("_k", "_r")
 
-    wide = 5.0 / _ACCURACY
-    edges = [max(0.0, p - wide) for p in probs.values()] + [min(1.0, p + wide) for p in probs.values()]
-    bounds = hot_rows_df.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", edges, _ACCURACY).alias("_e")
-    )
-    k = len(names)
-    # Below this size a bracket would be only a few ranks wide; such keys are ranked whole.
-    narrow, none = F.col("_n") >= _ACCURACY, F.lit(None).cast("double")
-    brackets = bounds.select(
-        *key,
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(name).alias("_name"),
-                        (F.lit(p) * (F.col("_n") - 1)).alias("_rank"),
-                        (F.when(narrow, F.col("_e")[i]) if p - wide > 0 else none).alias("_lo"),
-                        (F.when(narrow, F.col("_e")[i + k]) if p + wide < 1 else none).alias("_hi"),
-                    )
-                    for i, (name, p) in enumerate(probs.items())
-                ]
-            )
-        ).alias("_b"),
-    ).select(*key, "_b.*")
-    # Brackets: hot keys x percentiles, bounded like ``hot``.
-    placed = hot_rows_df.join(F.broadcast(brackets), key).where(F.col("_hi").isNull() | (F.col("_v") <= F.col("_hi")))
-    group = [*key, "_name"]
-    ranked = (
-        placed.groupBy(*group, "_rank", F.when(F.col("_lo").isNull() | (F.col("_v") >= F.col("_lo")), F.col("_v")).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_cum", F.sum("_c").over(W.partitionBy(*group).orderBy(F.col("_v").asc_nulls_first())))
-    )
-    low, high = F.floor("_rank"), F.ceil("_rank")
-    picked = ranked.groupBy(*group, "_rank").agg(
-        F.min(F.when(F.col("_cum") > low, F.col("_v"))).alias("_a"),
-        F.min(F.when(F.col("_cum") > high, F.col("_v"))).alias("_z"),
-        F.max(F.when(F.col("_v").isNull(), F.col("_cum"))).alias("_below"),
+    whole = W.partitionBy("_k")
+    before = F.sum("_n").over(whole.orderBy("_r").rowsBetween(W.unboundedPreceding, -1))
+    ranges = (
+        dealt.groupBy("_k", "_r")
+        .agg(F.sum("_c").alias("_n"))
+        .select("_k", "_r", "_n", F.coalesce(before, F.lit(0)).alias("_start"), F.sum("_n").over(whole).alias("_total"))
     )
-    missed = F.col("_z").isNull() | (F.coalesce("_below", F.lit(0)) > low)
-    exact = picked.withColumn(
-        "_q",
-        F.when(missed, F.raise_error(F.lit("percentile bracket missed its rank")).cast("double")).otherwise(
-            F.col("_a") + (F.col("_z") - F.col("_a")) * (F.col("_rank") - low)
-        ),
-    )
-    hot_result = exact.groupBy(*key).agg(
-        *[F.max(F.when(F.col("_name") == n, F.col("_q"))).alias(n) for n in names]
+    # Of each percentile the rank below and the rank above it, counted inside the range.
+    names, ranks = list(probs), []
+    for i, p in enumerate(probs.values()):
+        at = F.lit(float(p)) * (F.col("_total") - 1)
+        for side, rank in enumerate((F.floor(at), F.ceil(at))):
+            ranks.append(F.struct(F.lit(2 * i + side).alias("i"), (rank - F.col("_start")).alias("rank")))
+    held = F.filter(F.array(*ranks), lambda t: (t["rank"] >= 0) & (t["rank"] < F.col("_n")))
+    wanted = ranges.select("_k", "_r", "_total", held.alias("_t")).where(F.size("_t") > 0)
+
+    run = W.partitionBy("_k", "_r").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
+    picked = (
+        dealt.join(wanted, ["_k", "_r"])
+        .select("_k", "_total", "_t", "_v", "_c", F.sum("_c").over(run).alias("_upto"))
+        .select(
+            "_k",
+            "_total",
+            "_v",
+            F.explode(F.filter("_t", lambda t: (t["rank"] < F.col("_upto")) & (t["rank"] >= F.col("_upto") - F.col("_c")))).alias("_t"),
+        )
     )
-    cold_result = cold_rows.groupBy(*key).agg(
-        *[F.percentile("_v", F.lit(float(p))).alias(n) for n, p in probs.items()]
+    found = picked.groupBy("_k").agg(
+        F.first("_total").alias("_total"), *[F.max(F.when(F.col("_t.i") == j, F.col("_v"))).alias(f"_q{j}") for j in range(2 * len(names))]
     )
-    return cold_result.unionByName(hot_result)
+
+    def between(i: int, p: float) -> Column:
+        a, z, at = F.col(f"_q{2 * i}"), F.col(f"_q{2 * i + 1}"), F.lit(float(p)) * (F.col("_total") - 1)
+        # The built-in aggregate weighs the two neighbours in this way.
+        return F.when(a == z, a).otherwise((F.ceil(at) - at) * a + (at - F.floor(at)) * z)
+
+    return found.select(*[F.col(f"_k.{c}").alias(c) for c in key], *[between(i, p).alias(n) for i, (n, p) in enumerate(probs.items())])

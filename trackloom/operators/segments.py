@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.config import KEY
-from trackloom.operators.ordered import TILE, interval_join, nearest, with_position
+from trackloom.operators.ordered import TILE, interval_lookup, nearest
 
 
 def one_per_frame(nodes: DataFrame) -> DataFrame:
@@ -28,8 +28,7 @@ def dedupe_nodes(nodes: DataFrame, order: str, tile: int = TILE) -> DataFrame:
 
 def anchor_segments(nodes: DataFrame, tile: int = TILE) -> DataFrame:
     """Consecutive nodes as segments; the shared frame belongs to the earlier one."""
-    n = with_position(one_per_frame(nodes), KEY, "frame", name="pos", tile=tile)
-    n = nearest(n, KEY, "frame", next={"end_frame": "frame", "x1": "x", "y1": "y"}, tile=tile)
+    n = nearest(one_per_frame(nodes), KEY, "frame", next={"end_frame": "frame", "x1": "x", "y1": "y"}, tile=tile, pos="pos")
     return n.where("end_frame is not null").select(
         *KEY,
         (F.col("pos") + 1).cast("int").alias("segment"),
@@ -48,19 +47,22 @@ def label_segments(points: DataFrame, nodes: DataFrame, tile: int = TILE) -> Dat
 
     NULL without nodes.  A node on the point's own frame closes its segment.
     """
-    segs = anchor_segments(nodes, tile=tile).select(*KEY, "segment", "start_frame", "end_frame")
-    single = nodes.groupBy(*KEY).agg(F.min("frame").alias("start_frame"), F.max("frame").alias("end_frame"))
-    single = single.where("start_frame = end_frame").withColumn("segment", F.lit(1))
-    ends = segs.groupBy(*KEY).agg(F.max("segment").alias("_last"))
-    span = points.groupBy(*KEY).agg(F.min("frame").alias("_lo"), F.max("frame").alias("_hi"))
-    # The outer segments reach as far as the trajectory does.
-    wide = segs.unionByName(single).join(ends, KEY, "left").join(span, KEY)
-    low = F.when(F.col("segment") == 1, F.least("start_frame", "_lo")).otherwise(F.col("start_frame"))
-    high = F.when(F.col("segment") == F.coalesce("_last", F.lit(1)), F.greatest("end_frame", "_hi")).otherwise(
-        F.col("end_frame")
+    n = nearest(one_per_frame(nodes).select(*KEY, "frame"), KEY, "frame", next={"_next": "frame"}, tile=tile, pos="_pos")
+    # What a node says of the points behind it: the segment it opens, or the last one again.
+    behind = F.when(F.col("_next").isNotNull(), F.col("_pos") + 1).otherwise(F.greatest("_pos", F.lit(1)))
+    marks = n.select(*KEY, F.col("frame").alias("_at"), behind.cast("int").alias("_segment"))
+    rest = [c for c in points.columns if c not in (*KEY, "frame")]
+    rows = points.select(*KEY, F.col("frame").alias("_at"), F.struct(F.lit(True).alias("_is"), *rest).alias("_row"))
+    both = rows.unionByName(marks, allowMissingColumns=True)
+    # A node comes behind the point of its own frame, whose segment it closes.
+    both = both.withColumn("_o", F.col("_at") * 2 + F.col("_row").isNull().cast("int"))
+    mark = {"prev": {"_behind": "_segment"}, "next": {"_before": "_segment"}}
+    found = nearest(both, KEY, "_o", **mark, where=F.col("_segment").isNotNull(), tile=2 * tile).where("_row is not null")
+    segment = F.coalesce("_behind", F.when(F.col("_before").isNotNull(), F.lit(1)))
+    return found.select(
+        *[F.col(c) if c in KEY else F.col("_at").alias(c) if c == "frame" else F.col(f"_row.{c}").alias(c) for c in points.columns],
+        segment.alias("segment"),
     )
-    wide = wide.select(*KEY, "segment", low.alias("_from"), high.alias("_to"))
-    return interval_join(points, wide, KEY, "frame", "_from", "_to", "left").drop("_from", "_to")
 
 
 def in_segment_rows(points: DataFrame, nodes: DataFrame, tile: int = TILE) -> DataFrame:
@@ -70,8 +72,7 @@ def in_segment_rows(points: DataFrame, nodes: DataFrame, tile: int = TILE) -> Da
 
 def in_segments(points: DataFrame, segments: DataFrame) -> DataFrame:
     """Points with the segment that holds their frame."""
-    segs = segments.select(*KEY, "segment", F.col("start_frame").alias("_from"), F.col("end_frame").alias("_to"))
-    return interval_join(points, segs, KEY, "frame", "_from", "_to").drop("_from", "_to")
+    return interval_lookup(points, segments, KEY, "frame", "start_frame", "end_frame", ["segment"]).where("segment is not null")
 
 
 def densify(nodes: DataFrame, lag_compat: bool = False, tile: int = TILE) -> DataFrame:

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from trackloom.config import KEY
 from trackloom.functions.smooth import edge_smooth as _smooth
-from trackloom.operators.ordered import BLOCK, TILE, beside, in_blocks, interval_join, nearest, with_position
-from trackloom.operators.quantiles import HOT_ROWS, exact_percentiles
+from trackloom.operators.ordered import BLOCK, TILE, beside, in_blocks, interval_lookup, nearest, with_position
+from trackloom.operators.quantiles import exact_percentiles
 
 
 def edge_smooth(
@@ -73,7 +73,6 @@ def steps(
     min_step: float = 100.0,
     group: Sequence[str] = KEY,
     tile: int = TILE,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Levels between edges (both ends included) with the median smoothed value.
 
@@ -85,8 +84,11 @@ def steps(
     cuts = with_position(cuts.select(*group, "frame"), group, "frame", name="step", tile=tile)
     cuts = beside(cuts, group, next={"end_frame": "frame"}, pos="step").where("end_frame is not null")
     cuts = cuts.select(*group, "step", F.col("frame").alias("start_frame"), "end_frame")
-    rows = interval_join(smoothed.select(*group, "frame", "smooth"), cuts, group, "frame", "start_frame", "end_frame")
-    level = exact_percentiles(rows, [*group, "step"], "smooth", {"level": 0.5}, hot_rows)
+    # The frame of a cut belongs to the level before it, too; there the interval that starts is the one looked up.
+    rows = interval_lookup(smoothed.select(*group, "frame", "smooth"), cuts, group, "frame", "start_frame", "end_frame", ["step", "start_frame"], tile)
+    both = F.when((F.col("frame") == F.col("start_frame")) & (F.col("step") > 0), F.array("step", F.col("step") - 1))
+    rows = rows.where("step is not null").select(*group, F.explode(F.coalesce(both, F.array("step"))).alias("step"), "smooth")
+    level = exact_percentiles(rows, [*group, "step"], "smooth", {"level": 0.5})
     return cuts.join(level, [*group, "step"]).withColumn("step", F.col("step").cast("int"))
 
 
@@ -117,7 +119,7 @@ def label_steps(points: DataFrame, steps_df: DataFrame) -> DataFrame:
         F.when(F.col("step") == 0, F.col("start_frame")).otherwise(F.col("start_frame") + 1).alias("_from"),
         F.col("end_frame").alias("_to"),
     )
-    return interval_join(points, marks, KEY, "frame", "_from", "_to", "left").drop("_from", "_to")
+    return interval_lookup(points, marks, KEY, "frame", "_from", "_to", ["step", "level"])
 
 
 def steps_from_points(points: DataFrame) -> DataFrame:

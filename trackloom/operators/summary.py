@@ -10,7 +10,7 @@ from trackloom.functions import scalars as S
 from trackloom.functions.geometry import roi_length
 from trackloom.operators.ordered import TILE
 from trackloom.operators.points import speeds
-from trackloom.operators.quantiles import HOT_ROWS, exact_percentiles
+from trackloom.operators.quantiles import exact_percentiles
 from trackloom.operators.segments import anchor_segments, in_segments, one_per_frame
 from trackloom.plans.stages import stage
 
@@ -25,7 +25,7 @@ _MEANS = {
 
 
 def _measures(
-    rows: DataFrame, plain: DataFrame, group: list[str], movies: DataFrame, hot_rows: int
+    rows: DataFrame, plain: DataFrame, group: list[str], movies: DataFrame
 ) -> DataFrame:
     """Shared measures of groups of ``rows``, which carry ``speed``; ``plain`` need not."""
     valid = F.when(S.is_valid(F.col("intensity")), F.col("intensity"))
@@ -42,7 +42,7 @@ def _measures(
         F.avg("_i").alias("mean_intensity"),
         F.avg("speed").alias("speed_px_frame"),
     )
-    median = exact_percentiles(plain.withColumn("_i", valid), group, "_i", {"median_intensity": 0.5}, hot_rows)
+    median = exact_percentiles(plain.withColumn("_i", valid), group, "_i", {"median_intensity": 0.5})
     out = stats.join(median, group, "left").join(
         movies.select("movie", "pixel_size_nm", "frame_interval_ms"), "movie", "left"
     )
@@ -73,10 +73,10 @@ def _measures(
 
 
 def per_trajectory(
-    points: DataFrame, nodes: DataFrame, movies: DataFrame, tile: int = TILE, hot_rows: int = HOT_ROWS
+    points: DataFrame, nodes: DataFrame, movies: DataFrame, tile: int = TILE
 ) -> DataFrame:
     """One row per trajectory: extent, validity, distance, time, speeds, intensities."""
-    out = _measures(speeds(points, tile), points, KEY, movies, hot_rows)
+    out = _measures(speeds(points, tile), points, KEY, movies)
     n = one_per_frame(nodes).groupBy(*KEY).agg(
         F.greatest(F.count(F.lit(1)) - 1, F.lit(0)).cast("int").alias("segments"),
         *[F.min_by(c, "frame").alias(f"_a{c}") for c in "xy"],
@@ -89,14 +89,14 @@ def per_trajectory(
 
 
 def per_segment(
-    points: DataFrame, nodes: DataFrame, movies: DataFrame, tile: int = TILE, hot_rows: int = HOT_ROWS
+    points: DataFrame, nodes: DataFrame, movies: DataFrame, tile: int = TILE
 ) -> DataFrame:
     """The same measures between each pair of nodes; empty segments give no row."""
     # The segments are few next to the points and are read several times.
     segs = stage(anchor_segments(nodes, tile), "segments")
     rows = in_segments(speeds(points, tile), segs)
     plain = in_segments(points.select(*KEY, "frame", "intensity"), segs)
-    return _measures(rows, plain, [*KEY, "segment"], movies, hot_rows)
+    return _measures(rows, plain, [*KEY, "segment"], movies)
 
 
 def _rates(out: DataFrame, n: Column) -> DataFrame:

@@ -7,7 +7,7 @@ here from the meaning of their parameters.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -118,7 +118,7 @@ def track_set_quality(tracks: DataFrame, group: Sequence[str] = ("kymo",)) -> Da
     return out.select(*group, "tracks", quality.alias("quality"))
 
 
-def track_stage_stats(tracks: DataFrame, group: Sequence[str] = ("stage",), hot_rows: int = 1_000_000) -> DataFrame:
+def track_stage_stats(tracks: DataFrame, group: Sequence[str] = ("stage",)) -> DataFrame:
     """Count, medians of span, length and probability, and the tenth percentile of probability."""
     group = list(group)
     out = tracks.groupBy(*group).agg(F.count(F.lit(1)).alias("tracks"))
@@ -127,7 +127,7 @@ def track_stage_stats(tracks: DataFrame, group: Sequence[str] = ("stage",), hot_
         ("length_px", {"length_median": 0.5}),
         ("mean_prob", {"prob_median": 0.5, "prob_p10": 0.1}),
     ):
-        out = out.join(exact_percentiles(tracks, group, col, probs, hot_rows), group, "left")
+        out = out.join(exact_percentiles(tracks, group, col, probs), group, "left")
     return out
 
 
@@ -172,10 +172,20 @@ def union_of_passes(passes: Mapping[str, DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named)
 
 
-def _near_pairs(a: DataFrame, b: DataFrame, reach: float, extra: Column | None = None) -> DataFrame:
-    """Pairs of tracks with a node closer than ``reach`` on some shared frame.
+def _sized(nodes: DataFrame) -> DataFrame:
+    """Number of frames and both ends of each track."""
+    return nodes.groupBy(*ID).agg(
+        F.count(F.lit(1)).alias("n"), F.min_by("x", "t").alias("first"), F.max_by("x", "t").alias("last")
+    )
+
+
+def _near_pairs(
+    a: DataFrame, b: DataFrame, reach: float, enough: Callable[[Column, Column], Column], extra: Column | None = None
+) -> DataFrame:
+    """Pairs of tracks that are closer than ``reach`` on enough shared frames, with both tracks' sizes and ends.
 
-    Only these can have a small mean, or a small high percentile, of the distance.
+    ``enough`` gives the least number of close frames from the two sizes.  Close frames are counted per pair
+    as they are found, so a pair is one row for each task, and most pairs end here.
     """
     left = a.withColumn("_c", F.floor(F.col("x") / reach)).alias("a")
     right = b.withColumn("_c", F.explode(F.array(*[F.floor(F.col("x") / reach) + k for k in (-1, 0, 1)]))).alias("b")
@@ -184,35 +194,31 @@ def _near_pairs(a: DataFrame, b: DataFrame, reach: float, extra: Column | None =
         cond = cond & (F.col(f"a.{c}") == F.col(f"b.{c}"))
     if extra is not None:
         cond = cond & extra
-    return left.join(right, cond).select(
-        F.col("a.kymo").alias("kymo"), F.col("a.track").alias("track"), F.col("b.track").alias("other")
-    ).distinct()
+    met = left.join(right, cond).select(F.col("a.kymo").alias("kymo"), F.col("a.track").alias("track"), F.col("b.track").alias("other"))
+    close = met.groupBy("kymo", "track", "other").agg(F.count(F.lit(1)).alias("_close"))
+    sizes = _sized(a).withColumnsRenamed({"n": "_an", "first": "_afirst", "last": "_alast"})
+    others = _sized(b).withColumnsRenamed({"track": "other", "n": "_bn", "first": "_bfirst", "last": "_blast"})
+    found = close.join(sizes, ID).join(others, ["kymo", "other"])
+    return found.where(F.col("_close") >= enough(F.col("_an"), F.col("_bn"))).drop("_close")
 
 
 def overlap_stats(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
-    """Distance and overlap of track pairs over their shared frames.
+    """Distance and overlap of track pairs (of ``_near_pairs``) over their shared frames.
 
     overlap = shared / shorter, union = shared / all frames of both.
     """
-
-    def ends(df: DataFrame, p: str) -> DataFrame:
-        return df.groupBy(*ID).agg(
-            F.count(F.lit(1)).alias(f"{p}n"),
-            F.min_by("x", "t").alias(f"{p}first"),
-            F.max_by("x", "t").alias(f"{p}last"),
-        )
+    known = ["_an", "_bn", "_afirst", "_bfirst", "_alast", "_blast"]
 
     other = b.select("kymo", F.col("track").alias("other"), "t", F.col("x").alias("_ox"))
     dx = F.abs(F.col("x") - F.col("_ox"))
     shared = (
         pairs.join(a.select(*ID, "t", "x"), ID)
         .join(other, ["kymo", "other", "t"])
-        .groupBy(*ID, "other")
+        .groupBy(*ID, "other", *known)
         # At most one value per frame of the movie.
         .agg(F.count(F.lit(1)).alias("shared"), F.avg(dx).alias("mean_dx"), F.percentile(dx, F.lit(0.9)).alias("p90_dx"))
     )
-    out = shared.join(ends(a, "_a"), ID).join(ends(b, "_b").withColumnRenamed("track", "other"), ["kymo", "other"])
-    return out.select(
+    return shared.select(
         *ID,
         "other",
         "mean_dx",
@@ -226,7 +232,12 @@ def overlap_stats(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
 
 def match_tracks(a: DataFrame, b: DataFrame, p: FinderParams = FinderParams()) -> DataFrame:
     """Pairs (track, other) of two node tables that describe the same path."""
-    pairs = _near_pairs(a, b, max(p.match_mean_dx, p.match_p90_dx, p.loose_p90_dx))
+    def enough(n: Column, m: Column) -> Column:
+        # Both rules limit the ninetieth percentile, so nine tenths of the frames that they ask for are close.
+        tight, loose = p.match_overlap * F.least(n, m), p.loose_union / (1 + p.loose_union) * (n + m)
+        return 0.9 * (F.least(tight, loose) - 1)
+
+    pairs = _near_pairs(a, b, max(p.match_p90_dx, p.loose_p90_dx), enough)
     s = overlap_stats(pairs, a, b)
     tight = (F.col("overlap") >= p.match_overlap) & (F.col("mean_dx") <= p.match_mean_dx) & (F.col("p90_dx") <= p.match_p90_dx)
     loose = (
@@ -240,10 +251,15 @@ def match_tracks(a: DataFrame, b: DataFrame, p: FinderParams = FinderParams()) -
 
 def stage_fates(premerge: DataFrame, post_merge: DataFrame, post_extend: DataFrame, final: DataFrame) -> DataFrame:
     """For each track before merging: the stage at which nothing matches it any more."""
-    out = premerge.select(*ID).distinct()
-    for name, nodes in (("_m", post_merge), ("_e", post_extend), ("_f", final)):
-        hit = match_tracks(premerge, nodes).select(*ID).distinct().withColumn(name, F.lit(True))
-        out = out.join(hit, ID, "left")
+    # All stages in one pass: the other track's id tells its stage.
+    stages = {"_m": post_merge, "_e": post_extend, "_f": final}
+    others = reduce(
+        DataFrame.unionByName,
+        [n.select("kymo", F.struct(F.lit(name).alias("stage"), "track").alias("track"), "t", "x") for name, n in stages.items()],
+    )
+    hits = match_tracks(premerge.select(*ID, "t", "x"), others)
+    hits = hits.groupBy(*ID).agg(*[F.max(F.when(F.col("other.stage") == name, F.lit(True))).alias(name) for name in stages])
+    out = premerge.select(*ID).distinct().join(hits, ID, "left")
     fate = (
         F.when(F.col("_m").isNull(), "lost_before_post_merge")
         .when(F.col("_e").isNull(), "lost_before_post_extend")
@@ -265,7 +281,9 @@ def dedupe_tracks(
     better = (F.col("b.score") > F.col("a.score")) | (
         (F.col("b.score") == F.col("a.score")) & (F.col("b.track") < F.col("a.track"))
     )
-    pairs = _near_pairs(ranked, ranked, max_dx, better)
+    # If the mean is small, half of the shared frames are within twice of it.
+    enough = lambda n, m: 0.5 * min_overlap * F.least(n, m)
+    pairs = _near_pairs(ranked, ranked, 2 * max_dx, enough, better)
     stats = overlap_stats(pairs, nodes, nodes)
     worse = stats.where((F.col("mean_dx") <= max_dx) & (F.col("overlap") >= min_overlap)).select(*ID).distinct()
     return tracks.join(worse, ID, "left_anti")
