@@ -23,3 +23,12 @@ def test_tasks_import_the_package_from_a_foreign_folder(tmp_path):
     code = CODE.format(root=ROOT).replace("e5_smooth", name)
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
     assert out.returncode == 0 and "rows" in out.stdout, out.stderr[-2000:]
+
+
+def test_a_session_without_any_setting(tmp_path):
+    """No folder is named by the configuration: the entry point names one of this machine."""
+    (tmp_path / "conf").mkdir()
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"SPARK_CONF_DIR": str(tmp_path / "conf")}
+    code = CODE.format(root=ROOT).replace("e5_smooth", "d2_per_segment")
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert out.returncode == 0 and "rows" in out.stdout, out.stderr[-2000:]

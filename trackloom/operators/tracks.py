@@ -255,10 +255,10 @@ def stage_fates(premerge: DataFrame, post_merge: DataFrame, post_extend: DataFra
     stages = {"_m": post_merge, "_e": post_extend, "_f": final}
     others = reduce(
         DataFrame.unionByName,
-        [n.select("kymo", F.struct(F.lit(name).alias("stage"), "track").alias("track"), "t", "x") for name, n in stages.items()],
+        [n.select("kymo", F.concat(F.lit(name), F.col("track").cast("string")).alias("track"), "t", "x") for name, n in stages.items()],
     )
     hits = match_tracks(premerge.select(*ID, "t", "x"), others)
-    hits = hits.groupBy(*ID).agg(*[F.max(F.when(F.col("other.stage") == name, F.lit(True))).alias(name) for name in stages])
+    hits = hits.groupBy(*ID).agg(*[F.max(F.when(F.col("other").startswith(name), F.lit(True))).alias(name) for name in stages])
     out = premerge.select(*ID).distinct().join(hits, ID, "left")
     fate = (
         F.when(F.col("_m").isNull(), "lost_before_post_merge")

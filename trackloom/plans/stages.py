@@ -18,8 +18,9 @@ def shared_folder(spark: SparkSession) -> str:
 
 def local_folder(spark: SparkSession) -> None:
     """For entry points and tests: name a folder of this machine where none is set and all tasks run here."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.master.startswith("local["):
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="trackloom-"))
+    context = spark.sparkContext
+    if not (spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()) and context.master.startswith("local["):
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="trackloom-"))
 
 
 def stage_folder(spark: SparkSession, name: str) -> str:
