@@ -23,7 +23,7 @@ def expected(rows, min_chars=20, size=5):
     root = list(range(len(lines)))
     for a in range(len(lines)):
         for b in range(a):
-            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and root[a] != root[b]:
+            if sets[a] & sets[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and root[a] != root[b]:
                 root = [root[b] if r == root[a] else r for r in root]
     stays = {}
     for k, line in enumerate(lines):
@@ -91,3 +91,12 @@ def test_registered_query_takes_short_lines(spark, tmp_path):
     documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
     got = {(r.doc_id, r.n_lines, r.n_removed) for r in QUERIES["op3_line_dedup"](spark, str(tmp_path)).collect()}
     assert got == {(1, 4, 0), (2, 5, 3), (3, 4, 1), (4, 0, 0)}
+
+
+def test_short_lines_go_only_as_exact_copies(spark):
+    rng = random.Random(5)
+    rows = [(1, "pa\nAa"), (2, "Qb\nBB"), (3, "pa"), (4, "C#")]
+    rows += [(10 + k, "\n".join("".join(rng.choices("abQpBC#", k=rng.randint(0, 6))) for _ in range(40))) for k in range(30)]
+    got = Counter((r.doc_id, r.n_lines, r.n_removed, r.text) for r in line_report(documents(spark, rows), min_chars=1).collect())
+    assert got == expected(rows, 1)
+    assert (2, 2, 0, "Qb\nBB") in got

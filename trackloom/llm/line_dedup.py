@@ -1,7 +1,7 @@
 """Fuzzy line de-duplication: one line of each component of similar lines stays.
 
 Lines end at ``\\n``.  Lines of fewer than ``min_chars`` characters are left alone: with 1, only empty ones.
-A line's set are its windows of ``SHINGLE`` characters.  Lines of one content are one item; items whose
+A line's set are its windows of ``SHINGLE`` characters; a shorter line has none, so only exact copies of it go.  Lines of one content are one item; items whose
 MinHash values agree in a whole band are compared exactly, set against set, and those of at least the
 threshold are linked.  Components of links come from a distributed union-find; of each component the
 occurrence with the smallest (id, line number) stays and the others go.
@@ -94,7 +94,7 @@ class Lines:
         return s, np.maximum(e - size, s) + 1, e - s < size
 
     def signatures(self, chosen: np.ndarray, size: int, k: int) -> np.ndarray:
-        """MinHash values of the chosen lines' shingles."""
+        """MinHash values of the chosen lines' shingles; each has one at least."""
         out = []
         for i, j, lo, hi in self._pieces():
             c = self._codes(lo, hi)
@@ -106,15 +106,14 @@ class Lines:
             h ^= h >> np.uint32(12)
             h *= np.uint32(0x297A2D39)
             h ^= h >> np.uint32(15)
-            s, e, short = self._stretch(i, j, lo, size)
-            for n in np.flatnonzero(short):
-                h[s[n]] = _short_hash(c[s[n] : s[n] + self._length(i + n)])
+            s, e, _ = self._stretch(i, j, lo, size)
             own = chosen[i:j]
             out.append(min_hashes(h, s[own], e[own], k))
         return np.concatenate(out) if out else np.zeros((0, k), np.uint32)
 
-    def _length(self, line: int) -> int:
-        return int(self.chars[self.end[line]] - self.chars[self.start[line]])
+    def has_set(self, size: int) -> np.ndarray:
+        """Which lines are as long as a shingle."""
+        return self.chars[self.end] - self.chars[self.start] >= size
 
     def sets(self, size: int) -> list[np.ndarray]:
         """Sorted distinct 64-bit hashes of each line's shingles."""
@@ -127,7 +126,7 @@ class Lines:
             s, e, short = self._stretch(i, j, lo, size)
             for n, (x, y) in enumerate(zip(s.tolist(), e.tolist())):
                 if short[n]:
-                    out.append(np.array([_short_hash(c[x : x + self._length(i + n)])], U))
+                    out.append(np.zeros(0, U))
                     continue
                 v = np.sort(h[x:y])
                 fresh = np.empty(len(v), bool)
@@ -141,11 +140,6 @@ _FACTORS_64 = mix(np.arange(64, dtype=U), 83) | U(1)
 _FACTORS = (mix(np.arange(64, dtype=U), 81) >> U(32)).astype(np.uint32) | np.uint32(1)
 
 
-def _short_hash(codes: np.ndarray) -> int:
-    """One number for a line shorter than a shingle."""
-    return int(mix(np.array([sum(int(x) * 31**n for n, x in enumerate(codes.tolist())) % 2**61]), 82)[0] >> U(32))
-
-
 def _occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
     """(doc_id, line, key) of every line that takes part."""
 
@@ -167,6 +161,7 @@ def _packed(docs: DataFrame, min_chars: int, shingle: int, shards: int) -> DataF
             k64 = x.hash(0).view(np.int64)
             chosen = np.zeros(len(k64), bool)
             chosen[np.unique(k64, return_index=True)[1]] = True
+            chosen &= x.has_set(shingle)
             bands = band_hashes(x.signatures(chosen, shingle, BANDS * ROWS), BANDS, ROWS)
             rows = list(pack(k64[chosen], bands, shards))
             yield table({"shard": [r[0] for r in rows], "hashes": [r[1] for r in rows], "items": [r[2] for r in rows]}, types)
