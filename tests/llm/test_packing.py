@@ -18,7 +18,6 @@ PATH = tokenizer_path()
 @pytest.fixture(scope="module")
 def plain():
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return lambda text: np.array(t.encode(text or "", add_special_tokens=False).ids + [1], "<u4")
 
 
@@ -29,7 +28,6 @@ TEXT = st.text(alphabet=st.sampled_from(list("ab'sZ09 .,\n\t \u0085\x1c　éß
 @given(st.lists(TEXT, max_size=4))
 def test_pieces_give_the_ids_of_the_whole(texts):
     t = Tokenizer.from_file(PATH) if not hasattr(test_pieces_give_the_ids_of_the_whole, "t") else test_pieces_give_the_ids_of_the_whole.t
-    t.encode_special_tokens = True
     test_pieces_give_the_ids_of_the_whole.t = t
     got = Encoder.at(PATH).encode(texts)
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]
@@ -41,7 +39,15 @@ def test_memory_bound_does_not_change_ids(monkeypatch, plain):
     encoder = Encoder(PATH)
     for _ in range(2):
         assert [x + b"\1\0\0\0" for x in encoder.encode(texts)] == [plain(t).tobytes() for t in texts]
-    assert len(encoder.known) <= 20
+    batch = len({p for t in texts for p in t.split(" ")})
+    assert len(encoder.words) + len(encoder.words.older) <= 2 * (20 + batch)
+
+
+def test_special_strings_are_what_the_tokenizer_makes_of_them(plain):
+    texts = ["a <|endoftext|> b", "a  <|endoftext|>", "x<|endoftext|>y z", "<|endoftext|>", "a <|endoftext| b", "plain text"]
+    got = Encoder.at(PATH).encode(texts)
+    assert [x + b"\1\0\0\0" for x in got] == [plain(t).tobytes() for t in texts]
+    assert len(plain(texts[0])) == 5
 
 
 @given(st.lists(st.integers(1, 63), max_size=60))

@@ -28,16 +28,41 @@ from trackloom.llm.words import give_back, slices, table
 WINDOW, CLOSING_ID = 2048, 1
 #: Documents in one group of the packing, about.
 GROUP_DOCS = 5_000
-#: Distinct pieces of text whose ids a Python worker remembers (about 200 bytes each).
-REMEMBERED = 100_000
+#: Distinct pieces of text of a generation whose ids a Python worker remembers (about 200 bytes each; two generations).
+REMEMBERED = 60_000
 _SPACE_BEFORE_TEXT = re.compile(r"(?= \S)")
+#: Letters, then an ASCII character that is none: the tokenizer's pattern cuts there, too.
+_WORD_AND_REST = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([\x00-@\\[-`{-\x7f].*)", re.S)
+
+
+class Remembered(dict):
+    """The ids of pieces in use, in two generations: when the newer one is full, the older one goes."""
+
+    def __init__(self):
+        super().__init__()
+        self.older: dict[str, bytes | None] = {}
+
+    def missing(self, pieces: set[str]) -> list[str]:
+        """The pieces that aren't known; the others move to the newer generation."""
+        if len(self) > REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+        out = []
+        for x in pieces:
+            if x not in self:
+                if x in self.older:
+                    self[x] = self.older[x]
+                else:
+                    out.append(x)
+        return out
 
 
 class Encoder:
     """Ids of texts as little-endian 32-bit bytes, piece by piece between blanks.
 
     The tokenizer's pattern joins a blank with the text that follows it and never with what stands before,
-    so a text may be cut before every blank that is followed by text.  Ids of pieces are remembered.
+    so a text may be cut before every blank that is followed by text, and behind a word's letters.  Ids of
+    pieces are remembered.  A text with the string of a special token is encoded as a whole.
     """
 
     _loaded: dict[str, Encoder] = {}
@@ -46,12 +71,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab()
         #: Ids that begin with a blank, as byte-level vocabularies write it.
         self.blank_first = np.zeros(max(vocabulary.values()) + 1, bool)
         self.blank_first[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
-        self.known: dict[str, bytes | None] = {}
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.words, self.rests = Remembered(), Remembered()
 
     @classmethod
     def at(cls, path: str) -> Encoder:
@@ -79,25 +104,38 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [t.split(" ") for t in texts]
-        known = self.known
-        new = set()
+        pieces = set()
         for p in parts:
-            new.update(p[1:])
-        new = [x for x in new if x not in known]
-        # A piece without text, or that begins with white space, belongs to a run of white space.
-        plain = [x for x in new if x and not x[0].isspace()]
-        known.update(zip(plain, self._ids_after_blank(plain)))
-        known.update((x, None) for x in new if not x or x[0].isspace())
+            pieces.update(p[1:])
+        known = self._known(pieces)
         heads = self._ids([p[0] for p in parts])
         out: list[bytes] = []
         for head, p, text in zip(heads, parts, texts):
+            if any(x in text for x in self.special):
+                out.append(self._ids([text])[0])
+                continue
             found = list(map(known.__getitem__, p[1:]))
             if None in found:
                 found = self._ids(_SPACE_BEFORE_TEXT.split(text))
                 head = b""
             out.append(head + b"".join(found))
-        for x in new[: max(0, len(known) - REMEMBERED)]:
-            del known[x]
+        return out
+
+    def _known(self, pieces: set[str]) -> dict[str, bytes | None]:
+        """Ids of pieces after a blank; None for one that belongs to a run of white space."""
+        cut = {x: m.groups() for x in pieces if (m := _WORD_AND_REST.fullmatch(x))}
+        whole = {a for a, _ in cut.values()}
+        whole.update(x for x in pieces if x not in cut)
+        new = self.words.missing(whole)
+        # A piece without text, or that begins with white space, belongs to a run of white space.
+        plain = [x for x in new if x and not x[0].isspace()]
+        self.words.update(zip(plain, self._ids_after_blank(plain)))
+        self.words.update((x, None) for x in new if not x or x[0].isspace())
+        rests = self.rests.missing({b for _, b in cut.values()})
+        self.rests.update(zip(rests, self._ids(rests)))
+        out: dict[str, bytes | None] = {x: self.words[x] for x in pieces if x not in cut}
+        for x, (a, b) in cut.items():
+            out[x] = self.words[a] + self.rests[b]
         return out
 
 
@@ -208,8 +246,23 @@ _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 _PIECE_TYPES = {"doc_id": pa.int64(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "doc_tokens": pa.int64(), "ids": pa.binary()}
 
 
-def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Full windows and remainders of every document with their ids (the ids of full windows first)."""
+def _narrow(ids: bytes) -> bytes:
+    """The ids in two bytes each, where all fit; their number tells which it is."""
+    wide = np.frombuffer(ids, "<u4")
+    return wide.astype("<u2").tobytes() if not len(wide) or wide.max() < 1 << 16 else ids
+
+
+def _wide(ids: bytes, n: int) -> bytes:
+    return np.frombuffer(ids, "<u2").astype("<u4").tobytes() if len(ids) == 2 * n else ids
+
+
+def pieces(
+    docs: DataFrame, tokenizer: str, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", only_cut: bool = False
+) -> DataFrame:
+    """Full windows and remainders of every document with their ids.
+
+    ``only_cut``: without the ids of full windows, and with two bytes for each of the others if they fit.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     closing = np.array([CLOSING_ID], "<u4").tobytes()
 
@@ -219,7 +272,8 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, id_col: str =
             out: list[tuple] = []
             for doc, ids in zip(b.column("doc_id").to_pylist(), encoder.encode(b.column("text").to_pylist())):
                 ids += closing
-                out += [(doc, start, length, crc, len(ids) // 4, piece) for start, length, crc, piece in cut(ids, window)]
+                for start, length, crc, piece in cut(ids, window):
+                    out.append((doc, start, length, crc, len(ids) // 4, piece if not only_cut else _narrow(piece) if length < window else None))
             yield table(dict(zip(_PIECE_TYPES, map(list, zip(*out)))), _PIECE_TYPES)
 
     return rows.mapInArrow(scan, _PIECES)
@@ -237,11 +291,9 @@ def pack(
 
     A remainder that is cut again keeps its ids in the shuffle; all others travel as numbers only.
     """
-    found = pieces(docs, tokenizer, window, id_col, text_col)
+    # Only remainders can be cut again, and their checksums need the ids.
+    found = pieces(docs, tokenizer, window, id_col, text_col, only_cut=not with_ids)
     groups = 1 + docs.count() // GROUP_DOCS
-    if not with_ids:
-        # Only remainders can be cut again, and their checksums need the ids.
-        found = found.withColumn("ids", F.when(F.col("length") < window, F.col("ids")))
     dealt = found.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)).cast("long"))
 
     def assign(key: tuple, t: pa.Table) -> pa.Table:
@@ -250,13 +302,14 @@ def pack(
         length = t.column("length").to_numpy()
         doc, start, crc, tokens, ids = (t.column(c).to_pylist() for c in ("doc_id", "start", "ids_crc32", "doc_tokens", "ids"))
         n_full = int((length == window).sum())
+        ids = [x if x is None else _wide(x, n) for x, n in zip(ids, length.tolist())]
         out = [(doc[i], start[i], window, crc[i], tokens[i], ids[i], group + groups * i, 0) for i in range(n_full)]
         for s, parts in enumerate(fill(length[n_full:].tolist(), window), n_full):
             offset = 0
             for i, a, b in parts:
                 i += n_full
                 piece = ids[i][4 * a : 4 * b]
-                out.append((doc[i], start[i] + a, b - a, crc32(piece), tokens[i], piece, group + groups * s, offset))
+                out.append((doc[i], start[i] + a, b - a, crc32(piece), tokens[i], piece if with_ids else None, group + groups * s, offset))
                 offset += b - a
         del ids
         give_back()
