@@ -57,7 +57,7 @@ def records(n=12):
 
 
 def ids(found):
-    return [int(x.headers["x-page-id"]) for x in found if isinstance(x, Record)]
+    return [int(x.headers.get("x-page-id", -1)) for x in found if isinstance(x, Record)]
 
 
 def test_gzip_members_after_damage_are_recovered():
@@ -77,7 +77,7 @@ def test_cut_file_and_garbage_between():
     parts = [member(r) for r in records()]
     data = b"junk\x1f\x8b\x08junk" + b"".join(parts[:4]) + b"WARC/1.1\r\nbroken" + b"".join(parts[4:9]) + parts[9][:-9]
     found = list(salvage(data))
-    assert ids(found) == list(range(9))
+    assert ids(found) == list(range(10)) and [x.sound for x in found if isinstance(x, Record)] == [True] * 9 + [False]
     gaps = [(x.start, x.end) for x in found if isinstance(x, Gap)]
     assert gaps[0] == (0, 11) and gaps[-1] == (len(data) - len(parts[9]) + 9, len(data)) and len(gaps) == 3
 
@@ -124,3 +124,37 @@ def test_archives_of_any_name_are_read(spark, tmp_path):
     (tmp_path / "_SUCCESS").write_bytes(b"")
     got = {(r.page_id, bytes(r.payload), r.gap_reason) for r in warc.read_archives(spark, str(tmp_path)).collect()}
     assert got == {(1, b"one", None), (2, b"two", None)}
+
+
+def test_a_member_of_zeros_is_a_gap():
+    parts = [member(r) for r in records()]
+    starts = [sum(map(len, parts[:k])) for k in range(len(parts) + 1)]
+    data = bytearray(b"".join(parts))
+    data[starts[4] : starts[5]] = bytes(starts[5] - starts[4])
+    found = list(salvage(bytes(data)))
+    assert ids(found) == [0, 1, 2, 3, *range(5, 12)]
+    assert [(x.start, x.end) for x in found if isinstance(x, Gap)] == [(starts[4], starts[5])]
+
+
+def test_records_before_the_damage_in_one_member_are_kept():
+    plain = records(20)
+    data = bytearray(gzip.compress(b"".join(plain), 1))
+    data[len(data) * 3 // 4] ^= 255
+    found = list(salvage(bytes(data)))
+    kept = ids(found)
+    assert kept[:10] == list(range(10)) and kept == sorted(set(kept)) and not any(x.sound for x in found if isinstance(x, Record))
+    gaps = [x for x in found if isinstance(x, Gap)]
+    assert gaps[-1].end == len(data) and "after" in gaps[-1].reason
+    # A wrong checksum alone loses nothing whose digest holds.
+    data = bytearray(gzip.compress(b"".join(plain)))
+    data[-6] ^= 255
+    assert ids(list(salvage(bytes(data)))) == list(range(20))
+
+
+def test_gaps_inside_a_member_say_where():
+    plain = records()
+    starts = [sum(map(len, plain[:k])) for k in range(len(plain) + 1)]
+    broken = bytearray(b"".join(plain))
+    broken[starts[3] : starts[3] + 4] = b"XXXX"
+    gap = next(x for x in salvage(gzip.compress(bytes(broken))) if isinstance(x, Gap))
+    assert (gap.inner_start, gap.inner_end) == (starts[3], starts[4])

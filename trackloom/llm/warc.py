@@ -7,7 +7,11 @@ store that Spark can write to, and a lost task is written again like any other.
 
 The reader takes whole files from Spark, checks every record (gzip checksum, version line, lengths, digests),
 and where a check fails looks for the next gzip member or version line that starts a valid record.  The bytes
-between are logged as a quarantined gap; later records are recovered.
+between are logged as a quarantined gap; later records are recovered.  Of a member that breaks off or whose
+checksum fails, what can be inflated is searched, too, and records whose stated digests hold are kept and
+marked: their headers aren't covered by a digest (column ``sound``).  Zero
+bytes between members are a gap like any others.  A file is one row and is read by one task (Spark's limit for
+one row is 2 GB), which is why ``write_archives`` bounds the records of a file.
 
 Defined results: null html is an empty payload; a page without an id is always a response, and no record
 refers to it; of equal payloads that with the largest id is the response (all rows that repeat this id), the
@@ -130,13 +134,19 @@ class Record:
     kind: str
     headers: dict[str, str] = field(repr=False)
     block: bytes = field(repr=False)
+    #: Whether everything about it is checked; of a damaged member only the block or payload is, by its digest.
+    sound: bool = True
 
 
 @dataclass
 class Gap:
+    """Bytes of the file that hold no record; of a member, where in the inflated data they are."""
+
     start: int
     end: int
     reason: str
+    inner_start: int | None = None
+    inner_end: int | None = None
 
 
 class Damaged(Exception):
@@ -180,16 +190,30 @@ def payload_of(block: bytes) -> bytes:
     return body if found else block
 
 
-def _inflate(data: bytes, at: int) -> tuple[bytes, int]:
+def _inflate(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """Content of the member at ``at``, the place after it, and what is wrong with it ("" if nothing)."""
     z = zlib.decompressobj(31)
     try:
         # The copy is bounded by the file; a view would keep it alive in the object.
         out = z.decompress(memoryview(data)[at:])
+        return (out, len(data) - len(z.unused_data), "") if z.eof else (out, len(data), "gzip: cut off")
     except zlib.error as e:
-        raise Damaged(f"gzip: {e}") from e
-    if not z.eof:
-        raise Damaged("gzip: cut off")
-    return out, len(data) - len(z.unused_data)
+        return _up_to_damage(data, at), len(data), f"gzip: {e}"
+
+
+def _up_to_damage(data: bytes, at: int, step: int = 64) -> bytes:
+    """What can be inflated of a damaged member, read in small steps."""
+    z, out = zlib.decompressobj(31), []
+    while at < len(data) and not z.eof:
+        before = z.copy()
+        try:
+            out.append(z.decompress(data[at : at + step]))
+            at += step
+        except zlib.error:
+            if step == 1:
+                break
+            z, step = before, 1
+    return b"".join(out)
 
 
 def salvage(data: bytes) -> Iterator[Record | Gap]:
@@ -199,49 +223,74 @@ def salvage(data: bytes) -> Iterator[Record | Gap]:
     """
     at, gap_start, reason = 0, None, ""
     while at < len(data):
-        if data[at] == 0 and gap_start is None:  # padding after a member
-            at += 1
-            continue
+        kept: list[Record | Gap] = []
         try:
             if data.startswith(_MEMBER, at):
-                inner, after = _inflate(data, at)
-                found = list(_inner(inner, at))
+                inner, after, wrong = _inflate(data, at)
+                kept = list(_inner(inner, at, not wrong))
+                if wrong:
+                    raise Damaged(wrong)
             else:
                 one, after = _plain(data, at, at)
-                found = [one]
+                kept = [one]
         except Damaged as e:
-            if gap_start is None:
+            if any(isinstance(x, Record) for x in kept):
+                # A member that begins well: its own gap starts behind the last record that holds.
+                if gap_start is not None:
+                    yield Gap(gap_start, at, reason)
+                yield from kept
+                gap_start, reason = at, f"{e}, after {sum(isinstance(x, Record) for x in kept)} records"
+            elif gap_start is None:
                 gap_start, reason = at, str(e)
             at = _next_start(data, at + 1)
             continue
         if gap_start is not None:
             yield Gap(gap_start, at, reason)
             gap_start = None
-        yield from found
+        yield from kept
         at = after
     if gap_start is not None:
         yield Gap(gap_start, len(data), reason)
 
 
-def _inner(data: bytes, offset: int) -> Iterator[Record | Gap]:
-    """Records of one member, which may hold several; a damaged one leaves a gap at the member's offset."""
-    at, reason = 0, ""
-    if data and not any(_VERSION_LINE.finditer(data)):
+def _inner(data: bytes, offset: int, sound: bool = True) -> Iterator[Record | Gap]:
+    """Records of one member, which may hold several; gaps tell where in its content they are.
+
+    Of a member that isn't ``sound`` only records with a digest that holds are taken, and there is no gap
+    behind the last.
+    """
+    at, start, reason = 0, 0, ""
+    if sound and data and not any(_VERSION_LINE.finditer(data)):
         raise Damaged("member without a record")
     while at < len(data):
         try:
-            found, at = _plain(data, at, offset)
+            found, after = _plain(data, at, offset)
+            if not sound:
+                _check_unsound(found)
         except Damaged as e:
-            reason = reason or str(e)
+            if not reason:
+                start, reason = at, str(e)
             following = _VERSION_LINE.search(data, at + 1)
             at = following.start() if following else len(data)
             continue
         if reason:
-            yield Gap(offset, offset, f"inside a member: {reason}")
+            yield Gap(offset, offset, f"inside a member: {reason}", start, at)
             reason = ""
         yield found
-    if reason:
-        yield Gap(offset, offset, f"inside a member: {reason}")
+        at = after
+    if reason and sound:
+        yield Gap(offset, offset, f"inside a member: {reason}", start, len(data))
+
+
+def _check_unsound(found: Record) -> None:
+    """What a record of a damaged member has to have: a digest, which holds, and unchanged names where they can be told."""
+    h = found.headers
+    found.sound = False
+    if not ({"warc-block-digest", "warc-payload-digest"} & set(h)) or not {"warc-type", "warc-record-id", "warc-date"} <= set(h):
+        raise Damaged("incomplete headers in a damaged member")
+    page, digest = h.get("x-page-id", ""), h.get("warc-payload-digest", "").partition(":")[2]
+    if re.fullmatch(r"-?\d+", page) and h["warc-record-id"] != _record_id(int(page), digest):
+        raise Damaged("ids that don't fit in a damaged member")
 
 
 def _next_start(data: bytes, at: int) -> int:
@@ -256,7 +305,10 @@ _FIELDS = {
     "offset": pa.int64(),
     "gap_end": pa.int64(),
     "gap_reason": pa.string(),
+    "inner_start": pa.int64(),
+    "inner_end": pa.int64(),
     "record_type": pa.string(),
+    "sound": pa.bool_(),
     "page_id": pa.int64(),
     "url": pa.string(),
     "payload_bytes": pa.int64(),
@@ -265,14 +317,14 @@ _FIELDS = {
     "payload": pa.binary(),
 }
 _SCHEMA = (
-    "file string, offset long, gap_end long, gap_reason string, record_type string, page_id long, url string, "
+    "file string, offset long, gap_end long, gap_reason string, inner_start long, inner_end long, record_type string, sound boolean, page_id long, url string, "
     "payload_bytes long, payload_digest string, refers_to long, payload binary"
 )
 
 
 def _row(file: str, x: Record | Gap, with_payload: bool) -> tuple:
     if isinstance(x, Gap):
-        return (file, x.start, x.end, x.reason, *[None] * 7)
+        return (file, x.start, x.end, x.reason, x.inner_start, x.inner_end, *[None] * 8)
     h = x.headers
     number = lambda name: int(h[name]) if re.fullmatch(r"-?\d+", h.get(name, "")) else None
     payload: bytes | None = payload_of(x.block)
@@ -282,7 +334,7 @@ def _row(file: str, x: Record | Gap, with_payload: bool) -> tuple:
         digest = h.get("warc-payload-digest", "").partition(":")[2] or None
     else:
         size, digest = len(payload), digest_of(payload)
-    return (file, x.offset, None, None, x.kind, number("x-page-id"), h.get("warc-target-uri"), size, digest, number("x-refers-to-page-id"), payload if with_payload else None)
+    return (file, x.offset, None, None, None, None, x.kind, x.sound, number("x-page-id"), h.get("warc-target-uri"), size, digest, number("x-refers-to-page-id"), payload if with_payload else None)
 
 
 def read_archives(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
