@@ -245,7 +245,7 @@ def near(a: Letters, i: np.ndarray, b: Letters, j: np.ndarray) -> np.ndarray:
         for left, right in sides:
             width = min(left.shape[1], right.shape[1])
             differ = left[i[k], :width] != right[j[k], :width]
-            first = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
+            first = np.where(differ.any(axis=1), differ.argmax(axis=1), width) if width else np.zeros(len(k), np.int64)
             same += np.minimum(first, least[k])
         equal = (same >= 2 * most[k]) & (least[k] == most[k])
         out[k] = (same >= most[k] - 1) & ~equal

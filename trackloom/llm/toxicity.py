@@ -30,6 +30,8 @@ from trackloom.llm.words import ALNUM, U, Words, give_back, mix, slices, table,
 WINDOW, STRIDE = 48, 32
 #: Documents of each label that are trained on, windows of each, and passes over them.
 TRAIN_DOCS, TRAIN_WINDOWS, EPOCHS = 3_000, 16, 8
+#: Documents of one step, and steps at least (more passes over a small sample).
+BATCH, LEAST_STEPS = 32, 320
 WORD_SIZE, CHAR_SIZE, STATE, ATTENTION = 8, 16, 8, 8
 CHAR_CELLS = 1 << 14
 CHAR_LENGTHS = (3, 4, 5)
@@ -236,11 +238,12 @@ def train(windows: list[list[str]], labels: list[int], epochs: int = EPOCHS, see
     adam = Adam(net.p, 0.01)
     bounds = np.searchsorted(owner, np.arange(len(windows) + 1))
     n_cells = np.diff(np.append(first, len(cell)))
+    epochs = max(epochs, -(-LEAST_STEPS * BATCH // len(windows)))
     for epoch in range(epochs):
         adam.rate = 0.01 * (1 - 0.8 * epoch / epochs)
         order = rng.permutation(len(windows))
-        for lo in range(0, len(order), 32):
-            docs = order[lo : lo + 32]
+        for lo in range(0, len(order), BATCH):
+            docs = order[lo : lo + BATCH]
             pick = np.concatenate([np.arange(bounds[d], bounds[d + 1]) for d in docs])
             if not len(pick):
                 continue
