@@ -35,12 +35,13 @@ def test_pieces_give_the_ids_of_the_whole(texts):
 
 def test_memory_bound_does_not_change_ids(monkeypatch, plain):
     monkeypatch.setattr("trackloom.llm.packing.REMEMBERED", 20)
+    monkeypatch.setattr("trackloom.llm.packing.NEW", 20)
     texts = [t or "" for _, t in awkward()]
     encoder = Encoder(PATH)
-    for _ in range(2):
+    for _ in range(4):
         assert [x + b"\1\0\0\0" for x in encoder.encode(texts)] == [plain(t).tobytes() for t in texts]
     batch = len({p for t in texts for p in t.split(" ")})
-    assert len(encoder.words) + len(encoder.words.older) <= 2 * (20 + batch)
+    assert len(encoder.remembered.often) <= 20 + batch and len(encoder.remembered.once) <= 20 + batch
 
 
 def test_special_strings_are_what_the_tokenizer_makes_of_them(plain):

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 from zlib import crc32
 
 import numpy as np
@@ -28,41 +29,40 @@ from trackloom.llm.words import give_back, slices, table
 WINDOW, CLOSING_ID = 2048, 1
 #: Documents in one group of the packing, about.
 GROUP_DOCS = 5_000
-#: Distinct pieces of text of a generation whose ids a Python worker remembers (about 200 bytes each; two generations).
-REMEMBERED = 60_000
+#: Pieces of text whose ids a Python worker remembers (about 200 bytes each): those seen in several batches, and new ones.
+REMEMBERED, NEW = 100_000, 100_000
 _SPACE_BEFORE_TEXT = re.compile(r"(?= \S)")
-#: Letters, then an ASCII character that is none: the tokenizer's pattern cuts there, too.
-_WORD_AND_REST = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([\x00-@\\[-`{-\x7f].*)", re.S)
 
 
-class Remembered(dict):
-    """The ids of pieces in use, in two generations: when the newer one is full, the older one goes."""
+class Remembered:
+    """Ids of pieces.  A piece that comes again in a later batch is kept longer than one seen once; the oldest go."""
 
     def __init__(self):
-        super().__init__()
-        self.older: dict[str, bytes | None] = {}
+        self.often: dict[str, bytes | None] = {}
+        self.once: dict[str, bytes | None] = {}
 
     def missing(self, pieces: set[str]) -> list[str]:
-        """The pieces that aren't known; the others move to the newer generation."""
-        if len(self) > REMEMBERED:
-            self.older = dict(self)
-            self.clear()
-        out = []
-        for x in pieces:
-            if x not in self:
-                if x in self.older:
-                    self[x] = self.older[x]
-                else:
-                    out.append(x)
-        return out
+        self.often, self.once = self._bounded(self.often, REMEMBERED), self._bounded(self.once, NEW)
+        rest = pieces.difference(self.often)
+        for x in rest.intersection(self.once):
+            self.often[x] = self.once.pop(x)
+        return list(rest.difference(self.often))
+
+    def of(self, pieces: set[str]) -> dict[str, bytes | None]:
+        often, once = self.often, self.once
+        return {x: often[x] if x in often else once[x] for x in pieces}
+
+    @staticmethod
+    def _bounded(known: dict, most: int) -> dict:
+        return known if len(known) <= most else dict(islice(known.items(), len(known) - most // 2, None))
 
 
 class Encoder:
     """Ids of texts as little-endian 32-bit bytes, piece by piece between blanks.
 
     The tokenizer's pattern joins a blank with the text that follows it and never with what stands before,
-    so a text may be cut before every blank that is followed by text, and behind a word's letters.  Ids of
-    pieces are remembered.  A text with the string of a special token is encoded as a whole.
+    so a text may be cut before every blank that is followed by text.  Ids of pieces are remembered.  A text
+    with the string of a special token is encoded as a whole.
     """
 
     _loaded: dict[str, Encoder] = {}
@@ -76,7 +76,7 @@ class Encoder:
         self.blank_first = np.zeros(max(vocabulary.values()) + 1, bool)
         self.blank_first[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words, self.rests = Remembered(), Remembered()
+        self.remembered = Remembered()
 
     @classmethod
     def at(cls, path: str) -> Encoder:
@@ -123,20 +123,12 @@ class Encoder:
 
     def _known(self, pieces: set[str]) -> dict[str, bytes | None]:
         """Ids of pieces after a blank; None for one that belongs to a run of white space."""
-        cut = {x: m.groups() for x in pieces if (m := _WORD_AND_REST.fullmatch(x))}
-        whole = {a for a, _ in cut.values()}
-        whole.update(x for x in pieces if x not in cut)
-        new = self.words.missing(whole)
+        new = self.remembered.missing(pieces)
         # A piece without text, or that begins with white space, belongs to a run of white space.
         plain = [x for x in new if x and not x[0].isspace()]
-        self.words.update(zip(plain, self._ids_after_blank(plain)))
-        self.words.update((x, None) for x in new if not x or x[0].isspace())
-        rests = self.rests.missing({b for _, b in cut.values()})
-        self.rests.update(zip(rests, self._ids(rests)))
-        out: dict[str, bytes | None] = {x: self.words[x] for x in pieces if x not in cut}
-        for x, (a, b) in cut.items():
-            out[x] = self.words[a] + self.rests[b]
-        return out
+        self.remembered.once.update(zip(plain, self._ids_after_blank(plain)))
+        self.remembered.once.update((x, None) for x in new if not x or x[0].isspace())
+        return self.remembered.of(pieces)
 
 
 def cut(ids: bytes, window: int = WINDOW) -> list[tuple[int, int, int, bytes]]:
