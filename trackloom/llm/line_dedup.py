@@ -45,6 +45,8 @@ BANDS, ROWS = 49, 7
 NEWLINE = 10
 #: Bytes of text whose shingles are hashed at a time.
 _PIECE = 1 << 18
+#: Bytes of text whose band hashes are held at a time: some fifty times as many.
+_PACKED = 1 << 20
 
 
 #: Every byte counts as itself, in two ways.
@@ -156,7 +158,7 @@ def _packed(docs: DataFrame, min_chars: int, shingle: int, shards: int) -> DataF
     """Band hashes of the lines, one for each content within a piece."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", _PACKED):
             x = Lines(*utf8(b.column("text")), min_chars)
             k64 = x.hash(0).view(np.int64)
             chosen = np.zeros(len(k64), bool)

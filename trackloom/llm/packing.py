@@ -30,7 +30,7 @@ WINDOW, CLOSING_ID = 2048, 1
 #: Documents in one group of the packing, about.
 GROUP_DOCS = 5_000
 #: Pieces of text whose ids a Python worker remembers (about 200 bytes each): those seen in several batches, and new ones.
-REMEMBERED, NEW = 100_000, 100_000
+REMEMBERED, NEW = 80_000, 60_000
 _SPACE_BEFORE_TEXT = re.compile(r"(?= \S)")
 
 
