@@ -229,6 +229,9 @@ def repeated_lines(
     found = stage(cells(_packed(texts, min_chars, shingle, shards_for(docs.count(), 2_000))), "line-cells")
     contents = _contents(texts, bloom.bit_map(found.select("k64").distinct()), min_chars)
     links = in_cells(found.join(contents, "k64"), _links(shingle, threshold), "a binary, b binary")
+    # The links of an item come together first, so that contracting them leaves about one row for each item
+    # and not one for each task that an item's cells reach.
+    links = links.repartition(F.greatest("a", "b"))
     named = stage(components(links, "line-links"), "line-components")
 
     # Only places of lines that repeat, or that are linked, reach the joins.
