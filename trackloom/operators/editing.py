@@ -137,6 +137,7 @@ def to_compute(missing_values: DataFrame, missing_segments: DataFrame) -> DataFr
 
 def category_codes(df: DataFrame, col: str, order: str, palette: int = 38) -> DataFrame:
     """Values in first-seen order with their place in a palette of the given size."""
+    # Fixed value: 38, the number of colours of the palette.
     text = F.nullif(F.col(col).cast("string"), F.lit(""))
     seen = df.select(text.alias("value"), F.col(order).alias("_o")).where("value is not null")
     first = seen.groupBy("value").agg(F.min("_o").alias("first_seen"))

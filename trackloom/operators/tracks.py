@@ -80,6 +80,7 @@ def judge_tracks(
         "directionality", F.when(F.col("_sum") > 0, F.col("_net") / F.col("_sum")).otherwise(F.lit(1.0))
     ).withColumn("net_velocity", F.when(F.col("span") > 0, F.col("_net") / F.col("span")).otherwise(F.lit(0.0)))
     out = per.join(with_confidence(tracks).select(*ID, "confidence"), ID)
+    # Names of the verdicts.
     verdict = (
         F.when(F.col("span") < min_t_span, "reject_t_span")
         .when(F.col("length") < min_len, "reject_length")
@@ -260,6 +261,7 @@ def stage_fates(premerge: DataFrame, post_merge: DataFrame, post_extend: DataFra
     hits = match_tracks(premerge.select(*ID, "t", "x"), others)
     hits = hits.groupBy(*ID).agg(*[F.max(F.when(F.col("other").startswith(name), F.lit(True))).alias(name) for name in stages])
     out = premerge.select(*ID).distinct().join(hits, ID, "left")
+    # Names of the stages.
     fate = (
         F.when(F.col("_m").isNull(), "lost_before_post_merge")
         .when(F.col("_e").isNull(), "lost_before_post_extend")

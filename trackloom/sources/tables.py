@@ -166,6 +166,7 @@ def extract_scale(meta: DataFrame, description: str = "description", y_resolutio
     per µm or a plain size in µm.  Values below 0.1 count as missing.
     """
     text, res = F.col(description), F.col(y_resolution)
+    # How the file format writes voxel size and frame interval.
     voxel = F.regexp_extract(text, r"Voxel size:\s*([\d.]+)[xX]([\d.]+)[xX]([\d.]+)", 2)
     number = r"([\d.]+(?:[eE][+-]?\d+)?)"
     num = S.to_number(F.regexp_extract(res, rf"^\s*{number}\s*/\s*{number}\s*$", 1))
