@@ -114,18 +114,82 @@ register(
     lambda s, d: X.contrast_limits(V.pixels(s, d), ("movie", "channel"), "projection"),
     sql_with("fx_pixels", limits_sql("movie, channel", 0.15, 0.99, 1.05, 1.2)),
 )
+def bins_sql(src: str) -> str:
+    """SQL: ``src`` (columns v, lo, hi) with the number of its bin, of 50 that begin at lo + i * (hi - lo) / 50."""
+    edge = "({i}) * ((hi - lo) / 50) + lo"
+    return f"""SELECT *, CASE WHEN v < {edge.format(i='i')} THEN i - 1 WHEN i < 49 AND v >= {edge.format(i='i + 1')} THEN i + 1 ELSE i END AS bin
+      FROM (SELECT *, least(floor((v - lo) * 50 / (hi - lo)), 49) AS i FROM ({src}) s) t"""
+
+
 register(
     "d14_pixel_histogram",
     f"{WK} bin:i pixels:l core_pixels:l",
     lambda s, d: X.pixel_histogram(V.windows(s, d).withColumn("sigma", 1 + 0.25 * (F.col("trajectory") % 4)), V.pixels(s, d), R6),
     sql_with(
         "fx_windows fx_pixels",
-        f"""SELECT movie, channel, frame, trajectory, least(floor((v - lo) * 50 / (hi - lo)), 49) AS bin, count(*) AS pixels,
+        f"""SELECT movie, channel, frame, trajectory, bin, count(*) AS pixels,
               count(*) FILTER (WHERE sqrt((x - round_even(search_x, 0)) ** 2 + (y - round_even(search_y, 0)) ** 2)
                 <= 2 * (1 + 0.25 * (trajectory % 4))) AS core_pixels
-            FROM (SELECT *, min(v) OVER w - CASE WHEN min(v) OVER w = max(v) OVER w THEN 0.5 ELSE 0 END AS lo,
+            FROM ({bins_sql(f"""SELECT *, min(v) OVER w - CASE WHEN min(v) OVER w = max(v) OVER w THEN 0.5 ELSE 0 END AS lo,
                     max(v) OVER w + CASE WHEN min(v) OVER w = max(v) OVER w THEN 0.5 ELSE 0 END AS hi FROM ({CROP}) c
-                  WINDOW w AS (PARTITION BY movie, channel, frame, trajectory)) d GROUP BY ALL""",
+                  WINDOW w AS (PARTITION BY movie, channel, frame, trajectory)""")}) d GROUP BY ALL""",
+    ),
+)
+
+
+
+def image_sql(frames: str) -> str:
+    """SQL: the histogram of whole images, of the columns movie, channel, frame and v."""
+    ranged = f"""SELECT *, min(v) OVER w - CASE WHEN min(v) OVER w = max(v) OVER w THEN 0.5 ELSE 0 END AS lo,
+        max(v) OVER w + CASE WHEN min(v) OVER w = max(v) OVER w THEN 0.5 ELSE 0 END AS hi FROM ({frames}) f
+      WINDOW w AS (PARTITION BY movie, channel, frame)"""
+    return f"SELECT movie, channel, frame, bin, count(*) AS pixels FROM ({bins_sql(ranged)}) d GROUP BY ALL"
+
+
+register(
+    "d14_image_histogram",
+    "movie:s channel:i frame:i bin:i pixels:l",
+    lambda s, d: X.image_histogram(V.pixels(s, d)),
+    sql_with("fx_pixels", image_sql("SELECT * FROM fx_pixels")),
+)
+
+def _some_without_centre(s, d):
+    w = V.windows(s, d).withColumn("sigma", 1 + 0.25 * (F.col("trajectory") % 4))
+    return w.withColumn("search_x", F.when(F.col("trajectory") != 3, F.col("search_x")))
+
+
+register(
+    "d14_histograms",
+    f"{WK} bin:i pixels:l core_pixels:l",
+    lambda s, d: X.histograms(_some_without_centre(s, d), V.pixels(s, d), R6),
+    sql_with(
+        "fx_windows fx_pixels",
+        f"""SELECT movie, channel, frame, trajectory, bin, count(*) AS pixels,
+              CASE WHEN trajectory <> 3 THEN count(*) FILTER (WHERE sqrt((x - round_even(search_x, 0)) ** 2 + (y - round_even(search_y, 0)) ** 2)
+                <= 2 * (1 + 0.25 * (trajectory % 4))) END AS core_pixels
+            FROM ({bins_sql(f"""SELECT *, min(v) OVER w - CASE WHEN min(v) OVER w = max(v) OVER w THEN 0.5 ELSE 0 END AS lo,
+                    max(v) OVER w + CASE WHEN min(v) OVER w = max(v) OVER w THEN 0.5 ELSE 0 END AS hi
+                  FROM (SELECT * FROM ({CROP}) c WHERE trajectory <> 3 UNION ALL SELECT w.*, p.y, p.x, p.v FROM fx_windows w
+                        JOIN fx_pixels p USING (movie, channel, frame) WHERE w.trajectory = 3) u
+                  WINDOW w AS (PARTITION BY movie, channel, frame, trajectory)""")}) d GROUP BY ALL""",
+    ),
+)
+register(
+    "d12_short_movie_projection",
+    "movie:s channel:i y:i x:i v:d",
+    # Every four frames of a channel are a movie of one channel: those give their first frame.
+    lambda s, d: X.max_projection(
+        V.pixels(s, d)
+        .withColumn("movie", F.concat_ws("-", "movie", "channel", F.floor(F.col("frame") / 4)))
+        .withColumn("frame", F.col("frame") % 4),
+        V.pixels(s, d)
+        .select(F.concat_ws("-", "movie", "channel", F.floor(F.col("frame") / 4)).alias("movie"))
+        .distinct()
+        .withColumns({"n_channels": F.lit(1), "n_frames": F.lit(4)}),
+    ),
+    sql_with(
+        "fx_pixels",
+        "SELECT concat_ws('-', movie, channel, frame // 4) AS movie, channel, y, x, v FROM fx_pixels WHERE frame % 4 = 0",
     ),
 )
 

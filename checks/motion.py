@@ -115,42 +115,44 @@ register(
 HALF, STEP = 3, 20.0
 
 
-def sides(src: str, col: str) -> str:
+def sides(src: str, col: str, half: int) -> str:
     """SQL: windows ahead and behind, the end value repeated beyond both ends."""
     return f"""
-SELECT *, list_concat(fw, list_transform(range(0, {HALF} + 1 - len(fw)), lambda z: xn)) AS a,
-  list_concat(list_transform(range(0, {HALF} + 1 - len(bw)), lambda z: x1), bw) AS b
-FROM (SELECT *, list({col}) OVER (w ROWS BETWEEN CURRENT ROW AND {HALF} FOLLOWING) AS fw,
-        list({col}) OVER (w ROWS BETWEEN {HALF} PRECEDING AND CURRENT ROW) AS bw,
+SELECT *, list_concat(fw, list_transform(range(0, {half} + 1 - len(fw)), lambda z: xn)) AS a,
+  list_concat(list_transform(range(0, {half} + 1 - len(bw)), lambda z: x1), bw) AS b
+FROM (SELECT *, list({col}) OVER (w ROWS BETWEEN CURRENT ROW AND {half} FOLLOWING) AS fw,
+        list({col}) OVER (w ROWS BETWEEN {half} PRECEDING AND CURRENT ROW) AS bw,
         first_value({col}) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS x1,
         last_value({col}) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS xn
       FROM ({src}) s WINDOW w AS (PARTITION BY trajectory ORDER BY frame)) f"""
 
 
-def one_pass(src: str) -> str:
+def one_pass(src: str, half: int) -> str:
     return f"""
-SELECT movie, trajectory, frame, CASE WHEN va = 0 AND vb = 0 THEN (ma + mb) / 2
-  ELSE ma / (1 + (va / nullif(vb, 0)) ** 10) * CASE WHEN vb = 0 THEN 0 ELSE 1 END + CASE WHEN vb = 0 THEN 0 ELSE 0 END
-    + CASE WHEN vb = 0 THEN 0 WHEN va = 0 THEN 0 ELSE mb / (1 + (vb / va) ** 10) END
-    + CASE WHEN vb = 0 THEN mb ELSE 0 END END AS x
-FROM (SELECT *, list_avg(a) AS ma, list_avg(b) AS mb, list_var_pop(a) AS va, list_var_pop(b) AS vb FROM ({sides(src, 'x')}) q) v"""
+SELECT movie, trajectory, frame, CASE WHEN va = 0 AND vb = 0 THEN (ma + mb) / 2 WHEN vb = 0 THEN mb WHEN va = 0 THEN ma
+  ELSE ma / (1 + (va / vb) ** 10) + mb / (1 + (vb / va) ** 10) END AS x
+FROM (SELECT *, list_avg(a) AS ma, list_avg(b) AS mb, list_var_pop(a) AS va, list_var_pop(b) AS vb FROM ({sides(src, 'x', half)}) q) v"""
 
 
-SMOOTH = f"""
+def smooth_sql(half: int, passes: int) -> str:
+    x = "SELECT movie, trajectory, frame, intensity AS x FROM fx_points WHERE intensity IS NOT NULL"
+    for _ in range(passes):
+        x = one_pass(x, half)
+    return f"""
 SELECT movie, trajectory, frame, round(x, 9) AS smooth, round(list_avg(a) - list_avg(b), 9) AS slope
-FROM ({sides(one_pass(one_pass("SELECT movie, trajectory, frame, intensity AS x FROM fx_points WHERE intensity IS NOT NULL")), 'x')}) z"""
-SMOOTH = SMOOTH.replace(
-    """ELSE ma / (1 + (va / nullif(vb, 0)) ** 10) * CASE WHEN vb = 0 THEN 0 ELSE 1 END + CASE WHEN vb = 0 THEN 0 ELSE 0 END
-    + CASE WHEN vb = 0 THEN 0 WHEN va = 0 THEN 0 ELSE mb / (1 + (vb / va) ** 10) END
-    + CASE WHEN vb = 0 THEN mb ELSE 0 END END AS x""",
-    """WHEN vb = 0 THEN mb WHEN va = 0 THEN ma
-  ELSE ma / (1 + (va / vb) ** 10) + mb / (1 + (vb / va) ** 10) END AS x""",
-)
-EDGES = f"""
+FROM ({sides(x, 'x', half)}) z"""
+
+
+def edges_sql(smooth: str, min_step: float) -> str:
+    return f"""
 SELECT *, n IS NULL OR p IS NULL AS is_end,
-  p IS NOT NULL AND abs(slope) > {STEP} AND CASE WHEN n IS NULL THEN slope <> p ELSE sign(n - slope) <> sign(slope - p) END AS is_edge
-FROM (SELECT *, lag(slope) OVER w AS p, lead(slope) OVER w AS n FROM ({SMOOTH}) s
+  p IS NOT NULL AND abs(slope) > {min_step} AND CASE WHEN n IS NULL THEN slope <> p ELSE sign(n - slope) <> sign(slope - p) END AS is_edge
+FROM (SELECT *, lag(slope) OVER w AS p, lead(slope) OVER w AS n FROM ({smooth}) s
       WINDOW w AS (PARTITION BY trajectory ORDER BY frame)) e"""
+
+
+SMOOTH = smooth_sql(HALF, 2)
+EDGES = edges_sql(SMOOTH, STEP)
 STEPS = """
 SELECT c.movie, c.trajectory, c.step, c.frame AS start_frame, c.nf AS end_frame, median(s.smooth) AS level
 FROM (SELECT *, row_number() OVER w - 1 AS step, lead(frame) OVER w AS nf FROM edges WHERE is_end OR is_edge
@@ -161,9 +163,9 @@ WHERE c.nf IS NOT NULL GROUP BY ALL"""
 KW = {"half": HALF, "passes": 2}
 
 
-def _smoothed(s, d):
+def _smoothed(s, d, **options):
     """Stored once; rounded so that equal slopes are equal in both engines."""
-    e = T.edge_smooth(V.points(s, d), **KW)
+    e = T.edge_smooth(V.points(s, d), **(options or KW))
     return stage(e.withColumn("smooth", F.round("smooth", 9)).withColumn("slope", F.round("slope", 9)), "smoothed")
 
 
@@ -192,7 +194,8 @@ register(
 register(
     "e6_steps_ten_passes",
     f"{K} step:i start_frame:i end_frame:i level:d",
-    lambda s, d: T.steps(stage(T.edge_smooth(V.points(s, d)), "smoothed")),
+    lambda s, d: T.steps(_smoothed(s, d, half=15, passes=10)),
+    sql_with("fx_points", STEPS, edges=edges_sql(smooth_sql(15, 10), 100.0)),
 )
 
 

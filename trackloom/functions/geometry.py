@@ -9,8 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-_SEG = "ax:double,ay:double,bx:double,by:double,len:double,cum:double"
+from trackloom.functions.folds import running
 
 
 def segment_lengths(x: Column, y: Column) -> Column:
@@ -50,24 +49,17 @@ def lines(rois: DataFrame) -> DataFrame:
 
     Columns movie, roi, x0, y0 (first vertex), segs, total, width.
     """
-    run = F.aggregate(
-        "_s",
-        F.struct(F.lit(0.0).alias("cum"), F.array().cast(f"array<struct<{_SEG}>>").alias("out")),
-        lambda acc, v: F.struct(
-            (acc.cum + v.len).alias("cum"),
-            F.concat(acc.out, F.array(F.struct(v.ax, v.ay, v.bx, v.by, v.len, acc.cum.alias("cum")))).alias("out"),
-        ),
-    )
     out = rois.select("movie", "roi", F.col("x")[0].alias("x0"), F.col("y")[0].alias("y0"), segments(F.col("x"), F.col("y")).alias("_s"))
-    out = out.withColumn("_r", run)
+    out = out.withColumn("_c", running(F.col("_s"), F.lit(0.0), lambda cum, v: cum + v.len))
+    total = F.element_at("_c", -1)
     return out.select(
         "movie",
         "roi",
         "x0",
         "y0",
-        F.col("_r.out").alias("segs"),
-        F.col("_r.cum").alias("total"),
-        F.greatest(F.floor("_r.cum"), F.lit(2)).cast("int").alias("width"),
+        F.zip_with("_s", F.slice("_c", 1, F.size("_s")), lambda v, c: F.struct(v.ax, v.ay, v.bx, v.by, v.len, c.alias("cum"))).alias("segs"),
+        total.alias("total"),
+        F.greatest(F.floor(total), F.lit(2)).cast("int").alias("width"),
     )
 
 
@@ -112,11 +104,7 @@ def vertices(rois: DataFrame) -> DataFrame:
 def arc_length(rois: DataFrame) -> DataFrame:
     """Length of the line up to each vertex."""
     lens = segment_lengths(F.col("x"), F.col("y"))
-    run = F.aggregate(
-        lens,
-        F.array(F.lit(0.0)),
-        lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)),
-    )
+    run = running(lens, F.lit(0.0), lambda cum, n: cum + n)
     return rois.select("movie", "roi", F.posexplode(run).alias("i", "arc"))
 
 

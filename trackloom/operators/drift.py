@@ -10,11 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trackloom.functions.folds import running
 from trackloom.operators.ordered import BLOCK, TILE, beside, nearest, with_position
 from trackloom.plans.stages import stage
 
@@ -22,48 +21,42 @@ from trackloom.plans.stages import stage
 _MOST = 1e300
 
 
-def _compose(gx: pd.Series, gy: pd.Series, k: pd.Series) -> pd.DataFrame:
-    """Per row: displacement = a + b * (displacement before the block)."""
-    out = []
-    for dx, dy, miss in zip(gx, gy, k):
-        ax, ay, b = np.empty(len(dx)), np.empty(len(dx)), np.empty(len(dx))
-        px, py, pb = 0.0, 0.0, 1.0
-        for i in range(len(dx)):
-            m = -float(miss[i])
-            # A finite bound keeps a path at rest at rest: 0 times infinity is no number.
-            px, py, pb = dx[i] + m * px, dy[i] + m * py, max(-_MOST, min(_MOST, m * pb)) if m else 0.0
-            ax[i], ay[i], b[i] = px, py, pb
-        out.append((ax, ay, b))
-    return pd.DataFrame(out, columns=["ax", "ay", "b"])
+def _through(d: Column, fit: Column) -> Column:
+    """The displacement after one more fit, as a + b * (displacement before the block)."""
+    m = -fit.k
+    # A finite bound keeps a path at rest at rest: 0 times infinity is no number.
+    b = F.greatest(F.lit(-_MOST), F.least(F.lit(_MOST), m * d.b))
+    return F.struct(
+        (fit.gx + m * d.ax).alias("ax"), (fit.gy + m * d.ay).alias("ay"), F.when(fit.k != 0, b).otherwise(F.lit(0.0)).alias("b")
+    )
+
+
+def _past(p: Column, block: Column) -> Column:
+    """The displacement after a block whose map is known."""
+    moved = block.b != 0
+    return F.struct(
+        F.when(moved, block.ax + block.b * p.x).otherwise(block.ax).alias("x"),
+        F.when(moved, block.ay + block.b * p.y).otherwise(block.ay).alias("y"),
+    )
 
 
 def _displacements(fits: DataFrame, key: list[str], block: int) -> DataFrame:
     """(key, frame, x, y, ddx, ddy) of fitted rows with step gx, gy and misses k before them."""
     rows = fits.withColumn("_block", F.floor(F.col("pos") / block))
-    compose = F.pandas_udf(_compose, "ax array<double>, ay array<double>, b array<double>")
+    rest = F.struct(F.lit(0.0).alias("ax"), F.lit(0.0).alias("ay"), F.lit(1.0).alias("b"))
     packed = (
         rows.groupBy(*key, "_block")
         .agg(F.sort_array(F.collect_list(F.struct("pos", "frame", "x", "y", "gx", "gy", "k"))).alias("_r"))
-        .withColumn("_m", compose(F.col("_r.gx"), F.col("_r.gy"), F.col("_r.k")))
+        .withColumn("_m", running(F.col("_r"), rest, _through))
+        .withColumn("_m", F.slice("_m", 2, F.size("_r")))
     )
     packed = stage(packed, "drift-blocks")
     # Totals of the blocks, in order: at most one row per 4,096 fits.
     totals = packed.select(*key, "_block", *[F.element_at(F.col(f"_m.{c}"), -1).alias(c) for c in ("ax", "ay", "b")])
     chained = totals.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("_block", "ax", "ay", "b"))).alias("_t"))
 
-    @F.pandas_udf("x array<double>, y array<double>")
-    def scan(tx: pd.Series, ty: pd.Series, tb: pd.Series) -> pd.DataFrame:
-        out = []
-        for ax, ay, b in zip(tx, ty, tb):
-            px, py, sx, sy = 0.0, 0.0, [], []
-            for i in range(len(ax)):
-                sx.append(px)
-                sy.append(py)
-                px, py = (ax[i] + b[i] * px, ay[i] + b[i] * py) if b[i] else (ax[i], ay[i])
-            out.append((sx, sy))
-        return pd.DataFrame(out, columns=["x", "y"])
-
-    before = chained.withColumn("_s", scan(F.col("_t.ax"), F.col("_t.ay"), F.col("_t.b"))).select(
+    start = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    before = chained.withColumn("_s", F.slice(running(F.col("_t"), start, _past), 1, F.size("_t"))).select(
         *key, F.inline(F.arrays_zip(F.col("_t._block").alias("_block"), F.col("_s.x").alias("_dx"), F.col("_s.y").alias("_dy")))
     )
     flat = packed.join(before, [*key, "_block"]).select(

@@ -15,6 +15,8 @@ from trackloom.operators.quantiles import exact_percentiles
 from trackloom.plans.stages import stage
 
 _SIDE = 16
+#: Words of 64 bits in the map of touched blocks: half a megabyte, whatever the input.
+_WORDS = 1 << 16
 #: Parts of a movie's frames in which pixels meet the samples of lines.
 _BUCKETS = 8
 WINDOW = ["movie", "channel", "frame", "trajectory"]
@@ -31,6 +33,30 @@ def explode_frames(frames: DataFrame, values: str, width: int) -> DataFrame:
     )
 
 
+def _block_hash() -> Column:
+    """Hash of a 16 x 16 block of one frame, of the same types on both sides."""
+    places = [F.col(c).cast("bigint") for c in ("channel", "frame", "_by", "_bx")]
+    return F.pmod(F.xxhash64(F.col("movie").cast("string"), *places), F.lit(_WORDS * 64))
+
+
+def touched_blocks(blocks: DataFrame) -> Column:
+    """Whether a row's block (movie, channel, frame, _by, _bx) can be one of ``blocks``.
+
+    A bit map of fixed size, made by one aggregation and read as a scalar subquery, so the scan of the
+    other side drops rows before they are shuffled.  A full map lets more rows through and loses none.
+    """
+    h = _block_hash()
+    bit = (h % 64).cast("int")
+    words = blocks.select(
+        F.shiftright(h, 6).alias("id"), F.call_function("shiftleft", F.lit(1).cast("bigint"), bit).alias("bits")
+    )
+    empty = blocks.sparkSession.range(0, _WORDS, 1, 1).select("id", F.lit(0).cast("bigint").alias("bits"))
+    dense = empty.unionByName(words).groupBy("id").agg(F.bit_or("bits").alias("bits"))
+    bitmap = dense.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "bits"))), lambda w: w.bits).alias("_map"))
+    word = F.get(bitmap.scalar(), F.shiftright(h, 6).cast("int"))
+    return F.call_function("shiftright", word, bit).bitwiseAND(F.lit(1).cast("bigint")) == 1
+
+
 def crop_pixels(
     windows: DataFrame,
     pixels: DataFrame,
@@ -54,9 +80,10 @@ def crop_pixels(
         windows.withColumns({"_x0": x_low, "_x1": x_high, "_y0": y_low, "_y1": y_high})
         .withColumn("_bx", blocks(F.col("_x0"), F.col("_x1")))
         .withColumn("_by", blocks(F.col("_y0"), F.col("_y1")))
-        .alias("w")
     )
-    p = pixels.withColumns({"_bx": F.floor(F.col("x") / _SIDE), "_by": F.floor(F.col("y") / _SIDE)}).alias("p")
+    p = pixels.withColumns({"_bx": F.floor(F.col("x") / _SIDE), "_by": F.floor(F.col("y") / _SIDE)})
+    p = p.where(touched_blocks(w)).alias("p")
+    w = w.alias("w")
     cond = (F.col("p.x") >= F.col("w._x0")) & (F.col("p.x") < F.col("w._x1"))
     cond = cond & (F.col("p.y") >= F.col("w._y0")) & (F.col("p.y") < F.col("w._y1"))
     for c in ("movie", "channel", "frame", "_by", "_bx"):
@@ -172,6 +199,18 @@ def contrast_limits(
     )
 
 
+def _bin(bins: int) -> Column:
+    """Bin of v between _lo and _hi: bin i holds edge i up to, but not, edge i + 1; the last one holds _hi, too.
+
+    Edges are _lo + i * step; a quotient that rounds to the other side of one is put right.
+    """
+    v, lo = F.col("v"), F.col("_lo")
+    step = (F.col("_hi") - lo) / bins
+    i = F.least(F.floor((v - lo) * bins / (F.col("_hi") - lo)), F.lit(bins - 1))
+    up = (i < bins - 1) & (v >= (i + 1) * step + lo)
+    return F.when(v < i * step + lo, i - 1).when(up, i + 1).otherwise(i).cast("int")
+
+
 def pixel_histogram(
     windows: DataFrame, pixels: DataFrame, radius: int = 12, bins: int = 50, group: Sequence[str] = WINDOW
 ) -> DataFrame:
@@ -185,14 +224,43 @@ def pixel_histogram(
     rows = rows.withColumn("_lo", F.when(hi > lo, lo).otherwise(lo - 0.5)).withColumn(
         "_hi", F.when(hi > lo, hi).otherwise(hi + 0.5)
     )
-    bin_ = F.least(F.floor((F.col("v") - F.col("_lo")) * bins / (F.col("_hi") - F.col("_lo"))), F.lit(bins - 1))
     dx, dy = F.col("x") - F.bround("search_x"), F.col("y") - F.bround("search_y")
     core = F.sqrt(dx * dx + dy * dy) <= 2 * F.col("sigma")
-    return rows.groupBy(*group, bin_.cast("int").alias("bin")).agg(
+    return rows.groupBy(*group, _bin(bins).alias("bin")).agg(
         F.count(F.lit(1)).alias("pixels"), F.count_if(core).alias("core_pixels")
     )
 
 
+def image_histogram(
+    pixels: DataFrame, bins: int = 50, group: Sequence[str] = ("movie", "channel", "frame")
+) -> DataFrame:
+    """Counts per bin of whole images; a flat image is widened by half on both sides, NULL values don't count.
+
+    The range of each image comes first, then one pass puts the pixels into bins; both add up inside the
+    tasks, so no task needs a whole image.
+    """
+    group = list(group)
+    known = pixels.where("v is not null").select(*group, "v")
+    flat = F.max("v") <= F.min("v")
+    span = known.groupBy(*group).agg(
+        F.when(flat, F.min("v") - 0.5).otherwise(F.min("v")).alias("_lo"),
+        F.when(flat, F.max("v") + 0.5).otherwise(F.max("v")).alias("_hi"),
+    )
+    return known.join(span, group).groupBy(*group, _bin(bins).alias("bin")).agg(F.count(F.lit(1)).alias("pixels"))
+
+
+def histograms(windows: DataFrame, pixels: DataFrame, radius: int = 12, bins: int = 50) -> DataFrame:
+    """``pixel_histogram`` of windows that have a centre; the others get their whole image and no core counts."""
+    centred = F.lit(True)
+    for c in ("search_x", "search_y"):
+        centred = centred & F.col(c).isNotNull() & ~F.isnan(c)
+    image = ["movie", "channel", "frame"]
+    whole = windows.where(~centred).select(*WINDOW)
+    frames = image_histogram(pixels.join(whole, image, "left_semi"), bins, image)
+    rest = whole.join(frames, image).select(*WINDOW, "bin", "pixels", F.lit(None).cast("bigint").alias("core_pixels"))
+    return pixel_histogram(windows.where(centred), pixels, radius, bins).unionByName(rest)
+
+
 def kymo_samples(rois: DataFrame, half_width: int = 2) -> DataFrame:
     """Sample places (roi, s, o, x, y) of every ROI: along the line and across it."""
     n = F.col("width")
