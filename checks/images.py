@@ -165,7 +165,7 @@ register(
     sql_with(
         "fx_windows fx_pixels",
         f"""SELECT movie, channel, frame, trajectory, bin, count(*) AS pixels,
-              CASE WHEN trajectory <> 3 THEN count(*) FILTER (WHERE sqrt((x - round_even(search_x, 0)) ** 2 + (y - round_even(search_y, 0)) ** 2)
+              CASE WHEN any_value(trajectory) <> 3 THEN count(*) FILTER (WHERE sqrt((x - round_even(search_x, 0)) ** 2 + (y - round_even(search_y, 0)) ** 2)
                 <= 2 * (1 + 0.25 * (trajectory % 4))) END AS core_pixels
             FROM ({bins_sql(f"""SELECT *, min(v) OVER w - CASE WHEN min(v) OVER w = max(v) OVER w THEN 0.5 ELSE 0 END AS lo,
                     max(v) OVER w + CASE WHEN min(v) OVER w = max(v) OVER w THEN 0.5 ELSE 0 END AS hi
