@@ -53,6 +53,17 @@ def test_labels_from_assignments_and_one_kind_only(spark):
     assert only and all(r.score is None and r.is_secret for r in only)
 
 
+def test_a_secret_is_found_where_nothing_assigns_it(spark):
+    """Learnt from assigned ones; held out are secrets that stand bare between other words."""
+    rows, truth = findings(5, 240)
+    bare = [(9000 + d, t.replace('token = "', "then ").replace('"', "")) for d, t in rows if d % 2]
+    docs = documents(spark, [r for r in rows if r[0] % 2 == 0] + bare)
+    got = [r for r in scan_secrets(docs, assignment_labels(candidates(docs)).where("doc_id < 9000")).collect() if r.doc_id >= 9000]
+    want = [truth.get((r.doc_id - 9000, r.candidate), 0) for r in got]
+    hits = sum(w and r.is_secret for r, w in zip(got, want))
+    assert sum(want) >= 30 and hits / sum(want) >= 0.95 and hits / sum(r.is_secret for r in got) >= 0.95
+
+
 def test_dictionary_counts_documents(spark):
     docs = documents(spark, [(k, "Wort wort selten" if k == 0 else "Wort andere") for k in range(9)] + [(20, None), (21, "")])
     assert dictionary(docs, 2) == ["ande", "dere", "nder", "wort"]

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.llm.words import ALNUM, U, Words, covered, slices, table, utf8, windows, words_of
@@ -133,27 +133,38 @@ def contamination(
     return rows.mapInArrow(scan, _REPORT)
 
 
-def _by_join(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """The same report when the benchmark is too large to broadcast: windows are joined by hash.
+def _met(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, at, n, item): places of texts that hold a window of ``found``; ``key`` names the text.
 
-    A row's windows are keyed by the row's own hash of id and text, so repeated rows share them.
+    Windows are joined by both of their 64-bit hashes.  The key is the 128-bit digest of the text, so rows
+    with one text are looked at once and different texts are not mixed up, however many there are.
     """
     lengths = [r.n for r in found.select("n").distinct().collect()]  # at most the window's length
+    types = {"key": pa.binary(), "n": pa.int32(), "at": pa.int64(), "h1": pa.int64(), "h2": pa.int64()}
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             w = words_of(*utf8(b.column("text")), ALNUM)
-            key = b.column("key").to_numpy(zero_copy_only=False)
             for n in lengths:
                 at, end, h1, h2 = windows(w, n)
                 owner = np.searchsorted(w.first, at, "right") - 1
                 local = at - w.first[owner]
-                yield table({"key": key[owner], "n": np.full(len(at), n, np.int32), "at": local, "h1": h1.view(np.int64), "h2": h2.view(np.int64)}, types)
+                keys = b.column("key").take(pa.array(owner))
+                yield table({"key": keys, "n": np.full(len(at), n, np.int32), "at": local, "h1": h1.view(np.int64), "h2": h2.view(np.int64)}, types)
+
+    texts = rows.where("text IS NOT NULL").dropDuplicates(["key"]).select("key", "text")
+    spans = texts.mapInArrow(scan, "key binary, n int, at long, h1 long, h2 long")
+    return spans.join(found.select("n", "h1", "h2", "item"), ["n", "h1", "h2"]).select("key", "at", "n", "item")
+
+
+def _text_key(text_col: str) -> Column:
+    return F.unhex(F.md5(F.col(text_col).cast("binary")))
+
 
-    types = {"key": pa.int64(), "n": pa.int32(), "at": pa.int64(), "h1": pa.int64(), "h2": pa.int64()}
-    keyed = rows.withColumn("key", F.xxhash64("doc_id", "text"))
-    spans = keyed.dropDuplicates(["key"]).select("key", "text").mapInArrow(scan, "key long, n int, at long, h1 long, h2 long")
-    met = spans.join(found.select("n", "h1", "h2", "item"), ["n", "h1", "h2"])
+def _by_join(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """The same report when the benchmark is too large to broadcast: windows are joined by hash."""
+    keyed = rows.withColumn("key", _text_key("text"))
+    met = stage(_met(keyed, found), "benchmark-met")
     # A window's words as a set per document: bounded by the document, so one row may hold them.
     words = met.select("key", F.explode(F.sequence("at", F.col("at") + F.col("n") - 1)).alias("word")).distinct()
     hit = words.groupBy("key").agg(F.count("*").alias("n_hit"))
@@ -164,8 +175,8 @@ def _by_join(rows: DataFrame, found: DataFrame) -> DataFrame:
             w = words_of(*utf8(b.column("text")), ALNUM)
             yield table({"doc_id": b.column("doc_id"), "key": b.column("key"), "n_words": np.diff(w.first)}, sizes)
 
-    sizes = {"doc_id": pa.int64(), "key": pa.int64(), "n_words": pa.int64()}
-    counted = keyed.mapInArrow(count, "doc_id long, key long, n_words long")
+    sizes = {"doc_id": pa.int64(), "key": pa.binary(), "n_words": pa.int64()}
+    counted = keyed.mapInArrow(count, "doc_id long, key binary, n_words long")
     n_hit = F.coalesce("n_hit", F.lit(0))
     return counted.join(hit, "key", "left").join(items, "key", "left").select(
         "doc_id",
@@ -181,33 +192,52 @@ def decontaminate(
 ) -> DataFrame:
     """The input without contaminated documents, or (``remove='spans'``) with their hit stretches cut out.
 
-    A stretch is cut from its first to its last byte; what stands around it stays as it is.  A benchmark
-    with more than ``most`` windows is scanned for in several passes, each with its own hash set; a
-    document's words are then judged over all passes.
+    A stretch is cut from its first to its last byte; what stands around it stays as it is.  Up to ``most``
+    windows are broadcast; those of a larger benchmark are joined with the windows of the texts.
     """
     if remove not in ("documents", "spans"):
         raise ValueError("remove: 'documents' or 'spans'")
     found = stage(benchmark_windows(bench, n), "benchmark-windows")
-    parts = max(1, -(-found.count() // most))
-    context = docs.sparkSession.sparkContext
-    indexes = [context.broadcast(index_of(found.where(F.pmod("h1", F.lit(parts)) == k).collect())) for k in range(parts)]
+    if found.count() > most:
+        return _decontaminate_by_join(docs, found, remove, text_col)
+    index = docs.sparkSession.sparkContext.broadcast(index_of(found.collect()))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, text_col):
             w = words_of(*utf8(b.column(text_col)), ALNUM)
-            docs_ = len(w.first) - 1
-            mask, owner = np.zeros(len(w.start), bool), np.repeat(np.arange(docs_), np.diff(w.first))
-            for index in indexes:
-                mask |= _judge(w, index.value)[2]
-            bad = _is_contaminated(np.bincount(owner[mask], minlength=docs_), np.diff(w.first))
-            if remove == "documents":
-                yield b.filter(pa.array(~bad))
-            else:
-                yield _cut_spans(b, text_col, w, mask & bad[owner])
+            yield _without(b, text_col, w, _judge(w, index.value)[2], remove)
 
     return docs.mapInArrow(scan, docs.schema)
 
 
+def _without(b: pa.RecordBatch, text_col: str, w: Words, mask: np.ndarray, remove: str) -> pa.RecordBatch:
+    """The rows that stay, or all rows without the hit words of contaminated ones."""
+    n = len(w.first) - 1
+    owner = np.repeat(np.arange(n), np.diff(w.first))
+    bad = _is_contaminated(np.bincount(owner[mask], minlength=n), np.diff(w.first))
+    return b.filter(pa.array(~bad)) if remove == "documents" else _cut_spans(b, text_col, w, mask & bad[owner])
+
+
+def _decontaminate_by_join(docs: DataFrame, found: DataFrame, remove: str, text_col: str) -> DataFrame:
+    """Places of windows come back to their texts, where the words are counted; rows without any stay as they are."""
+    names = docs.columns
+    key, places = "_text_key", "_places"
+    keyed = docs.withColumn(key, _text_key(text_col))
+    met = _met(keyed.select(F.col(key).alias("key"), F.col(text_col).alias("text")), found)
+    # At most one place for each word of a text: a row may hold them.
+    held = met.groupBy("key").agg(F.collect_set(F.struct("at", "n")).alias(places)).withColumnRenamed("key", key)
+    held = stage(held, "benchmark-places")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, text_col):
+            w = words_of(*utf8(b.column(text_col)), ALNUM)
+            at = [(w.first[d] + p["at"], p["n"]) for d, own in enumerate(b.column(places).to_pylist()) for p in own or []]
+            lo, n = np.array(at, np.int64).reshape(-1, 2).T
+            yield _without(b.select(names), text_col, w, covered(len(w.start), lo, lo + n), remove)
+
+    return keyed.join(held, key, "left").select(*names, places).mapInArrow(scan, docs.schema)
+
+
 def _cut_spans(b: pa.RecordBatch, text_col: str, w: Words, mask: np.ndarray) -> pa.RecordBatch:
     texts = b.column(text_col).to_pylist()
     offsets = utf8(b.column(text_col))[1]

@@ -2,7 +2,9 @@
 
 Only DataFrame functions and Spark's own forest are used.  A candidate is a run of at least ``MIN_LENGTH``
 key characters.  Its features: length, how often the kind of character changes, shares of kinds, coverage by
-the dictionary, the form of the path it was found under, and the words around it.  The dictionary are the
+the dictionary, the form of the path it was found under, and how much of the words around it the dictionary
+covers.  None of them reads what ``assignment_labels`` decides by (key words, signs of assignment, quotes), so
+a secret is found by its own form also where it isn't assigned to anything.  The dictionary are the
 four-letter pieces of the ``DICTIONARY`` words that most documents of the whole input hold.
 
 The forest learns from labelled findings: (features, label) rows, of which it takes the ``MOST_TRAINING``
@@ -43,9 +45,6 @@ FEATURES = [
     "distinct",
     "dictionary",
     "slashes",
-    "quoted",
-    "key_word",
-    "assigned",
     "word_before",
     "word_after",
     "path_depth",
@@ -102,10 +101,9 @@ def _changes(kinds: Column) -> Column:
 
 
 def with_features(found: DataFrame, known: list[str]) -> DataFrame:
-    c, token, before = F.col("candidate"), F.col("token"), F.concat_ws(" ", "before2", "before1")
+    c = F.col("candidate")
     kinds = F.translate(c, _UPPER + _LOWER + _DIGIT + "+/_=-", "U" * 26 + "l" * 26 + "d" * 10 + "ooooo")
     sounds = F.translate(F.lower(c), _LOWER, "".join("v" if x in "aeiouy" else "c" for x in _LOWER))
-    head = F.expr("substring_index(token, candidate, 1)")
     path = F.coalesce("path", F.lit(""))
     features = {
         "length": F.length(c),
@@ -117,9 +115,6 @@ def with_features(found: DataFrame, known: list[str]) -> DataFrame:
         "distinct": F.size(F.array_distinct(F.split(c, ""))) / F.least(F.length(c), F.lit(64)),
         "dictionary": _coverage(c, known),
         "slashes": F.length(c) - F.length(F.replace(c, F.lit("/"))),
-        "quoted": head.rlike("[\"'`]").cast("int"),
-        "key_word": (before.rlike(_KEY_WORDS) | head.rlike(_KEY_WORDS)).cast("int"),
-        "assigned": (head.rlike("[=:]") | F.coalesce(F.col("before1"), F.lit("")).rlike("[=:]$")).cast("int"),
         "word_before": _coverage(F.col("before2"), known),
         "word_after": _coverage(F.col("after"), known),
         "path_depth": F.length(path) - F.length(F.replace(path, F.lit("/"))),
