@@ -60,10 +60,32 @@ register(
     f"{WK} {MEAS}",
     lambda s, d: T.track_smooth(_windows(s, d), V.pixels(s, d), V.pixel_movies(s, d), SOFT),
 )
+#: The walk, one frame of every trajectory at a time: measured at the centre reached, which is then blended.
+WALK = f"""
+SELECT * EXCLUDE (pos) FROM (
+  WITH RECURSIVE ordered AS (
+    SELECT *, row_number() OVER (PARTITION BY movie, trajectory ORDER BY frame) AS pos FROM ({WIN}) q),
+  walk AS (
+    SELECT movie, channel, frame, trajectory, search_x, search_y, 0 AS pos, search_x AS track_x, search_y AS track_y,
+      CAST(NULL AS DOUBLE) AS spot_x, CAST(NULL AS DOUBLE) AS spot_y, CAST(NULL AS DOUBLE) AS sigma,
+      CAST(NULL AS DOUBLE) AS peak, CAST(NULL AS DOUBLE) AS background, CAST(NULL AS DOUBLE) AS intensity
+    FROM ordered WHERE pos = 1
+    UNION ALL
+    SELECT movie, channel, frame, trajectory, ix, iy, pos,
+      CASE WHEN spot_x IS NULL THEN (search_x + ix) / 2 ELSE k * spot_x + (1 - k) * ix END,
+      CASE WHEN spot_x IS NULL THEN (search_y + iy) / 2 ELSE k * spot_y + (1 - k) * iy END,
+      spot_x, spot_y, sigma, peak, background, intensity
+    FROM (SELECT m.*, o.pos, o.search_x AS ix, o.search_y AS iy,
+            exp(-0.5 * sqrt((spot_x - o.search_x) ** 2 + (spot_y - o.search_y) ** 2) / 12) AS k
+          FROM ({measure_sql("""SELECT o.movie, o.channel, o.frame, o.trajectory, t.track_x AS search_x, t.track_y AS search_y
+            FROM ordered o JOIN walk t ON t.movie = o.movie AND t.trajectory = o.trajectory AND o.pos = t.pos + 1""", 2.0)}) m
+          JOIN ordered o USING (movie, channel, frame, trajectory)) s)
+  SELECT * FROM walk WHERE pos > 0) r"""
 register(
     "i5_track_sequential",
-    f"{WK} track_x:d track_y:d spot_x:d spot_y:d sigma:d peak:d background:d intensity:d",
-    lambda s, d: T.track_sequential(_windows(s, d), V.pixels(s, d), V.pixel_movies(s, d), SOFT, rows_per_round=8),
+    f"{WK} search_x:d search_y:d track_x:d track_y:d spot_x:d spot_y:d sigma:d peak:d background:d intensity:d",
+    lambda s, d: T.track_sequential(_windows(s, d), V.pixels(s, d), V.pixel_movies(s, d), SOFT),
+    sql_with("fx_windows fx_pixels", WALK),
 )
 
 

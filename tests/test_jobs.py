@@ -277,13 +277,13 @@ def test_empty_window_has_no_spot(spark, spot_pixels):
     assert got.count() == 2 and got.where("spot_x is not null").count() == 0
 
 
-def test_tracked_mode_does_not_depend_on_rounds(spark, spot_pixels):
+def test_tracked_mode_does_not_depend_on_the_size_of_pages(spark, spot_pixels):
     from trackloom.plans.tracking import track_sequential
 
     size = pd.DataFrame({"movie": ["a"], "height": [48], "width": [48], "pixel_size_nm": [200.0]})
     w = pd.DataFrame({"movie": "a", "channel": 1, "frame": [0, 1, 2], "trajectory": 1, "search_x": [18.0, 18.0, 18.0], "search_y": [22.0, 22.0, 22.0]})
     runs = [
-        track_sequential(sdf(spark, w), sdf(spark, spot_pixels), sdf(spark, size), Params(search_radius=10), rows_per_round=n).orderBy("frame").toPandas()
+        track_sequential(sdf(spark, w), sdf(spark, spot_pixels), sdf(spark, size), Params(search_radius=10), page=n).orderBy("frame").toPandas()
         for n in (1, 2, 100)
     ]
     for r in runs[1:]:

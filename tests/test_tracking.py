@@ -73,11 +73,38 @@ def test_equals_a_walk_over_whole_frames(spark, seed, background):
     spots = [[] if rng.random() < 0.4 else [(x + rng.normal(0, 5), y + rng.normal(0, 5), 700)] for x, y in at]
     px, w = frames(size, spots, seed), windows(at, background=background)
     params = Params(search_radius=9)
-    got = track_sequential(sdf(spark, w), sdf(spark, px), sdf(spark, movie(size)), params, rows_per_round=16).orderBy("frame").toPandas()
+    got = track_sequential(sdf(spark, w), sdf(spark, px), sdf(spark, movie(size)), params, page=8).orderBy("frame").toPandas()
     np.testing.assert_allclose(got[COLS].to_numpy(float), walk(w, px, size, params, background), rtol=1e-9)
     assert got.spot_x.notna().sum() > 5
 
 
+def test_trajectories_that_span_batches_and_a_frame_without_a_centre(spark):
+    rng, size, n = np.random.default_rng(5), (50, 90), 12
+    px = frames(size, [[(30 + f, 25, 700)] for f in range(n)])
+    own = {t: windows(np.column_stack([30 + np.arange(n) + rng.normal(0, 2, n), np.full(n, 25)]), t) for t in (1, 2, 3)}
+    w = pd.concat(own.values())
+    w.loc[(w.trajectory == 3) & (w.frame == 6), "search_x"] = np.nan
+    gap = sdf(spark, w).withColumn("search_x", F.expr("nullif(search_x, double('NaN'))"))
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        got = track_sequential(gap, sdf(spark, px), sdf(spark, movie(size)), page=8).orderBy("frame").toPandas()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    got = {t: g[COLS].to_numpy(float) for t, g in got.groupby("trajectory")}
+    for t in (1, 2):
+        np.testing.assert_allclose(got[t], walk(own[t], px, size, Params()), rtol=1e-9)
+    assert np.isnan(got[3][6]).all()
+    np.testing.assert_allclose(got[3][:6], walk(own[3][:6], px, size, Params()), rtol=1e-9)
+    np.testing.assert_allclose(got[3][7:], walk(own[3][7:].reset_index(drop=True), px, size, Params()), rtol=1e-9)
+
+
+def test_no_windows_no_track(spark):
+    size = (50, 90)
+    none = sdf(spark, windows([(30, 25)])).limit(0)
+    assert track_sequential(none, sdf(spark, frames(size, [[]])), sdf(spark, movie(size))).count() == 0
+
+
 def test_background_is_measured_once_and_held_in_every_mode(spark):
     size = (60, 60)
     px = frames(size, [[(30 + f, 30, 800)] for f in range(6)])

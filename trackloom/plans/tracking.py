@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from trackloom.operators.pixels import crop_pixels, trajectory_background
 from trackloom.operators.segments import densify
 from trackloom.operators.smoothing import smooth_outliers
 from trackloom.operators.spots import avoid_previous
-from trackloom.plans.stages import stage, stage_folder
+from trackloom.plans.stages import stage
 
 _FIT = ["spot_x", "spot_y", "sigma", "peak", "background", "intensity"]
 
@@ -94,92 +95,148 @@ def track_sequential(
     movies: DataFrame,
     params: Params = Params(),
     avoid: bool = False,
-    rows_per_round: int = 512,
+    page: int = 32,
 ) -> DataFrame:
     """Tracked mode: every frame starts at the blended centre of the frame before.
 
     A found spot leaves the centre within 2/e of a crop from the interpolated one,
     a miss leaves it half as far as it was, so how far it can be follows from the
     jumps of the last frames, and the pixels a frame can need are known beforehand
-    (``with_reach``).  Frames run in rounds of ``rows_per_round`` per trajectory;
-    the centre reached is stored between rounds, so no task holds more than one
-    round of one trajectory.  ``avoid`` drops reused spots from the result; the
-    path itself does not depend on other trajectories.
+    (``with_reach``).  These travel in pages of ``page`` x ``page`` pixels.  Rows are
+    dealt by trajectory and sorted by frame, and a task walks along them: it holds
+    the pages of one frame that lie around the centre reached, however long the
+    trajectory is.  A row without a search centre measures nothing, and the next one
+    starts from its own.  ``avoid`` drops reused spots from the result; the path
+    itself does not depend on other trajectories.
     """
-    crop = params.crop
-    spark = windows.sparkSession
     background = F.col("fixed_background") if "fixed_background" in windows.columns else F.lit(None).cast("double")
     sized = windows.select(*KEY, "channel", "frame", "search_x", "search_y", background.alias("fixed_background")).join(
         movies.select("movie", "height", "width", sigma_floor(F.col("pixel_size_nm")).alias("smin")), "movie"
     )
     rows = stage(with_position(sized, KEY, "frame"), "ordered")
     rows = stage(with_reach(rows, params), "reach")
-    last = rows.agg(F.max("pos")).first()[0]
-    schema = (
-        "movie string, channel int, frame int, trajectory long, search_x double, search_y double, "
-        "track_x double, track_y double, " + ", ".join(f"{c} double" for c in _FIT)
-    )
+    walked = _pages(rows, pixels, page).mapInArrow(_walk(params, page), _TRACKED)
+    out = walked.withColumn("method", F.lit("moments"))
+    return avoid_previous(stage(out, "tracked"), params.same_spot_px) if avoid else out
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        first = pdf.iloc[0]
-        cur = (first.start_x, first.start_y)
-        if cur[0] is None or np.isnan(cur[0]):
-            cur = (first.search_x, first.search_y)
-        out = []
-        for r in pdf.itertuples(index=False):
-            ix, iy = r.search_x, r.search_y
-            found = None
-            if r.px is not None and len(r.px):
-                found = measure(
-                    np.asarray(r.py),
-                    np.asarray(r.px),
-                    np.asarray(r.pv, dtype=float),
-                    cur,
-                    crop,
-                    (r.height, r.width),
-                    r.smin,
-                    None if r.fixed_background is None or np.isnan(r.fixed_background) else r.fixed_background,
-                    snr=params.snr,
-                    tol=params.edge_tol_px,
-                    passes=params.fit_passes,
-                    border=params.fit_border,
-                    min_peak=params.min_peak,
-                )
-            if found is None:
-                cur = ((cur[0] + ix) / 2, (cur[1] + iy) / 2)
-            else:
-                w = math.exp(-0.5 * math.hypot(found[0] - ix, found[1] - iy) / crop)
-                cur = (w * found[0] + (1 - w) * ix, w * found[1] + (1 - w) * iy)
-            fit = found if found is not None else (None,) * 6
-            out.append((r.movie, r.channel, r.frame, r.trajectory, ix, iy, *cur, *fit))
-        return pd.DataFrame(out, columns=[f.split()[0] for f in schema.split(", ")])
-
-    cx, cy = F.bround("search_x").cast("int"), F.bround("search_y").cast("int")
-    r = F.col("_r")
-    # The pixels are read once; each round then reads only its own folder.
+
+_TRACKED = (
+    "movie string, channel int, frame int, trajectory long, search_x double, search_y double, "
+    "track_x double, track_y double, " + ", ".join(f"{c} double" for c in _FIT)
+)
+
+
+def _pages(rows: DataFrame, pixels: DataFrame, page: int) -> DataFrame:
+    """Each window row followed by its pixels, in the order of the walk.
+
+    A window row has null ``row``; a page has its place (``row``, ``col``), and of each pixel the
+    number inside the page and the value.
+    """
+    cx, cy, r = F.bround("search_x").cast("int"), F.bround("search_y").cast("int"), F.col("_r")
+    near = crop_pixels(rows.select(*KEY, "channel", "frame", "pos", "search_x", "search_y", "_r"), pixels, cx - r, cx + r, cy - r, cy + r)
+    inside = (F.pmod("y", F.lit(page)) * page + F.pmod("x", F.lit(page))).cast("int")
+    places = {"row": F.floor(F.col("y") / page).cast("int"), "col": F.floor(F.col("x") / page).cast("int")}
     packed = (
-        crop_pixels(rows, pixels, cx - r, cx + r, cy - r, cy + r)
-        .groupBy(*KEY, "frame")
-        .agg(F.collect_list("y").alias("py"), F.collect_list("x").alias("px"), F.collect_list("v").alias("pv"))
+        near.where(F.col("v").isNotNull())
+        .withColumns(places)
+        .groupBy(*KEY, "pos", "row", "col")
+        .agg(F.sort_array(F.collect_list(F.struct(inside.alias("at"), F.col("v").cast("double").alias("v")))).alias("_p"))
+        .select(*KEY, "pos", "row", "col", F.col("_p.at").alias("at"), F.col("_p.v").alias("v"))
     )
-    ready = rows.drop("_r").join(packed, [*KEY, "frame"], "left")
-    ready = ready.withColumn("_round", F.floor(F.col("pos") / rows_per_round).cast("int"))
-    ready = stage(ready, "crops", partition_by="_round")
-    folder = stage_folder(spark, "tracked")
-    state = spark.createDataFrame([], "movie string, trajectory long, start_x double, start_y double")
-    # One round per stretch of the longest trajectory, not per trajectory.
-    for i in range((last if last is not None else -1) // rows_per_round + 1):
-        part = ready.where(F.col("_round") == i).drop("_round").join(state, KEY, "left")
-        part.groupBy(*KEY).applyInPandas(run, schema).write.parquet(f"{folder}/round={i}")
-        got = spark.read.schema(schema).parquet(f"{folder}/round={i}")
-        state = got.groupBy(*KEY).agg(
-            F.max_by("track_x", "frame").alias("start_x"), F.max_by("track_y", "frame").alias("start_y")
-        )
-    # All rounds are one table, however many there were.
-    done = spark.read.schema(schema).parquet(folder) if last is not None else spark.createDataFrame([], schema)
-    out = done.select(*[f.split()[0] for f in schema.split(", ")]).withColumn("method", F.lit("moments"))
-    return avoid_previous(out, params.same_spot_px) if avoid else out
+    both = rows.drop("_r").unionByName(packed, allowMissingColumns=True)
+    return both.repartition(*KEY).sortWithinPartitions(*KEY, "pos", F.col("row").asc_nulls_first(), "col")
+
+
+def _walk(params: Params, page: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    names = [f.split()[0] for f in _TRACKED.split(", ")]
+    types = {"movie": pa.string(), "channel": pa.int32(), "frame": pa.int32(), "trajectory": pa.int64()}
+    schema = pa.schema([(n, types.get(n, pa.float64())) for n in names])
+    # Passes move the start of a crop by the tolerance each; at the image's edge a crop begins at the edge.
+    reach = 2 * params.crop + params.fit_passes * params.edge_tol_px + 2
+
+    def step(r: dict, cur: tuple[float, float], held: list[tuple[np.ndarray, ...]]) -> tuple[tuple[float, float], tuple]:
+        """The centre after a frame, and the frame's result."""
+        ix, iy = r["search_x"], r["search_y"]
+        found = None
+        if held:
+            y, x, v = map(np.concatenate, zip(*held))
+            found = measure(
+                y,
+                x,
+                v,
+                cur,
+                params.crop,
+                (r["height"], r["width"]),
+                r["smin"],
+                r["fixed_background"],
+                snr=params.snr,
+                tol=params.edge_tol_px,
+                passes=params.fit_passes,
+                border=params.fit_border,
+                min_peak=params.min_peak,
+            )
+        if found is None:
+            cur = ((cur[0] + ix) / 2, (cur[1] + iy) / 2)
+        else:
+            w = math.exp(-0.5 * math.hypot(found[0] - ix, found[1] - iy) / params.crop)
+            cur = (w * found[0] + (1 - w) * ix, w * found[1] + (1 - w) * iy)
+        fit = found if found is not None else (None,) * len(_FIT)
+        return cur, (r["movie"], r["channel"], r["frame"], r["trajectory"], ix, iy, *cur, *fit)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row: dict | None = None
+        cur: tuple[float, float] | None = None
+        held: list[tuple[np.ndarray, ...]] = []
+        done: list[tuple] = []
+
+        def settle() -> None:
+            nonlocal row, cur
+            if row is None:
+                return
+            if cur is None:
+                done.append((*[row[n] for n in names[:6]], *[None] * (len(names) - 6)))
+            else:
+                cur, result = step(row, cur, held)
+                done.append(result)
+            held.clear()
+            row = None
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), schema)], schema=schema)
+            done.clear()
+            return out
+
+        before = None
+        for b in batches:
+            is_page = np.asarray(b.column("row").is_valid())
+            rows, cols = b.column("row").to_pylist(), b.column("col").to_pylist()
+            plain = b.drop_columns(["row", "col", "at", "v"])
+            at, v = b.column("at"), b.column("v")
+            for i in range(b.num_rows):
+                if is_page[i]:
+                    if cur is None:
+                        continue
+                    y0, x0 = rows[i] * page, cols[i] * page
+                    if x0 > cur[0] + reach or x0 + page < cur[0] - reach or y0 > cur[1] + reach or y0 + page < cur[1] - reach:
+                        continue
+                    place = at[i].values.to_numpy(zero_copy_only=False)
+                    held.append((y0 + place // page, x0 + place % page, v[i].values.to_numpy(zero_copy_only=False)))
+                    continue
+                settle()
+                row = plain.slice(i, 1).to_pylist()[0]
+                own = (row["movie"], row["trajectory"])
+                if row["search_x"] is None or row["search_y"] is None:
+                    cur = None
+                elif own != before or cur is None:
+                    cur = (row["search_x"], row["search_y"])
+                before = own
+                if len(done) >= 4096:
+                    yield flush()
+        settle()
+        if done:
+            yield flush()
+
+    return walk
 
 
 #: Frames whose jumps are looked back on; a jump counts half as much with each frame.
