@@ -327,3 +327,26 @@ def test_permutation_does_not_matter(spark):
     a = P.speeds(sdf(spark, p)).orderBy(*KEY, "frame").toPandas()
     b = P.speeds(sdf(spark, p.sample(frac=1, random_state=1)).repartition(7)).orderBy(*KEY, "frame").toPandas()
     pd.testing.assert_frame_equal(a, b)
+
+
+def test_a_resting_spot_is_divided_by_frame(spark):
+    rois = spark.createDataFrame([("a", 1, [0.0, 40.0], [0.0, 0.0]), ("b", 2, [0.0, 0.0], [0.0, 40.0])], "movie string, roi long, x array<double>, y array<double>")
+    n = 30_000
+    resting = spark.range(n).select(F.lit("a").alias("movie"), F.lit(1).alias("trajectory"), F.col("id").alias("frame"), F.lit(10.0).alias("x"), F.when(F.col("id") % 3 == 0, 1.0).otherwise(9.0).alias("y"))
+    odd = spark.createDataFrame([("a", 2, None, 10.0, 1.0), ("a", 2, 5, None, 1.0), ("b", 2, -7, 1.0, 30.0), ("c", 2, 5, 10.0, 1.0)], "movie string, trajectory int, frame long, x double, y double")
+    points = resting.unionByName(odd)
+    got = R.near_roi(points, rois, 2.0, run=100)
+    assert got.columns == points.columns
+    by = {(r.movie, r.trajectory): r.n for r in got.groupBy("movie", "trajectory").agg(F.count("*").alias("n")).collect()}
+    assert by == {("a", 1): n // 3, ("a", 2): 1, ("b", 2): 1}
+    # No task has to take more of a cell than one run of frames.
+    p, _, _ = R._close(points, rois, 2.0, "x", "y", "frame", 100)
+    assert p.groupBy("movie", "_cell", "_run").count().agg(F.max("count")).first()[0] <= 100
+    assert got.exceptAll(R.near_roi(points, rois, 2.0)).count() == 0
+
+
+def test_tracks_that_begin_at_one_place_are_divided(spark):
+    rois = spark.createDataFrame([("a", 1, [0.0, 40.0], [0.0, 0.0]), ("a", 2, [10.0, 10.0], [0.0, 40.0])], "movie string, roi long, x array<double>, y array<double>")
+    ends = spark.range(900).select(F.lit("a").alias("movie"), F.col("id").alias("trajectory"), F.lit(10.0).alias("start_x"), F.lit(1.0).alias("start_y"), F.when(F.col("id") % 2 == 0, 30.0).otherwise(10.0).alias("end_x"), F.when(F.col("id") % 2 == 0, 1.0).otherwise(30.0).alias("end_y"))
+    got = R.match_by_place(ends, rois, 2.0, run=50).select("trajectory", "roi").collect()
+    assert sorted((r.trajectory, r.roi) for r in got) == [(t, 1 + t % 2) for t in range(900)]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trackloom.config import KEY
 from trackloom.functions import geometry as H
 from trackloom.functions import scalars as S
-from trackloom.operators.ordered import TILE, nearest, spread, with_position
+from trackloom.operators.ordered import BLOCK, TILE, nearest, spread, with_position
 from trackloom.operators.segments import densify
 
 
@@ -77,30 +77,44 @@ def _covered_cells(rois: DataFrame, radius: float) -> tuple[DataFrame, float]:
     return segs.withColumn("_cell", F.explode(cells)), side
 
 
-def _close(points: DataFrame, rois: DataFrame, radius: float, px: str, py: str) -> tuple[DataFrame, DataFrame, Column]:
+def _close(
+    points: DataFrame, rois: DataFrame, radius: float, px: str, py: str, along: str, run: int
+) -> tuple[DataFrame, DataFrame, Column]:
+    """Points and segments that share a cell and, within it, a run of ``along``.
+
+    A spot that rests, or tracks that begin at one place, put any number of points in one cell.
+    So a cell is divided by runs of ``run`` values of ``along``, and a segment is sent to the runs
+    that its cell has; these are counted before the shuffle, and are never more than its points.
+    """
     segs, side = _covered_cells(rois, radius)
-    p = points.withColumn("_cell", _cell(F.floor(F.col(px) / side), F.floor(F.col(py) / side))).alias("p")
-    q = segs.alias("q")
+    p = points.withColumn("_cell", _cell(F.floor(F.col(px) / side), F.floor(F.col(py) / side)))
+    p = p.withColumn("_run", F.coalesce(F.floor(F.col(along) / run), F.lit(-1).cast("bigint")))
+    runs = p.select("movie", "_cell", "_run").distinct()
+    p, q = p.alias("p"), segs.join(runs, ["movie", "_cell"]).alias("q")
     d = S.segment_distance(
         F.col(f"p.{px}"), F.col(f"p.{py}"), F.col("q.ax"), F.col("q.ay"), F.col("q.bx"), F.col("q.by")
     )
-    same = (F.col("p.movie") == F.col("q.movie")) & (F.col("p._cell") == F.col("q._cell"))
-    return p, q, same & (d <= radius)
+    cond = d <= radius
+    for c in ("movie", "_cell", "_run"):
+        cond = cond & (F.col(f"p.{c}") == F.col(f"q.{c}"))
+    return p, q, cond
 
 
-def near_roi(points: DataFrame, rois: DataFrame, radius: float, px: str = "x", py: str = "y") -> DataFrame:
-    """Points within ``radius`` of any ROI of their movie."""
-    p, q, cond = _close(points, rois, radius, px, py)
-    return p.join(q, cond, "left_semi").drop("_cell")
+def near_roi(
+    points: DataFrame, rois: DataFrame, radius: float, px: str = "x", py: str = "y", along: str = "frame", run: int = BLOCK
+) -> DataFrame:
+    """Points within ``radius`` of any ROI of their movie; a cell is divided by ``along``."""
+    p, q, cond = _close(points, rois, radius, px, py, along, run)
+    return p.join(q, cond, "left_semi").drop("_cell", "_run")
 
 
-def match_by_place(ends: DataFrame, rois: DataFrame, radius: float) -> DataFrame:
-    """(trajectory, ROI) where start and end both lie within ``radius`` of the line.
+def match_by_place(ends: DataFrame, rois: DataFrame, radius: float, run: int = BLOCK) -> DataFrame:
+    """(trajectory, ROI) where start and end both lie within ``radius`` of the line; a cell is divided by trajectory.
 
     ``ends`` has start_x, start_y, end_x, end_y per trajectory.  Only the start
     goes through the grid; the end is then checked on the matched ROI record.
     """
-    p, q, cond = _close(ends, rois, radius, "start_x", "start_y")
+    p, q, cond = _close(ends, rois, radius, "start_x", "start_y", "trajectory", run)
     hits = p.join(q, cond).select(*[F.col(f"p.{c}") for c in ends.columns], F.col("q.roi")).distinct()
     both = hits.join(rois.select("movie", "roi", "x", "y"), ["movie", "roi"])
     near_end = roi_distance(both, "end_x", "end_y", "_d").where(F.col("_d") <= radius)
