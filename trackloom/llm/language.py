@@ -2,7 +2,7 @@
 
 A text is lower-cased, runs of anything but letters become one blank, and its character trigrams are
 hashed to ``CELLS`` cells.  Training counts the cells of all labelled training texts, language by language,
-in the tasks; the merged counts (languages x CELLS numbers, whatever the input) give smoothed
+in the tasks; the counts, merged slice by slice in two steps (languages x CELLS numbers, whatever the input) give smoothed
 probabilities that are broadcast.  For a document, expectation-maximisation fits the shares of a set of
 languages.  The set grows from the best single language: the language with the steepest gain is tried, and
 kept only if the log-likelihood gains more than the penalty of one more language.  As the log-likelihood is
@@ -25,9 +25,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trackloom.llm import bloom
 from trackloom.llm.words import slices, table
 
 CELLS = 1 << 16
+#: Cells of one slice of a task's counts: 64 KB.
+_SLICE = 1 << 13
 UNKNOWN = "und"
 #: Log-likelihood that one more language must gain: this many times the logarithm of the number of trigrams.
 PENALTY = 3.0
@@ -79,8 +82,11 @@ def _cells(text: str, before: str, after: str) -> np.ndarray:
     return ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(48)).astype(np.int64)
 
 
-def train(rows: DataFrame) -> Model:
-    """Model of ``rows`` (lang, text), all of them."""
+def train(rows: DataFrame, fan: int = bloom.FAN) -> Model:
+    """Model of ``rows`` (lang, text), all of them.
+
+    A task's counts travel in slices of cells, and the slices of all tasks are merged in two steps.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, np.ndarray] = {}
@@ -89,17 +95,16 @@ def train(rows: DataFrame) -> Model:
                 h, n = trigrams(text)
                 own = found.setdefault(lang, np.zeros(CELLS, np.int64))
                 own += np.bincount(h, weights=n, minlength=CELLS).astype(np.int64)
-        yield table({"lang": list(found), "counts": [v.tobytes() for v in found.values()]}, types)
-
-    def merge(_: tuple, t: pa.Table) -> pa.Table:
-        total = np.zeros(CELLS, np.int64)
-        for x in t.column("counts").to_pylist():
-            total += np.frombuffer(x, np.int64)
-        return pa.table({"lang": t.column("lang").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
-
-    types, schema = {"lang": pa.string(), "counts": pa.binary()}, "lang string, counts binary"
-    found = rows.mapInArrow(count, schema).groupBy("lang").applyInArrow(merge, schema).collect()  # one row per language
-    found = sorted((r.lang, np.frombuffer(r.counts, np.int64)) for r in found)
+        task = bloom.task_number()
+        for lang, counts in found.items():
+            parts = counts.reshape(-1, _SLICE)
+            yield table({"key": [lang] * len(parts), "part": range(len(parts)), "task": [task] * len(parts), "content": [x.tobytes() for x in parts]}, bloom.PIECE_TYPES)
+
+    counted: dict[str, np.ndarray] = {}
+    merged = bloom.merge_pieces(rows.select("lang", "text").mapInArrow(count, bloom.PIECES), np.add, np.int64, fan)
+    for r in merged.collect():  # CELLS numbers per language
+        counted.setdefault(r.key, np.zeros(CELLS, np.int64)).reshape(-1, _SLICE)[r.part] = np.frombuffer(r.content, np.int64)
+    found = sorted(counted.items(), key=lambda item: item[0])
     found = [(name, n) for name, n in found if n.any()]
     if not found:
         return Model([], np.zeros((CELLS, 0)))
