@@ -332,9 +332,10 @@ SOFT = Params(search_radius=R6, snr=2.0)
 MEAS = "search_x:d search_y:d spot_x:d spot_y:d sigma:d peak:d background:d intensity:d"
 
 
-def measure_sql(windows: str, snr: float) -> str:
-    """SQL: the two passes over ``windows`` (window columns, search_x, search_y) with crop 12."""
-    idc = "movie, channel, frame, trajectory"
+def measure_sql(windows: str, snr: float, crop_column: bool = False) -> str:
+    """SQL: the two passes over ``windows`` (window columns, search_x, search_y) with crop 12, or that of the row."""
+    idc = "movie, channel, frame, trajectory" + (", crop" if crop_column else "")
+    side = "crop" if crop_column else "12"
 
     def one(src: str) -> str:
         return f"""
@@ -355,24 +356,24 @@ FROM (SELECT *, sx / s AS mx, sy / s AS my FROM (
     def crop(src: str) -> str:
         return f"""
 SELECT w.*, p.x, p.y, p.v FROM (
-  SELECT *, greatest(round_even(cx, 0) - 6, 0) AS x0, least(greatest(round_even(cx, 0) - 6, 0) + 12, 64) AS x1,
-    greatest(round_even(cy, 0) - 6, 0) AS y0, least(greatest(round_even(cy, 0) - 6, 0) + 12, 20) AS y1 FROM ({src}) z) w
+  SELECT *, greatest(round_even(cx, 0) - {side} // 2, 0) AS x0, least(greatest(round_even(cx, 0) - {side} // 2, 0) + {side}, 64) AS x1,
+    greatest(round_even(cy, 0) - {side} // 2, 0) AS y0, least(greatest(round_even(cy, 0) - {side} // 2, 0) + {side}, 20) AS y1 FROM ({src}) z) w
 JOIN fx_pixels p ON p.movie = w.movie AND p.channel = w.channel AND p.frame = w.frame
   AND p.x >= x0 AND p.x < x1 AND p.y >= y0 AND p.y < y1"""
 
     def judged(src: str) -> str:
-        return f"""SELECT *, ok AND top - bg >= {snr} * sd AND nx - x0 > 4 AND nx - x0 < 8 AND ny - y0 > 4 AND ny - y0 < 8 AS ok2 FROM ({src}) j"""
+        return f"""SELECT *, ok AND top - bg >= {snr} * sd AND nx - x0 > 4 AND nx - x0 < {side} - 4 AND ny - y0 > 4 AND ny - y0 < {side} - 4 AS ok2 FROM ({src}) j"""
 
     start = f"""SELECT {idc}, search_x, search_y, search_x AS cx, search_y AS cy, ok FROM ({windows}) a
       JOIN (SELECT {idc}, max(v) - median(v) >= {snr} * stddev_pop(v) AS ok FROM (
               SELECT a.*, p.v FROM ({windows}) a JOIN fx_pixels p ON p.movie = a.movie AND p.channel = a.channel AND p.frame = a.frame
-                AND p.x >= round_even(search_x, 0) - 6 AND p.x < round_even(search_x, 0) + 6
-                AND p.y >= round_even(search_y, 0) - 6 AND p.y < round_even(search_y, 0) + 6) k GROUP BY ALL) g USING ({idc})"""
+                AND p.x >= round_even(search_x, 0) - {side} // 2 AND p.x < round_even(search_x, 0) + {side} // 2
+                AND p.y >= round_even(search_y, 0) - {side} // 2 AND p.y < round_even(search_y, 0) + {side} // 2) k GROUP BY ALL) g USING ({idc})"""
     first = judged(one(crop(start)))
     again = f"SELECT {idc}, search_x, search_y, nx AS cx, ny AS cy, ok2 AS ok FROM first1 WHERE ok2"
     last = judged(one(crop(again)))
     lo = repr(2 * (200 / 2.355) / 200.0)
-    done = f"""SELECT *, greatest({lo}, least(3.0, gx)) AS hx, greatest({lo}, least(3.0, gy)) AS hy, top - bg AS a FROM ({last}) q"""
+    done = f"""SELECT *, greatest({lo}, least({side} / 4.0, gx)) AS hx, greatest({lo}, least({side} / 4.0, gy)) AS hy, top - bg AS a FROM ({last}) q"""
     return f"""WITH first1 AS ({first})
 SELECT w.*, nx AS spot_x, ny AS spot_y, 0.5 * (hx + hy) AS sigma, a AS peak, CASE WHEN bg IS NOT NULL THEN greatest(bg, 0) END AS background, 2 * pi() * a * hx * hy AS intensity
 FROM ({windows}) w LEFT JOIN (SELECT * FROM ({done}) d WHERE ok2 AND a >= 4) m USING ({idc}, search_x, search_y)"""

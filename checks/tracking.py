@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from checks import views as V
 from checks.images import MEAS, SOFT, WK, measure_sql
+from checks.motion import FILLED, SAVGOL
 from checks.points import SPEED
 from checks.registry import register
 from checks.views import sql_with
@@ -18,6 +19,7 @@ def _windows(s, d):
     return V.windows(s, d).withColumn("trajectory", F.col("trajectory") * 2 + F.col("channel"))
 
 
+FIT = "spot_x spot_y sigma peak background intensity".split()
 WIN = "SELECT * EXCLUDE (trajectory), trajectory * 2 + channel AS trajectory FROM fx_windows"
 
 
@@ -59,6 +61,22 @@ register(
     "i6_track_smooth",
     f"{WK} {MEAS}",
     lambda s, d: T.track_smooth(_windows(s, d), V.pixels(s, d), V.pixel_movies(s, d), SOFT),
+    sql_with(
+        "fx_windows fx_pixels",
+        f"""SELECT movie, channel, frame, m.trajectory // 2 AS trajectory, m.search_x, m.search_y,
+              {", ".join(f"CASE WHEN f.frame IS NULL THEN m.{c} ELSE g.{c} END AS {c}" for c in FIT)}
+            FROM fx_points m LEFT JOIN flags f USING (movie, channel, trajectory, frame)
+            LEFT JOIN again g USING (movie, channel, trajectory, frame)""",
+        # The smoothing texts tell trajectories apart by their number alone.
+        fx_points=f"SELECT * REPLACE (trajectory * 2 + CAST(movie = 'm1' AS INT) AS trajectory) FROM ({measure_sql(WIN, 2.0)}) m",
+        filled=FILLED,
+        sav=SAVGOL,
+        flags="""SELECT v.movie, s.channel, v.trajectory, v.frame, smooth_x AS search_x, smooth_y AS search_y, CAST(ceil(4 * sg) AS BIGINT) AS crop
+            FROM sav v JOIN (SELECT trajectory, any_value(channel) AS channel, avg(sigma) AS sg, count(spot_x) AS fits FROM fx_points GROUP BY trajectory) s
+              ON s.trajectory = v.trajectory
+            WHERE fits >= 2 AND sqrt((fill_x - smooth_x) ** 2 + (fill_y - smooth_y) ** 2) > least(3, 2 * sg)""",
+        again=measure_sql("SELECT * FROM flags", 2.0, crop_column=True),
+    ),
 )
 #: The walk, one frame of every trajectory at a time: measured at the centre reached, which is then blended.
 WALK = f"""
