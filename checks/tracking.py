@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from checks import views as V
 from checks.images import MEAS, SOFT, WK, measure_sql
+from checks.lines import on_line
 from checks.motion import FILLED, SAVGOL
 from checks.points import SPEED
 from checks.registry import register
@@ -124,3 +125,55 @@ register(
     _recomputed,
     sql_with("fx_windows fx_pixels", SPEED, fx_points=measure_sql(WIN, 2.0)),
 )
+
+
+def _by_kind(s, d):
+    """Windows by what their trajectory has: anchors at both ends of a line (0), nodes at both ends (1), points only (2)."""
+    kind = F.floor(F.col("trajectory") / 2)
+    return _windows(s, d).withColumns({"kind": kind % 3, "roi": 2 * (kind % 5) + F.when(F.col("movie") == "m0", 2).otherwise(1)})
+
+
+def _both_ends(w):
+    ends = w.groupBy("movie", "trajectory", "roi").agg(
+        F.array(*[fn(F.struct("frame", F.col("search_x").alias("x"), F.col("search_y").alias("y")), "frame") for fn in (F.min_by, F.max_by)]).alias("e")
+    )
+    return ends.select("movie", "trajectory", "roi", F.inline("e"))
+
+
+def _recomputed_from_all(s, d):
+    w = _by_kind(s, d)
+    anchors = _both_ends(w.where("kind = 0")).select("movie", "trajectory", "roi", "frame", (F.col("x") / 4).alias("xk"))
+    nodes = _both_ends(w.where("kind = 1")).select("movie", "trajectory", "frame", "x", "y")
+    own = w.select("movie", "trajectory", "frame", "search_x", "search_y")
+    trs = w.select("movie", "trajectory", "channel").distinct()
+    return recompute(anchors, V.pixel_rois(s, d), nodes, own, trs, V.pixels(s, d), V.pixel_movies(s, d), "independent", SOFT, background=False)
+
+
+def _between(value: str) -> str:
+    """SQL: ``value`` of a trajectory's first window, linearly to that of its last one."""
+    return f"a{value} + (frame - f0) * 1.0 / (f1 - f0) * (z{value} - a{value})"
+
+
+register(
+    "i12_recompute_from_all",
+    f"{WK} search_x:d search_y:d spot_x:d intensity:d speed:d",
+    _recomputed_from_all,
+    sql_with(
+        "fx_windows fx_pixels",
+        SPEED,
+        fx_vertices="""SELECT concat('m', s_suppkey % 2) AS movie, s_suppkey AS roi, k AS i,
+              CAST((s_suppkey * 7 + k * (s_suppkey % 3 + 1) * 5) % 64 AS DOUBLE) AS x,
+              CAST((s_suppkey * 3 + k * (s_suppkey % 4 + 1) * 2) % 20 AS DOUBLE) AS y
+            FROM (SELECT *, unnest(range(0, 3)) AS k FROM supplier) q""",
+        fx_segments=V.SQL["fx_segments"],
+        kinds=f"""SELECT *, trajectory // 2 % 3 AS kind, 2 * (trajectory // 2 % 5) + CASE movie WHEN 'm0' THEN 2 ELSE 1 END AS roi FROM ({WIN}) q""",
+        spans="""SELECT *, unnest(range(f0, f1 + 1)) AS frame FROM (
+              SELECT movie, channel, trajectory, kind, roi, min(frame) AS f0, max(frame) AS f1, arg_min(search_x, frame) AS ax,
+                arg_max(search_x, frame) AS zx, arg_min(search_y, frame) AS ay, arg_max(search_y, frame) AS zy FROM kinds GROUP BY ALL) q""",
+        centres=f"""SELECT movie, channel, frame, trajectory, x AS search_x, y AS search_y FROM (
+              {on_line("centres", f"SELECT movie, channel, trajectory, frame, roi, ({_between('x')}) / 4 AS xk FROM spans WHERE kind = 0")}) l
+            UNION ALL SELECT movie, channel, frame, trajectory, {_between('x')}, {_between('y')} FROM spans WHERE kind = 1
+            UNION ALL SELECT movie, channel, frame, trajectory, search_x, search_y FROM kinds WHERE kind = 2""",
+        fx_points=measure_sql("SELECT movie, channel, CAST(frame AS INT) AS frame, trajectory, search_x, search_y FROM centres", 2.0),
+    ),
+)
