@@ -350,3 +350,18 @@ def test_tracks_that_begin_at_one_place_are_divided(spark):
     ends = spark.range(900).select(F.lit("a").alias("movie"), F.col("id").alias("trajectory"), F.lit(10.0).alias("start_x"), F.lit(1.0).alias("start_y"), F.when(F.col("id") % 2 == 0, 30.0).otherwise(10.0).alias("end_x"), F.when(F.col("id") % 2 == 0, 1.0).otherwise(30.0).alias("end_y"))
     got = R.match_by_place(ends, rois, 2.0, run=50).select("trajectory", "roi").collect()
     assert sorted((r.trajectory, r.roi) for r in got) == [(t, 1 + t % 2) for t in range(900)]
+
+
+def test_cells_of_lines_are_not_broadcast(spark, capsys):
+    rois = spark.range(40).select(F.lit("a").alias("movie"), F.col("id").alias("roi"), F.array(F.lit(0.0), F.col("id") * 10.0).alias("x"), F.array(F.lit(0.0), F.lit(40.0)).alias("y"))
+    points = spark.range(20).select(F.lit("a").alias("movie"), F.lit(1).alias("trajectory"), F.col("id").alias("frame"), F.col("id").cast("double").alias("x"), F.lit(1.0).alias("y"))
+    got = R.near_roi(points, rois, 1.5)
+    got.explain()
+    plan = capsys.readouterr().out
+    assert "SortMergeJoin" in plan and not any("Broadcast" in line and ("LeftSemi" in line or "Inner" in line) for line in plan.splitlines())
+    lines = [((0.0, 0.0), (r.x[1], 40.0)) for r in rois.collect()]
+
+    def far(px, py):
+        return min(math.dist((px, py), np.array(b) * min(1.0, max(0.0, (px * b[0] + py * b[1]) / (b[0] ** 2 + b[1] ** 2)))) for _, b in lines)
+
+    assert sorted(r.frame for r in got.collect()) == [i for i in range(20) if far(i, 1.0) <= 1.5]
