@@ -365,3 +365,28 @@ def test_cells_of_lines_are_not_broadcast(spark, capsys):
         return min(math.dist((px, py), np.array(b) * min(1.0, max(0.0, (px * b[0] + py * b[1]) / (b[0] ** 2 + b[1] ** 2)))) for _, b in lines)
 
     assert sorted(r.frame for r in got.collect()) == [i for i in range(20) if far(i, 1.0) <= 1.5]
+
+
+def test_a_line_goes_to_pieces_and_not_to_runs(spark):
+    rois = spark.createDataFrame([("a", 1, [0.0, 40.0], [0.0, 0.0])], "movie string, roi long, x array<double>, y array<double>")
+
+    def sent(step):
+        ends = spark.range(100).select(F.lit("a").alias("movie"), (F.col("id") * step).alias("trajectory"), F.lit(10.0).alias("start_x"), F.lit(1.0).alias("start_y"))
+        return R._close(ends, rois, 2.0, "start_x", "start_y", "trajectory", 50)[1].count()
+
+    # As many starts in the cell, however far their numbers are apart.
+    assert sent(1) <= 4 and sent(1000) <= 5
+
+
+def test_records_of_one_roi_id_are_one_roi(spark):
+    rois = spark.createDataFrame(
+        [("a", 1, [0.0, 40.0], [0.0, 0.0]), ("a", 1, [0.0, 40.0], [90.0, 90.0]), ("a", 2, [5.0], [0.0]), ("a", 3, [0.0, 40.0], [0.0, 0.0]), ("a", 3, [0.0, 40.0], [0.0, 0.0]), (None, 4, [0.0, 40.0], [0.0, 0.0])],
+        "movie string, roi long, x array<double>, y array<double>",
+    )
+    ends = spark.createDataFrame(
+        [("a", 7, 5.0, 1.0, 9.0, 91.0), ("a", 8, 5.0, 1.0, 30.0, 1.0), ("a", 8, 5.0, 1.0, 30.0, 1.0), ("a", 9, None, 1.0, 30.0, 1.0), (None, 10, 5.0, 1.0, 30.0, 1.0)],
+        "movie string, trajectory long, start_x double, start_y double, end_x double, end_y double",
+    )
+    got = R.match_by_place(ends, rois, 2.0)
+    assert got.columns == ["movie", "roi", "trajectory", "start_x", "start_y", "end_x", "end_y"]
+    assert sorted((r.trajectory, r.roi) for r in got.collect()) == [(7, 1), (8, 1), (8, 3), (8, 3)]
