@@ -1,10 +1,12 @@
 """Pixels that are dropped before a shuffle, whole-image histograms, folds over long arrays."""
 
+import math
 import re
 import time
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from trackloom.functions import geometry as H
@@ -123,3 +125,48 @@ def test_drift_needs_no_python(spark):
         4,
     )
     assert maps.count() == 20
+
+
+def test_kymograph_of_odd_rows_meets_in_blocks(spark):
+    """Pixels that are missing, twice or without a value, ROI ids with several records, a line across blocks."""
+    rng = np.random.default_rng(3)
+    h, w = 45, 70
+    rows = [("a", 1, f, y, x, float(rng.integers(1, 9))) for f in (0, 33) for y in range(h) for x in range(w) if rng.random() > 0.3]
+    rows += rows[:40] + [("a", 1, 70, 20, 5, None), ("a", None, 1, 20, 6, 2.0), ("a", 1, 2, None, 3, 1.0), (None, 1, 2, 3, 3, 1.0), ("a", 1, 2, -1, 3, 1.0)]
+    pixels = spark.createDataFrame(rows, "movie string, channel int, frame int, y int, x int, v double")
+    lines = [("a", 1, [3.0, 66.0], [20.0, 21.5]), ("a", 2, [5.0, 5.0], [2.0, 44.0]), ("a", 2, [30.0, 60.0], [2.0, 40.0]), ("a", 3, [-4.0, 9.0], [-3.0, 50.0]), ("a", 3, [-4.0, 9.0], [-3.0, 50.0]), ("b", 4, [0.0, 9.0], [0.0, 9.0])]
+    rois = spark.createDataFrame(lines, "movie string, roi long, x array<double>, y array<double>")
+    movies = spark.createDataFrame([("a", h, w)], "movie string, height int, width int")
+
+    def mirrored(i, n):
+        j = i % (2 * n)
+        return j if j < n else 2 * n - 1 - j
+
+    by_place = {}
+    for m, c, f, y, x, v in rows:
+        if m == "a":
+            by_place.setdefault((y, x), []).append((c, f, v))
+    sums = {}
+    for m, roi, (xa, xb), (ya, yb) in lines[:-1]:
+        total = math.hypot(xb - xa, yb - ya)
+        n = max(int(total), 2)
+        nx, ny = -(yb - ya) / total, (xb - xa) / total
+        for s in range(n):
+            for o in range(-2, 3):
+                sx, sy = xa + (xb - xa) * s / (n - 1) + nx * o, ya + (yb - ya) * s / (n - 1) + ny * o
+                x0, y0 = math.floor(sx), math.floor(sy)
+                for i in (0, 1):
+                    for j in (0, 1):
+                        k = (sx - x0 if i else 1 - sx + x0) * (sy - y0 if j else 1 - sy + y0)
+                        for c, f, v in by_place.get((mirrored(y0 + j, h), mirrored(x0 + i, w)), []) if k > 1e-9 else []:
+                            acc = sums.setdefault((roi, c, f, s), {})
+                            if v is not None:
+                                acc[o] = acc.get(o, 0.0) + k * v
+    for method, of in (("max", lambda a: max(a.values(), default=None)), ("average", lambda a: sum(a.values()) / 5)):
+        got = X.kymograph(pixels, rois, movies, method=method)
+        found = {(r.roi, r.channel, r.frame, r.s): r.v for r in got.collect()}
+        assert len(found) == got.count() and found.keys() == sums.keys()
+        assert all(found[k] == pytest.approx(of(a), abs=1e-6) if of(a) is not None else found[k] is None for k, a in sums.items())
+    # Only records of one id are added up behind the join; no side of it is broadcast.
+    plan = _plan(X.kymograph(pixels, rois, movies))
+    assert len(re.findall(r"\[partial_sum\(_o0", plan)) == 1 and plan.count("SortMergeJoin") == 2
