@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from trackloom.config import KEY, Params
+from trackloom.config import KEY, FinderParams, Params
 from trackloom.functions import geometry as H
 from trackloom.functions import scalars as S
 from trackloom.functions.smooth import edge_smooth as smooth_numpy
@@ -390,3 +390,63 @@ def test_records_of_one_roi_id_are_one_roi(spark):
     got = R.match_by_place(ends, rois, 2.0)
     assert got.columns == ["movie", "roi", "trajectory", "start_x", "start_y", "end_x", "end_y"]
     assert sorted((r.trajectory, r.roi) for r in got.collect()) == [(7, 1), (8, 1), (8, 3), (8, 3)]
+
+
+def _crossing_tracks(spark):
+    """Nodes of two tables, with repeated frames, missing places and numbers; some kymographs have one track only."""
+    rng = np.random.default_rng(5)
+
+    def nodes(n):
+        rows = [
+            (int(k) if k else None, int(t) if t else None, int(f), None if x < 0.5 else float(x))
+            for k, t, f, x in zip(rng.integers(0, 5, n), rng.integers(0, 6, n), rng.integers(0, 9, n), np.floor(rng.random(n) * 48) / 4)
+        ]
+        return spark.createDataFrame(rows, "kymo long, track long, t int, x double")
+
+    return nodes(160), nodes(160)
+
+
+def _rows(df):
+    return sorted(tuple(None if v is None else round(v, 6) if isinstance(v, float) else v for v in r) for r in df.collect())
+
+
+def _without_ends(df):
+    # Of repeated frames at an end any one may be taken.
+    return _rows(df.drop("start_dx", "end_dx"))
+
+
+def test_matching_gives_the_same_pairs_whole_or_in_cells(spark, monkeypatch):
+    from trackloom.operators import tracks as K
+
+    a, b = _crossing_tracks(spark)
+    loose = FinderParams(match_overlap=0.2, match_mean_dx=3.0, match_p90_dx=6.0, loose_union=9.0)
+    whole = _without_ends(K.match_tracks(a, b, loose))
+    monkeypatch.setattr(K, "WHOLE", 0)
+    assert whole == _without_ends(K.match_tracks(a, b, loose)) and len(whole) > 10
+    monkeypatch.setattr(K, "WHOLE", 60)
+    assert whole == _without_ends(K.match_tracks(a, b, loose))
+
+
+def test_duplicates_of_tracks_are_judged_the_same_whole_or_in_cells(spark, monkeypatch):
+    from trackloom.operators import tracks as K
+
+    nodes, _ = _crossing_tracks(spark)
+    rows = [(k, t, float(k * t % 3)) for k in (1, 2, 3, 4) for t in range(1, 6)] + [(1, 2, 2.0), (2, 3, 5.0), (3, 1, None), (None, 1, 1.0), (1, None, 1.0)]
+    tracks = spark.createDataFrame(rows, "kymo long, track long, score double")
+    whole = [sorted(map(str, K.dedupe_tracks(nodes, tracks, dx, 0.3).collect())) for dx in (1.0, 3.0)]
+    monkeypatch.setattr(K, "WHOLE", 0)
+    assert whole == [sorted(map(str, K.dedupe_tracks(nodes, tracks, dx, 0.3).collect())) for dx in (1.0, 3.0)]
+    assert all(4 < len(w) < len(rows) for w in whole)
+
+
+def test_tracks_of_small_kymographs_are_dealt_once(spark):
+    from trackloom.operators import tracks as K
+
+    a, b = _crossing_tracks(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = K.match_tracks(a, b)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # One exchange for each table; pairs and their frames never travel.
+    assert plan.count("Exchange hashpartitioning") == 2

@@ -21,6 +21,9 @@ from trackloom.plans.stages import stage
 
 ID = ["kymo", "track"]
 
+#: A kymograph of at most so many nodes, of both tables together, is matched inside one task.
+WHOLE = 1024
+
 
 def clean_track_nodes(nodes: DataFrame, n_frames: int) -> DataFrame:
     """Whole frames inside the movie, the first node (by pos) per frame, tracks of two nodes or more."""
@@ -31,8 +34,9 @@ def clean_track_nodes(nodes: DataFrame, n_frames: int) -> DataFrame:
         .groupBy(*ID, "t")
         .agg(F.min_by("x", "pos").alias("x"))
     )
-    span = one.groupBy(*ID).agg(F.min("t").alias("_a"), F.max("t").alias("_z")).where("_a < _z").select(*ID)
-    return one.join(span, ID, "left_semi").withColumn("y", n_frames - 1 - F.col("t"))
+    # A track's frames, each once by now, travel as one list.
+    lists = one.groupBy(*ID).agg(F.collect_list(F.struct("t", "x")).alias("_n")).where(F.size("_n") > 1)
+    return lists.select(*ID, F.inline("_n")).withColumn("y", n_frames - 1 - F.col("t"))
 
 
 def with_confidence(tracks: DataFrame) -> DataFrame:
@@ -219,6 +223,10 @@ def overlap_stats(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
         # At most one value per frame of the movie.
         .agg(F.count(F.lit(1)).alias("shared"), F.avg(dx).alias("mean_dx"), F.percentile(dx, F.lit(0.9)).alias("p90_dx"))
     )
+    return _judged(shared)
+
+
+def _judged(shared: DataFrame) -> DataFrame:
     return shared.select(
         *ID,
         "other",
@@ -231,15 +239,114 @@ def overlap_stats(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     )
 
 
+def _crowded(*nodes: DataFrame) -> DataFrame:
+    """Kymographs with more than ``WHOLE`` nodes: at most one row for each ``WHOLE`` nodes."""
+    kymos = reduce(DataFrame.unionByName, [n.select("kymo") for n in nodes]).where(F.col("kymo").isNotNull())
+    return stage(kymos.groupBy("kymo").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > WHOLE).select("kymo"), "crowded")
+
+
+def _packed(nodes: DataFrame, tracks: DataFrame | None = None) -> DataFrame:
+    """One row per track with its frames and places as lists, dealt by kymograph.
+
+    ``_odd`` tells that frames repeat or that something is null. With ``tracks``, those that have a row there,
+    with the lowest and the highest score; each of several rows counts the nodes anew.
+    """
+    rows = nodes.select(*ID, "t", "x")
+    node = F.lit(True)
+    if tracks is not None:
+        named = tracks.select(*ID, "score", F.lit(True).alias("_named"))
+        rows, node = rows.unionByName(named, allowMissingColumns=True), F.col("_named").isNull()
+    measures = [
+        F.collect_list(F.when(node, F.struct("t", "x"))).alias("_nodes"),
+        F.min_by("x", "t").alias("_first"),
+        F.max_by("x", "t").alias("_last"),
+        *[f(c).alias(f"_{side}_{c}") for c in ("t", "x") for side, f in (("least", F.min), ("most", F.max))],
+    ]
+    if tracks is not None:
+        measures += [F.count("_named").alias("_rows"), F.min("score").alias("_low"), F.max("score").alias("_high")]
+    out = rows.where(F.col("track").isNotNull()).repartition("kymo").groupBy(*ID).agg(*measures)
+    out = out.where("size(_nodes) > 0" if tracks is None else "size(_nodes) > 0 AND _rows > 0")
+    odd = (F.size(F.array_distinct("_nodes.t")) < F.size("_nodes")) | F.exists("_nodes", lambda n: n["t"].isNull() | n["x"].isNull())
+    return out.withColumns(
+        {
+            "_ts": F.col("_nodes.t"),
+            "_xs": F.col("_nodes.x"),
+            "_odd": odd,
+            "_n": F.size("_nodes") * (F.lit(1) if tracks is None else F.col("_rows")),
+        }
+    )
+
+
+def _packed_stats(
+    a: DataFrame, b: DataFrame, reach: float, least: Callable[[Column, Column], Column], extra: Column | None = None
+) -> DataFrame:
+    """As ``overlap_stats``, of ``_packed`` tracks: a pair meets once and is measured where it meets.
+
+    Left out are pairs that share fewer frames than ``least`` gives from the two sizes, or that can't be closer than ``reach``.
+    """
+    a, b = a.alias("a"), b.alias("b")
+    odd = F.col("a._odd") | F.col("b._odd")
+    both = F.array_intersect("a._ts", "b._ts")
+    cond = (F.col("a.kymo") == F.col("b.kymo")) & (F.col("a._least_t") <= F.col("b._most_t")) & (F.col("b._least_t") <= F.col("a._most_t"))
+    cond = cond & (F.col("a._least_x") - F.col("b._most_x") <= reach) & (F.col("b._least_x") - F.col("a._most_x") <= reach)
+    if extra is not None:
+        cond = cond & extra
+    cond = cond & (odd | (F.size(both) >= F.greatest(F.lit(1.0), least(F.col("a._n"), F.col("b._n")) - 1e-6)))
+
+    def place(side: str, t: Column) -> Column:
+        return F.get(F.col(f"{side}._xs"), (F.array_position(F.col(f"{side}._ts"), t) - 1).cast("int"))
+
+    plain = F.transform(both, lambda t: F.abs(place("a", t) - place("b", t)))
+    each = F.transform(
+        "a._nodes",
+        lambda n: F.transform(F.filter("b._nodes", lambda m: m["t"] == n["t"]), lambda m: F.abs(n["x"] - m["x"])),
+    )
+    dx = F.sort_array(F.when(odd, F.flatten(each)).otherwise(plain))
+
+    def measured(d: Column) -> Column:
+        # Null places go first.
+        empty = F.when(odd, F.size(F.filter(d, lambda v: v.isNull()))).otherwise(0)
+        known = F.size(d) - empty
+        at = 0.9 * (known - 1)
+        low, high = F.get(d, (empty + F.floor(at)).cast("int")), F.get(d, (empty + F.ceil(at)).cast("int"))
+        # The built-in percentile weighs the two neighbours in this way.
+        between = F.when(low == high, low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high)
+        total = F.aggregate(d, F.lit(0.0), lambda s, v: s + F.coalesce(v, F.lit(0.0)))
+        return F.struct(
+            F.size(d).alias("shared"),
+            F.when(known > 0, total / known).alias("mean_dx"),
+            F.when(known > 0, between).alias("p90_dx"),
+        )
+
+    # Made by a generator, so that what asks for these columns doesn't work them out again.
+    stats = a.join(b, cond).select(
+        F.col("a.kymo").alias("kymo"),
+        F.col("a.track").alias("track"),
+        F.col("b.track").alias("other"),
+        *[F.col(f"{side}._{c}").alias(f"_{side}{c}") for side in ("a", "b") for c in ("n", "first", "last")],
+        F.inline(F.transform(F.array(dx), measured)),
+    )
+    return _judged(stats.where(F.col("shared") > 0))
+
+
 def match_tracks(a: DataFrame, b: DataFrame, p: FinderParams = FinderParams()) -> DataFrame:
     """Pairs (track, other) of two node tables that describe the same path."""
+    def asked(n: Column, m: Column) -> Column:
+        return F.least(p.match_overlap * F.least(n, m), p.loose_union / (1 + p.loose_union) * (n + m))
+
     def enough(n: Column, m: Column) -> Column:
         # Both rules limit the ninetieth percentile, so nine tenths of the frames that they ask for are close.
-        tight, loose = p.match_overlap * F.least(n, m), p.loose_union / (1 + p.loose_union) * (n + m)
-        return 0.9 * (F.least(tight, loose) - 1)
-
-    pairs = _near_pairs(a, b, max(p.match_p90_dx, p.loose_p90_dx), enough)
-    s = overlap_stats(pairs, a, b)
+        return 0.9 * (asked(n, m) - 1)
+
+    a, b = a.select(*ID, "t", "x"), b.select(*ID, "t", "x")
+    reach = max(p.match_p90_dx, p.loose_p90_dx)
+    crowded = _crowded(a, b)
+    if crowded.isEmpty():
+        s = _packed_stats(_packed(a), _packed(b), reach, asked)
+    else:
+        (a, b), (whole_a, whole_b) = [[n.join(F.broadcast(crowded), "kymo", how) for n in (a, b)] for how in ("left_semi", "left_anti")]
+        whole = _packed_stats(_packed(whole_a), _packed(whole_b), reach, asked)
+        s = overlap_stats(_near_pairs(a, b, reach, enough), a, b).unionByName(whole)
     tight = (F.col("overlap") >= p.match_overlap) & (F.col("mean_dx") <= p.match_mean_dx) & (F.col("p90_dx") <= p.match_p90_dx)
     loose = (
         (F.col("overlap_union") >= p.loose_union)
@@ -279,14 +386,28 @@ def dedupe_tracks(
     One round: a track is dropped by any better duplicate, itself dropped or not,
     so the result does not depend on the order.
     """
-    ranked = nodes.join(tracks.select(*ID, "score"), ID)
-    better = (F.col("b.score") > F.col("a.score")) | (
-        (F.col("b.score") == F.col("a.score")) & (F.col("b.track") < F.col("a.track"))
-    )
-    # If the mean is small, half of the shared frames are within twice of it.
-    enough = lambda n, m: 0.5 * min_overlap * F.least(n, m)
-    pairs = _near_pairs(ranked, ranked, 2 * max_dx, enough, better)
-    stats = overlap_stats(pairs, nodes, nodes)
+    def better(b: str, a: str) -> Column:
+        tie = (F.col(f"b.{b}") == F.col(f"a.{a}")) & (F.col("b.track") < F.col("a.track"))
+        return (F.col(f"b.{b}") > F.col(f"a.{a}")) | tie
+
+    def asked(n: Column, m: Column) -> Column:
+        return min_overlap * F.least(n, m)
+
+    def whole(nodes: DataFrame, tracks: DataFrame) -> DataFrame:
+        each = _packed(nodes, tracks)
+        # If the mean is small, some shared frame is as close.
+        return _packed_stats(each, each, max_dx, asked, better("_high", "_low"))
+
+    nodes, scores = nodes.select(*ID, "t", "x"), tracks.select(*ID, "score")
+    crowded = _crowded(nodes)
+    if crowded.isEmpty():
+        stats = whole(nodes, scores)
+    else:
+        (many, some), (few, rest) = [[d.join(F.broadcast(crowded), "kymo", how) for d in (nodes, scores)] for how in ("left_semi", "left_anti")]
+        ranked = many.join(some, ID)
+        # If the mean is small, half of the shared frames are within twice of it.
+        pairs = _near_pairs(ranked, ranked, 2 * max_dx, lambda n, m: 0.5 * asked(n, m), better("score", "score"))
+        stats = overlap_stats(pairs, many, many).unionByName(whole(few, rest))
     worse = stats.where((F.col("mean_dx") <= max_dx) & (F.col("overlap") >= min_overlap)).select(*ID).distinct()
     return tracks.join(worse, ID, "left_anti")
 
@@ -309,7 +430,6 @@ def merge_track_sets(
     # Both rounds read nodes and tracks several times.
     tracks, nodes = stage(tracks, "tracks"), stage(nodes, "track-nodes")
     tracks = stage(dedupe_tracks(nodes, tracks, p.strict_dx, p.strict_overlap), "tracks")
-    nodes = nodes.join(tracks.select(*ID), ID, "left_semi")
     tracks = dedupe_tracks(nodes, tracks, max(0.2, max_dx), min(0.99, max(0.5, min_overlap)))
     w = W.partitionBy("kymo").orderBy(F.col("score").desc(), "track")
     ranked = tracks.withColumn("rank", F.row_number().over(w))
