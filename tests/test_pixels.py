@@ -170,3 +170,31 @@ def test_kymograph_of_odd_rows_meets_in_blocks(spark):
     # Only records of one id are added up behind the join; no side of it is broadcast.
     plan = _plan(X.kymograph(pixels, rois, movies))
     assert len(re.findall(r"\[partial_sum\(_o0", plan)) == 1 and plan.count("SortMergeJoin") == 2
+
+
+def test_pages_hold_the_pixels_of_the_crops(spark):
+    from trackloom.operators.pixels import crop_pages, crop_pixels
+
+    rows = [("a", 1, f, y, x, None if (x + y) % 9 == 0 else float(x * y % 11)) for f in range(2) for y in range(11) for x in range(13)]
+    pixels = spark.createDataFrame(rows + [("a", 1, 0, 5, 5, 3.0), (None, 1, 0, 5, 5, 3.0)], "movie string, channel int, frame int, y int, x int, v double")
+    spots = [("a", t, 1, f, float(x), float(y), r) for f in range(2) for t, x, y, r in ((1, 5, 5, 2), (2, 0, 0, 3), (3, 12, 10, 40), (4, 30, 30, 2))]
+    windows = spark.createDataFrame(spots, "movie string, trajectory long, channel int, frame int, cx double, cy double, r int")
+    box = [F.col("cx") - F.col("r"), F.col("cx") + F.col("r"), F.col("cy") - F.col("r"), F.col("cy") + F.col("r")]
+    for page in (4, 32):
+        pages = crop_pages(windows, pixels, page, *box)
+        got = sorted(
+            (p.trajectory, p.frame, p.row * page + q.at // page, p.col * page + q.at % page, q.v) for p in pages.collect() for q in p._p
+        )
+        want = sorted((r.trajectory, r.frame, r.y, r.x, r.v) for r in crop_pixels(windows, pixels, *box).where("v IS NOT NULL").collect())
+        assert got == want and len(got) > 200
+
+
+def test_pixels_are_put_together_before_they_meet_windows(spark):
+    from trackloom.config import Params
+    from trackloom.plans.tracking import _pages
+
+    pixels = spark.range(400).selectExpr("'a' AS movie", "1 AS channel", "0 AS frame", "CAST(id DIV 20 AS int) AS y", "CAST(id % 20 AS int) AS x", "CAST(id AS double) AS v")
+    rows = spark.range(3).selectExpr("'a' AS movie", "id AS trajectory", "1 AS channel", "0 AS frame", "0L AS pos", "9.0 AS search_x", "9.0 AS search_y", f"{Params().crop} AS _r")
+    plan = _pages(rows, pixels, 32)._jdf.queryExecution().optimizedPlan().toString()
+    # The lists are made below the join: a list of joined pixels would hold a row for each pixel of each window.
+    assert plan.index("Join") < plan.index("collect_list")

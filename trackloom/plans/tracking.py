@@ -15,7 +15,7 @@ from trackloom.config import KEY, Params
 from trackloom.functions.spot import measure
 from trackloom.operators.measure import measure_spots, sigma_floor
 from trackloom.operators.ordered import beside, in_blocks, with_position
-from trackloom.operators.pixels import crop_pixels, trajectory_background
+from trackloom.operators.pixels import crop_pages, trajectory_background
 from trackloom.operators.segments import densify
 from trackloom.operators.smoothing import smooth_outliers
 from trackloom.operators.spots import avoid_previous
@@ -133,16 +133,8 @@ def _pages(rows: DataFrame, pixels: DataFrame, page: int) -> DataFrame:
     number inside the page and the value.
     """
     cx, cy, r = F.bround("search_x").cast("int"), F.bround("search_y").cast("int"), F.col("_r")
-    near = crop_pixels(rows.select(*KEY, "channel", "frame", "pos", "search_x", "search_y", "_r"), pixels, cx - r, cx + r, cy - r, cy + r)
-    inside = (F.pmod("y", F.lit(page)) * page + F.pmod("x", F.lit(page))).cast("int")
-    places = {"row": F.floor(F.col("y") / page).cast("int"), "col": F.floor(F.col("x") / page).cast("int")}
-    packed = (
-        near.where(F.col("v").isNotNull())
-        .withColumns(places)
-        .groupBy(*KEY, "pos", "row", "col")
-        .agg(F.sort_array(F.collect_list(F.struct(inside.alias("at"), F.col("v").cast("double").alias("v")))).alias("_p"))
-        .select(*KEY, "pos", "row", "col", F.col("_p.at").alias("at"), F.col("_p.v").alias("v"))
-    )
+    packed = crop_pages(rows.select(*KEY, "channel", "frame", "pos", "search_x", "search_y", "_r"), pixels, page, cx - r, cx + r, cy - r, cy + r)
+    packed = packed.select(*KEY, "pos", "row", "col", F.col("_p.at").alias("at"), F.col("_p.v").alias("v"))
     both = rows.drop("_r").unionByName(packed, allowMissingColumns=True)
     return both.repartition(*KEY).sortWithinPartitions(*KEY, "pos", F.col("row").asc_nulls_first(), "col")
 
