@@ -3,14 +3,17 @@ from collections import defaultdict
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel, Sequence, Split
 
 from tests.llm.cases import awkward, documents
-from trackloom.llm.packing import Encoder, Room, best_fit, fill, pack, sequences
+from trackloom.llm.packing import Encoder, Room, best_fit, fill, pack, piece_starts, sequences
 from trackloom.llm.queries import tokenizer_path
+from trackloom.llm.words import utf8
 
 PATH = tokenizer_path()
 
@@ -139,3 +142,37 @@ def test_sequences_hold_the_ids(spark, plain):
 def test_empty_table(spark):
     docs = documents(spark, awkward()).limit(0)
     assert pack(docs, PATH).count() == 0 and sequences(pack(docs, PATH, with_ids=True)).count() == 0
+
+
+CUT = st.lists(st.sampled_from([*"a'stré2.,( \n\t\r×ÿ·ж„—。、가\u00a0\u0085\u2009\u3000\x1f", "  ", "\n\n", " '", "'re"]), max_size=40).map("".join)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(CUT, min_size=1, max_size=4))
+def test_each_piece_has_the_ids_it_has_in_the_text(texts):
+    t = Encoder.at(PATH).tokenizer
+    ids = lambda x: t.encode(x, add_special_tokens=False).ids
+    data, offsets = utf8(pa.array(texts))
+    starts = [*piece_starts(data, offsets).tolist(), len(data)]
+    pieces = [data[i:j].tobytes().decode() for i, j in zip(starts, starts[1:])]
+    assert "".join(pieces) == "".join(texts) and set(offsets[:-1][np.diff(offsets) > 0].tolist()) <= set(starts)
+    assert [i for p in pieces for i in ids(p)] == [i for x in texts for i in ids(x)]
+
+
+def test_a_word_is_asked_for_once_whatever_stands_beside_it():
+    encoder, asked = Encoder(PATH), []
+    plain = encoder._ids
+    encoder._ids = lambda pieces: asked.extend(pieces) or plain(pieces)
+    encoder._ids_after_blank = encoder._ids
+    encoder.encode(["one word, a word.\nThe word\nword; (word) word's end", "a word: the word! été, été."])
+    encoder.encode([" word? word"])
+    assert asked.count(" word") == 1 and asked.count(" été") == 1 and len(asked) == len(set(asked))
+
+
+def test_a_tokenizer_of_another_pattern_gets_whole_texts(tmp_path):
+    t = Tokenizer.from_file(PATH)
+    t.pre_tokenizer = Sequence([Split(" ", "isolated"), ByteLevel(add_prefix_space=False, use_regex=False)])
+    t.save(str(tmp_path / "other.json"))
+    texts = ["one, two's\n\nthree  four.", "", "x y"]
+    got = Encoder(str(tmp_path / "other.json")).encode(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]

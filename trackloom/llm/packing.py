@@ -14,43 +14,107 @@ others, row by row; an empty table gives no rows.  Only id and text of the input
 
 from __future__ import annotations
 
-import re
+import json
+from array import array
 from collections.abc import Iterator
 from itertools import islice
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.words import give_back, slices, table
+from trackloom.llm.words import give_back, slices, table, utf8
 
 WINDOW, CLOSING_ID = 2048, 1
 #: Documents in one group of the packing, about.
 GROUP_DOCS = 5_000
 #: Pieces of text whose ids a Python worker remembers (about 200 bytes each): those seen in several batches, and new ones.
-REMEMBERED, NEW = 80_000, 60_000
-_SPACE_BEFORE_TEXT = re.compile(r"(?= \S)")
+REMEMBERED, NEW = 300_000, 200_000
+#: Kinds of bytes: those of which nothing is known here, blanks, other white space, letters, digits, marks, the quote, other characters.
+_ANY, _BLANK, _BREAK, _LETTER, _DIGIT, _MARK, _QUOTE, _OTHER = range(8)
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[:128] = [
+    _BLANK if c == " " else _BREAK if c in "\t\n\v\f\r" else _LETTER if c.isalpha() else _DIGIT if c.isdigit() else _QUOTE if c == "'" else _MARK if c.isprintable() else _ANY
+    for c in map(chr, range(128))
+]
+#: First bytes of letters of two bytes: but for U+00D7 and U+00F7 all of U+00C0 to U+017F and U+0400 to U+047F.
+_LETTER_FIRST = np.isin(np.arange(256), [0xC3, 0xC4, 0xC5, 0xD0, 0xD1])
+#: First bytes of white space beyond ASCII.
+_SPACE_FIRST = np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3])
+_SPACES = [c.encode() for c in "\u0085\u00a0\u1680\u180e\u2028\u2029\u202f\u205f\u3000"] + [chr(c).encode() for c in range(0x2000, 0x2010)]
+
+
+def _pairs(*pairs: tuple[tuple[int, ...], tuple[int, ...]]) -> np.ndarray:
+    out = np.zeros(64, bool)
+    for first, second in pairs:
+        for x in first:
+            out[[8 * x + y for y in second]] = True
+    return out
+
+
+_TEXT = (_LETTER, _DIGIT, _MARK, _QUOTE, _OTHER)
+#: By the kinds of two bytes: whether a text may be cut between them, and whether it may be before the first.
+_CUT_BETWEEN = _pairs(((_BREAK,), _TEXT), ((_LETTER,), (_DIGIT, _MARK, _QUOTE)), ((_DIGIT,), (_LETTER, _MARK, _QUOTE)), ((_MARK,), (_LETTER, _DIGIT)))
+_CUT_BEFORE = _pairs(((_BLANK, _BREAK), _TEXT))
+
+
+def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where texts may be cut so that the ids of the pieces are those of the whole.
+
+    The pattern of byte-level tokenizers takes runs of letters, of digits and of other characters, each with one
+    blank before it, contractions that begin with a quote, and runs of white space, which leave their last
+    character to the text that follows.  So there is a cut before the last white space of a run, after it unless
+    it is a blank, and where letters, digits and marks meet; none after a quote or beside a character whose
+    kind isn't known here.
+    """
+    kind = _KIND[data]
+    if len(data) and data.max() > 127:
+        at = np.flatnonzero(_LETTER_FIRST[data])
+        at = at[(data[at] != 0xC3) | (data[at + 1] & 0xDF != 0x97)]
+        kind[at] = kind[at + 1] = _LETTER
+        at = np.flatnonzero(_SPACE_FIRST[data])
+        for c in _SPACES:
+            own = at[at + len(c) <= len(data)]
+            for i, byte in enumerate(c):
+                own = own[data[own + i] == byte]
+            for i in range(len(c)):
+                kind[own + i] = _ANY
+    pair = kind[:-1] << 3 | kind[1:]
+    starts = np.zeros(len(data) + 1, bool)
+    before = _CUT_BEFORE[pair]
+    ends = offsets[(offsets > 0) & (offsets < len(data))]
+    before[ends - 1] = False  # white space at the end of a text is one run
+    starts[: len(pair)] = before
+    starts[1 : len(pair) + 1] |= _CUT_BETWEEN[pair]
+    starts[offsets[:-1]] = True
+    return np.flatnonzero(starts[: len(data)])
 
 
 class Remembered:
     """Ids of pieces.  A piece that comes again in a later batch is kept longer than one seen once; the oldest go."""
 
     def __init__(self):
-        self.often: dict[str, bytes | None] = {}
-        self.once: dict[str, bytes | None] = {}
+        self.often: dict[str, bytes] = {}
+        self.once: dict[str, bytes] = {}
+
+    def of(self, pieces: list[str]) -> tuple[list[bytes | None], list[int]]:
+        """Ids of the distinct pieces, and the places of those that aren't known."""
+        found: list[bytes | None] = list(map(self.often.get, pieces))
+        missing = []
+        for i in [i for i, x in enumerate(found) if x is None]:
+            x = pieces[i]
+            found[i] = ids = self.once.pop(x, None)
+            if ids is None:
+                missing.append(i)
+            else:
+                self.often[x] = ids
+        return found, missing
 
-    def missing(self, pieces: set[str]) -> list[str]:
+    def forget(self) -> None:
         self.often, self.once = self._bounded(self.often, REMEMBERED), self._bounded(self.once, NEW)
-        rest = pieces.difference(self.often)
-        for x in rest.intersection(self.once):
-            self.often[x] = self.once.pop(x)
-        return list(rest.difference(self.often))
-
-    def of(self, pieces: set[str]) -> dict[str, bytes | None]:
-        often, once = self.often, self.once
-        return {x: often[x] if x in often else once[x] for x in pieces}
 
     @staticmethod
     def _bounded(known: dict, most: int) -> dict:
@@ -58,11 +122,10 @@ class Remembered:
 
 
 class Encoder:
-    """Ids of texts as little-endian 32-bit bytes, piece by piece between blanks.
+    """Ids of texts as little-endian 32-bit bytes, piece by piece (``piece_starts``).
 
-    The tokenizer's pattern joins a blank with the text that follows it and never with what stands before,
-    so a text may be cut before every blank that is followed by text.  Ids of pieces are remembered.  A text
-    with the string of a special token is encoded as a whole.
+    A column's distinct pieces are looked up once and their ids remembered.  A text with the string of a special
+    token, and every text of a tokenizer of another kind, is encoded as a whole.
     """
 
     _loaded: dict[str, Encoder] = {}
@@ -77,6 +140,9 @@ class Encoder:
         self.blank_first[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.remembered = Remembered()
+        pattern = self.tokenizer.pre_tokenizer
+        kind = json.loads(pattern.__getstate__()) if pattern else {}
+        self.by_piece = kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind["add_prefix_space"] and not self.tokenizer.normalizer
 
     @classmethod
     def at(cls, path: str) -> Encoder:
@@ -86,49 +152,67 @@ class Encoder:
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+        return [array("I", x.ids).tobytes() for x in found]
 
     def _ids_after_blank(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces without blanks, each after one blank: many at a time, cut where a blank begins."""
+        """Ids of pieces of a blank and letters or digits: many at a time, cut where a blank begins."""
         out: list[bytes] = []
         for i in range(0, len(pieces), 2000):
             part = pieces[i : i + 2000]
-            raw = self._ids([" " + " ".join(part)])[0]
+            raw = self._ids(["".join(part)])[0]
             cut = np.flatnonzero(self.blank_first[np.frombuffer(raw, "<u4")])
             if len(cut) == len(part):
                 at = (4 * cut).tolist()
                 out += [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)])]
             else:
-                out += self._ids([" " + x for x in part])
+                out += self._ids(part)
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [t.split(" ") for t in texts]
-        pieces = set()
-        for p in parts:
-            pieces.update(p[1:])
-        known = self._known(pieces)
-        heads = self._ids([p[0] for p in parts])
-        out: list[bytes] = []
-        for head, p, text in zip(heads, parts, texts):
-            if any(x in text for x in self.special):
-                out.append(self._ids([text])[0])
-                continue
-            found = list(map(known.__getitem__, p[1:]))
-            if None in found:
-                found = self._ids(_SPACE_BEFORE_TEXT.split(text))
-                head = b""
-            out.append(head + b"".join(found))
+        return self.encode_column(pa.array(texts, pa.large_string()))
+
+    def encode_column(self, column: pa.Array) -> list[bytes]:
+        """Ids of each text; null is empty."""
+        whole = np.full(len(column), not self.by_piece)
+        for x in self.special:
+            whole |= pc.fill_null(pc.match_substring(column, x), False).to_numpy(zero_copy_only=False)
+        rest = pc.if_else(pa.array(whole), pa.scalar("", column.type), column) if whole.any() else column
+        out = self._by_piece(*utf8(rest))
+        at = np.flatnonzero(whole)
+        for i, ids in zip(at.tolist(), self._ids(pc.fill_null(column.take(pa.array(at)), "").to_pylist())):
+            out[i] = ids
         return out
 
-    def _known(self, pieces: set[str]) -> dict[str, bytes | None]:
-        """Ids of pieces after a blank; None for one that belongs to a run of white space."""
-        new = self.remembered.missing(pieces)
-        # A piece without text, or that begins with white space, belongs to a run of white space.
-        plain = [x for x in new if x and not x[0].isspace()]
-        self.remembered.once.update(zip(plain, self._ids_after_blank(plain)))
-        self.remembered.once.update((x, None) for x in new if not x or x[0].isspace())
-        return self.remembered.of(pieces)
+    def _by_piece(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        starts = piece_starts(data, offsets)
+        first = np.searchsorted(starts, offsets)
+        bounds = np.append(starts, len(data))
+        pieces = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data)]).dictionary_encode()
+        known = self._known(pieces.dictionary.to_numpy(zero_copy_only=False).tolist())
+        ids = np.frombuffer(b"".join(known), "<u4")
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        begin = np.cumsum(size) - size
+        own = pieces.indices.to_numpy()
+        size, begin = size[own], begin[own]
+        ends = np.append(0, np.cumsum(size))
+        ids = ids[np.repeat(begin - ends[:-1], size) + np.arange(ends[-1])].tobytes()
+        at = (4 * ends[first]).tolist()
+        return [ids[i:j] for i, j in zip(at, at[1:])]
+
+    def _known(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces, in their order."""
+        found, missing = self.remembered.of(pieces)
+        single: list[int] = []
+        rest: list[int] = []
+        for i in missing:
+            x = pieces[i]
+            (single if x[0] == " " and x[1:].isalnum() else rest).append(i)
+        for at, encode in ((single, self._ids_after_blank), (rest, self._ids)):
+            new = [pieces[i] for i in at]
+            for i, x, ids in zip(at, new, encode(new)):
+                found[i] = self.remembered.once[x] = ids
+        self.remembered.forget()
+        return found
 
 
 def cut(ids: bytes, window: int = WINDOW) -> list[tuple[int, int, int, bytes]]:
@@ -260,9 +344,9 @@ def pieces(
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.at(tokenizer)
-        for b in slices(batches, "text", 1 << 20):
+        for b in slices(batches, "text", 4 << 20):
             out: list[tuple] = []
-            for doc, ids in zip(b.column("doc_id").to_pylist(), encoder.encode(b.column("text").to_pylist())):
+            for doc, ids in zip(b.column("doc_id").to_pylist(), encoder.encode_column(b.column("text"))):
                 ids += closing
                 for start, length, crc, piece in cut(ids, window):
                     out.append((doc, start, length, crc, len(ids) // 4, piece if not only_cut else _narrow(piece) if length < window else None))
