@@ -1,4 +1,7 @@
+import os
 import random
+import subprocess
+import sys
 from collections import defaultdict
 from zlib import crc32
 
@@ -176,3 +179,19 @@ def test_a_tokenizer_of_another_pattern_gets_whole_texts(tmp_path):
     texts = ["one, two's\n\nthree  four.", "", "x y"]
     got = Encoder(str(tmp_path / "other.json")).encode(texts)
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_a_worker_starts_no_threads_of_the_tokenizer():
+    """Each would keep memory of its own for as long as the worker lives."""
+    code = """if True:
+        import os, sys
+        import pyarrow as pa
+        from trackloom.llm.packing import Encoder
+        encoder = Encoder.at(sys.argv[1])
+        before = len(os.listdir("/proc/self/task"))
+        encoder.encode([f"x{i} \\u4e00{i}" for i in range(3000)])
+        print(len(os.listdir("/proc/self/task")) - before)
+    """
+    env = {k: v for k, v in os.environ.items() if k not in ("TOKENIZERS_PARALLELISM", "RAYON_NUM_THREADS")} | {"PYTHONPATH": os.getcwd()}
+    done = subprocess.run([sys.executable, "-c", code, PATH], env=env, capture_output=True, text=True, check=True, timeout=120)
+    assert int(done.stdout.split()[-1]) == 0

@@ -87,6 +87,12 @@ def may_hold(bits: np.ndarray, k64: np.ndarray) -> np.ndarray:
     return out
 
 
+def inside(column: pa.Array, bits: np.ndarray) -> np.ndarray:
+    """Which rows may be in the map; a null is not."""
+    ids = column.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return may_hold(bits, ids) & ~np.asarray(column.is_null())
+
+
 def split(df: DataFrame, column: str, bits: np.ndarray) -> tuple[DataFrame, DataFrame]:
     """Rows whose ``column`` may be in the map, and the rest, which can't be; a null is in the rest."""
     shared = df.sparkSession.sparkContext.broadcast(bits)
@@ -94,10 +100,7 @@ def split(df: DataFrame, column: str, bits: np.ndarray) -> tuple[DataFrame, Data
     def side(want: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                c = b.column(column)
-                ids = c.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                inside = may_hold(shared.value, ids) & ~np.asarray(c.is_null())
-                yield b.filter(pa.array(inside == want))
+                yield b.filter(pa.array(inside(b.column(column), shared.value) == want))
             give_back()
 
         return run

@@ -279,7 +279,8 @@ def dedup_lines(
     gone = stage(repeated_lines(docs, min_chars, shingle, threshold, id_col, text_col), "line-goes")
     changed, same = bloom.split(docs, id_col, bloom.bit_map(gone.select("doc_id")))
     row = changed.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    met = row.join(gone, row["row"][id_col].cast("long") == gone["doc_id"], "left").select("row", "lines")
+    # Never a broadcast: the tasks of ``split`` would run those of ``cut`` beside them, with twice the Python workers, which stay.
+    met = row.join(gone.hint("merge"), row["row"][id_col].cast("long") == gone["doc_id"], "left").select("row", "lines")
     at = docs.columns.index(text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

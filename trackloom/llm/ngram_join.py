@@ -172,6 +172,8 @@ def similar_documents(
     values = signed.select("key", "sig").where("sig IS NOT NULL").withColumn("k64", _k64())
     values = values.join(wanted, "k64", "left_semi").groupBy("key", "k64").agg(F.first("sig").alias("sig"))
     links = in_cells(found.join(values, "k64"), _prune(threshold, tolerance), "a binary, b binary")
+    # The links of an item come together first; the union-find is then no second Python step of the same tasks.
+    links = links.repartition(F.greatest("a", "b"))
     clusters = stage(components(links, "ngram-candidates"), "ngram-clusters")
 
     joined = stage(_verified(rows, clusters, classes, n, threshold), "ngram-links")
@@ -259,9 +261,10 @@ def keep_one(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, id_c
     document, one stays.  Only documents with links can go, and only their texts are shuffled.
     """
     found = stage(similar_documents(docs, n, threshold, id_col=id_col, text_col=text_col, with_key=True).where("n_links > 0"), "ngram-found")
-    may_go, clear = bloom.split(docs, id_col, bloom.bit_map(found.select("doc_id")))
+    bits = bloom.bit_map(found.select("doc_id"))
+    _, clear = bloom.split(docs, id_col, bits)
     # The row's own names can't clash with those added here: they are the only ones of a struct.
-    keyed = _with_key(may_go, n, text_col)
+    keyed = _with_key(docs, n, id_col, text_col, bits)
     lead = found.where("doc_id = class_id").select("doc_id", "key").distinct().withColumn("lead", F.lit(True))
     known = found.select("doc_id", "key").distinct().withColumn("known", F.lit(True))
     pair = [keyed["row"][id_col].cast("long").alias("doc_id"), "key", "row"]
@@ -271,12 +274,14 @@ def keep_one(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, id_c
     return clear.unionByName(free).unionByName(first)
 
 
-def _with_key(docs: DataFrame, n: int, text_col: str) -> DataFrame:
-    """(key, row): the key of the row's set (null for an empty one) and the whole row."""
+def _with_key(docs: DataFrame, n: int, id_col: str, text_col: str, bits: np.ndarray) -> DataFrame:
+    """(key, row) of rows whose id may be in the map: the key of the row's set (null for an empty one) and the whole row."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(bits), docs.columns.index(id_col)
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
+        some = (b.filter(pa.array(bloom.inside(b.column("row").flatten()[at], shared.value))) for b in batches)
+        for b in slices(some, "text"):
             sets, k1, k2 = sets_of(words_of(*utf8(b.column("text")), ALNUM), n)
             keys = [k if len(s) else None for k, s in zip(keys_of(k1, k2), sets)]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), b.column("row")], names=["key", "row"])

@@ -15,6 +15,7 @@ others, row by row; an empty table gives no rows.  Only id and text of the input
 from __future__ import annotations
 
 import json
+import os
 from array import array
 from collections.abc import Iterator
 from itertools import islice
@@ -31,6 +32,8 @@ from trackloom.llm.words import give_back, slices, table, utf8
 WINDOW, CLOSING_ID = 2048, 1
 #: Documents in one group of the packing, about.
 GROUP_DOCS = 5_000
+#: Bytes of text that are encoded at a time: what a worker holds meanwhile is some thirty times as much.
+_SLICE = 2 << 20
 #: Pieces of text whose ids a Python worker remembers (about 200 bytes each): those seen in several batches, and new ones.
 REMEMBERED, NEW = 300_000, 200_000
 #: Kinds of bytes: those of which nothing is known here, blanks, other white space, letters, digits, marks, the quote, other characters.
@@ -131,6 +134,8 @@ class Encoder:
     _loaded: dict[str, Encoder] = {}
 
     def __init__(self, path: str):
+        # A task has one core; threads of the tokenizer's own would each keep memory in the waiting worker.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -344,7 +349,7 @@ def pieces(
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.at(tokenizer)
-        for b in slices(batches, "text", 4 << 20):
+        for b in slices(batches, "text", _SLICE):
             out: list[tuple] = []
             for doc, ids in zip(b.column("doc_id").to_pylist(), encoder.encode_column(b.column("text"))):
                 ids += closing
