@@ -198,3 +198,35 @@ def test_pixels_are_put_together_before_they_meet_windows(spark):
     plan = _pages(rows, pixels, 32)._jdf.queryExecution().optimizedPlan().toString()
     # The lists are made below the join: a list of joined pixels would hold a row for each pixel of each window.
     assert plan.index("Join") < plan.index("collect_list")
+
+
+def test_places_of_lines_meet_frames_as_lists(spark):
+    """A row for each place and frame of the join took some 50 microseconds each; lists of places meet groups of frames."""
+    rows = [("a", 1, f, y, x, float(x + y + f)) for f in range(40) for y in range(40) for x in range(40)]
+    pixels = spark.createDataFrame(rows, "movie string, channel int, frame int, y int, x int, v double")
+    lines = [("a", k, [float(k % 30), 39.0], [0.0, 39.0 - k % 20]) for k in range(200)]
+    rois = spark.createDataFrame(lines, "movie string, roi long, x array<double>, y array<double>")
+    places = X._sampled(rois.withColumns({"_h": F.lit(40).cast("long"), "_w": F.lit(40).cast("long")}), "_h", "_w").withColumn("_part", F.lit(0).cast("bigint"))
+    packs = X._packs(places.coalesce(1).select("movie", "roi", "s", "_part", *X._PLACE), 2).collect()
+    blocks = X._tiled_pixels(pixels, 6).collect()
+    assert sum(len(p.roi) for p in packs) == places.count() > 5_000 and len(packs) <= 4
+    # Forty frames are two groups; four blocks with a rim of six pixels cover 40 x 40.
+    assert len(blocks) == 8 and sum(len(b["_v"]) for b in blocks) == 40 * (38 + 8) ** 2
+    movies = spark.createDataFrame([("a", 40, 40)], "movie string, height int, width int")
+    got = {(r.roi, r.frame, r.s): r.v for r in X.kymograph(pixels, rois, movies, 0).collect()}
+    assert len(got) == 40 * places.count()
+    for p in places.where("_x < 39 and _y < 39 and s % 7 = 0").collect():
+        assert got[p.roi, 33, p.s] == pytest.approx(p["_x"] + p["_y"] + 33)
+
+
+def test_samples_take_known_pixels_of_some_weight_only():
+    from trackloom.functions.sampling import corners, sampled
+
+    place = {"_x": [-0.5, 2.25, np.nan], "_y": [1.0, 1.5, 0.0], "_nx": [0.0] * 3, "_ny": [1.0] * 3, "_h": [3] * 3, "_w": [4] * 3}
+    xs, ys, ws = corners({c: np.array(v) for c, v in place.items()}, 0)
+    assert xs[:, 0, 0].tolist() == [0, 0, 0, 0] and ys[:, 0, 0].tolist() == [1, 2, 1, 2]
+    assert ws[:, 0, 1].tolist() == [0.375, 0.375, 0.125, 0.125] and np.isnan(ws[:, 0, 2]).all()
+    at, weights = np.array([[[0, 2]], [[1, 3]]]), np.array([[[0.25, np.nan]], [[0.75, 0.0]]])
+    values, known = np.array([[8.0, 4.0, 0.0, 0.0], [8.0, 0.0, 0.0, 0.0]]), np.array([[True, True, False, False], [True, False, False, False]])
+    total, lacks = sampled(values, known, at, weights)
+    assert total[:, 0].tolist() == [[5.0, 0.0], [2.0, 0.0]] and lacks[:, 0].tolist() == [[False, True], [False, True]]
