@@ -230,3 +230,55 @@ def test_samples_take_known_pixels_of_some_weight_only():
     values, known = np.array([[8.0, 4.0, 0.0, 0.0], [8.0, 0.0, 0.0, 0.0]]), np.array([[True, True, False, False], [True, False, False, False]])
     total, lacks = sampled(values, known, at, weights)
     assert total[:, 0].tolist() == [[5.0, 0.0], [2.0, 0.0]] and lacks[:, 0].tolist() == [[False, True], [False, True]]
+
+
+def test_log_filter_deals_tiles_of_lists(spark, monkeypatch):
+    """Missing, repeated and null samples, a ROI id with two sizes, lines and movies shorter than the kernel, tile borders."""
+    rng = np.random.default_rng(8)
+    rows = [("a", 1, 1, f, s, float(rng.integers(0, 99))) for f in range(19) for s in range(30) if rng.random() > 0.1]
+    rows += rows[:9] + [("a", 2, 1, f, s, float(s * f % 5) if f else None) for f in range(12) for s in range(20)]
+    rows += [("b", 3, c, f, s, float(rng.integers(0, 99))) for c in (1, 2) for f in range(2) for s in range(3)]
+    rows += [("b", 4, 1, f, s, 0.0) for f in range(2) for s in range(9)] + [("b", 3, None, 0, 0, 1.0), ("z", 9, 1, 0, 0, 1.0)]
+    sizes = [("a", 1, 30, 19), ("a", 1, 24, 19), ("a", 2, 20, 12), ("b", 3, 3, 2), ("b", 4, 9, 2)]
+    kymo = spark.createDataFrame(rows, "movie string, roi long, channel int, frame int, s int, v double")
+    table = spark.createDataFrame(sizes, "movie string, roi long, width int, n_frames int")
+    g0, g2 = X._kernels(1.5)
+
+    def tap(kernel, p, here):
+        return kernel[abs(p - here)] if abs(p - here) < len(kernel) else 0.0
+
+    def weight(kernel, q, here, n):
+        return sum(tap(kernel, q + 2 * n * m, here) + tap(kernel, 2 * n * m - 1 - q, here) for m in range(-3, 4))
+
+    want, found = {}, {}
+    for key in {r[:3] for r in rows if r[2] is not None and r[0] != "z"}:
+        own = [(f, s, w, n, v) for *k, f, s, v in rows if tuple(k) == key for m, o, w, n in sizes if (m, o) == key[:2]]
+        # Within a sample's frame, then along the frames; repeated rows count twice.
+        across = {}
+        for f, s, w, *_ in set(own):
+            near = [(t, v) for g, t, *_, v in own if g == f and abs(t - s) <= 6]
+            across[f, s, w] = None if any(v is None for _, v in near) else tuple(sum(v * weight(k, t, s, w) for t, v in near) for k in (g0, g2))
+        out = []
+        for f, s, w, n, _ in own:
+            near = [(g, across[g, t, u]) for g, t, u, *_ in own if t == s and abs(g - f) <= 6]
+            out.append((f, s, None if any(a is None for _, a in near) else -sum(a[0] * weight(g2, g, f, n) + a[1] * weight(g0, g, f, n) for g, a in near)))
+        known = [x for *_, x in out if x is not None]
+        for f, s, x in out:
+            lo, hi = min(known), max(known)
+            want.setdefault((*key, f, s), []).append(None if x is None else (x - lo) / (hi - lo) * 254 + 1 if hi > lo else 128)
+    dealt = []
+    stage = X.stage
+    monkeypatch.setattr(X, "stage", lambda df, name: dealt.append(_plan(df)) or stage(df, name))
+    for block in (8, 512):
+        found.clear()
+        for r in X.log_filter(kymo, table, block=block).collect():
+            found.setdefault((r.movie, r.roi, r.channel, r.frame, r.s), []).append(r.v)
+        assert found.keys() == want.keys()
+        for k, values in want.items():
+            assert len(found[k]) == len(values)
+            for a, b in zip(sorted(found[k], key=lambda v: (v is None, v)), sorted(values, key=lambda v: (v is None, v))):
+                assert a is None if b is None else abs(a - np.floor(b)) <= (min(b % 1, 1 - b % 1) < 1e-6)
+    assert {r for k, r in found.items() if k[1] == 2 and k[3] < 1 for r in r} == {None}
+    assert {r for k, r in found.items() if k[1] == 4 for r in r} == {128}
+    # Neighbours come as lists of a tile and not as a list for each row.
+    assert len(dealt) == 2 and not any("Window" in p for p in dealt)
